@@ -36,9 +36,9 @@ class Rule:
 #: The threshold table. Ratios are per word, except where the measure says otherwise.
 RULES = (
     Rule("mean_word", "mean_word_chars", 2.0, 14.0),
-    Rule("symbols", "symbol_ratio", None, 0.10),
+    Rule("symbols", "symbol_ratio", None, 0.05),
     Rule("exclamations", "exclamation_ratio", None, 0.25),
-    Rule("stop_words", "stop_word_ratio", 0.02, None),
+    Rule("stop_words", "stop_word_ratio", 0.05, None),
     Rule("dup_lines", "dup_line_ratio", None, 0.40),
 )
 
