@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import quality_rules, secret_ledger
+from loomgraph.llm import byte_bpe, quality_rules, secret_ledger, transport_stream
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": quality_rules.query,
+        "op5_byte_bpe": byte_bpe.query,
+        "op7_media_columns": transport_stream.query,
         "op9_secret_scans": secret_ledger.query,
     }
 
