@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,3 +116,58 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+#: Bits of a membership map: 4 MB, whatever the table it is made from. A full map only prunes less.
+MAP_BITS = 1 << 25
+
+
+def _bit(values: np.ndarray) -> np.ndarray:
+    return mix(values.view(np.uint64) ^ np.uint64(0xA5A5A5A55A5A5A5A)) & np.uint64(MAP_BITS - 1)
+
+
+def membership(df: DataFrame, column: str) -> np.ndarray:
+    """A bitmap with a bit set for each value of a bigint column; absent values rarely hit. Always MAP_BITS bits."""
+
+    def run(batches):
+        bits = np.zeros(MAP_BITS, bool)
+        for batch in batches:
+            bits[_bit(batch.column(0).to_numpy(zero_copy_only=False))] = True
+        words = np.packbits(bits, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at], pa.int64())], names=["at", "word"])
+
+    found = df.where(F.col(column).isNotNull()).select(F.col(column).cast("bigint")).mapInArrow(run, "at bigint, word bigint")
+    words = np.zeros(MAP_BITS // 64, np.int64)
+    table = found.groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    words[table.column("at").to_numpy()] = table.column("word").to_numpy()
+    return words
+
+
+def hits(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """True where a value may be a member."""
+    at = _bit(np.ascontiguousarray(values))
+    return (words.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of every node of links (a, b): root is the least node of its connected component.
+
+    Alternates large-star and small-star steps; a node's neighbours are never gathered, only their minimum. Each round
+    is written to the shared folder, and the rounds grow with the logarithm of the longest path.
+    """
+    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    before = None
+    while True:
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if tuple(state) == before or state[0] == 0:
+            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = tuple(state)
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        after = materialise(small.where("u <> v").distinct(), "edges")
+        forget(edges)
+        edges = after

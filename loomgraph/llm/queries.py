@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import byte_bpe, quality_rules, secret_ledger, transport_stream
+from loomgraph.llm import byte_bpe, jaccard_join, quality_rules, secret_ledger, transport_stream
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": quality_rules.query,
         "op5_byte_bpe": byte_bpe.query,
         "op7_media_columns": transport_stream.query,
+        "op8_ngram_jaccard_join": jaccard_join.query,
         "op9_secret_scans": secret_ledger.query,
     }
 
@@ -21,5 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality_rules.ORACLE,
+        "op8_ngram_jaccard_join": jaccard_join.ORACLE,
         "op9_secret_scans": secret_ledger.ORACLE,
     }
