@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import byte_bpe, jaccard_join, language_mixture, quality_rules, secret_ledger, transport_stream
+from loomgraph.llm import byte_bpe, jaccard_join, language_mixture, quality_kernel, quality_rules, secret_ledger, transport_stream
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": quality_rules.query,
+        "op3_quality_classifier": quality_kernel.query,
         "op4_language_id": language_mixture.query,
         "op5_byte_bpe": byte_bpe.query,
         "op7_media_columns": transport_stream.query,
