@@ -62,6 +62,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For terms: all ASCII characters but letters, digits and the apostrophe separate.
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[:128] = [not (chr(c).isalnum() or c == 39) for c in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -85,8 +88,8 @@ class WordHasher:
         self.up = powers(_BASE, 1 << 16)
         self.down = powers(_INVERSE, 1 << 16)
 
-    def words(self, text: str, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first byte, byte after the last) of every word, in order."""
+    def words(self, text: str, lower: bool = False, terms: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first byte, byte after the last) of every word, in order; ``terms``: words without punctuation."""
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
         n = len(raw)
         if n == 0:
@@ -95,7 +98,7 @@ class WordHasher:
             self.up, self.down = powers(_BASE, 2 * n), powers(_INVERSE, 2 * n)
         if lower:
             raw = _LOWER[raw]
-        edge = np.diff(np.concatenate(([True], _IS_SPACE[raw], [True])).astype(np.int8))
+        edge = np.diff(np.concatenate(([True], (_IS_MARK if terms else _IS_SPACE)[raw], [True])).astype(np.int8))
         first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[raw] * self.up[:n], out=total[1:])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import byte_bpe, jaccard_join, language_mixture, quality_kernel, quality_rules, secret_ledger, transport_stream
+from loomgraph.llm import byte_bpe, jaccard_join, language_mixture, quality_kernel, quality_rules, secret_ledger, soft_mixing, transport_stream
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_media_columns": transport_stream.query,
         "op8_ngram_jaccard_join": jaccard_join.query,
         "op9_secret_scans": secret_ledger.query,
+        "op10_mixing_sources": soft_mixing.query,
     }
 
 
