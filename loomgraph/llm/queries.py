@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import byte_bpe, jaccard_join, language_mixture, quality_kernel, quality_rules, secret_ledger, soft_mixing, transport_stream
+from loomgraph.llm import byte_bpe, jaccard_join, language_mixture, quality_kernel, quality_rules, secret_ledger, soft_mixing, sparse_suffix, transport_stream
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": quality_kernel.query,
         "op4_language_id": language_mixture.query,
         "op5_byte_bpe": byte_bpe.query,
+        "op6_suffix_array_dedup": sparse_suffix.query,
         "op7_media_columns": transport_stream.query,
         "op8_ngram_jaccard_join": jaccard_join.query,
         "op9_secret_scans": secret_ledger.query,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality_rules.ORACLE,
+        "op6_suffix_array_dedup": sparse_suffix.ORACLE,
         "op8_ngram_jaccard_join": jaccard_join.ORACLE,
         "op9_secret_scans": secret_ledger.ORACLE,
     }
