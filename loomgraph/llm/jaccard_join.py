@@ -109,8 +109,17 @@ def prefix(shingles: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.nd
     return np.concatenate((rare, common[np.lexsort((common, counts[at]))]))[:size]
 
 
+def segment_sizes(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles lie in each of 2**k equal cuts of the hash order, 4 to 8 on average; their minima bound an overlap."""
+    bits = max(0, int(np.log2(max(len(shingles), 1) / 4)))
+    return np.bincount((shingles >> np.uint64(32)).astype(np.int64) >> (32 - bits), minlength=1 << bits).astype(np.int32)
+
+
 def signatures(documents: DataFrame, often: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(doc_id, n, node, prefix) of every row; node is its class, null without a set; prefix once a class and partition."""
+    """(doc_id, n, node, prefix, sizes) of every row; node is its class, null without a set.
+
+    prefix and sizes are given once a class and partition.
+    """
     shared = documents.sparkSession.sparkContext.broadcast((often, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,11 +128,9 @@ def signatures(documents: DataFrame, often: np.ndarray, counts: np.ndarray) -> D
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            ids, n, nodes, heads = zip(*rows, strict=True) if rows else ((), (), (), ())
-            flat = np.concatenate([h for h in heads if h is not None] or [np.zeros(0, np.uint64)])
-            ends = np.cumsum([0] + [0 if h is None else len(h) for h in heads])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(flat)), mask=pa.array([h is None for h in heads], pa.bool_()))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "n", "node", "prefix"])
+            ids, n, nodes, heads, sizes = zip(*rows, strict=True)
+            lists = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(lists, names=["doc_id", "n", "node", "prefix", "sizes"])
 
         for doc_id, text in _texts(batches):
             s = shingle_set(text, hasher)
@@ -131,18 +138,21 @@ def signatures(documents: DataFrame, often: np.ndarray, counts: np.ndarray) -> D
             fresh = node is not None and node not in seen
             if fresh:
                 seen.add(node)
-            rows.append((doc_id, len(s), node, prefix(s, often, counts) if fresh else None))
+            rows.append((doc_id, len(s), node, signed(prefix(s, often, counts)) if fresh else None, segment_sizes(s) if fresh else None))
             if len(rows) >= 512:
                 yield out()
                 rows = []
         if rows:
             yield out()
 
-    return _source(documents).mapInArrow(run, "doc_id bigint, n bigint, node bigint, prefix array<bigint>")
+    return _source(documents).mapInArrow(run, "doc_id bigint, n bigint, node bigint, prefix array<bigint>, sizes array<int>")
 
 
 def postings(signed_docs: DataFrame) -> DataFrame:
-    """(token, node, n, pos, doc) of tokens that several rows have; a bitmap drops nearly all that only one has."""
+    """(token, x, nx, px, dx): class, size, place and document of tokens that several rows have.
+
+    A bitmap drops nearly all tokens that only one row has; some of those stay, and a class may come once a partition.
+    """
     heads = signed_docs.where("prefix is not null")
     counts = heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"))
     shared = heads.sparkSession.sparkContext.broadcast(membership(counts.where("m > 1"), "token"))
@@ -156,9 +166,9 @@ def postings(signed_docs: DataFrame) -> DataFrame:
             pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = np.flatnonzero(hits(shared.value, tokens))
             pick = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), batch.column("node").take(pick), batch.column("n").take(pick), pa.array(pos[keep], pa.int64()), batch.column("doc_id").take(pick)], names=["token", "node", "n", "pos", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), batch.column("node").take(pick), batch.column("n").take(pick), pa.array(pos[keep], pa.int64()), batch.column("doc_id").take(pick)], names=["token", "x", "nx", "px", "dx"])
 
-    return heads.select("doc_id", "n", "node", "prefix").mapInArrow(run, "token bigint, node bigint, n bigint, pos bigint, doc bigint").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.min("doc").alias("doc"))
+    return heads.select("doc_id", "n", "node", "prefix").mapInArrow(run, "token bigint, x bigint, nx bigint, px bigint, dx bigint")
 
 
 def _possible(na: str, pa_: str, nb: str, pb: str) -> str:
@@ -173,7 +183,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def segments(documents: DataFrame, nodes: DataFrame, often: np.ndarray) -> DataFrame:
-    """(node, fragment, shingles) of the classes in ``nodes`` (doc: one of their documents), found by a bitmap of doc."""
+    """(node, parts) of the classes in ``nodes`` (doc: one of their documents): the set cut into fragments of the order."""
     shared = documents.sparkSession.sparkContext.broadcast((membership(nodes, "doc"), often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,52 +194,58 @@ def segments(documents: DataFrame, nodes: DataFrame, often: np.ndarray) -> DataF
             known = np.flatnonzero(batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
             part = batch.take(pa.array(known[hits(member, ids[known].astype(np.int64))]))
             for at in range(0, part.num_rows, 128):
-                nodes, fragments, lists = [], [], []
+                nodes, parts = [], []
                 for text in part.column("text").slice(at, 128).to_pylist():
                     s = shingle_set(text, hasher)
                     if not len(s) or (c := class_id(s)) in seen:
                         continue
                     seen.add(c)
                     f = np.where(rank_frequent(s, often) < 0, (s >> np.uint64(32)).astype(np.int64) * FRAGMENTS >> 32, FRAGMENTS)
-                    for k in np.unique(f):
-                        nodes.append(c)
-                        fragments.append(k)
-                        lists.append(signed(s[f == k]))
+                    nodes.append(c)
+                    parts.append([signed(s[f == k]) for k in range(FRAGMENTS + 1)])
                 if nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fragments, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["node", "fragment", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parts, pa.list_(pa.list_(pa.int64())))], names=["node", "parts"])
+
+    return _source(documents).mapInArrow(run, "node bigint, parts array<array<bigint>>").dropDuplicates(["node"])
+
+
+def bounded(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs that the segment sizes (node, sizes) don't rule out: an overlap is at most the sum of their minima."""
+    left, right = (sizes.select(F.col("node").alias(k), F.col("sizes").alias(f"s{k}")) for k in "ab")
+
+    def folded(s: str, n: str) -> str:
+        return f"case when size({s}) > size({n}) then transform(sequence(0, size({n}) - 1), i -> {s}[2 * i] + {s}[2 * i + 1]) else {s} end"
 
-    found = _source(documents).mapInArrow(run, "node bigint, fragment int, shingles array<bigint>")
-    return found.dropDuplicates(["node", "fragment"])
+    least = f"aggregate(zip_with({folded('sa', 'sb')}, {folded('sb', 'sa')}, (p, q) -> least(p, q)), 0, (acc, v) -> acc + v)"
+    return pairs.join(left, "a").join(right, "b").where(f"9 * {least} >= 4 * (na + nb)").drop("sa", "sb")
 
 
 def verified(documents: DataFrame, pairs: DataFrame, often: np.ndarray) -> DataFrame:
-    """The linked pairs (a, b): partial overlaps of each fragment, summed for each pair."""
+    """The linked pairs (a, b): overlaps are counted in each fragment separately and summed for each pair."""
     nodes = pairs.select(F.explode(F.array("da", "db")).alias("doc"))
-    own = materialise(segments(documents, nodes, often), "segments")
-    left = own.select(F.col("node").alias("a"), "fragment", F.col("shingles").alias("sa"))
-    right = own.select(F.col("node").alias("b"), "fragment", F.col("shingles").alias("sb"))
-    partial = pairs.select("a", "b", "na", "nb").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("part"))
-    links = materialise(partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both")).where("9 * both >= 4 * (na + nb)").select("a", "b"), "links")
-    forget(own)
-    return links
+    own = segments(documents, nodes, often)
+    left, right = (own.select(F.col("node").alias(k), F.col("parts").alias(f"p{k}")) for k in "ab")
+    partial = pairs.select("a", "b", "na", "nb").join(left, "a").join(right, "b").withColumn("partial", F.transform(F.arrays_zip("pa", "pb"), lambda z: F.size(F.array_intersect(z["pa"], z["pb"]))))
+    return materialise(partial.where("9 * aggregate(partial, 0, (acc, v) -> acc + v) >= 4 * (na + nb)").select("a", "b"), "links")
 
 
 def similar_classes(documents: DataFrame, signed_docs: DataFrame, often: np.ndarray) -> DataFrame:
     """(node, root): the connected component of every class that is linked to another."""
+    sizes = signed_docs.where("sizes is not null").select("node", "sizes").dropDuplicates(["node"])
     held = materialise(postings(signed_docs), "postings")
-    central = held.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct(F.expr("n - pos").alias("rest"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("doc").alias("dy"))).alias("c")).where("m > 1")
-    shared = materialise(held.join(central.select("token", "c.*").drop("rest"), "token").withColumnsRenamed({"node": "x", "n": "nx", "pos": "px", "doc": "dx"}), "shared")
+    central = held.groupBy("token").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max(F.struct(F.expr("nx - px").alias("rest"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("dx").alias("dy"))).alias("c"))
+    shared = materialise(held.join(central.where("low <> high").select("token", "c.y", "c.ny", "c.py", "c.dy"), "token"), "shared")
     forget(held)
-    star = materialise(_ordered(shared.where("x <> y and " + _possible("nx", "px", "ny", "py"))), "star")
+    star = materialise(bounded(_ordered(shared.where("x <> y and " + _possible("nx", "px", "ny", "py"))), sizes), "star")
     links = verified(documents, star, often)
     root = components(links)
     # Classes that share a token but lie apart so far: every such pair that the filters leave and the star hasn't seen.
     placed = shared.select("token", "x", "nx", "px", "dx").join(root.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     apart = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    placed = materialise(placed.join(apart, "token"), "placed")
+    placed = materialise(placed.join(apart, "token").dropDuplicates(["token", "x"]), "placed")
     other = placed.select("token", *(F.col(c).alias(c.replace("x", "y")) for c in ("x", "nx", "px", "dx")), F.col("root").alias("root_y"))
     rest = _ordered(placed.join(other, "token").where("x < y and root <> root_y and " + _possible("nx", "px", "ny", "py"))).join(star.select("a", "b"), ["a", "b"], "left_anti")
-    rest = materialise(rest, "rest")
+    rest = materialise(bounded(rest, sizes), "rest")
     return components(links.unionByName(verified(documents, rest, often)))
 
 
