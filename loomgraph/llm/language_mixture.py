@@ -177,22 +177,26 @@ def train(documents: DataFrame) -> Model:
     return Model(languages, counts)
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang_pred, score, languages`` (the chosen set with its proportions) of every whole text."""
+def predict(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``lang_pred, score, languages`` (the chosen set with its proportions) of every whole text, after columns to carry."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    names = [f"_{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for first, texts in grouped(batch.column("text").to_pylist()):
                 found = model.infer(texts)
+                own = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(texts)), pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64()), pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64()))],
-                    names=["doc_id", "lang_pred", "score", "languages"],
+                    [*(own.column(n) for n in names), pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64()), pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64()))],
+                    names=[*names, "lang_pred", "score", "languages"],
                 )
 
-    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, lang_pred string, score double, languages map<string,double>")
+    source = documents.select(*(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)), F.col("text").cast("string").alias("text"))
+    kept = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names)
+    found = source.mapInArrow(run, f"{kept}, lang_pred string, score double, languages map<string,double>")
+    return found.withColumnsRenamed(dict(zip(names, carry, strict=True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

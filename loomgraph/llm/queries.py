@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import byte_bpe, jaccard_join, language_mixture, quality_kernel, quality_rules, secret_ledger, soft_mixing, sparse_suffix, transport_stream
+from loomgraph.llm import byte_bpe, html_blocks, jaccard_join, language_mixture, quality_kernel, quality_rules, secret_ledger, soft_mixing, sparse_suffix, transport_stream
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": html_blocks.query,
         "op2_quality_rules": quality_rules.query,
         "op3_quality_classifier": quality_kernel.query,
         "op4_language_id": language_mixture.query,

@@ -153,9 +153,10 @@ def fit(x: np.ndarray, d: np.ndarray, kept: np.ndarray) -> Model:
     return Model(b - (centre / spread) @ w, kept, weight)
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, u, n_tokens, p_clean, p_low, p_toxic) of every text; u in [0, 1) is a hash of text and doc_id."""
+def predict(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """u, n_tokens, p_clean, p_low and p_toxic of every text after columns to carry; u in [0, 1) is a hash of text and doc_id."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    names = [f"_{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, model = WordHasher(), shared.value
@@ -164,11 +165,14 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(at, 512)
                 found = [features(t, hasher) for t in part.column("text").to_pylist()]
                 p = np.array([model.posterior(f[1]) for f in found])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("u"), pa.array([f[0] for f in found], pa.int64()), *(pa.array(p[:, k]) for k in range(len(DOMAINS)))], names=["doc_id", "u", "n_tokens", *(f"p_{d}" for d in DOMAINS)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), part.column("u"), pa.array([f[0] for f in found], pa.int64()), *(pa.array(p[:, k]) for k in range(len(DOMAINS)))], names=[*names, "u", "n_tokens", *(f"p_{d}" for d in DOMAINS)])
 
     text = F.col("text").cast("string")
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), text), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), u.alias("u")).mapInArrow(run, "doc_id bigint, u double, n_tokens bigint, " + ", ".join(f"p_{d} double" for d in DOMAINS))
+    source = documents.select(*(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)), text.alias("text"), u.alias("u"))
+    kept = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names)
+    found = source.mapInArrow(run, f"{kept}, u double, n_tokens bigint, " + ", ".join(f"p_{d} double" for d in DOMAINS))
+    return found.withColumnsRenamed(dict(zip(names, carry, strict=True)))
 
 
 def _rate(steps: list[np.ndarray]) -> Column:
@@ -206,11 +210,11 @@ def solve(rows: DataFrame, weights: Mapping[str, float] | None = None, targets:
     return steps
 
 
-def mix(documents: DataFrame, labels: DataFrame, weights: Mapping[str, float] | None = None, targets: Mapping[str, float] | None = None) -> DataFrame:
-    """doc_id, n_tokens, posteriors, rate and copies of every document."""
-    rows = materialise(predict(documents, train(documents, labels)), "posteriors")
+def mix(documents: DataFrame, labels: DataFrame, weights: Mapping[str, float] | None = None, targets: Mapping[str, float] | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """n_tokens, posteriors, rate and copies of every document, after the columns of ``documents`` to carry."""
+    rows = materialise(predict(documents, train(documents, labels), carry), "posteriors")
     rate = _rate(solve(rows, weights, targets))
-    return rows.select("doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), rate.alias("rate"), F.floor(rate + F.col("u")).cast("bigint").alias("copies"))
+    return rows.select(*carry, "n_tokens", *(f"p_{d}" for d in DOMAINS), rate.alias("rate"), F.floor(rate + F.col("u")).cast("bigint").alias("copies"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
