@@ -30,7 +30,7 @@ SHINGLE = 5
 #: Frequent shingles with a place of their own in the order (16 bytes each are broadcast). They only save work.
 FREQUENT = 1 << 18
 #: Shingle hashes that are counted together, and how often one must occur among them to be reported as frequent.
-CHUNK, OFTEN = 1 << 21, 4
+CHUNK, OFTEN = 1 << 22, 3
 #: Fragments of the rare part of the order; the frequent shingles are one more.
 FRAGMENTS = 4
 
