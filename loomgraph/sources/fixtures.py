@@ -43,6 +43,11 @@ VIEWS = {
     "f_hook_events": """select event_id as pos, ts, case event_type when 'signup' then 'start' when 'purchase' then 'ok' when 'view' then 'no_match' when 'click' then 'usage' else 'error' end as kind, case when event_type = 'signup' then concat('tool', cast(user_id % 5 as varchar(20))) end as fmt, concat('src', cast(user_id % 20 as varchar(20))) as kw, value as elapsed from {events}""",
     "f_snapshots": """select concat('host', cast(user_id % 12 as varchar(20))) as host, ts as received_at, event_id as pos, user_id, case event_type when 'error' then 'red' when 'view' then 'amber' when 'click' then 'grey' else 'green' end as overall from {events}""",
     "f_golden": "select item_id as id, case when item_id % 2 = 0 then 'literal' else 'nl' end as mode, lower(substring(text,1,12)) as gold_kw from {benchmark}",
+    # Episodes whose names and contents exercise the classifiers.
+    "f_sourced": """select e.uuid, concat(e.name, case e.n % 7 when 0 then ' 日报' when 1 then ' registry' when 2 then ' gold-market' else '' end) as name, e.source_description,
+ concat(case e.n % 6 when 0 then '- **来源**: 公众号文章《x》' when 1 then '**数据来源**: Reddit thread' when 2 then '**来源**：公众号文章《x》' when 3 then '**来源**: team log' else '# plain' end, chr(10), e.content) as content, e.n as n,
+ case e.n % 4 when 0 then '决策' when 1 then 'unclassified' end as old_kind, case when e.n % 10 = 3 then '素材' end as override
+ from ({f_episodes}) e""",
     # A fact of the search tests: text, backing episodes and an embedding.
     "f_search": """select v.vec_id as edge_id, concat(d.source, ' ', d.lang, ' ', cast(v.label as varchar(20)), ' ', cast(v.vec_id % 400 as varchar(20))) as fact,
  concat('ep-', cast(v.vec_id as varchar(20))) as ep1, concat('ep-', cast(v.vec_id * 7 % 1200 as varchar(20))) as ep2, v.embedding as embedding
@@ -53,13 +58,18 @@ VIEWS = {
 }
 
 
+def _whole(name: str) -> str:
+    """The SELECT of a view with the views it builds on written out."""
+    return re.sub(r"{(f_\w+)}", lambda m: _whole(m[1]), VIEWS[name])
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One model table as a DataFrame over the driver's parquet files."""
-    sql = VIEWS[name]
+    sql = _whole(name)
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"{(\w+)}", sql))}
     return spark.sql(sql, **frames)
 
 
 def with_views(*names: str) -> str:
     """The WITH clause that gives DuckDB the same model tables."""
-    return "with " + ",\n".join(f"{n} as ({re.sub(r'{(\w+)}', r'\1', VIEWS[n])})" for n in names)
+    return "with " + ",\n".join(f"{n} as ({re.sub(r'{(\w+)}', r'\1', _whole(n))})" for n in names)
