@@ -53,7 +53,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     folded = _fold()[np.concatenate(codes) if codes else np.zeros(0, np.uint32)]
     gap = folded == 0
     if len(gap):
-        keep = ~(gap & np.concatenate(([True], gap[:-1] & (owner[1:] == owner[:-1]))))
+        keep = ~(gap & np.concatenate(([False], gap[:-1] & (owner[1:] == owner[:-1]))))
         folded, owner = folded[keep], owner[keep]
     if len(folded) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -3,9 +3,10 @@
 The labels table teaches a softmax regression over hashed terms and coarse document statistics; only features that
 tell the domains apart (chi-squared above SIGNIFICANT) take part. It predicts each document's posterior over the
 domains ``clean``, ``low`` and ``toxic``. Document rates are the nonnegative solution of a least-squares problem:
-projected gradient steps from rate 1 until the expected tokens of each domain match the targets. A step needs one sum
-per domain over the corpus; a rate is a closed expression of the document's posteriors and the steps so far, so nothing
-but those sums is collected and no rates are stored between steps.
+projected gradient steps from rate 1, scaled by the documents that can still move and halved where they don't help,
+until the expected tokens of each domain match the targets. A step needs a few sums over the corpus; a rate is a closed
+expression of the document's posteriors and the steps so far, so nothing but those sums is collected and no rates are
+stored between steps.
 
 Targets are token budgets by domain. By default the domains' shares are WEIGHTS and the budget is as large as the
 clean tokens allow (with HEADROOM over them). copies is the rate rounded up or down by a hash of text and doc_id, right
@@ -188,25 +189,37 @@ def solve(rows: DataFrame, weights: Mapping[str, float] | None = None, targets:
     t = F.col("n_tokens").cast("double")
     k = len(DOMAINS)
     p = [F.col(f"p_{d}") for d in DOMAINS]
-    sums = rows.agg(F.sum(t), *(F.sum(t * x) for x in p), *(F.sum(t * x * y) for x in p for y in p)).first()
-    total = sums[0] or 0.0
+
+    def measured(steps: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+        """All tokens, the shares the rates give each domain, and the metric over documents whose rate isn't 0."""
+        rate = _rate(steps)
+        free = (rate > 0).cast("double")
+        sums = rows.agg(F.sum(t), *(F.sum(t * x * rate) for x in p), *(F.sum(t * x * y * free) for x in p for y in p)).first()
+        total = sums[0] or 0.0
+        if total == 0:
+            return 0.0, np.zeros(k), np.eye(k)
+        return total, np.array(sums[1 : k + 1]) / total, np.array(sums[k + 1 :]).reshape(k, k) / total + 1e-9 * np.eye(k)
+
+    total, got, metric = measured([])
     if total == 0:
         return []
-    have = np.array(sums[1 : k + 1]) / total
-    metric = np.array(sums[k + 1 :]).reshape(k, k) / total + 1e-9 * np.eye(k)
     if targets is not None:
         goal = np.array([targets[d] for d in DOMAINS]) / total
     else:
         share = np.array([(weights or WEIGHTS)[d] for d in DOMAINS])
         share = share / share.sum()
-        goal = share * (have[0] / share[0] if share[0] else 1.0) * HEADROOM
+        goal = share * (got[0] / share[0] if share[0] else 1.0) * HEADROOM
     steps: list[np.ndarray] = []
-    got = have
+    scale = 1.0
     for _ in range(STEPS):
         if np.abs(got - goal).max() < TOLERANCE:
             break
-        steps.append(np.linalg.solve(metric, got - goal))
-        got = np.array(rows.agg(*(F.sum(t * x * _rate(steps)) for x in p)).first()) / total
+        step = scale * np.linalg.solve(metric, got - goal)
+        _, after, after_metric = measured([*steps, step])
+        if np.linalg.norm(after - goal) < np.linalg.norm(got - goal):
+            steps, got, metric, scale = [*steps, step], after, after_metric, min(1.0, 2 * scale)
+        else:
+            scale /= 2
     return steps
 
 
