@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts by its kind in brackets; all documents stay."""
-    ledger = materialise(secret_ledger.update_ledger(docs).where(F.size("spans") > 0), "ledger")
+    ledger = materialise(secret_ledger.update_ledger(docs), "ledger")
     clean = secret_ledger.redact(secret_ledger.report(docs.select(*COLUMNS), ledger))
     return clean.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 

@@ -133,7 +133,7 @@ def redact(documents: DataFrame, spans: str = "spans") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = materialise(update_ledger(documents).where(F.size("spans") > 0), "ledger")
+    ledger = materialise(update_ledger(documents), "ledger")
     return summarise(report(documents, ledger))
 
 
