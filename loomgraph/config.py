@@ -41,7 +41,7 @@ DISCOVERY_TYPES = ("discovery",)
 #: Search scoring.
 EXACT_BONUS, EXTERNAL_PENALTY, STALE_PENALTY, VERIFIED_BONUS, USAGE_STEP, USAGE_CAP = 0.15, 0.12, 0.08, 0.08, 0.01, 10
 FRESH_DAYS, FRESH_BONUS, OLD_DAYS, OLD_PENALTY = 30, 0.05, 365, 0.03
-SCOPE_BONUS, SCOPE_PENALTY, EXPLORE = 0.5, -0.3, 1.0
+SCOPE_BONUS, SCOPE_PENALTY = 0.5, -0.3
 #: BM25 constants of our own full-text definition.
 K1, B = 1.2, 0.75
 #: Legal (source kind, target kind) pairs of the fixture graph by edge name; any pair of Entity is legal.
@@ -56,5 +56,4 @@ TIME_BOUND = "行情|快照|日报|晚报|早报|金价|黄金|大盘|收盘|盘
 COMMUNITY = ("小红书", "知乎", "微博", "b站", "bilibili", "reddit", "推特", "twitter", "xhs", "social-search")
 CATALOG = "(?i)registry|catalog|inventory|注册表|清单|索引|目录"
 CONCLUSION = "一句话|结论|洞察|关键认知|教训|原则|规律|为什么"
-METADATA_PHRASES = ("type=", "project=", "source=", "id=")
 SCENARIOS = ("coding", "ops", "writing", "research", "planning", "unknown")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import occurrences
@@ -115,7 +115,3 @@ def kpi(value: Column, good: tuple[float, float], warn: tuple[float, float]) ->
 def session_rollup(turns: DataFrame) -> DataFrame:
     """One row a conversation: turns, characters, joined text in the order of turns."""
     return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.char_length(F.coalesce("text", F.lit("")))).alias("chars"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n").alias("text"))
-
-
-def first_of_each(rows: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("place = 1").drop("place")

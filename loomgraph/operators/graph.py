@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import config
@@ -136,7 +136,3 @@ def resolve_entities(entities: DataFrame, block: Column, vector: str, least: flo
     left, right = (rows.select("block", F.col("uuid").alias(k), F.col("v").alias(f"v{k}")) for k in "ab")
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
     return left.join(right, "block").where("a < b").where(dot >= least * norm(F.col("va")) * norm(F.col("vb"))).select("a", "b")
-
-
-def empty_edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "src string, dst string, name string")

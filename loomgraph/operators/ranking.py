@@ -44,10 +44,6 @@ def canonical_context(episodes: DataFrame, keyword: str, top: int = 3, scopes: M
     return fixed.unionByName(explored)
 
 
-def exploration_bound(uses: Column, total: Column) -> Column:
-    return F.lit(config.EXPLORE) * F.sqrt(F.ln(total + 1) / (uses + 1))
-
-
 def canonical_grid(episodes: DataFrame, keywords: list[str], scopes: Mapping[str, str] | None = None) -> DataFrame:
     """Relevance ranks of all eligible canonical episodes for some fixed keywords; the first three are injected."""
     out = None

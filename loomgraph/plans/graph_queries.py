@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from loomgraph.sources.fixtures import view, with_views
 NOW = "timestamp'2024-02-10 00:00:00'"
 TEXT = "src1"
 #: A fixed query vector: sin of the position.
-VECTOR = [round(__import__("math").sin(i + 1), 6) for i in range(64)]
+VECTOR = [round(math.sin(i + 1), 6) for i in range(64)]
 
 
 def facts(s: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph import config
 from loomgraph.functions.columns import days_between, humanised, in_hours
 from loomgraph.operators import classify, evaluate, state, windows
 from loomgraph.sources.fixtures import view, with_views
@@ -61,8 +62,6 @@ def golden(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     g = view(s, d, "f_golden")
     docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lower("text").alias("low"))
     pairs = docs.join(F.broadcast(g), F.col("low").contains(F.col("gold_kw"))).select("id", "doc_id")
-    from pyspark.sql import Window
-
     gold = pairs.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("doc_id"))).where("place <= 60").select("id", F.col("doc_id").alias("uuid"))
     return g.select("id", "mode"), gold, gold.where("uuid % 2 = 0")
 
@@ -85,7 +84,7 @@ def scenario_matrix(s: SparkSession, d: str) -> DataFrame:
     sessions = o.groupBy("project").agg(F.collect_set("type").alias("types"))
     rows = o.select("project", "id", F.array(F.when(F.col("id") % 4 == 0, "a.py").when(F.col("id") % 4 == 1, "b.md").otherwise("c.bin")).alias("files"), F.array("type").alias("types"), F.when(F.col("id") % 11 == 0, "docker").otherwise("x").alias("text"))
     rows = rows.join(sessions.select("project"), "project").select("project", evaluate.scenario(F.col("files"), F.col("types"), F.col("text")).alias("scenario"))
-    return rows.groupBy("project").pivot("scenario", ["coding", "ops", "writing", "research", "planning", "unknown"]).agg(F.count(F.lit(1))).na.fill(0)
+    return rows.groupBy("project").pivot("scenario", list(config.SCENARIOS)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def engagement(s: SparkSession, d: str) -> DataFrame:
