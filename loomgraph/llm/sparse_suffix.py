@@ -144,10 +144,11 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     """
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     known = materialise(classes(source), "classes")
-    copied = known.groupBy("class").agg(F.min("doc_id").alias("copy_of"), F.max("doc_id").alias("last")).where("copy_of <> last").drop("last")
+    copied = materialise(known.groupBy("class").agg(F.min("doc_id").alias("copy_of"), F.max("doc_id").alias("last")).where("copy_of <> last").drop("last"), "copied")
     grams = suffixes(source).groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high")
     held = materialise(extended(source, membership(grams, "gram")), "windows")
-    shared = held.groupBy("window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("window")
+    # Written first, the join below is between two plain exchanges, whose hot windows adaptive execution can split.
+    shared = materialise(held.groupBy("window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("window"), "shared")
     found = held.join(shared, "window").select("doc", "at")
     order = Window.partitionBy("doc").orderBy("at")
     islands = found.withColumn("new", (F.col("at") - F.lag("at", 1, -LEAST - 1).over(order) > LEAST).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
