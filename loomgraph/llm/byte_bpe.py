@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import duckdb
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Words a Python worker remembers, whatever the number of partitions it works on.
-REMEMBERED_WORDS = 400_000
+#: Words after which a Python worker starts a new generation; it remembers this one and the one before.
+REMEMBERED_WORDS = 120_000
+#: Words of one recursive query; its steps keep some fifty rows a word.
+QUERY_WORDS = 40_000
 #: Texts are encoded in groups of about so many characters, so that memory doesn't follow the batch size.
-GROUP_CHARS = 8_000_000
+GROUP_CHARS = 4_000_000
 #: A longer pattern match (in bytes) is contracted by a heap, since a query step a merge would take squared time.
 LONG_WORD = 400
 
@@ -87,20 +90,21 @@ def _heap_contract(word: bytes, rank: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes and decodes texts with one vocabulary; keeps up to REMEMBERED_WORDS words as (count, ids, bytes)."""
+    """Encodes and decodes texts with one vocabulary; keeps two generations of words as (count, ids, bytes)."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.rank = ranks(path)
         self.find = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        self.older: dict[str, tuple[int, str, bytes]] = {}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "192MB"})
         rank, splits = self.rank, []
         for word, i in rank.items():
             splits += [(a, b, i) for k in range(1, len(word)) if (a := rank.get(word[:k])) is not None and (b := rank.get(word[k:])) is not None]
         self._table("merges", pd.DataFrame(splits, columns=["l", "r", "m"], dtype="int32"))
         self._table("vocabulary", pd.DataFrame({"id": list(rank.values()), "bytes": list(rank)}))
         self.bytes = {i: word for word, i in rank.items()}
-        self.single = [rank[bytes([b])] for b in range(256)]
+        self.single = np.array([rank[bytes([b])] for b in range(256)], np.int32)
 
     def _table(self, name: str, frame: pd.DataFrame | pa.Table) -> None:
         self.db.register("incoming", frame)
@@ -109,7 +113,7 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode words that aren't known yet."""
-        rows_w, rows_p, rows_t, queried = [], [], [], []
+        queried = []
         for word in words:
             raw = word.encode("utf-8", "replace")
             if (i := self.rank.get(raw)) is not None:
@@ -118,26 +122,35 @@ class Encoder:
                 ids = _heap_contract(raw, self.rank)
                 self.known[word] = (len(ids), ",".join(map(str, ids)), b"".join(self.bytes[i] for i in ids))
             else:
-                n = len(raw)
-                rows_w += [len(queried)] * n
-                rows_p += range(n)
-                rows_t += [self.single[b] for b in raw]
                 queried.append(word)
-        if queried:
-            self._table("start", pa.table({"w": pa.array(rows_w, pa.int32()), "p": pa.array(rows_p, pa.int32()), "t": pa.array(rows_t, pa.int32())}))
-            self.db.execute(f"create or replace table contracted as {CONTRACT}")
-            for w, n, ids, raw in self.db.execute(SPELL).fetchall():
-                self.known[queried[w]] = (n, ids, raw)
+        for at in range(0, len(queried), QUERY_WORDS):
+            self._query(queried[at : at + QUERY_WORDS])
+
+    def _query(self, words: list[str]) -> None:
+        """Encode some words by the recursive query."""
+        raws = [w.encode("utf-8", "replace") for w in words]
+        sizes = np.array([len(r) for r in raws])
+        starts = np.cumsum(sizes) - sizes
+        places = np.arange(sizes.sum(), dtype=np.int32) - np.repeat(starts, sizes)
+        tokens = self.single[np.frombuffer(b"".join(raws), np.uint8)]
+        self._table("start", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "p": places.astype(np.int32), "t": tokens}))
+        self.db.execute(f"create or replace table contracted as {CONTRACT}")
+        for w, n, ids, raw in self.db.execute(SPELL).fetchall():
+            self.known[words[w]] = (n, ids, raw)
 
     def spell(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """(number of ids, ids joined by commas, decoded bytes) of every text."""
+        if len(self.known) > REMEMBERED_WORDS:
+            self.known, self.older = {}, self.known
         found = [self.find(t) for t in texts]
-        new = [w for w in set().union(*found) if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED_WORDS:
-            self.known.clear()
-            new = list(set().union(*found))
+        known, older, new = self.known, self.older, []
+        for w in set().union(*found):
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
         self.learn(new)
-        known = self.known
         for words in found:
             parts = [known[w] for w in words]
             yield sum([p[0] for p in parts]), ",".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
@@ -176,7 +189,7 @@ def encode(documents: DataFrame, digest: bool = False, path: str = VOCABULARY) -
         from loomgraph.llm import byte_bpe  # the worker's own module, whose encoder outlives the task
 
         own = byte_bpe.encoder(path)
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             at = 0
             for group in byte_bpe.groups(texts):

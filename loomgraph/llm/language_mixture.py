@@ -28,7 +28,7 @@ ROUNDS = 12
 PENALTY = 6.0
 UNDETERMINED = "und"
 #: Code points handled at a time, so that memory doesn't follow the batch size.
-GROUP = 2_000_000
+GROUP = 500_000
 
 #: Code point -> lower-case letter, or 0 for all that isn't a letter. Beyond the basic plane a letter is itself.
 _FOLD = np.zeros(0x110000, np.uint32)
@@ -153,7 +153,7 @@ def train(documents: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             langs = np.array(batch.column("lang").to_pylist(), object)
             for first, texts in grouped(batch.column("text").to_pylist()):
                 owner, bucket, count = trigrams(texts)
@@ -184,7 +184,7 @@ def predict(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             for first, texts in grouped(batch.column("text").to_pylist()):
                 found = model.infer(texts)
                 own = batch.slice(first, len(texts))

@@ -37,7 +37,7 @@ WIDTH = BUCKETS + CELLS * len(STATISTICS)
 SAMPLE = 20_000
 SIGNIFICANT, MOST_FEATURES = 30.0, 384
 RIDGE, FIT_STEPS = 1e-3, 250
-STEPS, TOLERANCE = 40, 1e-7
+STEPS, TOLERANCE = 40, 1e-5
 
 
 def features(text: str | None, hasher: WordHasher) -> tuple[int, np.ndarray]:
@@ -79,7 +79,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = WordHasher(), np.zeros((WIDTH + 1, len(DOMAINS)), np.int64)
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             d = batch.column("domain").to_numpy(zero_copy_only=False).astype(np.int64)
             lists = [features(t, hasher)[1] for t in batch.column("text").to_pylist()]
             f = np.concatenate(lists)
