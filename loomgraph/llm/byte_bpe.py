@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import KEPT, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Words after which a Python worker starts a new generation; it remembers this one and the one before.
@@ -156,11 +156,11 @@ class Encoder:
             yield sum([p[0] for p in parts]), ",".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = KEPT.setdefault("byte_bpe", {})
 
 
 def encoder(path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> Encoder:
-    """One encoder a Python process, so that tasks on the same worker share its words."""
+    """One encoder a Python process, so that tasks on the same worker share its words until another operator runs."""
     if (path, pattern) not in _ENCODERS:
         _ENCODERS[path, pattern] = Encoder(path, pattern)
     return _ENCODERS[path, pattern]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +58,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: What a Python worker keeps between tasks, by operator; a task of another operator frees it.
+KEPT: dict[str, dict] = {}
+
+
+def free_kept() -> None:
+    """Give back what earlier operators have kept in this worker."""
+    if any(KEPT.values()):
+        for held in KEPT.values():
+            held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -85,6 +99,7 @@ class WordHasher:
     """64-bit hashes of the words of a text, vectorised over its UTF-8 bytes; powers are kept between calls."""
 
     def __init__(self) -> None:
+        free_kept()
         self.up = powers(_BASE, 1 << 16)
         self.down = powers(_INVERSE, 1 << 16)
 

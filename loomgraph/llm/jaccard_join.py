@@ -65,9 +65,13 @@ def frequent_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         hasher, seen, held, size = WordHasher(), set(), [], 0
 
         def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            h = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            held.clear()
+            h.sort()
+            edges = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
+            n = np.diff(edges) if len(h) else np.zeros(0, np.int64)
             often = n >= OFTEN
-            return pa.RecordBatch.from_arrays([pa.array(signed(h[often])), pa.array(n[often].astype(np.int64))], names=["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(signed(h[edges[:-1][often]] if len(h) else h)), pa.array(n[often])], names=["h", "n"])
 
         for _, text in _texts(batches):
             s = shingle_set(text, hasher)
@@ -78,7 +82,7 @@ def frequent_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             size += len(s)
             if size >= CHUNK:
                 yield flush()
-                held, size = [], 0
+                size = 0
                 seen.clear()
         yield flush()
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import held_out, table
+from loomgraph.llm.common import free_kept, held_out, table
 
 #: Buckets of hashed trigrams; with at most LANGUAGES languages this bounds the model at 32 MB.
 BUCKETS, LANGUAGES = 1 << 16, 64
@@ -152,6 +152,7 @@ def train(documents: DataFrame) -> Model:
     """A model of the languages of ``documents`` (text, lang). Counts are over all of them; LANGUAGES are the commonest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_kept()
         counts: dict[str, np.ndarray] = {}
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             langs = np.array(batch.column("lang").to_pylist(), object)
@@ -183,6 +184,7 @@ def predict(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_i
     names = [f"_{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_kept()
         model = shared.value
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             for first, texts in grouped(batch.column("text").to_pylist()):
