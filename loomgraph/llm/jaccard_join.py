@@ -11,7 +11,8 @@ them, and only classes that connected components leave apart are compared furthe
 needed to know the result, so this loses nothing.
 
 Null or blank texts are linked with nothing and are their own component. Repeated rows each give a row. A null doc_id
-is never a component's id unless all its members are null. Shingles and classes are known by 64-bit hashes.
+is never a component's id unless all its members are null. Shingles, classes and texts are known by 64-bit hashes; an
+id only names the result, so that rows without one link others all the same.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import WordHasher, components, forget, grams, hits, materialise, membership, signed, table
@@ -47,15 +48,20 @@ def class_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None]]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None, int]]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            yield from zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)
+            yield from zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("key").to_pylist(), strict=True)
+
+
+def text_key() -> Column:
+    """The hash by which a text is found again."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _source(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key"))
 
 
 def frequent_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +79,7 @@ def frequent_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             often = n >= OFTEN
             return pa.RecordBatch.from_arrays([pa.array(signed(h[edges[:-1][often]] if len(h) else h)), pa.array(n[often])], names=["h", "n"])
 
-        for _, text in _texts(batches):
+        for _, text, _ in _texts(batches):
             s = shingle_set(text, hasher)
             if (c := class_id(s)) in seen:
                 continue
@@ -120,7 +126,7 @@ def segment_sizes(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, often: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(doc_id, n, node, prefix, sizes) of every row; node is its class, null without a set.
+    """(doc_id, n, node, key, prefix, sizes) of every row; node is its class, null without a set, key the text's hash.
 
     prefix and sizes are given once a class and partition.
     """
@@ -132,28 +138,28 @@ def signatures(documents: DataFrame, often: np.ndarray, counts: np.ndarray) -> D
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            ids, n, nodes, heads, sizes = zip(*rows, strict=True)
-            lists = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays(lists, names=["doc_id", "n", "node", "prefix", "sizes"])
+            ids, n, nodes, keys, heads, sizes = zip(*rows, strict=True)
+            lists = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(lists, names=["doc_id", "n", "node", "key", "prefix", "sizes"])
 
-        for doc_id, text in _texts(batches):
+        for doc_id, text, key in _texts(batches):
             s = shingle_set(text, hasher)
             node = class_id(s) if len(s) else None
             fresh = node is not None and node not in seen
             if fresh:
                 seen.add(node)
-            rows.append((doc_id, len(s), node, signed(prefix(s, often, counts)) if fresh else None, segment_sizes(s) if fresh else None))
+            rows.append((doc_id, len(s), node, key, signed(prefix(s, often, counts)) if fresh else None, segment_sizes(s) if fresh else None))
             if len(rows) >= 512:
                 yield out()
                 rows = []
         if rows:
             yield out()
 
-    return _source(documents).mapInArrow(run, "doc_id bigint, n bigint, node bigint, prefix array<bigint>, sizes array<int>")
+    return _source(documents).mapInArrow(run, "doc_id bigint, n bigint, node bigint, key bigint, prefix array<bigint>, sizes array<int>")
 
 
 def postings(signed_docs: DataFrame) -> DataFrame:
-    """(token, x, nx, px, dx): class, size, place and document of tokens that several rows have.
+    """(token, x, nx, px): class, size and place of tokens that several rows have.
 
     A bitmap drops nearly all tokens that only one row has; some of those stay, and a class may come once a partition.
     """
@@ -170,9 +176,9 @@ def postings(signed_docs: DataFrame) -> DataFrame:
             pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = np.flatnonzero(hits(shared.value, tokens))
             pick = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), batch.column("node").take(pick), batch.column("n").take(pick), pa.array(pos[keep], pa.int64()), batch.column("doc_id").take(pick)], names=["token", "x", "nx", "px", "dx"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), batch.column("node").take(pick), batch.column("n").take(pick), pa.array(pos[keep], pa.int64())], names=["token", "x", "nx", "px"])
 
-    return heads.select("doc_id", "n", "node", "prefix").mapInArrow(run, "token bigint, x bigint, nx bigint, px bigint, dx bigint")
+    return heads.select("n", "node", "prefix").mapInArrow(run, "token bigint, x bigint, nx bigint, px bigint")
 
 
 def _possible(na: str, pa_: str, nb: str, pb: str) -> str:
@@ -181,22 +187,20 @@ def _possible(na: str, pa_: str, nb: str, pb: str) -> str:
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs with the lesser node first; columns x, nx, dx, y, ny, dy."""
+    """Distinct pairs with the lesser node first; columns x, nx, y, ny."""
     low = F.col("x") < F.col("y")
-    return pairs.select(*(F.when(low, F.col(p)).otherwise(F.col(q)).alias(r) for p, q, r in (("x", "y", "a"), ("nx", "ny", "na"), ("dx", "dy", "da"), ("y", "x", "b"), ("ny", "nx", "nb"), ("dy", "dx", "db")))).dropDuplicates(["a", "b"])
+    return pairs.select(*(F.when(low, F.col(p)).otherwise(F.col(q)).alias(r) for p, q, r in (("x", "y", "a"), ("nx", "ny", "na"), ("y", "x", "b"), ("ny", "nx", "nb")))).dropDuplicates(["a", "b"])
 
 
-def segments(documents: DataFrame, nodes: DataFrame, often: np.ndarray) -> DataFrame:
-    """(node, parts) of the classes in ``nodes`` (doc: one of their documents): the set cut into fragments of the order."""
-    shared = documents.sparkSession.sparkContext.broadcast((membership(nodes, "doc"), often))
+def segments(documents: DataFrame, keys: DataFrame, often: np.ndarray) -> DataFrame:
+    """(node, parts) of the classes that have a text in ``keys`` (key), and of a few more: the set cut into fragments of the order."""
+    shared = documents.sparkSession.sparkContext.broadcast((membership(keys, "key"), often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = WordHasher(), set()
         member, often = shared.value
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            known = np.flatnonzero(batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
-            part = batch.take(pa.array(known[hits(member, ids[known].astype(np.int64))]))
+            part = batch.take(pa.array(np.flatnonzero(hits(member, batch.column("key").to_numpy(zero_copy_only=False)))))
             for at in range(0, part.num_rows, 128):
                 nodes, parts = [], []
                 for text in part.column("text").slice(at, 128).to_pylist():
@@ -224,10 +228,13 @@ def bounded(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(f"9 * {least} >= 4 * (na + nb)").drop("sa", "sb")
 
 
-def verified(documents: DataFrame, pairs: DataFrame, often: np.ndarray) -> DataFrame:
-    """The linked pairs (a, b): overlaps are counted in each fragment separately and summed for each pair."""
-    nodes = pairs.select(F.explode(F.array("da", "db")).alias("doc"))
-    own = segments(documents, nodes, often)
+def verified(documents: DataFrame, pairs: DataFrame, texts: DataFrame, often: np.ndarray) -> DataFrame:
+    """The linked pairs (a, b): overlaps are counted in each fragment separately and summed for each pair.
+
+    ``texts`` (node, key) has a text or more of every class.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = segments(documents, texts.join(nodes, "node", "left_semi"), often)
     left, right = (own.select(F.col("node").alias(k), F.col("parts").alias(f"p{k}")) for k in "ab")
     partial = pairs.select("a", "b", "na", "nb").join(left, "a").join(right, "b").withColumn("partial", F.transform(F.arrays_zip("pa", "pb"), lambda z: F.size(F.array_intersect(z["pa"], z["pb"]))))
     return materialise(partial.where("9 * aggregate(partial, 0, (acc, v) -> acc + v) >= 4 * (na + nb)").select("a", "b"), "links")
@@ -236,21 +243,22 @@ def verified(documents: DataFrame, pairs: DataFrame, often: np.ndarray) -> DataF
 def similar_classes(documents: DataFrame, signed_docs: DataFrame, often: np.ndarray) -> DataFrame:
     """(node, root): the connected component of every class that is linked to another."""
     sizes = signed_docs.where("sizes is not null").select("node", "sizes").dropDuplicates(["node"])
+    texts = signed_docs.where("prefix is not null").select("node", "key")
     held = materialise(postings(signed_docs), "postings")
-    central = held.groupBy("token").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max(F.struct(F.expr("nx - px").alias("rest"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("dx").alias("dy"))).alias("c"))
-    shared = materialise(held.join(central.where("low <> high").select("token", "c.y", "c.ny", "c.py", "c.dy"), "token"), "shared")
+    central = held.groupBy("token").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max(F.struct(F.expr("nx - px").alias("rest"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"))).alias("c"))
+    shared = materialise(held.join(central.where("low <> high").select("token", "c.y", "c.ny", "c.py"), "token"), "shared")
     forget(held)
     star = materialise(bounded(_ordered(shared.where("x <> y and " + _possible("nx", "px", "ny", "py"))), sizes), "star")
-    links = verified(documents, star, often)
+    links = verified(documents, star, texts, often)
     root = components(links)
     # Classes that share a token but lie apart so far: every such pair that the filters leave and the star hasn't seen.
-    placed = shared.select("token", "x", "nx", "px", "dx").join(root.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    placed = shared.select("token", "x", "nx", "px").join(root.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     apart = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     placed = materialise(placed.join(apart, "token").dropDuplicates(["token", "x"]), "placed")
-    other = placed.select("token", *(F.col(c).alias(c.replace("x", "y")) for c in ("x", "nx", "px", "dx")), F.col("root").alias("root_y"))
+    other = placed.select("token", *(F.col(c).alias(c.replace("x", "y")) for c in ("x", "nx", "px")), F.col("root").alias("root_y"))
     rest = _ordered(placed.join(other, "token").where("x < y and root <> root_y and " + _possible("nx", "px", "ny", "py"))).join(star.select("a", "b"), ["a", "b"], "left_anti")
     rest = materialise(bounded(rest, sizes), "rest")
-    return components(links.unionByName(verified(documents, rest, often)))
+    return components(links.unionByName(verified(documents, rest, texts, often)))
 
 
 def join(documents: DataFrame) -> DataFrame:

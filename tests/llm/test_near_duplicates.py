@@ -77,6 +77,24 @@ def test_join_of_odd_rows(spark):
     assert jaccard_join.join(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_join_with_null_and_large_ids_equals_brute_force(spark, seed):
+    rows = corpus(seed)
+    r = random.Random(seed)
+    known = {i: None if r.random() < 0.4 else 2**53 + i for i, _ in rows}
+    first = [x for x in rows if known[x[0]] is None] + [x for x in rows if known[x[0]] is not None]
+    # Some known ids repeat the text of a row without one, which comes first in the partition.
+    first += [(1000 + i, t) for i, t in rows[:60]]
+    known |= {1000 + i: 2**53 + 1000 + i for i, _ in rows[:60]}
+    want, least = brute(first), {}
+    for i, (_, root) in want.items():
+        if known[i] is not None:
+            least[root] = min(least.get(root, known[i]), known[i])
+    docs = spark.createDataFrame([(known[i], t) for i, t in first], "doc_id long, text string").coalesce(1)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()), key=str)
+    assert got == sorted(((known[i], n, least.get(root)) for i, (n, root) in want.items()), key=str)
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
