@@ -1,8 +1,8 @@
 """Corpus pipeline: language ID, near-duplicate join, secret scan, source mixing, tokenisation.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
-next one's docs. All but the last return the columns of documents. Documents without an id are kept apart by nothing:
-every row is handled on its own, except that near duplicates keep the row of least doc_id of their group.
+next one's docs. All but the last return the columns of documents. Every row is handled on its own, whatever its id,
+except that near duplicates keep one row of least doc_id of their group.
 """
 
 from __future__ import annotations
@@ -27,10 +27,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, that of least doc_id; documents without words all stay."""
-    groups = jaccard_join.join(docs)
-    gone = groups.where("n_shingles > 0 and doc_id > component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near duplicates, one of least doc_id (null ones last); rows without words all stay."""
+    kept, where = docs.select(*COLUMNS).withColumn("key", jaccard_join.text_key()), ["doc_id", "key"]
+    first = materialise(jaccard_join.representatives(docs).select("doc_id", "key", "first", "n_rows"), "representatives")
+
+    def beside(other: DataFrame, how: str) -> DataFrame:
+        other = other.select(*(F.col(c).alias(f"_{c}") for c in where))
+        return kept.join(other, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("key") == F.col("_key")), how)
+
+    lone = beside(first.where("not first or n_rows > 1"), "left_anti").select(*COLUMNS)
+    # Rows of one id and text: one of them stays, that of least other columns.
+    several = materialise(first.where("first and n_rows > 1"), "several")
+    least = beside(several, "left_semi").groupBy(*where).agg(F.min(F.struct(*(c for c in COLUMNS if c != "doc_id"))).alias("row"))
+    return lone.unionByName(least.select("doc_id", "row.*").select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

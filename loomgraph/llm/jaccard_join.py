@@ -261,11 +261,27 @@ def similar_classes(documents: DataFrame, signed_docs: DataFrame, often: np.ndar
     return components(links.unionByName(verified(documents, rest, texts, often)))
 
 
-def join(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (least doc_id reachable by links) of every row."""
+def linked(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signatures of every row, and (node, root) of every class that is linked to another."""
     often, counts = frequent_shingles(documents)
     signed_docs = materialise(signatures(documents, often, counts), "signatures")
-    root = similar_classes(documents, signed_docs, often)
+    return signed_docs, similar_classes(documents, signed_docs, often)
+
+
+def representatives(documents: DataFrame) -> DataFrame:
+    """(doc_id, key, n_rows, first) of the distinct ids and texts with words; first in one of each component, of least doc_id, null last."""
+    signed_docs, root = linked(documents)
+    pairs = materialise(signed_docs.where("node is not null").groupBy("doc_id", "key").agg(F.first("node").alias("node"), F.count(F.lit(1)).alias("n_rows")), "pairs")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key"))
+    classes = pairs.groupBy("node").agg(least.alias("least")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("i"), F.col("least.key").alias("k"))
+    found = pairs.join(firsts, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
+    return found.select("doc_id", "key", "n_rows", F.col("k").isNotNull().alias("first"))
+
+
+def join(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (least doc_id reachable by links) of every row."""
+    signed_docs, root = linked(documents)
     classes = signed_docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = materialise(classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id"), "components")
     return signed_docs.select("doc_id", F.col("n").alias("n_shingles"), "node").join(ids, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

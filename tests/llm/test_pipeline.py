@@ -55,3 +55,13 @@ def test_mixing_keeps_most_clean_documents(spark, kept):
 def test_last_stage_encodes_what_is_left(spark, kept):
     assert ids(kept["tokenisation"]) == ids(kept["source_mixing"])
     assert ids(corpus_pipeline.run(spark, SF)) == ids(kept["tokenisation"])
+
+
+def test_near_duplicates_keep_one_row_with_repeated_and_null_ids(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    near, other, lone = text + " more", " ".join(f"other{i}" for i in range(30)), " ".join(f"lone{i}" for i in range(30))
+    rows = [(1, text, "a"), (1, text, "b"), (1, text, "a"), (2, near, "a"), (2, lone, "a"), (None, text, "a"), (None, other, "b"), (None, other, "a"), (None, other, "a"), (None, None, "a"), (None, None, "a"), (7, " ", "a"), (7, " ", "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs.repartition(3), SF)
+    want = [(1, text, "a"), (2, lone, "a"), (None, other, "a"), (None, None, "a"), (None, None, "a"), (7, " ", "a"), (7, " ", "a")]
+    assert sorted(map(str, got.select("doc_id", "text", "source").collect())) == sorted(map(str, spark.createDataFrame(want, "doc_id long, text string, source string").collect()))
