@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm import byte_bpe, jaccard_join, language_mixture, secret_ledger, soft_mixing
 from loomgraph.llm.common import materialise, table
 
-#: Documents whose language score is less, or that have no letters, are rejected.
+#: Documents of which less is ordinary text of their languages, or that have no letters, are rejected.
 LEAST_LANGUAGE_SCORE = 0.25
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_mixture.train(table(spark, sf_dir, "documents"))
     kept = docs.select(*COLUMNS)
     scored = language_mixture.predict(kept, model, carry=COLUMNS)
-    return scored.where((F.col("lang_pred") != language_mixture.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
+    return scored.where((F.col("lang_pred") != language_mixture.UNDETERMINED) & (F.col("ordinary") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

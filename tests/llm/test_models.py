@@ -52,6 +52,26 @@ def test_language_of_odd_texts(spark, documents):
     assert language_mixture.predict(rows, empty).where("lang_pred <> 'und'").count() == 0
 
 
+def spoken(r, letters, n):
+    return " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(n))
+
+
+def test_sets_of_many_languages_and_of_rare_ones(spark):
+    import random
+
+    r = random.Random(5)
+    # 70 languages, each of an alphabet of its own; the last ones have the fewest documents.
+    alphabets = ["".join(chr(0x4E00 + 40 * i + j) for j in range(6)) for i in range(70)]
+    rows = [(spoken(r, a, 900), f"l{i:02}") for i, a in enumerate(alphabets) for _ in range(2 if i < 66 else 1)]
+    model = language_mixture.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == [f"l{i:02}" for i in range(70)]
+    mixed = " ".join(spoken(r, alphabets[i], 60) for i in (1, 2, 3, 4, 68))
+    rare, five = model.infer([f" {spoken(r, alphabets[69], 40)} ", f" {mixed} "])
+    assert rare[0] == "l69" and set(rare[2]) == {"l69"}
+    assert set(five[2]) == {"l01", "l02", "l03", "l04", "l68"} and all(abs(x - 0.2) < 0.03 for x in five[2].values())
+    assert five[1] < 0.25 < five[3]
+
+
 def test_trigram_counts_equal_a_plain_count():
     texts = [" ab,, c1 é ", " ", " aaaa a ", " ß! "]
     owner, bucket, count = language_mixture.trigrams(texts)
