@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -20,9 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session takes a temporary folder; a cluster is refused, since each machine would write
+    to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -62,13 +70,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 KEPT: dict[str, dict] = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on, and what one operator frees the next doesn't need."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_kept() -> None:
     """Give back what earlier operators have kept in this worker."""
-    if any(KEPT.values()):
-        for held in KEPT.values():
-            held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+    for held in KEPT.values():
+        held.clear()
+    give_back()
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -136,35 +150,54 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-#: Bits of a membership map: 4 MB, whatever the table it is made from. A full map only prunes less.
-MAP_BITS = 1 << 25
+#: Values that a membership map is made for, at most. Beyond them a join does its work, so that the broadcast stays at 16 MB.
+MOST_MEMBERS = 1 << 24
+_MEMBER_BITS = 8
+
+
+def _places(values: np.ndarray, bits: int) -> np.ndarray:
+    return mix(np.ascontiguousarray(values).view(np.uint64) ^ np.uint64(0xA5A5A5A55A5A5A5A)) & np.uint64(bits - 1)
+
 
+class Members:
+    """A set of bigints to filter by: a bitmap sized to it (eight bits a value or more), or a join if it is too large."""
 
-def _bit(values: np.ndarray) -> np.ndarray:
-    return mix(values.view(np.uint64) ^ np.uint64(0xA5A5A5A55A5A5A5A)) & np.uint64(MAP_BITS - 1)
+    def __init__(self, members: DataFrame, column: str) -> None:
+        """Null values are no members. ``members`` is written to the shared folder."""
+        self.rows = materialise(members.select(F.col(column).cast("bigint").alias("member")).where("member is not null"), "members")
+        n = self.rows.count()
+        self.words = None
+        if n <= MOST_MEMBERS:
+            self.words = self._map(1 << max(16, (_MEMBER_BITS * n - 1).bit_length()))
+        self.shared = members.sparkSession.sparkContext.broadcast(self.words)
 
+    def _map(self, bits: int) -> np.ndarray:
+        def run(batches):
+            for batch in batches:
+                at = np.unique(_places(batch.column(0).to_numpy(zero_copy_only=False), bits))
+                word, one = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+                first = np.flatnonzero(np.diff(word, prepend=-1))
+                rows = (word[first], np.bitwise_or.reduceat(one, first).view(np.int64)) if len(word) else (word, word)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["at", "word"])
 
-def membership(df: DataFrame, column: str) -> np.ndarray:
-    """A bitmap with a bit set for each value of a bigint column; absent values rarely hit. Always MAP_BITS bits."""
+        words = np.zeros(bits // 64, np.int64)
+        table = self.rows.mapInArrow(run, "at bigint, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+        words[table.column("at").to_numpy()] = table.column("word").to_numpy()
+        return words
 
-    def run(batches):
-        bits = np.zeros(MAP_BITS, bool)
-        for batch in batches:
-            bits[_bit(batch.column(0).to_numpy(zero_copy_only=False))] = True
-        words = np.packbits(bits, bitorder="little").view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at], pa.int64())], names=["at", "word"])
+    def exact(self, rows: DataFrame, column: str) -> DataFrame:
+        """What is left to do after ``may_have`` in the tasks: nothing after a map, a semi-join otherwise."""
+        return rows if self.words is not None else rows.join(self.rows.withColumnRenamed("member", column), column, "left_semi")
 
-    found = df.where(F.col(column).isNotNull()).select(F.col(column).cast("bigint")).mapInArrow(run, "at bigint, word bigint")
-    words = np.zeros(MAP_BITS // 64, np.int64)
-    table = found.groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    words[table.column("at").to_numpy()] = table.column("word").to_numpy()
-    return words
+    def done(self) -> None:
+        forget(self.rows)
 
 
-def hits(words: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """True where a value may be a member."""
-    at = _bit(np.ascontiguousarray(values))
+def may_have(words: np.ndarray | None, values: np.ndarray) -> np.ndarray:
+    """True for every member and for a few other values; for all without a map."""
+    if words is None:
+        return np.ones(len(values), bool)
+    at = _places(values, 64 * len(words))
     return (words.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
@@ -182,10 +215,12 @@ def components(links: DataFrame) -> DataFrame:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = tuple(state)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written first, so that a hub's edges meet its minimum in a join of two plain exchanges, which can be split.
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         after = materialise(small.where("u <> v").distinct(), "edges")
         forget(edges)
+        forget(least)
         edges = after

@@ -3,8 +3,13 @@
 A document's set is its distinct 5-word shingles (ASCII-lowered words; a shorter text is one shingle; no words, no set).
 All shingles have one global order: rare ones by hash, then the corpus' frequent ones by rising frequency. Documents
 with equal sets form a class and take part once. Classes that share a shingle among their first |s| - ceil(0.8 |s|) + 1
-may be similar; the order is cut into fragments, the overlap of a pair is counted in each fragment separately and
-summed, and the pair is linked if 100 * intersection >= 80 * union.
+may be similar.
+
+The order is cut into FRAGMENTS ranges and one more of the frequent shingles, and every set into the slices that lie in
+them. The overlap of a pair is counted in each fragment by a join that ships that fragment's slices alone, as rows (a,
+b, fragment, count), which are summed by pair; between rounds a pair goes whose fragments not yet counted can't make up
+what it lacks. A pair is linked if 100 * intersection >= 80 * union. A class in more than SPLIT pairs is salted: its
+slices are copied once for each SPLIT of its pairs, so that no hub's pairs meet in one task.
 
 A shingle shared by m classes doesn't make m^2 pairs: its classes are first compared with the most central one among
 them, and only classes that connected components leave apart are compared further. Within a component no link is
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHasher, components, forget, grams, hits, materialise, membership, signed, table
+from loomgraph.llm.common import Members, WordHasher, components, forget, grams, materialise, may_have, signed, table
 
 SHINGLE = 5
 #: Frequent shingles with a place of their own in the order (16 bytes each are broadcast). They only save work.
@@ -34,6 +39,12 @@ FREQUENT = 1 << 18
 CHUNK, OFTEN = 1 << 22, 3
 #: Fragments of the rare part of the order; the frequent shingles are one more.
 FRAGMENTS = 4
+#: Fragments that are counted together; pairs are dropped after each round.
+ROUNDS = ((0,), tuple(range(1, FRAGMENTS + 1)))
+#: Pairs of a class that may meet in one task.
+SPLIT = 64
+#: Rows of a table that is broadcast, at most (16 bytes each); a larger one is joined by a shuffle.
+SMALL = 1 << 17
 
 
 def shingle_set(text: str | None, hasher: WordHasher) -> np.ndarray:
@@ -119,10 +130,15 @@ def prefix(shingles: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.nd
     return np.concatenate((rare, common[np.lexsort((common, counts[at]))]))[:size]
 
 
-def segment_sizes(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles lie in each of 2**k equal cuts of the hash order, 4 to 8 on average; their minima bound an overlap."""
-    bits = max(0, int(np.log2(max(len(shingles), 1) / 4)))
-    return np.bincount((shingles >> np.uint64(32)).astype(np.int64) >> (32 - bits), minlength=1 << bits).astype(np.int32)
+def cell_sizes(shingles: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """How many rare shingles lie in each of 2**k equal cuts of their order, 4 to 8 on average, and how many are frequent.
+
+    The sums of two sets' minima bound their overlaps by fragment; there are FRAGMENTS cuts or more.
+    """
+    rare = shingles[rank_frequent(shingles, often) < 0]
+    bits = max(int(np.log2(FRAGMENTS)), int(np.log2(max(len(shingles), 1) / 4)))
+    cells = np.bincount((rare >> np.uint64(32)).astype(np.int64) >> (32 - bits), minlength=1 << bits)
+    return np.append(cells, len(shingles) - len(rare)).astype(np.int32)
 
 
 def signatures(documents: DataFrame, often: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -148,7 +164,7 @@ def signatures(documents: DataFrame, often: np.ndarray, counts: np.ndarray) -> D
             fresh = node is not None and node not in seen
             if fresh:
                 seen.add(node)
-            rows.append((doc_id, len(s), node, key, signed(prefix(s, often, counts)) if fresh else None, segment_sizes(s) if fresh else None))
+            rows.append((doc_id, len(s), node, key, signed(prefix(s, often, counts)) if fresh else None, cell_sizes(s, often) if fresh else None))
             if len(rows) >= 512:
                 yield out()
                 rows = []
@@ -165,7 +181,8 @@ def postings(signed_docs: DataFrame) -> DataFrame:
     """
     heads = signed_docs.where("prefix is not null")
     counts = heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"))
-    shared = heads.sparkSession.sparkContext.broadcast(membership(counts.where("m > 1"), "token"))
+    several = Members(counts.where("m > 1"), "token")
+    shared = several.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,11 +191,14 @@ def postings(signed_docs: DataFrame) -> DataFrame:
             sizes = np.asarray(lists.value_lengths())
             row = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = np.flatnonzero(hits(shared.value, tokens))
+            keep = np.flatnonzero(may_have(shared.value, tokens))
             pick = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), batch.column("node").take(pick), batch.column("n").take(pick), pa.array(pos[keep], pa.int64())], names=["token", "x", "nx", "px"])
 
-    return heads.select("n", "node", "prefix").mapInArrow(run, "token bigint, x bigint, nx bigint, px bigint")
+    found = heads.select("n", "node", "prefix").mapInArrow(run, "token bigint, x bigint, nx bigint, px bigint")
+    held = materialise(several.exact(found, "token").select("token", "x", "nx", "px"), "postings")
+    several.done()
+    return held
 
 
 def _possible(na: str, pa_: str, nb: str, pb: str) -> str:
@@ -192,86 +212,136 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(*(F.when(low, F.col(p)).otherwise(F.col(q)).alias(r) for p, q, r in (("x", "y", "a"), ("nx", "ny", "na"), ("y", "x", "b"), ("ny", "nx", "nb")))).dropDuplicates(["a", "b"])
 
 
-def segments(documents: DataFrame, keys: DataFrame, often: np.ndarray) -> DataFrame:
-    """(node, parts) of the classes that have a text in ``keys`` (key), and of a few more: the set cut into fragments of the order."""
-    shared = documents.sparkSession.sparkContext.broadcast((membership(keys, "key"), often))
+def slices(documents: DataFrame, keys: DataFrame, often: np.ndarray) -> DataFrame:
+    """(node, fragment, slice) of the classes that have a text in ``keys`` (key), and of a few more: sets cut by fragment."""
+    wanted = Members(keys, "key")
+    shared = documents.sparkSession.sparkContext.broadcast(often)
+    member = wanted.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = WordHasher(), set()
-        member, often = shared.value
+        often = shared.value
         for batch in batches:
-            part = batch.take(pa.array(np.flatnonzero(hits(member, batch.column("key").to_numpy(zero_copy_only=False)))))
+            part = batch.take(pa.array(np.flatnonzero(may_have(member.value, batch.column("key").to_numpy(zero_copy_only=False)))))
             for at in range(0, part.num_rows, 128):
-                nodes, parts = [], []
+                nodes, fragments, cut = [], [], []
                 for text in part.column("text").slice(at, 128).to_pylist():
                     s = shingle_set(text, hasher)
                     if not len(s) or (c := class_id(s)) in seen:
                         continue
                     seen.add(c)
                     f = np.where(rank_frequent(s, often) < 0, (s >> np.uint64(32)).astype(np.int64) * FRAGMENTS >> 32, FRAGMENTS)
-                    nodes.append(c)
-                    parts.append([signed(s[f == k]) for k in range(FRAGMENTS + 1)])
+                    for k in np.unique(f):
+                        nodes.append(c)
+                        fragments.append(k)
+                        cut.append(signed(s[f == k]))
                 if nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parts, pa.list_(pa.list_(pa.int64())))], names=["node", "parts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fragments, pa.int32()), pa.array(cut, pa.list_(pa.int64()))], names=["node", "fragment", "slice"])
 
-    return _source(documents).mapInArrow(run, "node bigint, parts array<array<bigint>>").dropDuplicates(["node"])
+    found = wanted.exact(_source(documents), "key").select("doc_id", "text", "key").mapInArrow(run, "node bigint, fragment int, slice array<bigint>")
+    held = materialise(found.dropDuplicates(["node", "fragment"]), "slices")
+    wanted.done()
+    return held
 
 
-def bounded(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs that the segment sizes (node, sizes) don't rule out: an overlap is at most the sum of their minima."""
-    left, right = (sizes.select(F.col("node").alias(k), F.col("sizes").alias(f"s{k}")) for k in "ab")
+def cell_table(signed_docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, sizes) of the classes in ``pairs``, once each."""
+    wanted = Members(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    member = wanted.shared
 
-    def folded(s: str, n: str) -> str:
-        return f"case when size({s}) > size({n}) then transform(sequence(0, size({n}) - 1), i -> {s}[2 * i] + {s}[2 * i + 1]) else {s} end"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(np.flatnonzero(may_have(member.value, batch.column("node").to_numpy(zero_copy_only=False)))))
 
-    least = f"aggregate(zip_with({folded('sa', 'sb')}, {folded('sb', 'sa')}, (p, q) -> least(p, q)), 0, (acc, v) -> acc + v)"
-    return pairs.join(left, "a").join(right, "b").where(f"9 * {least} >= 4 * (na + nb)").drop("sa", "sb")
+    rows = signed_docs.where("sizes is not null").select("node", "sizes").mapInArrow(run, "node bigint, sizes array<int>")
+    return wanted.exact(rows, "node").dropDuplicates(["node"])
 
 
-def verified(documents: DataFrame, pairs: DataFrame, texts: DataFrame, often: np.ndarray) -> DataFrame:
-    """The linked pairs (a, b): overlaps are counted in each fragment separately and summed for each pair.
+def bounded(pairs: DataFrame, signed_docs: DataFrame) -> DataFrame:
+    """The pairs that the cell sizes don't rule out, with caps: how much they can share at most in each fragment."""
+    sizes = cell_table(signed_docs, pairs)
+    left, right = (sizes.select(F.col("node").alias(k), F.expr("slice(sizes, 1, size(sizes) - 1)").alias(f"s{k}"), F.element_at("sizes", -1).alias(f"f{k}")) for k in "ab")
 
-    ``texts`` (node, key) has a text or more of every class.
-    """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = segments(documents, texts.join(nodes, "node", "left_semi"), often)
-    left, right = (own.select(F.col("node").alias(k), F.col("parts").alias(f"p{k}")) for k in "ab")
-    partial = pairs.select("a", "b", "na", "nb").join(left, "a").join(right, "b").withColumn("partial", F.transform(F.arrays_zip("pa", "pb"), lambda z: F.size(F.array_intersect(z["pa"], z["pb"]))))
-    return materialise(partial.where("9 * aggregate(partial, 0, (acc, v) -> acc + v) >= 4 * (na + nb)").select("a", "b"), "links")
+    def folded(s: str, n: str) -> str:
+        return f"case when size({s}) > size({n}) then transform(sequence(0, size({n}) - 1), i -> {s}[2 * i] + {s}[2 * i + 1]) else {s} end"
+
+    least = f"zip_with({folded('sa', 'sb')}, {folded('sb', 'sa')}, (p, q) -> least(p, q))"
+    width = f"least(size(sa), size(sb)) div {FRAGMENTS}"
+    caps = f"concat(transform(sequence(0, {FRAGMENTS - 1}), f -> aggregate(slice(least, cast(f * ({width}) + 1 as int), cast({width} as int)), 0, (acc, v) -> acc + v)), array(least(fa, fb)))"
+    rows = pairs.join(left, "a").join(right, "b").withColumn("least", F.expr(least)).withColumn("caps", F.expr(caps))
+    return rows.where("9 * aggregate(caps, 0, (acc, v) -> acc + v) >= 4 * (na + nb)").select("a", "b", "na", "nb", "caps")
+
+
+def verified(documents: DataFrame, pairs: DataFrame, signed_docs: DataFrame, often: np.ndarray) -> DataFrame:
+    """The linked pairs (a, b): partial overlaps by fragment, summed by pair. pairs: a, b, na, nb, caps."""
+    degrees = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")), "degrees")
+    texts = signed_docs.where("prefix is not null").select("node", "key").join(degrees, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    own = slices(documents, texts, often)
+    hubs = degrees.where(F.col("n") > SPLIT).select("node", F.ceil(F.col("n") / SPLIT).cast("int").alias("salts"))
+    hubs = F.broadcast(hubs) if hubs.count() <= SMALL else hubs
+    state = pairs
+    for k, other in (("a", "b"), ("b", "a")):
+        salts = hubs.select(F.col("node").alias(k), "salts")
+        state = state.join(salts, k, "left").withColumn(f"salt_{k}", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    state = state.withColumn("known", F.lit(0).cast("bigint"))
+    salted = own.join(hubs, "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    before = None
+    for i, fragments in enumerate(ROUNDS):
+        cut = salted.where(F.col("fragment").isin(*fragments))
+        left, right = (cut.select(F.col("node").alias(k), F.col("salt").alias(f"salt_{k}"), "fragment", F.col("slice").alias(f"slice_{k}")) for k in "ab")
+        partial = state.select("a", "b", "salt_a", "salt_b").join(left, ["a", "salt_a"]).join(right, ["b", "salt_b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("slice_a", "slice_b")).alias("count"))
+        summed = partial.groupBy("a", "b").agg(F.sum("count").alias("count"))
+        later = [f for fs in ROUNDS[i + 1 :] for f in fs]
+        hope = sum((F.col("caps")[f] for f in later), F.col("known"))
+        state = state.join(summed, ["a", "b"], "left").withColumn("known", F.col("known") + F.coalesce("count", F.lit(0))).drop("count")
+        state = materialise(state.where(9 * hope >= 4 * (F.col("na") + F.col("nb"))), "overlaps")
+        if before is not None:
+            forget(before)
+        before = state
+    forget(own)
+    forget(degrees)
+    return state.select("a", "b")
 
 
 def similar_classes(documents: DataFrame, signed_docs: DataFrame, often: np.ndarray) -> DataFrame:
     """(node, root): the connected component of every class that is linked to another."""
-    sizes = signed_docs.where("sizes is not null").select("node", "sizes").dropDuplicates(["node"])
-    texts = signed_docs.where("prefix is not null").select("node", "key")
-    held = materialise(postings(signed_docs), "postings")
+    held = postings(signed_docs)
     central = held.groupBy("token").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max(F.struct(F.expr("nx - px").alias("rest"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"))).alias("c"))
     shared = materialise(held.join(central.where("low <> high").select("token", "c.y", "c.ny", "c.py"), "token"), "shared")
     forget(held)
-    star = materialise(bounded(_ordered(shared.where("x <> y and " + _possible("nx", "px", "ny", "py"))), sizes), "star")
-    links = verified(documents, star, texts, often)
+    star = materialise(_ordered(shared.where("x <> y and " + _possible("nx", "px", "ny", "py"))), "star")
+    links = verified(documents, materialise(bounded(star, signed_docs), "bounded"), signed_docs, often)
     root = components(links)
     # Classes that share a token but lie apart so far: every such pair that the filters leave and the star hasn't seen.
     placed = shared.select("token", "x", "nx", "px").join(root.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     apart = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     placed = materialise(placed.join(apart, "token").dropDuplicates(["token", "x"]), "placed")
+    forget(shared)
     other = placed.select("token", *(F.col(c).alias(c.replace("x", "y")) for c in ("x", "nx", "px")), F.col("root").alias("root_y"))
-    rest = _ordered(placed.join(other, "token").where("x < y and root <> root_y and " + _possible("nx", "px", "ny", "py"))).join(star.select("a", "b"), ["a", "b"], "left_anti")
-    rest = materialise(bounded(rest, sizes), "rest")
-    return components(links.unionByName(verified(documents, rest, texts, often)))
+    rest = materialise(_ordered(placed.join(other, "token").where("x < y and root <> root_y and " + _possible("nx", "px", "ny", "py"))).join(star.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    forget(placed)
+    forget(star)
+    more = verified(documents, materialise(bounded(rest, signed_docs), "bounded"), signed_docs, often)
+    found = materialise(components(links.unionByName(more)), "roots")
+    for used in (rest, links, more):
+        forget(used)
+    return found
 
 
 def linked(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The signatures of every row, and (node, root) of every class that is linked to another."""
+    """(doc_id, n, node, key) of every row, and (node, root) of every class that is linked to another."""
     often, counts = frequent_shingles(documents)
     signed_docs = materialise(signatures(documents, often, counts), "signatures")
-    return signed_docs, similar_classes(documents, signed_docs, often)
+    rows = materialise(signed_docs.select("doc_id", "n", "node", "key"), "rows")
+    root = similar_classes(documents, signed_docs, often)
+    forget(signed_docs)
+    return rows, root
 
 
 def representatives(documents: DataFrame) -> DataFrame:
     """(doc_id, key, n_rows, first) of the distinct ids and texts with words; first in one of each component, of least doc_id, null last."""
-    signed_docs, root = linked(documents)
-    pairs = materialise(signed_docs.where("node is not null").groupBy("doc_id", "key").agg(F.first("node").alias("node"), F.count(F.lit(1)).alias("n_rows")), "pairs")
+    rows, root = linked(documents)
+    pairs = materialise(rows.where("node is not null").groupBy("doc_id", "key").agg(F.first("node").alias("node"), F.count(F.lit(1)).alias("n_rows")), "pairs")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key"))
     classes = pairs.groupBy("node").agg(least.alias("least")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("i"), F.col("least.key").alias("k"))
@@ -281,10 +351,10 @@ def representatives(documents: DataFrame) -> DataFrame:
 
 def join(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links) of every row."""
-    signed_docs, root = linked(documents)
-    classes = signed_docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows, root = linked(documents)
+    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = materialise(classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id"), "components")
-    return signed_docs.select("doc_id", F.col("n").alias("n_shingles"), "node").join(ids, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(ids, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 A suffix is kept where a GRAM-word gram has the least hash among the grams of some LEAST-word window (a minimiser), so
 that every repeated passage of LEAST words keeps a suffix at the same place of each of its occurrences. Suffixes whose
-gram occurs in one document only are dropped by a bitmap; the others are extended left and right to the LEAST-word
-windows they stand for. Sorting those by content makes equal ones neighbours; here Spark's hash aggregation brings the
-neighbours together and combines them before the shuffle, so that a passage in a third of all documents is no hot
-group. Neighbouring windows of a document then grow into maximal spans. No pairs of occurrences are formed.
+gram occurs in one document only are dropped by a bitmap sized to the shared grams.
+
+The kept suffixes are range-partitioned and sorted by their gram, the words that follow and the words that precede it,
+and every suffix is compared with its neighbour. Neighbours of two documents that agree on all of this are extended
+left and right at once over the up to 3 * GRAM words around the gram. Those that agree on the gram but differ on a side
+are edges of a match: they are extended by single words, each LEAST-word split around the gram being looked up among
+those of the suffixes with the same gram. What is found grows into maximal spans by document. No pairs of occurrences
+are formed, and a run of equal suffixes that a partition border cuts is put together from its parts' extremes.
 
 Words are runs of characters other than space and \\x09-\\x0D, compared as they are, by 64-bit hashes. A passage repeats
 if it occurs in two documents of different doc_id; rows with a null doc_id are ignored, null and short texts have no
-spans. Documents without spans give no row. Equal texts are one class, whose documents repeat as a whole.
+spans. Documents without spans give no row. Equal texts are one class, whose documents repeat as a whole. Extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHasher, hits, materialise, membership, mix, powers, signed, table
+from loomgraph.llm.common import Members, WordHasher, materialise, may_have, mix, powers, signed, table
 
 LEAST, GRAM = 50, 25
 _BASE = 0xB5297A4D3F84D5A9 | 1
@@ -54,12 +59,19 @@ def minimisers(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored(words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(offset, anchor gram of each LEAST-word window, anchor place) of a text, in parts of at most 2**23 words."""
+    """(offset, all grams, anchor place of each LEAST-word window) of a text, in parts of at most 2**23 words."""
     for at in range(0, max(len(words) - LEAST + 1, 0), 1 << 23):
         part = words[at : at + (1 << 23) + LEAST - 1]
         grams = windows(part, GRAM)
-        place = minimisers(grams, LEAST - GRAM + 1)
-        yield at, grams[place], place
+        yield at, grams, minimisers(grams, LEAST - GRAM + 1)
+
+
+def stretches(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words[start:end] for many bounds, empty ones included."""
+    windows(words, len(words))  # makes the powers long enough
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mix(words) * _UP[: len(words)], out=total[1:])
+    return mix((total[end] - total[start]) * _DOWN[np.minimum(start, len(words) - 1)] + (end - start).astype(np.uint64))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -80,8 +92,8 @@ def whole(words: np.ndarray) -> int:
     return int(signed(windows(words, len(words)))[0])
 
 
-def suffixes(documents: DataFrame) -> DataFrame:
-    """(gram, doc) of every kept suffix."""
+def shared_grams(documents: DataFrame) -> DataFrame:
+    """(gram) of the anchors that two documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, docs = [], []
@@ -91,31 +103,106 @@ def suffixes(documents: DataFrame) -> DataFrame:
 
         for doc_id, words in _parts(batches):
             for _, g, place in anchored(words):
-                fresh = np.concatenate(([True], place[1:] != place[:-1]))
+                fresh = place[np.flatnonzero(np.diff(place, prepend=-1))]
                 grams.append(g[fresh])
-                docs.append(np.full(int(fresh.sum()), doc_id, np.int64))
+                docs.append(np.full(len(fresh), doc_id, np.int64))
             if sum(map(len, grams)) > 100_000 or len(grams) > 2000:
                 yield out()
                 grams, docs = [], []
         if grams:
             yield out()
 
-    return documents.mapInArrow(run, "gram bigint, doc bigint")
+    return documents.mapInArrow(run, "gram bigint, doc bigint").groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("gram")
+
+
+SUFFIX = "gram bigint, right bigint, left bigint, doc bigint, place bigint, n_left int, n_right int, first bigint, windows array<bigint>"
 
 
-def extended(documents: DataFrame, member: np.ndarray) -> DataFrame:
-    """(window, doc, at) of the LEAST-word windows around suffixes whose gram hits the bitmap."""
-    shared = documents.sparkSession.sparkContext.broadcast(member)
+def suffixes(documents: DataFrame, grams: Members) -> DataFrame:
+    """The kept suffixes, written: gram, hashes of up to GRAM words after and before it, doc, place, and its windows.
+
+    windows are the hashes of the LEAST-word windows whose minimiser it is; the first of them starts at ``first``.
+    """
+    shared = grams.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, words in _parts(batches):
-            for offset, g, _ in anchored(words):
-                at = np.flatnonzero(hits(shared.value, signed(np.ascontiguousarray(g))))
-                if len(at):
-                    h = windows(words[offset : offset + len(g) + LEAST - 1], LEAST)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), pa.array(np.full(len(at), doc_id, np.int64)), pa.array(at + offset)], names=["window", "doc", "at"])
+            for offset, g, place in anchored(words):
+                begin = np.flatnonzero(np.diff(place, prepend=-1))
+                size = np.diff(np.append(begin, len(place)))
+                hit = may_have(shared.value, signed(np.ascontiguousarray(g[place[begin]])))
+                if not hit.any():
+                    continue
+                begin, size, kept = begin[hit], size[hit], place[begin[hit]]
+                lead = min(offset, GRAM)  # words before the part
+                around = words[offset - lead : offset + len(g) + 2 * GRAM - 1]
+                at = kept + lead
+                left, right = np.maximum(at - GRAM, 0), np.minimum(at + 2 * GRAM, len(around))
+                h = windows(words[offset : offset + len(place) + LEAST - 1], LEAST)
+                own = h[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(signed(own)))
+                columns = [signed(g[kept]), signed(stretches(around, at + GRAM, right)), signed(stretches(around, left, at)), np.full(len(at), doc_id, np.int64), kept + offset]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(at - left, pa.int32()), pa.array(right - at - GRAM, pa.int32()), pa.array(begin + offset, pa.int64()), lists], names=[c.split()[0] for c in SUFFIX.split(", ")])
+
+    return materialise(grams.exact(documents.mapInArrow(run, SUFFIX), "gram").select(*(c.split()[0] for c in SUFFIX.split(", "))), "suffixes")
+
+
+def neighbours(suffix: DataFrame) -> DataFrame:
+    """(gram, class, low, high): the runs of equal neighbours in the sorted order, with their least and greatest doc."""
 
-    return documents.mapInArrow(run, "window bigint, doc bigint, at bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            gram, right, left, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            if not len(gram):
+                continue
+            differs = (gram[1:] != gram[:-1]) | (right[1:] != right[:-1]) | (left[1:] != left[:-1])
+            first = np.append(0, np.flatnonzero(differs) + 1)
+            rows = [gram[first], right[first], left[first], np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)]
+            if held is not None:  # the last run may go on in this batch
+                if all(held[i] == rows[i][0] for i in range(3)):
+                    rows[3][0], rows[4][0] = min(rows[3][0], held[3]), max(rows[4][0], held[4])
+                else:
+                    rows = [np.append(h, r) for h, r in zip(held, rows, strict=True)]
+            held = [r[-1] for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(r[:-1]) for r in rows], names=["gram", "right", "left", "low", "high"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([h], pa.int64()) for h in held], names=["gram", "right", "left", "low", "high"])
+
+    key = ["gram", "right", "left"]
+    ordered = suffix.select(*key, "doc").repartitionByRange(*key, "doc").sortWithinPartitions(*key, "doc")
+    runs = ordered.mapInArrow(run, "gram bigint, right bigint, left bigint, low bigint, high bigint")
+    return runs.groupBy(*key).agg(F.min("low").alias("low"), F.max("high").alias("high")).select("gram", F.xxhash64(*key).alias("class"), "low", "high")
+
+
+def matches(suffix: DataFrame) -> DataFrame:
+    """(doc, start, end) of matches of LEAST words or more between documents; they may overlap."""
+    of = F.xxhash64("gram", "right", "left")
+    runs = materialise(neighbours(suffix), "runs")
+    whole_runs = materialise(runs.where("low <> high").select("class"), "whole")
+    # Grams whose suffixes differ: each of these may have a longer match with another on one side.
+    mixed = materialise(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1 and low <> high").select("gram"), "mixed")
+    grams, edges = Members(mixed, "gram"), Members(runs.where("low = high").join(mixed, "gram", "left_semi").select("class"), "class")
+    entire = suffix.select(of.alias("class"), "doc", "place", "n_left", "n_right").join(whole_runs, "class").select("doc", (F.col("place") - F.col("n_left")).alias("start"), (F.col("place") + GRAM + F.col("n_right")).alias("end"))
+
+    def split(members: Members, by: str) -> DataFrame:
+        """(window, doc, start) of the suffixes that may be members by a column."""
+        shared = members.shared
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                part = batch.take(pa.array(np.flatnonzero(may_have(shared.value, batch.column("by").to_numpy(zero_copy_only=False)))))
+                lists = part.column("windows")
+                size = np.asarray(lists.value_lengths())
+                begin = np.repeat(part.column("first").to_numpy(zero_copy_only=False) - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(part.column("doc").to_numpy(zero_copy_only=False), size)), pa.array(begin)], names=["window", "doc", "start"])
+
+        rows = members.exact(suffix.withColumn(by, F.col("gram") if by == "gram" else of), by)
+        return rows.select(F.col(by).alias("by"), "doc", "first", "windows").mapInArrow(run, "window bigint, doc bigint, start bigint")
+
+    repeated = materialise(split(grams, "gram").groupBy("window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("window"), "repeated")
+    partial = split(edges, "class").join(repeated, "window").select("doc", "start", (F.col("start") + LEAST).alias("end"))
+    return entire.unionByName(partial)
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -145,14 +232,12 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     known = materialise(classes(source), "classes")
     copied = materialise(known.groupBy("class").agg(F.min("doc_id").alias("copy_of"), F.max("doc_id").alias("last")).where("copy_of <> last").drop("last"), "copied")
-    grams = suffixes(source).groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high")
-    held = materialise(extended(source, membership(grams, "gram")), "windows")
-    # Written first, the join below is between two plain exchanges, whose hot windows adaptive execution can split.
-    shared = materialise(held.groupBy("window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("window"), "shared")
-    found = held.join(shared, "window").select("doc", "at")
-    order = Window.partitionBy("doc").orderBy("at")
-    islands = found.withColumn("new", (F.col("at") - F.lag("at", 1, -LEAST - 1).over(order) > LEAST).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = islands.groupBy("doc", "island").agg(F.min("at").alias("start_word"), (F.max("at") + LEAST).alias("end_word"))
+    grams = Members(shared_grams(source), "gram")
+    found = matches(suffixes(source, grams))
+    order = Window.partitionBy("doc").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = found.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = islands.groupBy("doc", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"))
     entire = known.join(copied, "class").select("doc_id", F.lit(0).cast("bigint").alias("start_word"), F.col("n_words").alias("end_word"), "copy_of").distinct()
     parts = spans.select(F.col("doc").alias("doc_id"), "start_word", "end_word", F.lit(None).cast("bigint").alias("copy_of")).join(entire.select("doc_id").distinct(), "doc_id", "left_anti")
     return entire.unionByName(parts).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "copy_of")
