@@ -257,10 +257,26 @@ def cell_table(signed_docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return wanted.exact(rows, "node").dropDuplicates(["node"])
 
 
-def bounded(pairs: DataFrame, signed_docs: DataFrame) -> DataFrame:
-    """The pairs that the cell sizes don't rule out, with caps: how much they can share at most in each fragment."""
-    sizes = cell_table(signed_docs, pairs)
-    left, right = (sizes.select(F.col("node").alias(k), F.expr("slice(sizes, 1, size(sizes) - 1)").alias(f"s{k}"), F.element_at("sizes", -1).alias(f"f{k}")) for k in "ab")
+def salted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` with a salt for each side, and (node, salts) of the classes of more than SPLIT pairs, which have several."""
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    hubs = materialise(degrees.where(F.col("n") > SPLIT).select("node", F.ceil(F.col("n") / SPLIT).cast("int").alias("salts")), "hubs")
+    known = F.broadcast(hubs) if hubs.count() <= SMALL else hubs
+    for k, other in (("a", "b"), ("b", "a")):
+        salts = known.select(F.col("node").alias(k), "salts")
+        pairs = pairs.join(salts, k, "left").withColumn(f"salt_{k}", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return pairs, known
+
+
+def copied(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``rows`` (node, ...) once for each salt of their class."""
+    return rows.join(hubs, "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+
+def bounded(pairs: DataFrame, hubs: DataFrame, signed_docs: DataFrame) -> DataFrame:
+    """The salted pairs that the cell sizes don't rule out, with caps: how much they can share at most in each fragment."""
+    sizes = copied(cell_table(signed_docs, pairs), hubs)
+    left, right = (sizes.select(F.col("node").alias(k), F.col("salt").alias(f"salt_{k}"), F.expr("slice(sizes, 1, size(sizes) - 1)").alias(f"s{k}"), F.element_at("sizes", -1).alias(f"f{k}")) for k in "ab")
 
     def folded(s: str, n: str) -> str:
         return f"case when size({s}) > size({n}) then transform(sequence(0, size({n}) - 1), i -> {s}[2 * i] + {s}[2 * i + 1]) else {s} end"
@@ -268,26 +284,21 @@ def bounded(pairs: DataFrame, signed_docs: DataFrame) -> DataFrame:
     least = f"zip_with({folded('sa', 'sb')}, {folded('sb', 'sa')}, (p, q) -> least(p, q))"
     width = f"least(size(sa), size(sb)) div {FRAGMENTS}"
     caps = f"concat(transform(sequence(0, {FRAGMENTS - 1}), f -> aggregate(slice(least, cast(f * ({width}) + 1 as int), cast({width} as int)), 0, (acc, v) -> acc + v)), array(least(fa, fb)))"
-    rows = pairs.join(left, "a").join(right, "b").withColumn("least", F.expr(least)).withColumn("caps", F.expr(caps))
-    return rows.where("9 * aggregate(caps, 0, (acc, v) -> acc + v) >= 4 * (na + nb)").select("a", "b", "na", "nb", "caps")
+    rows = pairs.join(left, ["a", "salt_a"]).join(right, ["b", "salt_b"]).withColumn("least", F.expr(least)).withColumn("caps", F.expr(caps))
+    return rows.where("9 * aggregate(caps, 0, (acc, v) -> acc + v) >= 4 * (na + nb)").select("a", "b", "na", "nb", "salt_a", "salt_b", "caps")
 
 
 def verified(documents: DataFrame, pairs: DataFrame, signed_docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """The linked pairs (a, b): partial overlaps by fragment, summed by pair. pairs: a, b, na, nb, caps."""
-    degrees = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")), "degrees")
-    texts = signed_docs.where("prefix is not null").select("node", "key").join(degrees, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    """The linked pairs (a, b): partial overlaps by fragment, summed by pair. pairs: a, b, na, nb."""
+    pairs, hubs = salted(pairs)
+    state = materialise(bounded(pairs, hubs, signed_docs), "bounded")
+    nodes = state.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = signed_docs.where("prefix is not null").select("node", "key").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     own = slices(documents, texts, often)
-    hubs = degrees.where(F.col("n") > SPLIT).select("node", F.ceil(F.col("n") / SPLIT).cast("int").alias("salts"))
-    hubs = F.broadcast(hubs) if hubs.count() <= SMALL else hubs
-    state = pairs
-    for k, other in (("a", "b"), ("b", "a")):
-        salts = hubs.select(F.col("node").alias(k), "salts")
-        state = state.join(salts, k, "left").withColumn(f"salt_{k}", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    state = state.withColumn("known", F.lit(0).cast("bigint"))
-    salted = own.join(hubs, "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-    before = None
+    parts = copied(own, hubs)
+    before = state = state.withColumn("known", F.lit(0).cast("bigint"))
     for i, fragments in enumerate(ROUNDS):
-        cut = salted.where(F.col("fragment").isin(*fragments))
+        cut = parts.where(F.col("fragment").isin(*fragments))
         left, right = (cut.select(F.col("node").alias(k), F.col("salt").alias(f"salt_{k}"), "fragment", F.col("slice").alias(f"slice_{k}")) for k in "ab")
         partial = state.select("a", "b", "salt_a", "salt_b").join(left, ["a", "salt_a"]).join(right, ["b", "salt_b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("slice_a", "slice_b")).alias("count"))
         summed = partial.groupBy("a", "b").agg(F.sum("count").alias("count"))
@@ -295,11 +306,9 @@ def verified(documents: DataFrame, pairs: DataFrame, signed_docs: DataFrame, oft
         hope = sum((F.col("caps")[f] for f in later), F.col("known"))
         state = state.join(summed, ["a", "b"], "left").withColumn("known", F.col("known") + F.coalesce("count", F.lit(0))).drop("count")
         state = materialise(state.where(9 * hope >= 4 * (F.col("na") + F.col("nb"))), "overlaps")
-        if before is not None:
-            forget(before)
+        forget(before)
         before = state
     forget(own)
-    forget(degrees)
     return state.select("a", "b")
 
 
@@ -310,7 +319,7 @@ def similar_classes(documents: DataFrame, signed_docs: DataFrame, often: np.ndar
     shared = materialise(held.join(central.where("low <> high").select("token", "c.y", "c.ny", "c.py"), "token"), "shared")
     forget(held)
     star = materialise(_ordered(shared.where("x <> y and " + _possible("nx", "px", "ny", "py"))), "star")
-    links = verified(documents, materialise(bounded(star, signed_docs), "bounded"), signed_docs, often)
+    links = verified(documents, star, signed_docs, often)
     root = components(links)
     # Classes that share a token but lie apart so far: every such pair that the filters leave and the star hasn't seen.
     placed = shared.select("token", "x", "nx", "px").join(root.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
@@ -321,7 +330,7 @@ def similar_classes(documents: DataFrame, signed_docs: DataFrame, often: np.ndar
     rest = materialise(_ordered(placed.join(other, "token").where("x < y and root <> root_y and " + _possible("nx", "px", "ny", "py"))).join(star.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     forget(placed)
     forget(star)
-    more = verified(documents, materialise(bounded(rest, signed_docs), "bounded"), signed_docs, often)
+    more = verified(documents, rest, signed_docs, often)
     found = materialise(components(links.unionByName(more)), "roots")
     for used in (rest, links, more):
         forget(used)
