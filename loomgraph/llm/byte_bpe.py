@@ -2,8 +2,12 @@
 
 A partition cuts its texts into the tokenizer's pattern matches and hands the distinct ones to DuckDB as rows (word,
 position, token). A recursive query joins neighbours with the merge table and contracts the leftmost pair of least rank
-of every word until no pair merges; an ordered aggregation gives the ids and another one decodes them. Texts are then
-spelt out of the encoded words.
+of every word until no pair merges; an ordered aggregation gives the ids and another one decodes them from the
+vocabulary. Texts are then spelt out of the encoded and decoded words.
+
+A recursive step contracts one pair of a word and keeps the word's rows, so that a word takes rows in the square of its
+length: words are put together into queries of STEP_ROWS such rows. A match of more than LONG_WORD bytes, which would
+take seconds or hours, is contracted by the same rule with a heap; its ids join the same tables for the aggregations.
 
 Null texts count as empty: no ids, hashes of the empty string. Whole texts are encoded, without special tokens.
 Repeated rows each give a row; extra columns are ignored.
@@ -14,29 +18,31 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import duckdb
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import KEPT, table
+from loomgraph.llm.common import KEPT, give_back, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Words after which a Python worker starts a new generation; it remembers this one and the one before.
-REMEMBERED_WORDS = 120_000
-#: Words of one recursive query; its steps keep some fifty rows a word.
-QUERY_WORDS = 40_000
+#: Bytes of words after which a Python worker starts a new generation; it remembers this one and the one before.
+REMEMBERED_BYTES = 12 << 20
+#: What a remembered word takes besides its own characters, ids and bytes.
+WORD_OVERHEAD = 170
+#: Rows that the steps of one recursive query keep, at most.
+STEP_ROWS = 1_500_000
 #: Texts are encoded in groups of about so many characters, so that memory doesn't follow the batch size.
-GROUP_CHARS = 4_000_000
-#: A longer pattern match (in bytes) is contracted by a heap, since a query step a merge would take squared time.
-LONG_WORD = 400
+GROUP_CHARS = 1_000_000
+#: A longer pattern match (in bytes) is contracted by a heap.
+LONG_WORD = 512
 
 CONTRACT = """
 with recursive step(i, w, p, t) as (
@@ -51,7 +57,7 @@ ended as (select w, max(i) as i from step group by w)
 select w, p, t from step semi join ended using (w, i)
 """
 SPELL = """
-select w, count(*) as n, string_agg(t::varchar, ',' order by p) as ids, from_hex(string_agg(hex(v.bytes), '' order by p)) as bytes
+select w, string_agg(t::varchar, ',' order by p) as ids, from_hex(string_agg(hex(v.bytes), '' order by p)) as bytes
 from contracted join vocabulary v on v.id = t group by w
 """
 
@@ -90,70 +96,83 @@ def _heap_contract(word: bytes, rank: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes and decodes texts with one vocabulary; keeps two generations of words as (count, ids, bytes)."""
+    """Encodes and decodes texts with one vocabulary; keeps two generations of words as ids, a zero byte and decoded bytes."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.rank = ranks(path)
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.older: dict[str, tuple[int, str, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "192MB"})
-        rank, splits = self.rank, []
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB"})
+        rank = self.rank
+        merges = {k: array("i") for k in "lrm"}
         for word, i in rank.items():
-            splits += [(a, b, i) for k in range(1, len(word)) if (a := rank.get(word[:k])) is not None and (b := rank.get(word[k:])) is not None]
-        self._table("merges", pd.DataFrame(splits, columns=["l", "r", "m"], dtype="int32"))
-        self._table("vocabulary", pd.DataFrame({"id": list(rank.values()), "bytes": list(rank)}))
-        self.bytes = {i: word for word, i in rank.items()}
+            for k in range(1, len(word)):
+                if (a := rank.get(word[:k])) is not None and (b := rank.get(word[k:])) is not None:
+                    merges["l"].append(a)
+                    merges["r"].append(b)
+                    merges["m"].append(i)
+        self._table("merges", pa.table({k: np.frombuffer(v, np.int32) for k, v in merges.items()}))
+        self._table("vocabulary", pa.table({"id": pa.array(rank.values(), pa.int32()), "bytes": pa.array(rank, pa.binary())}))
         self.single = np.array([rank[bytes([b])] for b in range(256)], np.int32)
 
-    def _table(self, name: str, frame: pd.DataFrame | pa.Table) -> None:
-        self.db.register("incoming", frame)
+    def _table(self, name: str, rows: pa.Table) -> None:
+        self.db.register("incoming", rows)
         self.db.execute(f"create or replace table {name} as select * from incoming")
         self.db.unregister("incoming")
 
     def learn(self, words: list[str]) -> None:
-        """Encode words that aren't known yet."""
-        queried = []
-        for word in words:
-            raw = word.encode("utf-8", "replace")
-            if (i := self.rank.get(raw)) is not None:
-                self.known[word] = (1, str(i), raw)
-            elif len(raw) > LONG_WORD:
-                ids = _heap_contract(raw, self.rank)
-                self.known[word] = (len(ids), ",".join(map(str, ids)), b"".join(self.bytes[i] for i in ids))
-            else:
-                queried.append(word)
-        for at in range(0, len(queried), QUERY_WORDS):
-            self._query(queried[at : at + QUERY_WORDS])
-
-    def _query(self, words: list[str]) -> None:
+        """Encode words that aren't known yet, in queries of words of like length."""
+        raws = [(w.encode("utf-8", "replace"), w) for w in words]
+        raws.sort(key=lambda x: len(x[0]))
+        at = 0
+        while at < len(raws) and len(raws[at][0]) <= LONG_WORD:
+            end, rows = at, 0
+            while end < len(raws) and len(raws[end][0]) <= LONG_WORD and (end == at or rows < STEP_ROWS):
+                rows += len(raws[end][0]) ** 2 // 2 + 1
+                end += 1
+            self._query(raws[at:end])
+            at = end
+        for pair in raws[at:]:
+            ids = np.array(_heap_contract(pair[0], self.rank), np.int32)
+            self._table("contracted", pa.table({"w": np.zeros(len(ids), np.int32), "p": np.arange(len(ids), dtype=np.int32), "t": ids}))
+            self._spell([pair])
+
+    def _query(self, words: list[tuple[bytes, str]]) -> None:
         """Encode some words by the recursive query."""
-        raws = [w.encode("utf-8", "replace") for w in words]
-        sizes = np.array([len(r) for r in raws])
+        sizes = np.array([len(r) for r, _ in words])
         starts = np.cumsum(sizes) - sizes
         places = np.arange(sizes.sum(), dtype=np.int32) - np.repeat(starts, sizes)
-        tokens = self.single[np.frombuffer(b"".join(raws), np.uint8)]
+        tokens = self.single[np.frombuffer(b"".join([r for r, _ in words]), np.uint8)]
         self._table("start", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "p": places.astype(np.int32), "t": tokens}))
         self.db.execute(f"create or replace table contracted as {CONTRACT}")
-        for w, n, ids, raw in self.db.execute(SPELL).fetchall():
-            self.known[words[w]] = (n, ids, raw)
+        self._spell(words)
+
+    def _spell(self, words: list[tuple[bytes, str]]) -> None:
+        """Remember the ids and the decoded bytes of the words in ``contracted``."""
+        for w, ids, raw in self.db.execute(SPELL).fetchall():
+            self.known[words[w][1]] = found = ids.encode() + b"\0" + raw
+            self.held += len(found) + len(words[w][1]) + WORD_OVERHEAD
 
     def spell(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """(number of ids, ids joined by commas, decoded bytes) of every text."""
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known, self.older = {}, self.known
+        if self.held > REMEMBERED_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
         found = [self.find(t) for t in texts]
         known, older, new = self.known, self.older, []
         for w in set().union(*found):
             if w not in known:
                 if w in older:
                     known[w] = older[w]
+                    self.held += len(older[w]) + len(w) + WORD_OVERHEAD
                 else:
                     new.append(w)
         self.learn(new)
         for words in found:
-            parts = [known[w] for w in words]
-            yield sum([p[0] for p in parts]), ",".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
+            parts = [known[w].partition(b"\0") for w in words]
+            ids = b",".join([p[0] for p in parts]).decode()
+            yield ids.count(",") + 1 if ids else 0, ids, b"".join([p[2] for p in parts])
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = KEPT.setdefault("byte_bpe", {})
@@ -162,6 +181,7 @@ _ENCODERS: dict[tuple[str, str], Encoder] = KEPT.setdefault("byte_bpe", {})
 def encoder(path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> Encoder:
     """One encoder a Python process, so that tasks on the same worker share its words until another operator runs."""
     if (path, pattern) not in _ENCODERS:
+        give_back()
         _ENCODERS[path, pattern] = Encoder(path, pattern)
     return _ENCODERS[path, pattern]
 
@@ -189,7 +209,7 @@ def encode(documents: DataFrame, digest: bool = False, path: str = VOCABULARY) -
         from loomgraph.llm import byte_bpe  # the worker's own module, whose encoder outlives the task
 
         own = byte_bpe.encoder(path)
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             at = 0
             for group in byte_bpe.groups(texts):

@@ -1,14 +1,15 @@
 """HTML extraction by a recurrent block labeller.
 
 A page is cut into leaf blocks: the text between block-level tags, with character references decoded, white space
-folded and scripts, styles and comments left out. Each block is a bag of hashed features: the tags, classes and ids on
-its path, some of its words, its length and its link share. A bidirectional LSTM in numpy reads the page's whole
-sequence of blocks and labels each one as main text or not, so that every decision sees the whole document. The main
-blocks are joined in page order by an empty line.
-
-The network is trained in the driver on made-up pages of many layouts (TRAINING_PAGES of them, from a fixed seed); no
-row of a table takes part. Null, empty and tagless inputs have defined results: no text, or the whole text as one
-block. Repeated rows each give a row; extra columns are ignored. Broken nesting and cut-off tags are tolerated.
+folded and scripts, styles and comments left out. Each block is a bag of hashed, weighted features: all tags, classes
+and ids on its whole path, all its words (together they weigh as much as WORDS_WEIGH of them), its length and its link
+share. A bidirectional LSTM in numpy reads the page's whole sequence of blocks and labels each one as main text or not,
+so that every decision sees the whole document. The main blocks are joined in page order by an empty line.
+
+The network is trained in the driver on made-up pages of many layouts (TRAINING_PAGES of them, from a fixed seed, in
+double precision); no row of a table takes part. Null, empty and tagless inputs have defined results: no text, or the
+whole text as one block. Repeated rows each give a row; extra columns are ignored. Broken nesting and cut-off tags are
+tolerated: what can't stand in a head ends it, and an unclosed silent element ends with its parent.
 """
 
 from __future__ import annotations
@@ -31,84 +32,116 @@ from loomgraph.llm.common import table
 #: Tags that end a block. Fixed values of the HTML vocabulary.
 BLOCK_TAGS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Tags that may stand in a head; any other ends it.
+HEAD_TAGS = set("base basefont bgsound head html link meta noscript script style template title".split())
 SILENT_TAGS = {"script", "style", "template", "svg", "math", "head", "title", "iframe", "object", "audio", "video", "canvas"}
 #: A start tag of the key closes an open tag of the values.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-NAME_BUCKETS, PATH_BUCKETS, WORD_BUCKETS, SHAPE_BUCKETS = 4096, 4096, 1024, 32
+NAME_BUCKETS, PATH_BUCKETS, WORD_BUCKETS, SHAPE_BUCKETS = 4096, 4096, 1 << 15, 32
 INPUTS = NAME_BUCKETS + PATH_BUCKETS + WORD_BUCKETS + SHAPE_BUCKETS
-HIDDEN, WORDS_READ = 16, 8
+HIDDEN, WORDS_WEIGH = 16, 4
+#: A word is a run of letters.
+WORD = re.compile(r"[^\W\d_]+")
 TRAINING_PAGES, EPOCHS, BATCH, SEED = 1200, 10, 24, 11
-#: A feature takes part in training if so many made-up pages have it.
-FEW = 20
+#: A feature takes part in training if so many made-up pages have it; input weights decay by DECAY of themselves a step.
+FEW, DECAY = 20, 3e-4
 
 
 @dataclass
 class Block:
+    """Text, the distinct names on its path from the root, those of its own element, the hash of the whole path, linked characters."""
+
     text: str
     path: tuple[str, ...]
+    own: tuple[str, ...]
+    whole: int
     linked: int
 
 
+@dataclass(frozen=True)
+class _Open:
+    """An open element with what its path has had so far, so that a deep nesting costs no more than a flat one."""
+
+    tag: str
+    own: tuple[str, ...] = ()
+    path: tuple[str, ...] = ()
+    whole: int = 0
+
+
+_ROOT = _Open("")
+
+
 class _Blocks(HTMLParser):
     """Collects the leaf blocks of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.open: list[_Open] = []
         self.blocks: list[Block] = []
         self.held: list[str] = []
         self.links = self.linked = self.silent = 0
+        self.depth: dict[str, int] = {}
 
     def end_block(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
-            self.blocks.append(Block(text, tuple(x for _, names in self.open[-8:] for x in names), self.linked))
+            at = self.open[-1] if self.open else _ROOT
+            self.blocks.append(Block(text, at.path, at.own, at.whole, self.linked))
         self.held, self.linked, self.links = [], 0, 0
 
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        up = self.open[-1] if self.open else _ROOT
+        new = tuple(dict.fromkeys(n for n in names if n not in up.path))
+        self.open.append(_Open(tag, names, up.path + new if new else up.path, zlib.crc32("/".join(names).encode("utf-8", "surrogatepass"), up.whole)))
+        self.depth[tag] = self.depth.get(tag, 0) + 1
+        self.silent += tag in SILENT_TAGS
+
+    def pop(self) -> str:
+        tag = self.open.pop().tag
+        self.depth[tag] -= 1
+        self.silent -= tag in SILENT_TAGS
+        return tag
+
+    def end_head(self) -> None:
+        while self.depth.get("head"):
+            self.pop()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag == "body":
-            self.silent = 0
-        if tag in SILENT_TAGS and tag not in VOID_TAGS:
-            self.silent += 1
-            self.end_block()
-            self.open.append((tag, (tag,)))
-            return
-        if self.silent:
-            return
-        if tag == "br":
-            self.held.append(" ")
-        elif tag == "a":
-            self.links += 1
-        if tag not in BLOCK_TAGS:
-            return
-        self.end_block()
-        if tag in VOID_TAGS:
+        if tag not in HEAD_TAGS:
+            self.end_head()
+        if not self.silent:
+            if tag == "br":
+                self.held.append(" ")
+            elif tag == "a":
+                self.links += 1
+        if tag in VOID_TAGS or (tag not in BLOCK_TAGS and tag not in SILENT_TAGS):
+            if tag in BLOCK_TAGS and not self.silent:
+                self.end_block()
             return
-        shut = CLOSES.get(tag, set()) | {"p"} if tag != "option" else CLOSES[tag]
-        while self.open and self.open[-1][0] in shut:
-            self.open.pop()
+        if not self.silent:
+            self.end_block()
+        shut = set() if tag in SILENT_TAGS else CLOSES.get(tag, set()) | {"p"} if tag != "option" else CLOSES[tag]
+        while self.open and self.open[-1].tag in shut:
+            self.pop()
         names = [tag]
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
-                names += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())[:8]
-        self.open.append((tag, tuple(names)))
+                names += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+        self.push(tag, tuple(names))
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
             self.links = max(0, self.links - 1)
-        if tag not in BLOCK_TAGS and tag not in SILENT_TAGS:
-            return
-        if not any(t == tag for t, _ in self.open):
+        if not self.depth.get(tag):
             return
         if not self.silent:
             self.end_block()
-        while self.open:
-            t, _ = self.open.pop()
-            self.silent -= t in SILENT_TAGS and self.silent > 0
-            if t == tag:
-                break
+        while self.pop() != tag:
+            pass
 
     def handle_data(self, data: str) -> None:
+        if self.silent and self.open[-1].tag == "head" and data.strip():
+            self.end_head()
         if not self.silent:
             self.held.append(data)
             if self.links:
@@ -134,20 +167,25 @@ def _bucket(kind: str, name: str) -> int:
     return NAME_BUCKETS + (PATH_BUCKETS + h % WORD_BUCKETS if kind == "word" else h % PATH_BUCKETS)
 
 
-def features(page: list[Block]) -> list[list[int]]:
-    """The numbers of each block's features."""
+#: A block's features: numbers with weights.
+Bag = list[tuple[int, float]]
+
+
+def features(page: list[Block]) -> list[Bag]:
+    """The features of each block."""
     out = []
     shape = NAME_BUCKETS + PATH_BUCKETS + WORD_BUCKETS
     for b in page:
-        f = [_bucket("name", x) for x in dict.fromkeys(b.path)]
+        f = [(_bucket("name", x), 1.0) for x in b.path]
         if b.path:
-            f += [_bucket("leaf", b.path[-1]), _bucket("whole", "/".join(b.path)), _bucket("near", "/".join(b.path[-2:]))]
-        f += [_bucket("word", w.lower()) for w in [w for w in b.text[:200].split() if w.isalpha()][:WORDS_READ]]
+            f += [(_bucket("leaf", b.own[-1]), 1.0), (_bucket("near", "/".join(b.own[-2:])), 1.0), (NAME_BUCKETS + b.whole % PATH_BUCKETS, 1.0)]
+        words = set(WORD.findall(b.text.lower()))
+        f += [(_bucket("word", w), min(1.0, WORDS_WEIGH / len(words))) for w in words]
         size, share = len(b.text), b.linked / len(b.text)
-        f.append(shape + min(11, int(np.log2(size + 1))))
-        f.append(shape + 12 + min(4, int(5 * share)))
-        f.append(shape + 20 + (b.text[-1] in ".!?…:;"))
-        out.append(f)
+        f.append((shape + min(11, int(np.log2(size + 1))), 1.0))
+        f.append((shape + 12 + min(4, int(5 * share)), 1.0))
+        f.append((shape + 20 + (b.text[-1] in ".!?…:;"), 1.0))
+        out.append(sorted(f))
     return out
 
 
@@ -156,35 +194,40 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Labeller:
-    """A bidirectional LSTM over sequences of feature bags with a logistic output for each block."""
+    """A bidirectional LSTM over sequences of feature bags with a logistic output for each block.
+
+    ``place`` is the row of each feature in the input weights; features that training never saw share a row of zeros.
+    """
 
     def __init__(self, seed: int = SEED) -> None:
         r = np.random.default_rng(seed)
         h = HIDDEN
+        self.place = np.arange(INPUTS)
         self.w = {}
         for d in ("f", "b"):
-            self.w[f"e{d}"] = np.zeros((INPUTS, 4 * h), np.float32)  # a feature that training never saw says nothing
-            self.w[f"u{d}"] = (r.standard_normal((h, 4 * h)) / np.sqrt(h)).astype(np.float32)
-            self.w[f"c{d}"] = np.repeat(np.float32([0, 1, 0, 0]), h)
-        self.w["o"] = (r.standard_normal(2 * h) / np.sqrt(2 * h)).astype(np.float32)
-        self.w["ob"] = np.zeros(1, np.float32)
+            self.w[f"e{d}"] = np.zeros((INPUTS, 4 * h), np.float64)  # a feature that training never saw says nothing
+            self.w[f"u{d}"] = (r.standard_normal((h, 4 * h)) / np.sqrt(h)).astype(np.float64)
+            self.w[f"c{d}"] = np.repeat(np.float64([0, 1, 0, 0]), h)
+        self.w["o"] = (r.standard_normal(2 * h) / np.sqrt(2 * h)).astype(np.float64)
+        self.w["ob"] = np.zeros(1, np.float64)
 
-    def _layout(self, pages: list[list[list[int]]]):
+    def _layout(self, pages: list[list[Bag]]):
         lengths = np.array([len(p) for p in pages])
         bags = [f for p in pages for f in p]
-        flat = np.fromiter((x for f in bags for x in f), np.int64)
+        flat = self.place[np.fromiter((x for f in bags for x, _ in f), np.int64)]
+        scale = np.fromiter((w for f in bags for _, w in f), np.float64)[:, None]
         sizes = np.array([len(f) for f in bags])
         t, b = np.concatenate([np.arange(n) for n in lengths]), np.repeat(np.arange(len(pages)), lengths)
-        return lengths, flat, sizes, np.cumsum(sizes) - sizes, t, b, lengths[b] - 1 - t
+        return lengths, flat, scale, sizes, np.cumsum(sizes) - sizes, t, b, lengths[b] - 1 - t
 
     def _run(self, d: str, x: np.ndarray, t: np.ndarray, b: np.ndarray, steps: int, width: int, keep: bool):
         """Hidden states [step, page] for inputs placed at (t, b); padding comes after each page's end."""
         h = HIDDEN
-        grid = np.zeros((steps, width, 4 * h), np.float32)
+        grid = np.zeros((steps, width, 4 * h), np.float64)
         grid[t, b] = x
         u = self.w[f"u{d}"]
-        state, cell = np.zeros((width, h), np.float32), np.zeros((width, h), np.float32)
-        states = np.zeros((steps + 1, width, h), np.float32)
+        state, cell = np.zeros((width, h), np.float64), np.zeros((width, h), np.float64)
+        states = np.zeros((steps + 1, width, h), np.float64)
         tape = []
         for s in range(steps):
             z = grid[s] + state @ u
@@ -198,32 +241,32 @@ class Labeller:
                 tape.append((i, f, o, g, before, squashed))
         return states, tape
 
-    def _inputs(self, d: str, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.w[f"e{d}"][flat], starts, axis=0) + self.w[f"c{d}"]
+    def _inputs(self, d: str, flat: np.ndarray, scale: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.w[f"e{d}"][flat] * scale, starts, axis=0) + self.w[f"c{d}"]
 
-    def chance(self, pages: list[list[list[int]]]) -> list[np.ndarray]:
+    def chance(self, pages: list[list[Bag]]) -> list[np.ndarray]:
         """For each page the chance of every block to be main text. Pages need a block or more."""
-        lengths, flat, sizes, starts, t, b, back = self._layout(pages)
+        lengths, flat, scale, sizes, starts, t, b, back = self._layout(pages)
         steps, width = int(lengths.max()), len(pages)
-        ahead, _ = self._run("f", self._inputs("f", flat, starts), t, b, steps, width, False)
-        behind, _ = self._run("b", self._inputs("b", flat, starts), back, b, steps, width, False)
+        ahead, _ = self._run("f", self._inputs("f", flat, scale, starts), t, b, steps, width, False)
+        behind, _ = self._run("b", self._inputs("b", flat, scale, starts), back, b, steps, width, False)
         z = ahead[t + 1, b] @ self.w["o"][:HIDDEN] + behind[back + 1, b] @ self.w["o"][HIDDEN:] + self.w["ob"]
         return np.split(_sigmoid(z), np.cumsum(lengths)[:-1])
 
-    def gradients(self, pages: list[list[list[int]]], labels: np.ndarray) -> dict[str, np.ndarray]:
-        lengths, flat, sizes, starts, t, b, back = self._layout(pages)
+    def gradients(self, pages: list[list[Bag]], labels: np.ndarray) -> dict[str, np.ndarray]:
+        lengths, flat, scale, sizes, starts, t, b, back = self._layout(pages)
         steps, width, h = int(lengths.max()), len(pages), HIDDEN
-        runs = {d: self._run(d, self._inputs(d, flat, starts), place, b, steps, width, True) for d, place in (("f", t), ("b", back))}
+        runs = {d: self._run(d, self._inputs(d, flat, scale, starts), place, b, steps, width, True) for d, place in (("f", t), ("b", back))}
         hf, hb = runs["f"][0][t + 1, b], runs["b"][0][back + 1, b]
         e = (_sigmoid(hf @ self.w["o"][:h] + hb @ self.w["o"][h:] + self.w["ob"]) - labels) / len(labels)
         out = {"o": np.concatenate((hf.T @ e, hb.T @ e)), "ob": e.sum(keepdims=True)}
         for d, place, w in (("f", t, self.w["o"][:h]), ("b", back, self.w["o"][h:])):
             states, tape = runs[d]
-            down = np.zeros((steps, width, h), np.float32)
+            down = np.zeros((steps, width, h), np.float64)
             down[place, b] = e[:, None] * w
             u = self.w[f"u{d}"]
-            du, dgrid = np.zeros_like(u), np.zeros((steps, width, 4 * h), np.float32)
-            dstate, dcell = np.zeros((width, h), np.float32), np.zeros((width, h), np.float32)
+            du, dgrid = np.zeros_like(u), np.zeros((steps, width, 4 * h), np.float64)
+            dstate, dcell = np.zeros((width, h), np.float64), np.zeros((width, h), np.float64)
             for s in range(steps - 1, -1, -1):
                 i, f, o, g, before, squashed = tape[s]
                 dstate = dstate + down[s]
@@ -236,16 +279,21 @@ class Labeller:
             de = np.zeros_like(self.w[f"e{d}"])
             order = np.argsort(flat, kind="stable")
             first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-            de[flat[order][first]] = np.add.reduceat(np.repeat(dx, sizes, axis=0)[order], first, axis=0)
+            de[flat[order][first]] = np.add.reduceat((np.repeat(dx, sizes, axis=0) * scale)[order], first, axis=0)
             out |= {f"u{d}": du, f"c{d}": dx.sum(axis=0), f"e{d}": de}
         return out
 
-    def train(self, pages: list[list[list[int]]], labels: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.03) -> None:
+    def train(self, pages: list[list[Bag]], labels: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.03) -> None:
         """Adam over batches of pages of like length; a fixed seed makes it repeatable. Features of few pages are left out."""
-        seen = np.bincount(np.concatenate([np.unique(np.concatenate(p)) for p in pages]), minlength=INPUTS)
+        seen = np.bincount(np.concatenate([np.unique([x for f in p for x, _ in f]) for p in pages]), minlength=INPUTS)
         rows = np.flatnonzero(seen >= FEW)
+        self.place = np.full(INPUTS, len(rows))
+        self.place[rows] = np.arange(len(rows))
+        for d in "fb":
+            self.w[f"e{d}"] = np.zeros((len(rows) + 1, 4 * HIDDEN))
+        pages = [[[x for x in f if seen[x[0]] >= FEW] or f[:1] for f in p] for p in pages]
         r = np.random.default_rng(SEED)
-        m, v = ({k: np.zeros_like(x[rows] if k[0] == "e" else x) for k, x in self.w.items()} for _ in range(2))
+        m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
         count = 0
         for epoch in range(epochs):
             slower = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
@@ -256,15 +304,12 @@ class Labeller:
                 own = batches[k]
                 count += 1
                 for name, g in self.gradients([pages[i] for i in own], np.concatenate([labels[i] for i in own])).items():
-                    wide = name[0] == "e"
-                    g = g[rows] if wide else g
+                    if name[0] == "e":
+                        g += DECAY * self.w[name]
+                        g[-1] = 0
                     m[name] += 0.1 * (g - m[name])
                     v[name] += 0.01 * (g**2 - v[name])
-                    step = (slower * (m[name] / (1 - 0.9**count)) / (np.sqrt(v[name] / (1 - 0.99**count)) + 1e-8)).astype(np.float32)
-                    if wide:
-                        self.w[name][rows] -= step
-                    else:
-                        self.w[name] -= step
+                    self.w[name] -= slower * (m[name] / (1 - 0.9**count)) / (np.sqrt(v[name] / (1 - 0.99**count)) + 1e-8)
 
 
 # Names that page parts commonly carry in classes and ids; the made-up pages draw on them. Fixed values.
@@ -378,14 +423,14 @@ def made_up_page(r: random.Random) -> tuple[str, list[str]]:
     return f"<!DOCTYPE html><html><head><title>{sentence(2, 6)}</title></head><body>{body}</body></html>", main
 
 
-def labelled(html: str, main: list[str]) -> tuple[list[list[int]], np.ndarray]:
+def labelled(html: str, main: list[str]) -> tuple[list[Bag], np.ndarray]:
     """Features and labels of a page; main blocks come in order."""
     page, at, labels = blocks(html), 0, []
     for b in page:
         hit = at < len(main) and b.text == main[at]
         labels.append(float(hit))
         at += hit
-    return features(page), np.array(labels, np.float32)
+    return features(page), np.array(labels, np.float64)
 
 
 @lru_cache(maxsize=1)

@@ -224,7 +224,7 @@ def predict(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_i
         free_kept()
         model = shared.value
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            for first, texts in grouped(batch.column("text").to_pylist(), GROUP * LANGUAGES // max(LANGUAGES, len(model.languages))):
+            for first, texts in grouped(batch.column(read).to_pylist(), GROUP * LANGUAGES // max(LANGUAGES, len(model.languages))):
                 found = model.infer(texts)
                 own = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays(
@@ -232,7 +232,10 @@ def predict(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_i
                     names=[*names, "lang_pred", "score", "languages", "ordinary"],
                 )
 
-    source = documents.select(*(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)), F.col("text").cast("string").alias("text"))
+    # A carried text is read where it is carried, so that it goes to Python once.
+    read = names[carry.index("text")] if "text" in carry else "text"
+    extra = [] if "text" in carry else [F.col("text").cast("string").alias("text")]
+    source = documents.select(*((F.col(c).cast("string") if c == "text" else F.col(c)).alias(n) for c, n in zip(carry, names, strict=True)), *extra)
     kept = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names)
     found = source.mapInArrow(run, f"{kept}, lang_pred string, score double, languages map<string,double>, ordinary double")
     return found.withColumnsRenamed(dict(zip(names, carry, strict=True)))

@@ -3,8 +3,9 @@
 The statistics of each whole text are taken once and written to the shared folder. Random Fourier features approximate
 a Gaussian kernel over the standardised statistics; each partition sums its part of the normal equations of a ridge
 regression on the labels, and Spark adds the parts entry by entry, so that the driver gets a matrix of fixed size
-whatever the corpus. Raw scores of the labelled rows are counted in BINS bins and made monotone by pooling adjacent
-violators; a score is the calibrated chance of label 1.
+whatever the corpus. The sums are kept by FOLDS folds, so that each fold's rows can be scored by weights that the others
+taught. These raw scores are counted in BINS bins and made monotone by pooling adjacent violators; a score is the
+calibrated chance of label 1.
 
 All labelled rows outside the held-out fold teach. Empty and null texts have zero statistics and a score like any
 other. Without labels of both kinds every score is the share of label 1 (0.5 without any label). Repeated rows each
@@ -25,7 +26,7 @@ from loomgraph.llm.common import WordHasher, held_out, materialise, table
 from loomgraph.llm.quality_rules import STOP_WORDS
 
 FEATURES, SEED, WIDTH, RIDGE = 192, 20_240_229, 3.0, 1e-3
-BINS = 512
+BINS, FOLDS = 512, 4
 THRESHOLD = 0.3
 STATISTICS = ("words", "word_length", "letters", "digits", "symbols", "bangs", "bars", "stops", "upper", "not_ascii", "distinct", "top_word", "repeated_lines", "line_words", "repeated_grams", "short_words")
 _STOP = np.sort(np.concatenate([WordHasher().words(w)[0] for w in STOP_WORDS]))
@@ -118,7 +119,7 @@ def pool(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: DataFrame) -> Model:
-    """A model from rows (x, y) with y 0 or 1."""
+    """A model from rows (x, y, fold) with y 0 or 1 and fold from 0 to FOLDS - 1."""
     d = len(STATISTICS)
     sums = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), *(f(F.col("x")[i]).alias(f"{k}{i}") for i in range(d) for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     centre, spread = np.zeros(d), np.ones(d)
@@ -131,29 +132,40 @@ def train(labelled: DataFrame) -> Model:
     model = blank
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES + 2, FEATURES + 2))
+        total = np.zeros((FOLDS, FEATURES + 2, FEATURES + 2))
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 z = np.hstack((model.features(_matrix(part.column("x"))), part.column("y").to_numpy(zero_copy_only=False)[:, None].astype(float)))
-                total += z.T @ z
+                fold = part.column("fold").to_numpy(zero_copy_only=False)
+                for k in range(FOLDS):
+                    total[k] += z[fold == k].T @ z[fold == k]
         i, j = np.triu_indices(FEATURES + 2)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "v"])
+        for k in range(FOLDS):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[k, i, j])], names=["fold", "i", "j", "v"])
 
-    parts = labelled.select("x", "y").mapInArrow(normal, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
-    full = np.zeros((FEATURES + 2, FEATURES + 2))
-    i, j, v = (parts.column(c).to_numpy() for c in ("i", "j", "v"))
-    full[i, j] = full[j, i] = v
-    penalty = RIDGE * sums["n"] * np.eye(FEATURES + 1)
-    penalty[0, 0] = 0
-    model.weights = np.linalg.solve(full[:-1, :-1] + penalty, full[:-1, -1])
+    parts = labelled.select("x", "y", "fold").mapInArrow(normal, "fold int, i int, j int, v double").groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).toArrow()
+    full = np.zeros((FOLDS, FEATURES + 2, FEATURES + 2))
+    k, i, j, v = (parts.column(c).to_numpy() for c in ("fold", "i", "j", "v"))
+    full[k, i, j] = full[k, j, i] = v
+
+    def solved(total: np.ndarray) -> np.ndarray:
+        penalty = RIDGE * total[0, 0] * np.eye(FEATURES + 1)
+        penalty[0, 0] = 1e-9
+        return np.linalg.solve(total[:-1, :-1] + penalty, total[:-1, -1])
+
+    model.weights = solved(full.sum(axis=0))
+    # A fold that holds all rows leaves nothing to learn from; its rows are scored by the whole.
+    apart = np.stack([solved(full.sum(axis=0) - full[k]) if full[k][0, 0] < sums["n"] else model.weights for k in range(FOLDS)])
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.clip(np.floor((model.raw(_matrix(batch.column("x"))) + 0.5) * (BINS / 2)), 0, BINS - 1).astype(np.int32)
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            raw = np.einsum("ij,ij->i", model.features(_matrix(batch.column("x"))), apart[fold])
+            at = np.clip(np.floor((raw + 0.5) * (BINS / 2)), 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("y")], names=["bin", "y"])
 
-    bins = labelled.select("x", "y").mapInArrow(binned, "bin int, y int").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).orderBy("bin").toArrow()
+    bins = labelled.select("x", "y", "fold").mapInArrow(binned, "bin int, y int").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).orderBy("bin").toArrow()
     at, n, y = (bins.column(c).to_numpy().astype(float) for c in ("bin", "n", "y"))
     model.edges = (at + 0.5) / (BINS / 2) - 0.5
     model.values = pool(y / n, n)
@@ -174,7 +186,8 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     rows = materialise(measured(documents), "statistics")
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y"))
-    labelled = materialise(rows.where(~held_out()).join(known, "doc_id").select("x", "y"), "labelled")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    labelled = materialise(rows.where(~held_out()).join(known, "doc_id").select("x", "y", fold), "labelled")
     return score(rows, train(labelled)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

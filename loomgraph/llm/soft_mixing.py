@@ -6,7 +6,8 @@ domains ``clean``, ``low`` and ``toxic``. Document rates are the nonnegative sol
 projected gradient steps from rate 1, scaled by the documents that can still move and halved where they don't help,
 until the expected tokens of each domain match the targets. A step needs a few sums over the corpus; a rate is a closed
 expression of the document's posteriors and the steps so far, so nothing but those sums is collected and no rates are
-stored between steps.
+stored between steps. The steps end when the targets are met to TOLERANCE or no step of any size helps any more, as with
+targets that no rates can meet; ``met`` says which.
 
 Targets are token budgets by domain. By default the domains' shares are WEIGHTS and the budget is as large as the
 clean tokens allow (with HEADROOM over them). copies is the rate rounded up or down by a hash of text and doc_id, right
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHasher, held_out, materialise, table
+from loomgraph.llm.common import WordHasher, forget, held_out, materialise, table
 from loomgraph.llm.quality_kernel import STATISTICS, statistics
 
 DOMAINS = ("clean", "low", "toxic")
@@ -37,7 +38,9 @@ WIDTH = BUCKETS + CELLS * len(STATISTICS)
 SAMPLE = 20_000
 SIGNIFICANT, MOST_FEATURES = 30.0, 384
 RIDGE, FIT_STEPS = 1e-3, 250
-STEPS, TOLERANCE = 40, 1e-5
+TOLERANCE = 1e-5
+#: A step scaled down so far, or one that shortens the distance by less than this share, doesn't help any more.
+LEAST_SCALE, LEAST_GAIN = 2.0**-20, 1e-4
 
 
 def features(text: str | None, hasher: WordHasher) -> tuple[int, np.ndarray]:
@@ -75,20 +78,27 @@ def sampled(labels: DataFrame) -> DataFrame:
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Counts of every feature by domain over the sampled labelled documents; the sample's size bounds the broadcast."""
     text = F.col("text").cast("string").alias("text")
-    own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).join(F.broadcast(sampled(labels)), "doc_id")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).join(F.broadcast(sampled(labels)), "doc_id")
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            lists = [features(t, hasher)[1].astype(np.int32) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("domain").cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["domain", "features"])
+
+    own = materialise(texts.select("text", "domain").mapInArrow(taken, "domain int, features array<int>"), "taught")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = WordHasher(), np.zeros((WIDTH + 1, len(DOMAINS)), np.int64)
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            d = batch.column("domain").to_numpy(zero_copy_only=False).astype(np.int64)
-            lists = [features(t, hasher)[1] for t in batch.column("text").to_pylist()]
-            f = np.concatenate(lists)
-            counts += np.bincount(f * len(DOMAINS) + np.repeat(d, [len(x) for x in lists]), minlength=counts.size).reshape(counts.shape)
+        counts = np.zeros((WIDTH + 1, len(DOMAINS)), np.int64)
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            d, lists = batch.column("domain").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("features")
+            f = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            counts += np.bincount(f * len(DOMAINS) + np.repeat(d, np.asarray(lists.value_lengths())), minlength=counts.size).reshape(counts.shape)
             counts[WIDTH] += np.bincount(d, minlength=len(DOMAINS))
         at = np.flatnonzero(counts.sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(counts[at, k]) for k in range(len(DOMAINS)))], names=["feature", *DOMAINS])
 
-    summed = own.select("text", "domain").mapInArrow(run, "feature int, " + ", ".join(f"{d} bigint" for d in DOMAINS)).groupBy("feature").agg(*(F.sum(d).alias(d) for d in DOMAINS)).toArrow()
+    summed = own.mapInArrow(run, "feature int, " + ", ".join(f"{d} bigint" for d in DOMAINS)).groupBy("feature").agg(*(F.sum(d).alias(d) for d in DOMAINS)).toArrow()
     counts = np.zeros((WIDTH + 1, len(DOMAINS)))
     counts[summed.column("feature").to_numpy()] = np.stack([summed.column(d).to_numpy() for d in DOMAINS], axis=1)
     total, counts = counts[WIDTH], counts[:WIDTH]
@@ -101,7 +111,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     chi = ((counts - expected) ** 2 / expected).sum(axis=1) + ((counts - expected) ** 2 / np.maximum(total - expected, 1e-9)).sum(axis=1)
     best = np.argsort(-chi, kind="stable")[:MOST_FEATURES]
     kept = np.sort(best[chi[best] > SIGNIFICANT])
-    found = own.select("text", "domain").mapInArrow(picked(kept), "domain int, features array<int>").toArrow()
+    found = own.mapInArrow(picked(kept), "domain int, features array<int>").toArrow()
+    forget(own)
     d = found.column("domain").to_numpy().astype(int)
     x = np.zeros((len(d), len(kept)), np.float32)
     lists = found.column("features").combine_chunks()
@@ -113,13 +124,13 @@ def picked(kept: np.ndarray):
     """For each sampled text its domain and which of the kept features it has: at most SAMPLE rows of MOST_FEATURES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
-                at = np.searchsorted(kept, found := features(text, hasher)[1])
+            for found in batch.column("features"):
+                found = found.values.to_numpy(zero_copy_only=False)
+                at = np.searchsorted(kept, found)
                 out.append(at[kept[np.minimum(at, len(kept) - 1)] == found] if len(kept) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("domain").cast(pa.int32()), pa.array(out, pa.list_(pa.int32()))], names=["domain", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("domain"), pa.array(out, pa.list_(pa.int32()))], names=["domain", "features"])
 
     return run
 
@@ -164,13 +175,15 @@ def predict(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_i
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [features(t, hasher) for t in part.column("text").to_pylist()]
+                found = [features(t, hasher) for t in part.column(read).to_pylist()]
                 p = np.array([model.posterior(f[1]) for f in found])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), part.column("u"), pa.array([f[0] for f in found], pa.int64()), *(pa.array(p[:, k]) for k in range(len(DOMAINS)))], names=[*names, "u", "n_tokens", *(f"p_{d}" for d in DOMAINS)])
 
     text = F.col("text").cast("string")
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), text), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    source = documents.select(*(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)), text.alias("text"), u.alias("u"))
+    # A carried text is read where it is carried, so that it goes to Python once.
+    read = names[carry.index("text")] if "text" in carry else "text"
+    source = documents.select(*((text if c == "text" else F.col(c)).alias(n) for c, n in zip(carry, names, strict=True)), *([] if "text" in carry else [text.alias("text")]), u.alias("u"))
     kept = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names)
     found = source.mapInArrow(run, f"{kept}, u double, n_tokens bigint, " + ", ".join(f"p_{d} double" for d in DOMAINS))
     return found.withColumnsRenamed(dict(zip(names, carry, strict=True)))
@@ -184,8 +197,11 @@ def _rate(steps: list[np.ndarray]) -> Column:
     return rate
 
 
-def solve(rows: DataFrame, weights: Mapping[str, float] | None = None, targets: Mapping[str, float] | None = None) -> list[np.ndarray]:
-    """Steps whose rates make the expected tokens of the domains match ``targets`` (default: from ``weights``)."""
+def solve(rows: DataFrame, weights: Mapping[str, float] | None = None, targets: Mapping[str, float] | None = None) -> tuple[list[np.ndarray], bool]:
+    """Steps whose rates make the expected tokens of the domains match ``targets`` (default: from ``weights``), and whether they do.
+
+    Without any tokens there are no steps, and only targets of 0 are met.
+    """
     t = F.col("n_tokens").cast("double")
     k = len(DOMAINS)
     p = [F.col(f"p_{d}") for d in DOMAINS]
@@ -202,7 +218,7 @@ def solve(rows: DataFrame, weights: Mapping[str, float] | None = None, targets:
 
     total, got, metric = measured([])
     if total == 0:
-        return []
+        return [], not any((targets or {}).values())
     if targets is not None:
         goal = np.array([targets[d] for d in DOMAINS]) / total
     else:
@@ -211,23 +227,22 @@ def solve(rows: DataFrame, weights: Mapping[str, float] | None = None, targets:
         goal = share * (got[0] / share[0] if share[0] else 1.0) * HEADROOM
     steps: list[np.ndarray] = []
     scale = 1.0
-    for _ in range(STEPS):
-        if np.abs(got - goal).max() < TOLERANCE:
-            break
+    while np.abs(got - goal).max() >= TOLERANCE and scale >= LEAST_SCALE:
         step = scale * np.linalg.solve(metric, got - goal)
         _, after, after_metric = measured([*steps, step])
-        if np.linalg.norm(after - goal) < np.linalg.norm(got - goal):
+        if np.linalg.norm(after - goal) < (1 - LEAST_GAIN) * np.linalg.norm(got - goal):
             steps, got, metric, scale = [*steps, step], after, after_metric, min(1.0, 2 * scale)
         else:
             scale /= 2
-    return steps
+    return steps, bool(np.abs(got - goal).max() < TOLERANCE)
 
 
 def mix(documents: DataFrame, labels: DataFrame, weights: Mapping[str, float] | None = None, targets: Mapping[str, float] | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """n_tokens, posteriors, rate and copies of every document, after the columns of ``documents`` to carry."""
+    """n_tokens, posteriors, rate, copies and met of every document, after the columns of ``documents`` to carry."""
     rows = materialise(predict(documents, train(documents, labels), carry), "posteriors")
-    rate = _rate(solve(rows, weights, targets))
-    return rows.select(*carry, "n_tokens", *(f"p_{d}" for d in DOMAINS), rate.alias("rate"), F.floor(rate + F.col("u")).cast("bigint").alias("copies"))
+    steps, met = solve(rows, weights, targets)
+    rate = _rate(steps)
+    return rows.select(*carry, "n_tokens", *(f"p_{d}" for d in DOMAINS), rate.alias("rate"), F.floor(rate + F.col("u")).cast("bigint").alias("copies"), F.lit(met).alias("met"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 A text's UTF-8 bytes are padded with zeros to a positive multiple of 64 and stored as the elementary stream of a
 one-program transport stream: packets of 188 bytes, a program association and a program map table, and elementary
-packets of up to UNIT bytes with presentation timestamps, every KEY_EVERY-th of them a random-access point. Reading
+packets of up to UNIT bytes with presentation timestamps, every KEY_EVERY-th of them a random-access point that carries
+the program's clock reference. Reading
 parses the tables (checking their CRC), checks the continuity counters, reassembles the elementary packets and lists
-timestamps and random-access points. Null texts count as empty; equal texts give equal values; a stream with a lost,
+timestamps, clock references and random-access points, which are stored as columns. Null texts count as empty; equal texts give equal values; a stream with a lost,
 repeated or damaged packet is refused with ValueError.
 """
 
@@ -78,7 +79,7 @@ def mux(payload: bytes) -> bytes:
         key = unit % KEY_EVERY == 0
         pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(data) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _timestamp(unit * TICKS) + data
         # The first packet's adaptation field carries the random-access flag, the last one's pads; others are full.
-        lead = 2 if key else 0
+        lead = 8 if key else 0
         n = 1 + max(0, -(-(len(pes) - (BODY - lead)) // BODY))
         spare = n * BODY - lead - len(pes)
         packets = np.full((n, PACKET), 0xFF, np.uint8)
@@ -96,7 +97,9 @@ def mux(payload: bytes) -> bytes:
                 packets[i, 3] |= 0x20
                 packets[i, 4] = field[i] - 1
                 if field[i] > 1:
-                    packets[i, 5] = 0x40 if key and i == 0 else 0x00
+                    packets[i, 5] = 0x50 if key and i == 0 else 0x00
+                if key and i == 0:
+                    packets[i, 6:12] = np.frombuffer(((unit * TICKS) << 15 | 0x7E00).to_bytes(6, "big"), np.uint8)
         room = np.arange(BODY) >= field[:, None]
         body = packets[:, 4:]
         body[room] = np.frombuffer(pes, np.uint8)
@@ -114,8 +117,8 @@ def _read_section(packet: np.ndarray, table_id: int) -> bytes:
     return section[8:-4]
 
 
-def demux(stream: bytes) -> tuple[bytes, list[int], list[int]]:
-    """(payload, timestamps of the elementary packets, numbers of those that are random-access points)."""
+def demux(stream: bytes) -> tuple[bytes, list[int], list[int], list[int]]:
+    """(payload, timestamps of the elementary packets, numbers of those that are random-access points, clock references)."""
     packets = np.frombuffer(stream, np.uint8)
     if len(packets) % PACKET:
         raise ValueError("a packet is cut off")
@@ -145,6 +148,8 @@ def demux(stream: bytes) -> tuple[bytes, list[int], list[int]]:
     room = np.arange(BODY) >= field[:, None]
     access = has_field & (field > 1) & (media[:, 5] & 0x40 > 0)
     bounds = np.append(np.flatnonzero(starts), len(media))
+    clocked = np.flatnonzero(has_field & (field > 7) & (media[:, 5] & 0x10 > 0))
+    clocks = [int.from_bytes(media[i, 6:12].tobytes(), "big") >> 15 for i in clocked]
     payload, stamps, keys = [], [], []
     for unit in range(len(bounds) - 1):
         part = slice(bounds[unit], bounds[unit + 1])
@@ -156,7 +161,7 @@ def demux(stream: bytes) -> tuple[bytes, list[int], list[int]]:
         if access[bounds[unit]]:
             keys.append(unit)
         payload.append(pes[9 + pes[8] :])
-    return b"".join(payload), stamps, keys
+    return b"".join(payload), stamps, keys, clocks
 
 
 def padded(text: str | None) -> bytes:
@@ -185,7 +190,7 @@ def read_back(stored: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for n, media in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                payload, stamps, keys = demux(media)
+                payload, stamps, keys, _ = demux(media)
                 packets = len(media) // PACKET
                 feature = f"packets={packets};units={len(stamps)};keys={','.join(map(str, keys))};last_pts={stamps[-1]};rate={round(8 * len(media) * 90_000 / (TICKS * len(stamps)))}"
                 rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, stamps, keys))
@@ -199,4 +204,4 @@ SHAPE = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.i
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(store(table(spark, sf_dir, "documents"))).drop("timestamps", "access_points")
+    return read_back(store(table(spark, sf_dir, "documents")))

@@ -39,8 +39,27 @@ def test_heap_contraction_equals_the_query():
             assert byte_bpe._heap_contract(word, rank) == exact()._encode_single_piece(word)
 
 
+def test_every_word_takes_the_query_and_bytes_come_from_ids(monkeypatch):
+    own = byte_bpe.Encoder(byte_bpe.VOCABULARY, public_tokenizers.PATTERN)
+    sent = []
+    query = own._query
+    monkeypatch.setattr(own, "_query", lambda words: (sent.extend(w for _, w in words), query(words)))
+    monkeypatch.setattr(byte_bpe, "_heap_contract", lambda word, rank: [rank[bytes([b])] for b in b"decoded from ids"])
+    got = list(own.spell(["the cat sat" + "x" * 600]))[0]
+    assert {"the", " cat"} <= set(sent) and got[2] == b"the cat" + b"decoded from ids"
+
+
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED_BYTES", 40_000)
+    own = byte_bpe.Encoder(byte_bpe.VOCABULARY, public_tokenizers.PATTERN)
+    for i in range(12):
+        list(own.spell([" ".join(f"w{i}x{k}" for k in range(100))]))
+        held = sum(len(v) + len(w) + byte_bpe.WORD_OVERHEAD for d in (own.known, own.older) for w, v in d.items())
+        assert held < 3 * 40_000
+
+
 def test_memory_bound_doesnt_change_results(monkeypatch):
-    monkeypatch.setattr(byte_bpe, "REMEMBERED_WORDS", 10)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED_BYTES", 10)
     own = byte_bpe.Encoder(byte_bpe.VOCABULARY, public_tokenizers.PATTERN)
     for text in (noise(1), noise(2), noise(1)):
         assert list(own.spell([text]))[0][2] == text.encode()

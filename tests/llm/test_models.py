@@ -101,11 +101,32 @@ def test_quality_accuracy(spark, labels):
 
 
 def test_normal_equations_dont_depend_on_partitions(spark, documents, labels):
-    rows = quality_kernel.measured(documents.limit(200)).join(labels, "doc_id").select("x", F.col("quality").alias("y"))
+    rows = quality_kernel.measured(documents.limit(200)).join(labels, "doc_id").select("x", F.col("quality").alias("y"), (F.col("doc_id") % 4).cast("int").alias("fold"))
     a, b = quality_kernel.train(rows.coalesce(1)), quality_kernel.train(rows.repartition(5))
     assert np.allclose(a.weights, b.weights, atol=1e-6)
 
 
+def test_classifier_equals_one_dense_fit(spark, documents, labels):
+    """Weights by one least-squares solve, and the calibration by pooling the raw scores that the other folds taught."""
+    rows = quality_kernel.measured(documents.limit(300)).join(labels, "doc_id").select("x", F.col("quality").alias("y"), (F.col("doc_id") % 4).cast("int").alias("fold"))
+    model = quality_kernel.train(rows)
+    data = rows.toPandas()
+    z, y, fold = model.features(np.stack(data.x)), data.y.values.astype(float), data.fold.values
+
+    def ridge(use):
+        root = np.sqrt(quality_kernel.RIDGE * use.sum()) * np.eye(z.shape[1])[1:]
+        return np.linalg.lstsq(np.vstack((z[use], root)), np.concatenate((y[use], np.zeros(len(root)))), rcond=None)[0]
+
+    assert np.allclose(z @ ridge(np.ones(len(y), bool)), z @ model.weights, atol=1e-4)
+    raw = np.array([z[i] @ ridge(fold != fold[i]) for i in range(len(y))])
+    cell = np.clip(np.floor((raw + 0.5) * 256), 0, 511)
+    at = np.unique(cell)
+    mean = [y[cell == c].mean() for c in at]
+    values = quality_kernel.pool(np.array(mean), np.array([(cell == c).sum() for c in at], float))
+    want = np.clip(np.interp(z @ model.weights, (at + 0.5) / 256 - 0.5, values), 0, 1)
+    assert np.mean(np.abs(want - model.score(np.stack(data.x))) < 0.02) > 0.98
+
+
 def test_quality_of_odd_rows(spark, labels):
     docs = spark.createDataFrame([(1, None, 3.0), (1, None, 3.0), (2, "", 3.0), (None, "some words here", 3.0)], "doc_id long, text string, score double")
     got = quality_kernel.classify(docs, labels.limit(0)).collect()
@@ -131,15 +152,70 @@ def test_mixing_solution_equals_a_dense_solver(spark):
     n = r.integers(1, 50, 60)
     rows = spark.createDataFrame([(int(k), *map(float, x)) for k, x in zip(n, p, strict=True)], "n_tokens long, p_clean double, p_low double, p_toxic double")
     targets = {"clean": 500.0, "low": 100.0, "toxic": 200.0}
-    steps = soft_mixing.solve(rows, targets=targets)
+    steps, met = soft_mixing.solve(rows, targets=targets)
+    assert met
     rate = np.ones(60)
     for s in steps:
         rate = np.maximum(0, rate - p @ s)
     assert np.allclose((n[:, None] * p * rate[:, None]).sum(axis=0), list(targets.values()), rtol=1e-3)
 
 
+def test_targets_that_no_rate_can_meet_are_reported(spark):
+    rows = spark.createDataFrame([(10, 1.0, 0.0, 0.0), (30, 0.5, 0.5, 0.0)], "n_tokens long, p_clean double, p_low double, p_toxic double")
+    steps, met = soft_mixing.solve(rows, targets={"clean": 5.0, "low": 40.0, "toxic": 0.0})
+    assert not met
+    assert soft_mixing.solve(rows, targets={"clean": 25.0, "low": 15.0, "toxic": 0.0})[1]
+    assert soft_mixing.solve(rows.limit(0))[0] == []
+
+
+def test_posteriors_and_rates_equal_a_plain_computation(spark):
+    """The whole operator against loops over a small fixture: chi-squared features, softmax optimum, rates at the targets."""
+    r = np.random.default_rng(8)
+    words = {0: ["calm", "clear", "river"], 1: ["spam", "click", "win"], 2: ["vile", "hate", "foul"]}
+    rows, marks = [], []
+    for i in range(240):
+        d = i % 3
+        picked = [words[d][k] if r.random() < 0.7 else r.choice(["the", "of", "and", "to"]) for k in r.integers(0, 3, 12)]
+        rows.append((i, " ".join(picked)))
+        marks.append((i, int(d != 1), int(d == 2)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = soft_mixing.train(docs, labels)
+    hasher = soft_mixing.WordHasher()
+    taught = [(set(soft_mixing.features(t, hasher)[1]), 2 if marks[i][2] else 1 if not marks[i][1] else 0) for i, t in rows if not held(i)]
+    n = len(taught)
+    chosen = []
+    for f in sorted(set().union(*(x for x, _ in taught))):
+        chi = 0.0
+        for d in range(3):
+            for has in (True, False):
+                seen = sum(1 for x, y in taught if (f in x) == has and y == d)
+                want = sum(1 for x, _ in taught if (f in x) == has) * sum(1 for _, y in taught if y == d) / n
+                chi += (seen - want) ** 2 / max(want, 1e-9)
+        if chi > soft_mixing.SIGNIFICANT:
+            chosen.append(f)
+    assert list(model.kept) == chosen
+    # At the optimum of the penalised likelihood the gradient is zero; and the posteriors are its plain softmax.
+    x = np.array([[f in s for f in chosen] for s, _ in taught], float)
+    y = np.eye(3)[[d for _, d in taught]]
+    z = model.prior + x @ model.weight
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    spread = np.maximum(np.sqrt(x.mean(axis=0) * (1 - x.mean(axis=0))), 0.01)
+    slope = ((x - x.mean(axis=0)) / spread).T @ (p - y) / n + soft_mixing.RIDGE * model.weight * spread[:, None]
+    assert np.abs(slope).max() < 5e-3 and np.abs((p - y).mean(axis=0)).max() < 5e-3
+    got = {r.doc_id: r for r in soft_mixing.mix(docs, labels).collect()}
+    for i, t in rows:
+        own = np.array([f in set(soft_mixing.features(t, hasher)[1]) for f in chosen], float)
+        q = np.exp(model.prior + own @ model.weight)
+        assert np.allclose([got[i].p_clean, got[i].p_low, got[i].p_toxic], q / q.sum(), atol=1e-9)
+        assert got[i].n_tokens == len(t.split()) and got[i].met
+    tokens = np.array([got[i].n_tokens * got[i].rate * np.array([got[i].p_clean, got[i].p_low, got[i].p_toxic]) for i, _ in rows]).sum(axis=0)
+    assert np.allclose(tokens / tokens.sum(), [soft_mixing.WEIGHTS[d] for d in soft_mixing.DOMAINS], atol=2e-3)
+
+
 def test_mixing_of_odd_rows(spark, labels):
     docs = spark.createDataFrame([(1, None, "n"), (2, "", "n"), (2, "", "n"), (None, "a b", "n")], "doc_id long, text string, rate string")
+    long = spark.createDataFrame([(7, "word " * 300_000)], "doc_id long, text string")
+    assert soft_mixing.mix(long, labels.limit(0)).first().n_tokens == 300_000
     got = soft_mixing.mix(docs, labels.limit(0)).collect()
     assert len(got) == 4 and all(abs(r.p_clean - 1 / 3) < 1e-9 for r in got)
     assert soft_mixing.mix(docs.limit(0), labels).count() == 0
@@ -177,7 +253,7 @@ def test_gradients_equal_differences():
     model = html_blocks.Labeller(3)
     r = np.random.default_rng(1)
     model.w = {k: (r.standard_normal(v.shape) * 0.3).astype(np.float64) for k, v in model.w.items()}
-    pages = [[[1, 5], [2], [3, 3]], [[4]]]
+    pages = [[[(1, 1.0), (5, 0.5)], [(2, 1.0)], [(3, 0.25), (3, 1.0)]], [[(4, 1.0)]]]
     labels = np.array([1.0, 0.0, 1.0, 0.0])
 
     def loss():
@@ -195,6 +271,54 @@ def test_gradients_equal_differences():
         assert got[key][at] == pytest.approx((up - down) / (2 * step), rel=0.02, abs=1e-4)
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<html><head><title>t</title><p>text one two</p>", ["text one two"]),
+    ("<head><meta charset=x><title>t</title>bare text<p>more", ["bare text", "more"]),
+    *((f"<body><div><{tag}><p>inside</p><div>also</div></div><p>after</p>", ["after"]) for tag in ("video", "object", "canvas", "audio", "svg", "iframe")),
+    ("<body><p>before<video></video><p>after</video></p>", ["before", "after"]),
+    ("<head><style>x{}</style></head><body><template><p>no</p></template><p>yes</p>", ["yes"]),
+])
+def test_unclosed_elements_end_where_they_must(html, want):
+    assert [b.text for b in html_blocks.blocks(html)] == want
+
+
+def test_every_word_name_and_ancestor_counts():
+    lead = " ".join(f"lead{chr(97 + i)}" for i in range(20)) + "x " * 300
+    a, b = (html_blocks.features(html_blocks.blocks(f"<p>{lead} {w}</p>"))[0] for w in ("cookies", "mountain"))
+    assert a != b and sum(w for x, w in a) == pytest.approx(sum(w for x, w in b))
+    deep = html_blocks.blocks("<aside class='a b c d e f g h i outer'>" + "<ol><li><article><div>" * 40 + "reply")
+    assert {"aside", "outer"} <= set(deep[0].path)
+    assert html_blocks.blocks("<div class=x>" * 3000 + "deep")[0].path == ("div", "x")
+
+
+def plain_chance(model, page):
+    """The labeller's formulas in loops over one page, block by block and unit by unit."""
+    import math
+
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    h, sides = html_blocks.HIDDEN, {}
+    for d in "fb":
+        state, cell, states = [0.0] * h, [0.0] * h, []
+        for bag in page if d == "f" else page[::-1]:
+            z = [sum(model.w[f"e{d}"][model.place[x], k] * w for x, w in bag) + model.w[f"c{d}"][k] + sum(state[m] * model.w[f"u{d}"][m, k] for m in range(h)) for k in range(4 * h)]
+            cell = [sig(z[h + k]) * cell[k] + sig(z[k]) * math.tanh(z[3 * h + k]) for k in range(h)]
+            state = [sig(z[2 * h + k]) * math.tanh(cell[k]) for k in range(h)]
+            states.append(state)
+        sides[d] = states if d == "f" else states[::-1]
+    return [sig(sum(model.w["o"][k] * sides["f"][t][k] + model.w["o"][h + k] * sides["b"][t][k] for k in range(h)) + model.w["ob"][0]) for t in range(len(page))]
+
+
+def test_query_equals_a_plain_labeller(spark):
+    """op1's rows against blocks labelled by loops, on the first pages of the table."""
+    model = html_blocks.trained()
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(6)
+    html = {r.page_id: r.html for r in pages.collect()}
+    for r in html_blocks.extract(pages).collect():
+        page = html_blocks.blocks(html[r.page_id])
+        chance = plain_chance(model, html_blocks.features(page)) if page else []
+        assert r.text == "\n\n".join(b.text for b, c in zip(page, chance, strict=True) if c >= 0.5)
+
+
 def test_pages_of_odd_html(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "just text"), (4, "u", "<p>a<p>b</div></article>"), (5, "u", "<div" * 500), (6, "u", "<script>x</script>"), (None, "u", "<article><p>" + "word " * 50_000), (1, "u", None)]
     pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")

@@ -57,6 +57,42 @@ def test_last_stage_encodes_what_is_left(spark, kept):
     assert ids(corpus_pipeline.run(spark, SF)) == ids(kept["tokenisation"])
 
 
+ODD = [(1, "The house of the river and the garden of the town. " * 8, "en", "a", 1), (1, "The house of the river and the garden of the town. " * 8, "en", "a", 1), (None, "Der Hund und die Katze sind im Garten. token=abcdefgh1 " * 6, "de", "b", 2), (None, None, None, None, None), (2, "", "en", "a", 0), (3, "word " * 60_000 + "end", "en", "a", 9)]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, name):
+    """Nulls in every column, repeated rows, blank and very long texts, clashing columns; and an empty table."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("spans", "blob", "score", "copies", "key", "node", "rate", "n_tokens", "u", "token", "_0"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    got = stage(spark, docs, SF).collect()
+    texts = [r[1] for r in ODD]
+    if name == "tokenisation":
+        assert len(got) == len(ODD) and sorted(r.n_tokens == 0 for r in got) == [False] * 4 + [True] * 2
+        return
+    assert got[0].__fields__ == list(corpus_pipeline.COLUMNS)
+    left = [r.text for r in got]
+    if name == "language_id":
+        assert sorted(left) == sorted(t for t in texts if t)
+    elif name == "near_duplicates":
+        assert sorted(map(str, left)) == sorted(map(str, set(texts)))
+    elif name == "secret_scan":
+        assert len(got) == len(ODD) and sum("[assign]" in (t or "") for t in left) == 1
+    else:
+        assert {str(t) for t in left} == {str(t) for t in texts}
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_mixing_stage_gives_each_document_its_copies(spark, kept):
+    from loomgraph.llm import soft_mixing
+
+    want = {r.doc_id: r.copies for r in soft_mixing.mix(kept["secret_scan"], spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    got = kept["source_mixing"].groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == {i: c for i, c in want.items() if c}
+
+
 def test_near_duplicates_keep_one_row_with_repeated_and_null_ids(spark):
     text = " ".join(f"word{i}" for i in range(60))
     near, other, lone = text + " more", " ".join(f"other{i}" for i in range(30)), " ".join(f"lone{i}" for i in range(30))

@@ -74,7 +74,22 @@ def test_ledger_scans_unseen_pairs_only(spark):
     more = docs.unionByName(spark.createDataFrame([(4, "secret=12345678")], "doc_id long, text string"))
     second = secret_ledger.update_ledger(more, marked)
     assert {len(r.spans) for r in second.collect()} == {0, 1} and second.count() == 3
-    assert sum(len(r.spans) for r in secret_ledger.update_ledger(more, marked, version="2").collect()) == 2
+    third = secret_ledger.update_ledger(more, second, rules=secret_ledger.RULES[:1], version="2")
+    assert third.count() == 6 and sum(len(r.spans) for r in third.where("rule_version = '2'").collect()) == 2
+    # Back at the first rules nothing is scanned again: the marked blob keeps its empty finding.
+    fourth = secret_ledger.update_ledger(more, third)
+    assert fourth.count() == 6 and {r.doc_id: len(r.spans) for r in secret_ledger.report(more, fourth).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
+    assert {r.doc_id: len(r.spans) for r in secret_ledger.report(more, fourth, "2").collect()} == {1: 1, 2: 0, 3: 0, 4: 1}
+
+
+def test_ledger_of_empty_tables_long_texts_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x " * 200_000 + "token=abcdefgh", "s", "b"), (1, None, "s", "b"), (None, "token=abcdefgh", "s", "b")], "doc_id long, text string, spans string, blob string")
+    ledger = secret_ledger.update_ledger(docs)
+    got = sorted((r.doc_id or 0, r.n_assign, r.spans) for r in secret_ledger.summarise(secret_ledger.report(docs, ledger)).collect())
+    assert got == [(0, 1, "assign:0:14"), (1, 0, ""), (1, 1, "assign:400000:400014")]
+    assert secret_ledger.update_ledger(docs.limit(0)).count() == 0
+    assert secret_ledger.update_ledger(docs.limit(0), ledger).count() == ledger.count() == 3
+    assert secret_ledger.summarise(secret_ledger.report(docs.limit(0), ledger)).count() == 0
 
 
 def test_redaction_merges_overlaps(spark):
