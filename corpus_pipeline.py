@@ -1,8 +1,9 @@
 """Corpus pipeline: language ID, near-duplicate join, secret scan, source mixing, tokenisation.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
-next one's docs. All but the last return the columns of documents. Every row is handled on its own, whatever its id,
-except that near duplicates keep one row of least doc_id of their group.
+next one's docs. All but the last return the columns of documents; other columns are left out. Every row is handled on
+its own, whatever its id, except that near duplicates keep one row of least doc_id of their group. A null or blank text
+has no language and goes in the first stage; given to a later one it stays, with no tokens. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import byte_bpe, jaccard_join, language_mixture, secret_ledger, soft_mixing
-from loomgraph.llm.common import materialise, table
+from loomgraph.llm.common import held_out, materialise, table
 
 #: Documents of which less is ordinary text of their languages, or that have no letters, are rejected.
 LEAST_LANGUAGE_SCORE = 0.25
@@ -19,8 +20,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no determinable language. The model learns from all of documents with a known language."""
-    model = language_mixture.train(table(spark, sf_dir, "documents"))
+    """Rejects documents of no determinable language. The model learns from the documents of known language outside the held-out fold."""
+    model = language_mixture.train(table(spark, sf_dir, "documents").where(~held_out()))
     kept = docs.select(*COLUMNS)
     scored = language_mixture.predict(kept, model, carry=COLUMNS)
     return scored.where((F.col("lang_pred") != language_mixture.UNDETERMINED) & (F.col("ordinary") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
@@ -50,9 +51,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose mixing rate gives them a copy or more, once each."""
+    """Each document as often as its mixing rate says, so that the rows have the target weights; rate 0 leaves it out."""
     mixed = soft_mixing.mix(docs, table(spark, sf_dir, "labels"), carry=COLUMNS)
-    return mixed.where("copies >= 1").select(*COLUMNS)
+    return mixed.where("copies >= 1").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def tokenisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
