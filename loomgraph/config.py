@@ -25,8 +25,9 @@ class GateConfig:
     skip_threshold: tuple[str, ...] = ("decision", "bugfix", "security_alert", "security_note")
     skip_quota: tuple[str, ...] = ("decision", "bugfix", "security_alert")
     noise_enabled: bool = False
-    noise_markers: tuple[str, ...] = ("hub",)
-    noise_keywords: tuple[str, ...] = ("docker", "keepalive", "push hook", "daemon", "compose", "watchdog", "redeploy", "container", "tailscale", "dump.rdb")
+    #: What names the system itself and its running; both are its owner's to give.
+    noise_markers: tuple[str, ...] = ()
+    noise_keywords: tuple[str, ...] = ()
     noise_hits: int = 2
     noise_penalty: float = 100
     noise_least_score: float = 120
@@ -38,7 +39,7 @@ TIER_WEIGHTS = {"decision": 1.6, "security_note": 1.6, "security_alert": 1.6, "d
 KNOWLEDGE_TYPES = ("decision", "security_note", "security_alert")
 OPERATIONAL_TYPES = ("bugfix", "change", "feature", "refactor")
 DISCOVERY_TYPES = ("discovery",)
-#: Search scoring.
+#: Search scoring. Fixed values.
 EXACT_BONUS, EXTERNAL_PENALTY, STALE_PENALTY, VERIFIED_BONUS, USAGE_STEP, USAGE_CAP = 0.15, 0.12, 0.08, 0.08, 0.01, 10
 FRESH_DAYS, FRESH_BONUS, OLD_DAYS, OLD_PENALTY = 30, 0.05, 365, 0.03
 SCOPE_BONUS, SCOPE_PENALTY = 0.5, -0.3
@@ -46,6 +47,7 @@ SCOPE_BONUS, SCOPE_PENALTY = 0.5, -0.3
 K1, B = 1.2, 0.75
 #: Legal (source kind, target kind) pairs of the fixture graph by edge name; any pair of Entity is legal.
 LEGAL_PAIRS = (("Person", "Concept", "belongs_to"), ("Project", "Concept", "belongs_to"), ("Concept", "Concept", "occurred_in"), ("Tool", "Project", "depends_on"), ("Person", "Tool", "references"))
+#: Names of edges. Fixed values.
 CANONICAL_EDGES = ("caused_by", "fixed_by", "verified_by", "references", "modified", "depends_on", "supersedes", "derived_from", "occurred_in", "belongs_to", "extracted_from", "relates_to", "documented_in", "diagnosed_by", "implemented_as")
 #: Kinds by declared type, with confidence. Fixed values; kinds are stored verbatim.
 TYPE_KIND = {"decision": ("决策", 0.85), "bugfix": ("事故", 0.82), "security_note": ("事故", 0.72), "feature": ("项目事实", 0.8), "refactor": ("项目事实", 0.8), "change": ("项目事实", 0.78), "discovery": ("项目事实", 0.7)}
@@ -56,4 +58,19 @@ TIME_BOUND = "行情|快照|日报|晚报|早报|金价|黄金|大盘|收盘|盘
 COMMUNITY = ("小红书", "知乎", "微博", "b站", "bilibili", "reddit", "推特", "twitter", "xhs", "social-search")
 CATALOG = "(?i)registry|catalog|inventory|注册表|清单|索引|目录"
 CONCLUSION = "一句话|结论|洞察|关键认知|教训|原则|规律|为什么"
+#: File buckets and session markers of the scenario rules. Fixed word lists.
+EXTENSIONS = {
+    "code": ("py", "go", "ts", "tsx", "js", "jsx", "java", "kt", "rs", "c", "cc", "cpp", "h", "hpp", "rb", "php", "swift", "scala", "sql", "sh", "vue", "m"),
+    "doc": ("md", "markdown", "rst", "txt", "adoc"),
+    "config": ("yaml", "yml", "toml", "ini", "conf", "cfg", "env", "properties"),
+    "asset": ("png", "jpg", "jpeg", "gif", "svg", "pdf", "ico", "webp", "mp4"),
+}
+CONFIG_NAMES = r"(?i)\b(dockerfile|docker-compose\.yml|makefile)\b"
+CODE_TYPES = ("feature", "bugfix", "refactor", "change")
+OPS_MARKERS = ("告警", "incident", "故障", "部署", "deploy", "nacos", "容器", "restart", "重启", "回滚", "rollback", "sls", "日志查询")
+RESEARCH_MARKERS = ("调研", "research", "对比", "评估", "方案", "文档", "search", "查阅")
+#: Phrases of facts that tell of the document instead of the matter. Fixed values.
+METADATA_PHRASES = ("documents that", "was extracted from", "belongs to the", "references the")
+#: Path parts that name no project. Fixed word list.
+SYSTEM_DIRS = ("tmp", "var", "etc", "usr", "lib", "bin", "opt", "root", "home", "Users", "mac", "private", "sbin", "dev", "boot", "sys", "proc", "Applications", "Library", "System", "Volumes", "Network", "Desktop", "Documents", "Downloads", "Pictures", "Movies", "Music")
 SCENARIOS = ("coding", "ops", "writing", "research", "planning", "unknown")

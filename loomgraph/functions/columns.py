@@ -30,7 +30,9 @@ def declared(c: Column | str, key: str) -> Column:
 
 
 def looked_up(key: Column, values: Mapping[str, object], default: Column | None = None) -> Column:
-    """A value by a small fixed table."""
+    """A value by a small fixed table; an empty table gives the default alone."""
+    if not values:
+        return default if default is not None else F.lit(None)
     out = None
     for k, v in values.items():
         out = F.when(key == k, F.lit(v)) if out is None else out.when(key == k, F.lit(v))
@@ -75,6 +77,33 @@ def humanised(seconds: Column) -> Column:
     )
 
 
+def short_age(seconds: Column) -> Column:
+    """An age in whole minutes below an hour, hours below a day, else days; null stays null."""
+    whole = lambda unit, name: F.concat(F.floor(seconds / unit).cast("string"), F.lit(name))
+    return F.when(seconds < 3600, whole(60, "m")).when(seconds < 86_400, whole(3600, "h")).otherwise(whole(86_400, "d"))
+
+
+def cpu_seconds(text: Column) -> Column:
+    """Seconds of a ``[[dd:]hh:]mm:ss`` time; null for a bad one."""
+    return F.aggregate(F.split(text, ":"), F.lit(0.0), lambda acc, x: acc * 60 + x.try_cast("double"))
+
+
+def path_keywords(path: Column, system: Iterable[str], least: int = 5) -> Column:
+    """Last and last but one part of a path, without system folders and parts of fewer than ``least`` characters."""
+    parts = F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: x != "")
+    ends = F.slice(F.reverse(parts), 1, 2)
+    return F.filter(ends, lambda x: (F.char_length(x) >= least) & ~x.isin(*system))
+
+
+def excerpt(text: Column, size: int = 400, share: float = 0.6, mark: str = "\n[…]") -> Column:
+    """The first ``size`` characters of a trimmed text, back to the last line end if that lies after ``share`` of them, with a mark if cut."""
+    body = F.trim(F.coalesce(text, F.lit("")))
+    head = F.substring(body, 1, size)
+    cut = F.lit(size) - F.locate("\n", F.reverse(head))  # characters before the last line end; size without one
+    short = F.when((F.locate("\n", head) > 0) & (cut > size * share), F.substring(head, F.lit(1), cut)).otherwise(head)
+    return F.when(F.char_length(body) > size, F.concat(F.rtrim(short), F.lit(mark))).otherwise(head)
+
+
 def in_hours(ts: Column, start: int, end: int, zone: str = "+08:00") -> Column:
     """Whether the local hour lies in [start, end); the window may wrap midnight, equal bounds mean never."""
     h = F.hour(F.from_utc_timestamp(ts, zone))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import config
@@ -53,6 +53,11 @@ def without_downgrade(old: Column, new: Column) -> Column:
     return F.when((new == config.UNCLASSIFIED) & old.isNotNull() & (old != config.UNCLASSIFIED), old).otherwise(F.coalesce(new, old))
 
 
+#: Lines and headings that name sources. Fixed values.
+LABELLED_SOURCE = r"\*\*[^*\n]*来源[^*\n]*\*\*\s*{colon}\s*([^\n]+)"
+SOURCE_HEADING = r"(?ms)^#{2,4}[ \t]*[^\n#]*来源[^\n]*$(.*?)(?=^#{1,6}[ \t]|\z)"
+
+
 def source_lines(content: str = "content", lenient: bool = False) -> Column:
     """Lines that name a source: a bold label before an ASCII colon, and the lines below a heading for sources.
 
@@ -60,8 +65,8 @@ def source_lines(content: str = "content", lenient: bool = False) -> Column:
     """
     text = blank(content)
     colon = "[:：]" if lenient else ":"
-    labelled = F.regexp_extract_all(text, F.lit(rf"\*\*[^*\n]*来源[^*\n]*\*\*\s*{colon}\s*([^\n]+)"), F.lit(1))
-    blocks = F.regexp_extract_all(text, F.lit(r"(?ms)^#{2,4}[ \t]*[^\n#]*来源[^\n]*$(.*?)(?=^#{1,6}[ \t]|\z)"), F.lit(1))
+    labelled = F.regexp_extract_all(text, F.lit(LABELLED_SOURCE.format(colon=colon)), F.lit(1))
+    blocks = F.regexp_extract_all(text, F.lit(SOURCE_HEADING), F.lit(1))
     below = F.flatten(F.transform(blocks, lambda b: F.transform(lines(b), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^[-*]+", "")))))
     return F.concat(labelled, F.filter(below, lambda x: x != ""))
 
@@ -105,19 +110,27 @@ def duplicate_clusters(episodes: DataFrame, title: Column, active_only: bool = F
 
 
 def keep_longest(episodes: DataFrame, title: Column) -> DataFrame:
-    """All but the longest episode of each (project, title) group; ties keep the first by uuid."""
+    """All but the longest episode of each (project, title) group, with the one that is kept; ties keep the first by uuid.
+
+    The kept one is an aggregate over lengths and uuids; no content is shuffled. Nulls count as empty.
+    """
     project = F.coalesce(declared("source_description", "project"), F.lit("unknown"))
-    order = Window.partitionBy("project", "title").orderBy(F.desc(F.char_length(blank("content"))), "uuid")
-    return episodes.select("uuid", "name", "archived", "content", project.alias("project"), title.alias("title")).withColumn("place", F.row_number().over(order)).where("place > 1").drop("content")
+    rows = episodes.select("uuid", project.alias("project"), title.alias("title"), F.char_length(blank("content")).alias("size"))
+    best = rows.groupBy("project", "title").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("size")).alias("size"), "uuid")).alias("best")).where("n > 1")
+    return rows.join(best, ["project", "title"]).select("uuid", "project", "title", F.col("best.uuid").alias("kept")).where("uuid <> kept")
+
+
+def _first_of(rows: DataFrame, key: Column, order: list[str], by: str) -> DataFrame:
+    """The rows that come first in their group: their keys by an aggregate that is combined before its shuffle, then a semi-join."""
+    first = rows.groupBy(key.alias("key")).agg(F.min(F.struct(*order)).alias("first")).select(F.col(f"first.{by}").alias(by))
+    return rows.join(first, by, "left_semi")
 
 
 def keep_earliest(episodes: DataFrame, created: str) -> DataFrame:
-    """One row of each content hash, the earliest; ties by uuid."""
-    order = Window.partitionBy(F.sha2(blank("content"), 256)).orderBy(created, "uuid")
-    return episodes.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+    """One row of each content hash, the earliest; ties by uuid (unique). Null contents count as empty."""
+    return _first_of(episodes, F.sha2(blank("content"), 256), [created, "uuid"], "uuid")
 
 
 def first_bytes_dedupe(files: DataFrame, path: str = "path", content: str = "content", size: int = 200) -> DataFrame:
-    """The first file by path of each group with equal leading UTF-8 bytes."""
-    order = Window.partitionBy(F.substring(F.encode(blank(content), "UTF-8"), 1, size)).orderBy(path)
-    return files.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+    """The first file by (unique) path of each group with equal leading UTF-8 bytes. Null contents count as empty."""
+    return _first_of(files, F.substring(F.encode(blank(content), "UTF-8"), 1, size), [path], path)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.columns import occurrences
+from loomgraph import config
+from loomgraph.functions.columns import contains_any, occurrences
 
 
 def recall_at_k(golden: DataFrame, gold: DataFrame, recalled: DataFrame) -> DataFrame:
@@ -19,6 +20,20 @@ def recall_at_k(golden: DataFrame, gold: DataFrame, recalled: DataFrame) -> Data
     return rows.rollup("mode").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg(recall), 6).alias("recall"), F.round(F.avg((F.col("hits") > 0).cast("double")), 6).alias("hit_rate"))
 
 
+def gold(episodes: DataFrame, queries: Sequence[tuple[int, str]], cap: int = 60) -> DataFrame:
+    """(id, uuid): up to ``cap`` episodes by uuid whose content holds each of a stated set of texts in any case; one pass over the contents."""
+    wanted = F.array(*(F.struct(F.lit(i).cast("bigint").alias("id"), F.lit(t.lower()).alias("text")) for i, t in queries))
+    low = F.lower(F.coalesce("content", F.lit("")))
+    hits = episodes.select("uuid", F.explode(F.filter(wanted, lambda w: low.contains(w["text"]))).alias("q")).select("q.id", "uuid")
+    return hits.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("uuid"))).where(F.col("place") <= cap).drop("place")
+
+
+def keyword_gate(questions: DataFrame, least: float) -> DataFrame:
+    """The questions' rows and one with a null id: how many are right, the recall and whether it is enough."""
+    total = questions.agg(F.count_if("ok").alias("matched"), F.round(F.count_if("ok") / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("recall"))
+    return questions.withColumn("recall", F.lit(None).cast("double")).unionByName(total.select(F.lit(None).cast("bigint").alias("id"), "matched", F.lit(None).cast("int").alias("threshold"), (F.col("recall") >= least).alias("ok"), "recall"))
+
+
 def keyword_recall(questions: DataFrame, results: DataFrame) -> DataFrame:
     """Questions by how many of their keywords the joined result text has, against a threshold."""
     rows = questions.join(results, "id", "left").withColumn("text", F.lower(F.coalesce("text", F.lit(""))))
@@ -44,34 +59,83 @@ def nearest_session(injections: DataFrame, sessions: DataFrame, before: int = 18
     return best.select("id", "best.*")
 
 
-def terms(text: Column) -> Column:
-    """Distinct words of six letters or more."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda t: F.char_length(t) >= 6))
+#: Terms that tell a text from prose: code spans, dotted, snake or path names, CamelCase. Fixed values.
+TERM_CLASSES = (r"`([^`\n]{3,40})`", r"\b([A-Za-z][A-Za-z0-9]*[_./-][A-Za-z0-9_./-]{2,})\b", r"\b([A-Z][a-z]+(?:[A-Z][a-z0-9]+)+)\b")
 
 
-def unique_terms(capsules: DataFrame) -> DataFrame:
-    """(capsule, term) of terms that one capsule alone has."""
-    rows = capsules.select("capsule", F.explode(terms(F.col("content"))).alias("term"))
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("capsule").alias("capsule")).where("df = 1").select("capsule", "term")
+def terms(text: Column, generic: Sequence[str] = ()) -> Column:
+    """Distinct terms of the three classes, lowered and trimmed, of four characters or more, without generic ones. Null gives none."""
+    text = F.coalesce(text, F.lit(""))
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in TERM_CLASSES))
+    trimmed = F.array_distinct(F.transform(found, lambda t: F.btrim(F.lower(t), F.lit(" .,:;`"))))
+    return F.filter(trimmed, lambda t: (F.char_length(t) >= 4) & ~t.isin(*generic) if generic else F.char_length(t) >= 4)
 
 
-def engagement(capsules: DataFrame, matches: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Per capsule: injections, matched sessions, sessions whose text has one of its unique terms. matches: capsule, session.
+def capsule_terms(capsules: DataFrame, generic: Sequence[str] = ()) -> DataFrame:
+    """(capsule, terms, own): the terms of each capsule and those that no other one has. capsules: capsule (unique), content."""
+    rows = capsules.select("capsule", F.explode_outer(terms(F.col("content"), generic)).alias("term"))
+    alone = rows.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    marked = rows.join(alone, "term", "left")
+    return marked.groupBy("capsule").agg(F.collect_list("term").alias("terms"), F.collect_list(F.when(F.col("df") == 1, F.col("term"))).alias("own"))
 
-    Session texts are split into terms once and joined by term.
-    """
-    own = unique_terms(capsules)
-    used = sessions.select("session", F.explode(terms(F.col("text"))).alias("term"))
-    engaged = matches.where("session is not null").select("capsule", "session").distinct().join(own, "capsule").join(used, ["session", "term"]).select("capsule", "session").distinct().groupBy("capsule").agg(F.count(F.lit(1)).alias("engaged"))
-    funnel = matches.groupBy("capsule").agg(F.count(F.lit(1)).alias("injected"), F.count_distinct("session").alias("matched"))
-    return funnel.join(engaged, "capsule", "left").withColumn("engaged", F.coalesce("engaged", F.lit(0)))
 
+def attributed(pairs: DataFrame, capsules: DataFrame, sessions: DataFrame, least_shared: int = 2, generic: Sequence[str] = ()) -> DataFrame:
+    """The distinct (capsule, session) pairs whose session text holds one of the capsule's own terms or enough of all.
 
-def scenario(files: Column, types: Column, text: Column) -> Column:
-    """A session's scenario by ordered rules on its files, types and words."""
-    code = F.exists(files, lambda f: f.rlike(r"\.(py|js|ts|go|rs|sql)$"))
-    prose = F.exists(files, lambda f: f.rlike(r"\.(md|txt)$"))
-    return F.when(text.rlike("deploy|docker|restart"), "ops").when(code, "coding").when(prose, "writing").when(F.array_contains(types, "discovery"), "research").when(F.array_contains(types, "decision"), "planning").otherwise("unknown")
+    Texts are compared in lower case. Pairs of unknown capsules or sessions are not attributed.
+    """
+    known = capsule_terms(capsules, generic)
+    rows = pairs.where("capsule is not null and session is not null").select("capsule", "session").distinct()
+    rows = rows.join(known, "capsule").join(sessions.select("session", F.lower("text").alias("low")), "session")
+    held = lambda c: F.size(F.filter(c, lambda t: F.col("low").contains(t)))
+    return rows.where((held("own") >= 1) | (held("terms") >= least_shared)).select("capsule", "session")
+
+
+def engagement(capsules: DataFrame, matches: DataFrame, sessions: DataFrame, least_shared: int = 2) -> DataFrame:
+    """Per capsule: injections, those matched to a session, those whose session used it, and the rate. matches: capsule, session."""
+    used = attributed(matches, capsules, sessions, least_shared).withColumn("used", F.lit(1))
+    rows = matches.join(used, ["capsule", "session"], "left").groupBy("capsule")
+    out = rows.agg(F.count(F.lit(1)).alias("injected"), F.count("session").alias("matched"), F.count("used").alias("engaged"))
+    return out.withColumn("rate", F.when(F.col("matched") > 0, F.round(F.col("engaged") / F.col("matched"), 6)))
+
+
+#: A path with an extension. Fixed value.
+FILE_PATH = r"[\w./\-]+\.([A-Za-z0-9]{1,6})\b"
+
+
+def file_buckets(files: Column) -> dict[str, Column]:
+    """Numbers of code, doc, config, asset and other files named in a text; a well-known config file adds one to config."""
+    text = F.coalesce(files, F.lit(""))
+    found = F.transform(F.regexp_extract_all(text, F.lit(FILE_PATH), F.lit(1)), lambda e: F.lower(e))
+    count = lambda kinds: F.size(F.filter(found, lambda e: e.isin(*kinds)))
+    out = {name: count(kinds) for name, kinds in config.EXTENSIONS.items()}
+    out["other"] = F.size(found) - sum(out.values(), F.lit(0))
+    out["config"] = out["config"] + text.rlike(config.CONFIG_NAMES).cast("int")
+    return out
+
+
+def scenario(files: Column, types: Column, text: Column) -> tuple[Column, Column]:
+    """(scenario, reason) of a session by ordered rules on its files, the types of its observations and its lowered text."""
+    n = file_buckets(files)
+    text = F.lower(F.coalesce(text, F.lit("")))
+    ops, research = contains_any(text, config.OPS_MARKERS), contains_any(text, config.RESEARCH_MARKERS)
+    typed = lambda *kinds: F.exists(types, lambda t: t.isin(*kinds))
+    none = (n["code"] == 0) & (n["doc"] == 0) & (n["config"] == 0)
+    rules = (
+        (n["code"] > 0, "coding", "code files"),
+        (typed(*config.CODE_TYPES) & ~((n["config"] > 0) & ops), "coding", "types of code changes"),
+        (n["config"] > 0, "ops", "config files"),
+        (ops & (n["doc"] == 0), "ops", "words of operation"),
+        ((n["doc"] > 0), "writing", "documents only"),
+        (none & typed("decision"), "planning", "decisions without files"),
+        (none & research, "research", "words of research"),
+        (none & typed("discovery"), "research", "discoveries without files"),
+    )
+    first, reason = None, None
+    for when, name, why in rules:
+        first = F.when(when, name) if first is None else first.when(when, name)
+        reason = F.when(when, why) if reason is None else reason.when(when, why)
+    return first.otherwise("unknown"), reason.otherwise("no rule")
 
 
 def outcome(text: Column, good: Sequence[str], bad: Sequence[str]) -> Column:
@@ -81,9 +145,16 @@ def outcome(text: Column, good: Sequence[str], bad: Sequence[str]) -> Column:
     return F.when(plus > minus, 1).when(plus < minus, 0)
 
 
-def reward(unique_hits: Column, shared_hits: Column, result: Column) -> Column:
-    """The outcome as a reward where the capsule can be credited: one unique or two shared terms; else null."""
-    return F.when((unique_hits >= 1) | (shared_hits >= 2), result.cast("double"))
+def reward(credited: Column, result: Column) -> Column:
+    """1 for a success that the capsule can be credited with, 0 for any other known outcome, null without one."""
+    return F.when(result.isNotNull(), F.when((result == 1) & credited, 1.0).otherwise(0.0))
+
+
+def contribution(scores: DataFrame) -> DataFrame:
+    """Per capsule: judged pairs, their sum, those of 1 or more, those of 2, and the mean. scores: capsule, score; nulls count as 0."""
+    s = F.coalesce("score", F.lit(0))
+    rows = scores.groupBy("capsule").agg(F.count(F.lit(1)).alias("pairs"), F.sum(s).cast("bigint").alias("total"), F.count_if(s >= 1).alias("useful"), F.count_if(s == 2).alias("direct"))
+    return rows.withColumn("mean", F.round(F.col("total") / F.col("pairs"), 6))
 
 
 def posteriors(rewards: DataFrame, seen: DataFrame | None = None) -> DataFrame:

@@ -10,31 +10,75 @@ from loomgraph.functions.columns import blank, json_list, looked_up
 
 
 def with_platform(observations: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Observations with their session's platform; no session or no platform is ``_default``."""
-    return observations.join(F.broadcast(sessions), "memory_session_id", "left").withColumn("platform", F.coalesce(F.nullif("platform_source", F.lit("")), F.lit("_default")))
+    """Observations with their session's platform; no session or no platform is ``_default``.
+
+    A session that comes several times counts once; null sessions match none.
+    """
+    known = sessions.groupBy("memory_session_id").agg(F.max("platform_source").alias("platform_source"))
+    return observations.join(known, "memory_session_id", "left").withColumn("platform", F.coalesce(F.nullif("platform_source", F.lit("")), F.lit("_default")))
+
+
+def score_parts(cfg: GateConfig) -> dict[str, Column]:
+    return {
+        "type": looked_up(blank("type"), {k: float(v) for k, v in cfg.type_weight.items()}, F.lit(0.0)),
+        "narrative": F.least(F.char_length(blank("narrative")), F.lit(800)) / 20.0,
+        "facts": F.least(F.size(json_list("facts")), F.lit(10)) * 3.0,
+        "concepts": F.least(F.size(json_list("concepts")), F.lit(8)) * 2.0,
+        "files": F.size(json_list("files_modified")) * 1.0,
+        "relevance": F.least(F.coalesce("relevance_count", F.lit(0)), F.lit(20)) * 5.0,
+    }
 
 
 def score(cfg: GateConfig) -> Column:
     """Weighted substance of an observation."""
-    return (
-        looked_up(blank("type"), {k: float(v) for k, v in cfg.type_weight.items()}, F.lit(0.0))
-        + F.least(F.char_length(blank("narrative")), F.lit(800)) / 20.0
-        + F.least(F.size(json_list("facts")), F.lit(10)) * 3.0
-        + F.least(F.size(json_list("concepts")), F.lit(8)) * 2.0
-        + F.size(json_list("files_modified")) * 1.0
-        + F.least(F.coalesce("relevance_count", F.lit(0)), F.lit(20)) * 5.0
-    )
+    first, *others = score_parts(cfg).values()
+    return sum(others, first)
 
 
 def is_noise(cfg: GateConfig) -> Column:
-    """A bug fix about the hub itself: a marker and enough keywords in title, narrative and facts."""
+    """A bug fix about the system's own running: a marker and enough keywords in title, narrative and facts.
+
+    Without markers or without keywords nothing is noise.
+    """
     text = F.lower(F.concat_ws(" ", blank("title"), blank("narrative"), blank("facts")))
     marked, hits = F.lit(False), F.lit(0)
     for m in cfg.noise_markers:
         marked = marked | text.contains(m.lower())
     for k in cfg.noise_keywords:
         hits = hits + text.contains(k.lower()).cast("int")
-    return (blank("type") == "bugfix") & marked & (hits >= cfg.noise_hits) if cfg.noise_keywords else F.lit(False)
+    return (blank("type") == "bugfix") & marked & (hits >= cfg.noise_hits) if cfg.noise_keywords and cfg.noise_markers else F.lit(False)
+
+
+def _number(c: Column) -> Column:
+    return c.cast("decimal(18,2)").cast("string")
+
+
+def reasons(cfg: GateConfig) -> Column:
+    """Why a decided row has its verdict, in the order of the checks; a security alert lists the gates it passed by."""
+    narrative, listed = F.char_length(blank("narrative")), F.size(json_list("facts")) + F.size(json_list("files_modified"))
+    layer, t = F.col("layer"), blank("type")
+    known = t.isin(*cfg.types)
+    thin = (listed < cfg.least_facts_or_files) & (narrative < cfg.substantive_narrative)
+    open_ = F.col("gate").isNull()
+    compared = lambda sign: F.concat(F.lit("score "), _number(F.col("score")), F.lit(f" {sign} "), _number(F.col("threshold")))
+    parts = (
+        F.when(~known, F.concat(F.lit("type '"), t, F.lit("' isn't admitted"))),
+        F.when(known & (narrative < cfg.least_narrative), F.concat(F.lit("narrative of "), narrative.cast("string"), F.lit(f" characters, least {cfg.least_narrative}"))),
+        F.when(known & thin & ((narrative >= cfg.least_narrative) | (t == "security_alert")), F.concat(F.lit("facts and files: "), listed.cast("string"), F.lit(f", least {cfg.least_facts_or_files}"))),
+        F.when(F.col("gate") == "model", F.concat(F.lit("model "), F.lower(blank("generated_by_model")), F.lit(" is refused"))),
+        F.when(open_ & (layer == "ops_noise"), F.lit("ops noise: penalised, no override")),
+        F.when(open_ & (layer == "ops_noise"), F.when(F.col("score") >= F.col("threshold"), compared(">=")).otherwise(compared("<"))),
+        F.when(open_ & t.isin(*cfg.skip_threshold) & (layer != "ops_noise"), F.concat(F.lit("type "), t, F.lit(" needs no threshold"))),
+        F.when(layer == "quota", F.lit("quota used up")),
+        F.when(layer == "score", compared("<")),
+        F.when(layer == "pass", compared(">=")),
+    )
+    return F.array_compact(F.array(*parts))
+
+
+def breakdown(cfg: GateConfig) -> Column:
+    """The parts of the score by name."""
+    return F.create_map(*(x for name, c in score_parts(cfg).items() for x in (F.lit(name), c.cast("double"))))
 
 
 def hard_gate(cfg: GateConfig) -> Column:
@@ -75,18 +119,26 @@ def layers(observations: DataFrame, cfg: GateConfig) -> DataFrame:
     )
 
 
-def decide(observations: DataFrame, cfg: GateConfig = GateConfig(), quota: int | None = None, day: Column | None = None) -> DataFrame:
+def decide(observations: DataFrame, cfg: GateConfig = GateConfig(), quota: int | None = None, day: Column | None = None, before: DataFrame | None = None) -> DataFrame:
     """One decision a row. Quotas admit the first rows by id of each (platform, project, type, day).
 
-    ``quota`` replaces the configured quotas. Only rows that reach the quota layer count; 0 is no limit.
+    ``quota`` replaces the configured quotas. Only rows that reach the quota layer count; 0 is no limit. ``before`` are
+    decisions already made: what they admitted in that layer counts first. A rejection by quota isn't final.
     """
     rows = layers(observations, cfg)
+    counted = ["platform", "project", "type"]
+    if before is None:
+        rows = rows.withColumn("used_before", F.lit(0))
+    else:
+        took = F.col("layer").isin("pass", "override") & ~F.col("type").isin(*cfg.skip_quota)
+        held = before.where(took).groupBy(*(F.coalesce(c, F.lit("")).alias(f"_{c}") for c in counted)).agg(F.count(F.lit(1)).alias("used_before"))
+        rows = rows.withColumns({f"_{c}": F.coalesce(c, F.lit("")) for c in counted}).join(held, [f"_{c}" for c in counted], "left").withColumn("used_before", F.coalesce("used_before", F.lit(0))).drop(*(f"_{c}" for c in counted))
     limit = F.lit(quota) if quota is not None else looked_up(F.col("platform"), cfg.quotas, F.lit(cfg.default_quota))
     keys = ["platform", F.coalesce(F.nullif("project", F.lit("")), F.lit("(unknown)")), "type", day if day is not None else F.lit(0)]
     asking = F.col("layer").endswith("?")
     used = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
-    waiting = rows.where(asking).withColumn("used", used).withColumn("layer", F.when((limit > 0) & (F.col("used") > limit), "quota").otherwise(F.rtrim(F.translate("layer", "?", "")))).drop("used")
-    out = waiting.unionByName(rows.where(~asking))
+    waiting = rows.where(asking).withColumn("used", used).withColumn("layer", F.when((limit > 0) & (F.col("used") + F.col("used_before") > limit), "quota").otherwise(F.rtrim(F.translate("layer", "?", "")))).drop("used")
+    out = waiting.unionByName(rows.where(~asking)).drop("used_before")
     would = F.when(F.col("layer").isin("override", "pass"), True).when(F.col("layer") == "ops_noise", F.col("score") >= F.col("threshold")).otherwise(False)
     return out.withColumn("would_accept", would).withColumn("accept", F.lit(True) if cfg.shadow else F.col("would_accept"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import config
+from loomgraph.functions.columns import clamped, contains_any
+from loomgraph.tables import components, materialise
 
 
 def totals(entities: DataFrame, facts: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -23,8 +25,10 @@ def node_types(entities: DataFrame) -> DataFrame:
 
 
 def edge_types(facts: DataFrame, canonical: Sequence[str] = config.CANONICAL_EDGES) -> DataFrame:
-    """Edges by name, with whether the name is a canonical one in any case."""
-    return facts.groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn("canonical", F.lower("name").isin(*canonical))
+    """Edges by name, with whether the name is a canonical one in any case, and the percentage of all edges that are."""
+    rows = facts.groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn("canonical", F.lower("name").isin(*canonical))
+    share = rows.agg(F.round(100.0 * F.sum(F.when(F.col("canonical"), F.col("n")).otherwise(0)) / F.greatest(F.sum("n"), F.lit(1)), 6).alias("aligned_percent"))
+    return rows.crossJoin(F.broadcast(share))  # one row
 
 
 def case_variants(facts: DataFrame) -> DataFrame:
@@ -62,11 +66,16 @@ def lookup(entities: DataFrame, text: str) -> DataFrame:
 
 
 def neighbours(entities: DataFrame, facts: DataFrame, text: str, limit: int = 20) -> DataFrame:
-    """Direct neighbours out and in of the entity that a text names, each side limited."""
-    start = lookup(entities, text).select(F.col("uuid").alias("start"), F.col("name").alias("node"))
+    """Direct neighbours out and in of the entity that a text names, each side limited (1 to 100, 20 otherwise).
+
+    Entities of the same name count as one. A text that names nothing gives no rows.
+    """
+    limit = clamped(limit, 1, 100, 20)
+    named = lookup(entities, text).select(F.col("name").alias("node"))
+    start = entities.join(named, entities["name"] == named["node"]).select(F.col("uuid").alias("start"), "node")
 
     def side(here: str, there: str, direction: str) -> DataFrame:
-        rows = facts.join(F.broadcast(start), F.col(here) == F.col("start")).select("node", F.col(there).alias("uuid"), F.col("name").alias("edge"))
+        rows = facts.join(start, F.col(here) == F.col("start")).select("node", F.col(there).alias("uuid"), F.col("name").alias("edge"))
         return rows.join(entities.select("uuid", F.col("name").alias("neighbour")), "uuid").select("node", "neighbour", "edge", F.lit(direction).alias("direction"), "uuid").orderBy("neighbour", "edge", "uuid").limit(limit)
 
     return side("src", "dst", "out").unionByName(side("dst", "src", "in"))
@@ -76,31 +85,33 @@ def paths(entities: DataFrame, facts: DataFrame, source: str, target: str, hops:
     """Simple directed paths between entities whose names contain the texts, shortest first.
 
     Each hop joins the frontier with the edges; a frontier keeps only nodes from which a target can still be reached
-    in the hops left, so that it doesn't grow with the graph. Hops are at most 6.
+    in the hops left, so that it doesn't grow with the graph. Edges, reach and frontier are written, so that a hop reads
+    the one before it instead of computing it again. Hops are from 1 to 6.
     """
-    hops = min(max(hops, 1), 6)
-    edges = facts.select("src", "dst").where("src <> dst").distinct()
-    goals = entities.where(F.col("name").contains(target)).select(F.col("uuid").alias("at"))
+    hops = clamped(hops, 1, 6, 4)
+    edges = materialise(facts.select("src", "dst").where("src <> dst").distinct(), "edges")
+    goals = materialise(entities.where(F.col("name").contains(target)).select(F.col("uuid").alias("at")), "goals")
     reach = [goals]  # reach[i]: nodes at most i hops from a target
     for _ in range(hops - 1):
         back = edges.join(reach[-1], edges["dst"] == reach[-1]["at"], "left_semi").select(F.col("src").alias("at"))
-        reach.append(reach[-1].unionByName(back).distinct())
+        reach.append(materialise(reach[-1].unionByName(back).distinct(), "reach"))
     frontier = entities.where(F.col("name").contains(source)).select(F.col("uuid").alias("at"), F.array("uuid").alias("path"))
     found = None
     for hop in range(1, hops + 1):
         step = frontier.join(edges, frontier["at"] == edges["src"]).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
-        frontier = step.join(reach[hops - hop], "at", "left_semi")
+        frontier = materialise(step.join(reach[hops - hop], "at", "left_semi"), "frontier")
         done = frontier.join(goals, "at", "left_semi").select(F.lit(hop).alias("hops"), "path")
         found = done if found is None else found.unionByName(done)
     return found.withColumn("names", F.array_join("path", ">")).orderBy("hops", "names").limit(most).select("hops", "names")
 
 
 def chains(facts: DataFrame, least: int, most: int, k: int) -> DataFrame:
-    """Distinct end pairs of simple chains of some lengths over an edge subset; the first k by ends."""
-    edges = facts.select("src", "dst").where("src <> dst").distinct()
+    """Distinct end pairs of simple chains of some lengths over an edge subset; the first k by ends. Each hop is written."""
+    edges = materialise(facts.select("src", "dst").where("src <> dst").distinct(), "edges")
     walk, found = edges.select(F.col("dst").alias("at"), F.array("src", "dst").alias("path")), None
     for hop in range(2, most + 1):
         walk = walk.join(edges, walk["at"] == edges["src"]).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        walk = materialise(walk, "walks")
         if hop >= least:
             ends = walk.select(F.element_at("path", 1).alias("first"), F.col("at").alias("last"), F.lit(hop).alias("hops"))
             found = ends if found is None else found.unionByName(ends)
@@ -129,6 +140,32 @@ def without_episode(facts: DataFrame, uuids: DataFrame) -> DataFrame:
     return left.groupBy("edge_id").agg(F.array_join(F.array_sort(F.collect_set("backing_uuid")), ",").alias("backing"))
 
 
+def resolved(entities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(uuid, root) of every entity: the least uuid of those that similar pairs (a, b) connect, itself without any."""
+    roots = components(pairs)
+    return entities.select("uuid").join(roots.withColumnRenamed("node", "uuid"), "uuid", "left").select("uuid", F.coalesce("root", "uuid").alias("root"))
+
+
+def merged(facts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Facts between resolved entities, equal ones once, without those that now lead from an entity to itself."""
+    near, far = (roots.select(F.col("uuid").alias(k), F.col("root").alias(f"{k}_root")) for k in ("src", "dst"))
+    rows = facts.join(near, "src").join(far, "dst").select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst"), "name")
+    return rows.where("src <> dst").distinct()
+
+
+def impact(names: DataFrame, episodes: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Per name: whether an episode has it and how many mentions its episodes have. names: name; mentions: src (episode), dst."""
+    counts = mentions.groupBy(F.col("src").alias("uuid")).agg(F.count(F.lit(1)).alias("n"))
+    known = episodes.select("name", "uuid").join(counts, "uuid", "left").groupBy("name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("mentions"))
+    return names.select("name").distinct().join(known, "name", "left").select("name", F.col("mentions").isNotNull().alias("exists"), F.coalesce("mentions", F.lit(0)).alias("mentions"))
+
+
+def fact_quality(facts: DataFrame) -> DataFrame:
+    """All facts, those phrased like metadata and their percentage. A null fact isn't."""
+    c = facts.agg(F.count(F.lit(1)).alias("total"), F.count_if(contains_any(F.col("fact"), config.METADATA_PHRASES)).alias("metadata_like"))
+    return c.withColumn("percent", F.round(100.0 * F.col("metadata_like") / F.greatest("total", F.lit(1)), 1))
+
+
 def resolve_entities(entities: DataFrame, block: Column, vector: str, least: float) -> DataFrame:
     """(a, b) pairs of the same block whose vectors have at least a cosine; blocks bound what is compared."""
     rows = entities.select("uuid", block.alias("block"), F.col(vector).alias("v"))

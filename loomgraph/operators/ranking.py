@@ -97,10 +97,14 @@ def utilisation(episodes: DataFrame) -> DataFrame:
 
 
 def usage_bump(episodes: DataFrame, events: DataFrame) -> DataFrame:
-    """Counters after the events (name): usage and retrieval rise by one an event, on every episode of that name."""
+    """All episodes with their counters after the events (name, ts): usage and retrieval rise by one an event, on every episode of that name.
+
+    Episodes without events keep their counters and have no last_used_at of these events; null counters count as 0.
+    """
     counts = events.groupBy("name").agg(F.count(F.lit(1)).alias("more"), F.max("ts").alias("last_used_at"))
-    rows = episodes.join(counts, "name", "inner")
-    return rows.select("uuid", "name", (F.coalesce("usage_count", F.lit(0)) + F.col("more")).alias("usage_count"), F.col("more").alias("retrieval_count"), "last_used_at")
+    rows = episodes.join(counts, "name", "left")
+    raised = lambda c: (F.coalesce(c, F.lit(0)) + F.coalesce("more", F.lit(0))).alias(c)
+    return rows.select("uuid", "name", raised("usage_count"), raised("retrieval_count"), "last_used_at")
 
 
 def delivery_mix(deliveries: DataFrame, bucket: Column) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import config
-from loomgraph.functions.columns import blank, days_between
+from loomgraph.functions.columns import blank, clamped, days_between, declared, escaped
+from loomgraph.operators import ranking
+from loomgraph.tables import materialise
 
 
 def cosine(vector: Column, query: Sequence[float]) -> Column:
@@ -25,6 +30,59 @@ def vector_top(facts: DataFrame, query: Sequence[float], k: int) -> DataFrame:
     return facts.withColumn("similarity", F.round(cosine(F.col("embedding"), query), 6)).orderBy(F.desc_nulls_last("similarity"), "edge_id").limit(k)
 
 
+def batch_vector_top(facts: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int) -> DataFrame:
+    """(id, edge_id, fact, similarity): the k nearest facts of each of a stated set of query vectors.
+
+    Each task multiplies its batches with all query vectors and keeps k rows a query; only these are shuffled. Zero and
+    null vectors come last, as with ``vector_top``; ties take the lesser edge_id.
+    """
+    ids = np.array([i for i, _ in queries], np.int64)
+    q = np.array([v for _, v in queries], float)
+    length = np.sqrt((q**2).sum(axis=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for batch in batches:
+            rows = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column("embedding")), q.shape[1]), False))
+            if not rows.num_rows:
+                continue
+            x = rows.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, q.shape[1])
+            norm = np.sqrt((x**2).sum(axis=1))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                sim = np.round((x @ q.T) / (norm[:, None] * length), 6)
+            edge = rows.column("edge_id").to_numpy(zero_copy_only=False)
+            picked = [(j, i) for j in range(len(ids)) for i in np.lexsort((edge, np.where(np.isnan(sim[:, j]), np.inf, -sim[:, j])))[:k]]
+            j, i = np.array(picked).T
+            value = sim[i, j]
+            part = pa.table({"id": ids[j], "edge_id": edge[i], "fact": rows.column("fact").take(pa.array(i)), "similarity": pa.array(value, mask=np.isnan(value))})
+            best = part if best is None else pa.concat_tables([best, part])
+            if best.num_rows > 4 * k * len(ids):
+                best = _best(best, k)
+        if best is not None:
+            yield from _best(best, k).combine_chunks().to_batches()
+
+    near = facts.select(F.col("edge_id").cast("bigint").alias("edge_id"), F.col("fact").cast("string").alias("fact"), F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, "id bigint, edge_id bigint, fact string, similarity double")
+    order = Window.partitionBy("id").orderBy(F.desc_nulls_last("similarity"), "edge_id")
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def _best(rows: pa.Table, k: int) -> pa.Table:
+    """The first k rows of each id by similarity."""
+    rows = rows.sort_by([("id", "ascending"), ("similarity", "descending"), ("edge_id", "ascending")])
+    ids = rows.column("id").to_numpy()
+    start = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+    place = np.arange(len(ids)) - np.repeat(start, np.diff(np.append(start, len(ids))))
+    return rows.filter(pa.array(place < k))
+
+
+def batch_substring_top(facts: DataFrame, queries: Sequence[tuple[int, str]], k: int) -> DataFrame:
+    """(id, fact): up to k facts by their order that contain each of a stated set of texts in any case; one pass over the facts."""
+    wanted = F.array(*(F.struct(F.lit(i).cast("bigint").alias("id"), F.lit(t.lower()).alias("text")) for i, t in queries))
+    low = F.lower("fact")
+    hits = facts.select("fact").distinct().withColumn("q", F.explode(F.filter(wanted, lambda w: low.contains(w["text"])))).select("q.id", "fact")
+    return hits.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("fact"))).where(F.col("place") <= k).drop("place")
+
+
 def semantic_leg(facts: DataFrame, query: Sequence[float], pool: int) -> DataFrame:
     """fact, sem = 1 - rank / n over the pool. Facts of equal text collapse to the last of them in rank."""
     near = vector_top(facts, query, pool)
@@ -92,10 +150,15 @@ def tokens(text: Column) -> Column:
 
 
 def bm25(episodes: DataFrame, words: Sequence[str], k: int) -> DataFrame:
-    """Live episodes by BM25 over the query's words: only rows with one of them are scored, sizes come from one aggregate."""
+    """Live episodes by BM25 over the query's words: only rows with one of them are scored, sizes come from one aggregate.
+
+    Texts are split once: uuid, name, length and the words' counts are written and read for both. No words find nothing.
+    """
+    if not words:
+        return episodes.select("uuid", "name", F.lit(0.0).alias("score")).limit(0)
     live = episodes.where(~F.coalesce("archived", F.lit(False))).select("uuid", "name", tokens(blank("content")).alias("t"))
     counts = {w: F.size(F.filter("t", _equals(w))).alias(f"tf{i}") for i, w in enumerate(words)}
-    sized = live.select("uuid", "name", F.size("t").alias("dl"), *counts.values())
+    sized = materialise(live.select("uuid", "name", F.size("t").alias("dl"), *counts.values()), "sized")
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
     score = F.lit(0.0)
     for i in range(len(words)):
@@ -112,10 +175,60 @@ def _equals(word: str):
     return lambda t: t == word
 
 
-def episode_search(episodes: DataFrame, text: str, k: int) -> DataFrame:
-    """Full text; where it finds nothing, a substring of name or content with score 0."""
-    words = [w for w in text.lower().split() if w]
-    found = bm25(episodes, words, k)
-    plain = episodes.where(~F.coalesce("archived", F.lit(False)) & (F.lower(blank("content")).contains(text.lower()) | F.lower("name").contains(text.lower()))).select("uuid", "name", F.lit(0.0).alias("score")).orderBy("uuid").limit(k)
+def matching(episodes: DataFrame, text: str, k: int) -> DataFrame:
+    """uuid, name and score by full text; where it finds nothing, a substring (of this case) of name or content with score 0."""
+    found = bm25(episodes, [w for w in text.lower().split() if w], k)
+    plain = episodes.where(~F.coalesce("archived", F.lit(False)) & (blank("content").contains(text) | blank("name").contains(text))).select("uuid", "name", F.lit(0.0).alias("score")).orderBy("uuid").limit(k)
     none = found.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
     return found.unionByName(plain.join(F.broadcast(none), how="cross").drop("n"))
+
+
+def _typed(episodes: DataFrame) -> Column:
+    return F.coalesce(declared("source_description", "type"), F.lit("?")).alias("type")
+
+
+def episode_search(episodes: DataFrame, text: str, k: int = 5, tiered: bool = False) -> DataFrame:
+    """The k (1 to 15) best episodes for a text with a preview of 600 characters; a larger pool is re-ranked by type if ``tiered``."""
+    k = clamped(k, 1, 15, 5)
+    found = matching(episodes, text, min(3 * k, 45) if tiered else k)
+    rows = episodes.select("uuid", _typed(episodes), F.substring(blank("content"), 1, 600).alias("preview")).join(F.broadcast(found), "uuid")
+    ranked = ranking.tier_rerank(rows.withColumn("query_id", F.lit(0)).withColumn("label", F.col("name")).withColumn("name", F.col("uuid")), k, enabled=tiered)
+    return ranked.select("uuid", F.col("label").alias("name"), "type", "score", "preview", "place")
+
+
+def browse(episodes: DataFrame, text: str | None, k: int = 30, recent: int = 25, created: str = "created_at") -> DataFrame:
+    """What a reader browses: matches of a text, or without one the newest live episodes that aren't canonical; with badges and snippet."""
+    if text:
+        found = matching(episodes, text, k).select("uuid", "score")
+        rows = episodes.join(F.broadcast(found), "uuid")
+    else:
+        rows = episodes.where(~F.coalesce("archived", F.lit(False)) & ~F.col("name").startswith(config.CANONICAL_PREFIX)).orderBy(F.desc(created), "uuid").limit(recent).withColumn("score", F.lit(None).cast("double"))
+    line = F.replace(F.trim(F.substring(blank("content"), 1, 4000)), F.lit("\n"), F.lit(" "))
+    cut = F.concat(escaped(F.substring(line, 1, 400)), F.when(F.char_length(line) > 400, "…").otherwise(""))
+    kind = F.when(F.col("name").startswith(config.CAPSULE_PREFIX), "capsule").otherwise(F.coalesce(declared("source_description", "type"), F.lit("obs")))
+    return rows.select("uuid", "name", kind.alias("type"), F.coalesce(declared("source_description", "project"), F.lit("—")).alias("project"), cut.alias("snippet"), "score")
+
+
+def context(episodes: DataFrame, keyword: str, top: int = 3, scopes: dict[str, str] | None = None, tiered: bool = True) -> DataFrame:
+    """The canonical context of a keyword, its free places filled by full text.
+
+    Canonical episodes come first, those of the first pass before those that full text finds; the others follow by
+    score, re-ranked by type if ``tiered``. Without any match there are no rows. ``top`` is from 1 to 10.
+    """
+    top = clamped(top, 1, 10, 3)
+    first = materialise(ranking.canonical_context(episodes, keyword, top, scopes).select("uuid", "name", F.col("relscore").cast("double").alias("score"), F.col("place").cast("int").alias("place"), F.lit("canonical").alias("source")), "context")
+    missing = top - first.count()  # a handful of rows
+    if missing <= 0:
+        return first
+    others = episodes.join(F.broadcast(first.select("name")), "name", "left_anti")
+    found = bm25(others, [w for w in keyword.lower().split() if w], 3 * missing)
+    rows = materialise(others.select("uuid", _typed(others)).join(F.broadcast(found), "uuid"), "fill")
+    canonical = F.col("name").startswith(config.CANONICAL_PREFIX)
+    more = rows.where(canonical).orderBy(F.desc("score"), "uuid").limit(missing)
+    free = missing - more.count()
+    ranked = ranking.tier_rerank(rows.where(~canonical).withColumn("query_id", F.lit(0)).withColumn("label", F.col("name")).withColumn("name", F.col("uuid")), free, enabled=tiered)
+    place = lambda order, start: (F.row_number().over(Window.orderBy(*order)) + start).cast("int").alias("place")  # noqa: E731  # a handful of rows
+    return (
+        first.unionByName(more.select("uuid", "name", "score", place([F.desc("score"), "uuid"], top - missing), F.lit("fulltext").alias("source")))
+        .unionByName(ranked.select("uuid", F.col("label").alias("name"), "score", place(["place"], top - free), F.lit("fulltext").alias("source")))
+    )

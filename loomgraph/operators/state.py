@@ -24,7 +24,7 @@ def claim(requests: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """One outcome a key: the first request of a new key claims it; an existing key answers by its status."""
     first = requests.groupBy(*on).agg(F.min("request_id").alias("request_id"), F.count(F.lit(1)).alias("requests"))
     rows = first.join(keys.select(*on, "status"), list(on), "left")
-    return rows.withColumn("outcome", F.when(F.col("status").isNull(), "created").when(F.col("status") == "ok", "skipped").when(F.col("status") == "pending", "in_progress").otherwise("retry"))
+    return rows.withColumn("outcome", F.when(F.col("status").isNull(), "created").when(F.col("status") == "ok", "skipped").when(F.col("status") == "pending", "in_progress").otherwise("conflict"))
 
 
 def queue_stats(keys: DataFrame, now: Column) -> DataFrame:
@@ -121,5 +121,5 @@ def case_pack(episodes: DataFrame, most: int = 12, each: int = 1600, total: int
 def children(parents: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows of a parent's observations named ``<parent>--obs-NN`` that don't exist yet, with n of m."""
     rows = parents.select("name", F.size("observations").alias("m"), F.posexplode("observations").alias("pos", "observation"))
-    rows = rows.withColumn("child", F.concat("name", F.lit("--obs-"), F.lpad((F.col("pos") + 1).cast("string"), 2, "0")))
+    rows = rows.withColumn("child", F.concat("name", F.lit("--obs-"), F.lpad((F.col("pos") + 1).cast("string"), F.greatest(F.lit(2), F.length((F.col("pos") + 1).cast("string"))), F.lit("0"))))
     return rows.join(existing.select(F.col("name").alias("child")), "child", "left_anti").select("child", "name", "m", "observation")

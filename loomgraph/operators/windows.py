@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.columns import short_age
+
 
 def carry_forward(events: DataFrame, value: str, by: list[str], order: list[str], first: str) -> Column:
     """The last value so far of a key, ``first`` before any. The key keeps one log's lines together."""
@@ -12,6 +14,20 @@ def carry_forward(events: DataFrame, value: str, by: list[str], order: list[str]
     return F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(first))
 
 
+def carried(events: DataFrame, value: str, pos: str, first: str, name: str, size: int = 1 << 16) -> DataFrame:
+    """``events`` with the last value so far of the whole log as column ``name``, ``first`` before any.
+
+    The log is cut into buckets of ``size`` positions; each is filled on its own and starts with what the buckets before
+    it ended with, a table of one row a bucket. So no task gets more than a bucket. Positions are unique and not null.
+    """
+    bucket = F.floor(F.col(pos) / size).cast("bigint")
+    ends = events.groupBy(bucket.alias("bucket")).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(pos))).alias("end"))
+    starts = ends.select("bucket", F.last("end", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("start"))
+    w = Window.partitionBy("bucket").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumn("bucket", bucket).join(starts, "bucket")
+    return rows.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(w), "start", F.lit(first))).drop("bucket", "start")
+
+
 def transitions(states: DataFrame, bad: Column, by: str, order: list[str]) -> DataFrame:
     """Rows where a key turns bad (fire) or well again (clear); the state before the first is well."""
     w = Window.partitionBy(by).orderBy(*order)
@@ -57,11 +73,17 @@ def snapshot_alerts(snapshots: DataFrame, now: Column, stale_minutes: int = 30)
     return snapshots.withColumn("alert", F.when(stale, "stale").when(F.col("overall") == "red", "blocked")).where("alert is not null")
 
 
-def hook_health(events: DataFrame) -> DataFrame:
-    """Counts by kind, the last success and a verdict of each tool."""
+def hook_health(events: DataFrame, now: Column, fresh_hours: int = 24, stale_hours: int = 72) -> DataFrame:
+    """Counts by kind, the last success and error, and a light of each tool by the age of its last success."""
     is_ = lambda k: F.count_if(F.col("kind") == k)
-    rows = events.groupBy("tool").agg(is_("start").alias("starts"), is_("ok").alias("ok"), is_("no_match").alias("no_match"), is_("error").alias("errors"), F.max(F.when(F.col("kind") == "ok", F.col("ts"))).alias("last_ok"), F.max_by("kw", F.when(F.col("kind") == "ok", F.struct("ts", "pos"))).alias("last_kw"))
-    return rows.withColumn("verdict", F.when(F.col("ok") == 0, "SILENT").when(F.col("errors") > F.col("ok"), "FAILING").otherwise("OK"))
+    last = lambda c, k: F.max_by(c, F.when(F.col("kind") == k, F.struct("ts", "pos")))
+    rows = events.groupBy("tool").agg(
+        is_("start").alias("starts"), is_("ok").alias("ok"), is_("no_match").alias("no_match"), is_("empty").alias("empty"), is_("error").alias("errors"),
+        F.max(F.when(F.col("kind") == "ok", F.col("ts"))).alias("last_ok"), last("kw", "ok").alias("last_kw"), last("pos", "error").alias("last_error_pos"),
+    )
+    age = F.unix_timestamp(now) - F.unix_timestamp("last_ok")
+    light = F.when((F.col("errors") > 0) & (F.col("ok") == 0), "red").when(F.col("ok") == 0, F.when(F.col("no_match") > 0, "amber").otherwise("grey")).when(age <= 3600 * fresh_hours, "green").when(age <= 3600 * stale_hours, "amber").otherwise("red")
+    return rows.withColumns({"light": light, "last_ok_age": short_age(age)})
 
 
 def daily_increment(totals: DataFrame) -> DataFrame:

@@ -48,8 +48,13 @@ def untyped_profile(s: SparkSession, d: str) -> DataFrame:
     """Untyped episodes by name prefix with up to three samples each."""
     rows = episodes(s, d).where(declared("source_description", "type").isNull())
     prefix = F.when(F.col("name").startswith("canonical-"), "canonical").when(F.col("name").startswith("capsule-"), "capsule").otherwise("other")
-    top = rows.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("uuid")), 1, 3), ",").alias("samples"))
-    return top
+    counts = rows.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    some = None  # three rows of each of three prefixes, by top-k sorts
+    for name in ("canonical", "capsule", "other"):
+        part = rows.where(prefix == name).orderBy("uuid").limit(3).select(F.lit(name).alias("prefix"), "uuid")
+        some = part if some is None else some.unionByName(part)
+    samples = some.groupBy("prefix").agg(F.array_join(F.array_sort(F.collect_list("uuid")), ",").alias("samples"))
+    return counts.join(samples, "prefix")
 
 
 def curate_manifest(s: SparkSession, d: str) -> DataFrame:
@@ -78,7 +83,7 @@ QUERIES = {
     "duplicates_title": lambda s, d: classify.duplicate_clusters(episodes(s, d), F.substring("content", 1, 12)),
     "duplicates_active": lambda s, d: classify.duplicate_clusters(episodes(s, d), classify.first_line(), active_only=True),
     "duplicates_curate": lambda s, d: classify.duplicate_clusters(episodes(s, d), classify.first_line("content", 72)),
-    "keep_longest": lambda s, d: classify.keep_longest(episodes(s, d), classify.first_line("content", 72)).select("uuid", "project", "place"),
+    "keep_longest": lambda s, d: classify.keep_longest(episodes(s, d), classify.first_line("content", 72)).select("uuid", "project", "kept"),
     "keep_earliest": lambda s, d: classify.keep_earliest(episodes(s, d), "n").select("uuid"),
     "first_bytes_dedupe": lambda s, d: classify.first_bytes_dedupe(episodes(s, d).withColumn("path", F.concat(F.lit("/"), F.col("uuid")))).select("path"),
     "curate_manifest": curate_manifest,
@@ -92,12 +97,11 @@ QUERIES = {
     "recent_knowledge": lambda s, d: episodes(s, d).where("not archived").orderBy(F.desc("n"), "uuid").limit(25).select("uuid", snippet(F.col("content"), 120).alias("snippet")),
     "retire_candidates": lambda s, d: episodes(s, d).withColumn("created_at", F.timestamp_seconds(F.lit(1704067200) + F.col("n") * 3600)).where("durability = 'time-bound' and not archived").where(~F.col("name").startswith("canonical-")).where(days_between(F.expr(NOW), F.col("created_at")) > 10).orderBy("created_at", "uuid").limit(40).select("uuid", "name", days_between(F.expr(NOW), F.col("created_at")).alias("age_days")),
     "untagged": lambda s, d: episodes(s, d).where("provenance is null and not archived").orderBy(F.desc("n"), "uuid").limit(15).select("uuid", "name"),
-    "unclassified_count": lambda s, d: sourced(s, d).agg(F.count_if(F.col("old_kind").isNull() | (F.col("old_kind") == "unclassified")).alias("n")),
+    "unclassified_count": lambda s, d: sourced(s, d).agg(F.count_if((F.col("old_kind").isNull() | (F.col("old_kind") == "unclassified")) & ~F.col("archived") & ~F.col("name").startswith("canonical-")).alias("n")),
     "tier_rerank": lambda s, d: ranking.tier_rerank(tier_items(s, d), 5).select("query_id", "name", "type", "score", "tscore", "place"),
     "delivery_replay": delivery_replay,
     "delivery_mix": lambda s, d: ranking.delivery_mix(deliveries(s, d), gate.type_bucket(F.col("type"))),
     "usage_bump": lambda s, d: ranking.usage_bump(episodes(s, d), s.read.parquet(f"{d}/events.parquet").where("event_type = 'view'").select(F.concat(F.lit("capsule-"), (F.col("event_id") % 700).cast("string")).alias("name"), "ts")),
-    "fact_quality": lambda s, d: episodes(s, d).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("source_description").contains("type=") | F.col("source_description").contains("project=")).alias("metadata_like"), F.count_if(F.col("archived")).alias("archived"), F.count_if("verified").alias("verified")),
     "health_metrics": lambda s, d: episodes(s, d).agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("archived")).alias("active"), F.count_if(F.col("name").startswith("canonical-") & (F.col("usage_count") == 0)).alias("dormant_canonical"), F.count_if((F.col("usage_count") > 0) & ~F.col("archived")).alias("injected")),
     "tag_update": lambda s, d: tag_update(s, d),
 }
@@ -149,7 +153,7 @@ ORACLES = {
     "duplicates_title": _E + f"select {_PROJECT} as project, substring(content, 1, 12) as title, count(*) as n from f_episodes group by 1, 2 having count(*) > 1",
     "duplicates_active": _E + f"select {_PROJECT} as project, {_FIRST} as title, count(*) as n from f_episodes where not archived group by 1, 2 having count(*) > 1",
     "duplicates_curate": _E + f"select {_PROJECT} as project, substring({_FIRST}, 1, 72) as title, count(*) as n from f_episodes group by 1, 2 having count(*) > 1",
-    "keep_longest": _E + f"select uuid, project, place from (select uuid, {_PROJECT} as project, row_number() over (partition by {_PROJECT}, substring({_FIRST}, 1, 72) order by length(content) desc, uuid)::int as place from f_episodes) where place > 1",
+    "keep_longest": _E + f"select uuid, project, kept from (select uuid, {_PROJECT} as project, first_value(uuid) over (partition by {_PROJECT}, substring({_FIRST}, 1, 72) order by length(content) desc, uuid) as kept from f_episodes) where uuid <> kept",
     "keep_earliest": _E + "select uuid from (select uuid, row_number() over (partition by content order by n, uuid) as place from f_episodes) where place = 1",
     "first_bytes_dedupe": _E + "select path from (select '/' || uuid as path, row_number() over (partition by substring(hex(encode(content)), 1, 400) order by '/' || uuid) as place from f_episodes) where place = 1",
     "curate_manifest": _E + f", e as (select *, row_number() over (partition by {_PROJECT}, substring({_FIRST}, 1, 72) order by length(content) desc, uuid) as place, {_TYPE} as type from f_episodes where not archived) select uuid, case when type = 'bugfix' then 'A' else 'C' end as class from e where place = 1 and ((type = 'bugfix' and contains(lower(content), 'the')) or (type is null and usage_count = 0))",
@@ -163,12 +167,11 @@ ORACLES = {
     "recent_knowledge": _E + "select uuid, case when length(replace(trim(content), chr(10), ' ')) > 120 then substring(replace(trim(content), chr(10), ' '), 1, 120) || '…' else replace(trim(content), chr(10), ' ') end as snippet from f_episodes where not archived order by n desc, uuid limit 25",
     "retire_candidates": _E + ", c as (select *, floor((1706745600 - (1704067200 + n * 3600)) / 86400.0)::bigint as age_days from f_episodes) select uuid, name, age_days from c where durability = 'time-bound' and not archived and name not like 'canonical-%' and age_days > 10 order by n, uuid limit 40",
     "untagged": _E + "select uuid, name from f_episodes where provenance is null and not archived order by n desc, uuid limit 15",
-    "unclassified_count": _S + "select count(*) filter (old_kind is null or old_kind = 'unclassified') as n from f_sourced",
+    "unclassified_count": _S + "select count(*) filter ((old_kind is null or old_kind = 'unclassified') and not archived and name not like 'canonical-%') as n from f_sourced",
     "tier_rerank": _TIERS + "select query_id, name, type, score::double as score, tscore::double as tscore, place::int as place from k where kept",
     "delivery_replay": _TIERS + "select query_id, count(*) filter (plain <= 5 and type in ('decision','security_note','security_alert')) as plain_knowledge, count(*) filter (plain <= 5 and type in ('bugfix','change','feature','refactor')) as plain_operational, count(*) filter (kept and type in ('decision','security_note','security_alert')) as tiered_knowledge, count(*) filter (kept and type in ('bugfix','change','feature','refactor')) as tiered_operational from k group by 1",
     "delivery_mix": _E + f", p as (select n % 150 as id, coalesce({_TYPE}, '?') as type from f_episodes), h as (select case when id % 2 = 0 then 'context' else 'search' end as endpoint, count(distinct id) as hits, count(distinct id) filter (id % 3 = 0) as tiered from p group by 1) select endpoint, hits, tiered, {_BUCKET.format('type')} as bucket, count(*) as picks from p join h on h.endpoint = case when id % 2 = 0 then 'context' else 'search' end group by all",
-    "usage_bump": _E + ", v as (select 'capsule-' || (event_id % 700) as name, count(*) as more, max(ts) as last_used_at from events where event_type = 'view' group by 1) select uuid, name, (usage_count + more)::bigint as usage_count, more as retrieval_count, last_used_at from f_episodes join v using (name)",
-    "fact_quality": _E + "select count(*) as total, count(*) filter (contains(source_description, 'type=') or contains(source_description, 'project=')) as metadata_like, count(*) filter (archived) as archived, count(*) filter (verified) as verified from f_episodes",
+    "usage_bump": _E + ", v as (select 'capsule-' || (event_id % 700) as name, count(*) as more, max(ts) as last_used_at from events where event_type = 'view' group by 1) select uuid, name, (usage_count + coalesce(more, 0))::bigint as usage_count, (retrieval_count + coalesce(more, 0))::bigint as retrieval_count, last_used_at from f_episodes left join v using (name)",
     "health_metrics": _E + "select count(*) as total, count(*) filter (not archived) as active, count(*) filter (name like 'canonical-%' and usage_count = 0) as dormant_canonical, count(*) filter (usage_count > 0 and not archived) as injected from f_episodes",
     "tag_update": _S + "select uuid, case when n % 100 = 6 then '决策' else old_kind end as kind, case when n % 100 = 6 then 1.0 end::double as kind_confidence, n % 100 = 56 as refused from f_sourced",
 }

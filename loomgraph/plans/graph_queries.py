@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph import config
 from loomgraph.functions.columns import declared
 from loomgraph.operators import classify, graph, retrieval
 from loomgraph.sources.fixtures import view, with_views
@@ -53,8 +54,16 @@ QUERIES = {
     "facet_search": lambda s, d: hybrid(s, d, {"durabilities": "evergreen", "kinds": "项目事实"}),
     "retired_facts": lambda s, d: retrieval.backed(facts(s, d).select("fact").distinct(), facts(s, d), episodes(s, d)).groupBy("external", "stale", "verified").agg(F.count(F.lit(1)).alias("n"), F.sum("usage").cast("bigint").alias("usage")),
     "fulltext_bm25": lambda s, d: retrieval.bm25(view(s, d, "f_episodes"), ["the", "of", "que"], 25).select("uuid", "score"),
-    "episode_search": lambda s, d: retrieval.episode_search(view(s, d, "f_episodes"), "thing", 15),
+    "episode_search": lambda s, d: retrieval.episode_search(view(s, d, "f_episodes"), "the que", 8, tiered=True),
     "episode_search_fallback": lambda s, d: retrieval.episode_search(view(s, d, "f_episodes"), "capsule-1", 15),
+    "browse_text": lambda s, d: retrieval.browse(view(s, d, "f_episodes"), "der"),
+    "browse_recent": lambda s, d: retrieval.browse(view(s, d, "f_episodes"), None, created="n").drop("score"),
+    "context_fill": lambda s, d: context_fill(s, d),
+    "context_full": lambda s, d: retrieval.context(view(s, d, "f_episodes").withColumn("scope", F.lit("global")), "the", 3),
+    "fact_quality": lambda s, d: graph.fact_quality(view(s, d, "f_fact_texts")),
+    "entity_components": lambda s, d: graph.resolved(vectors(s, d), graph.resolve_entities(vectors(s, d), F.col("label"), "embedding", 0.35)),
+    "merged_facts": lambda s, d: graph.merged(vectors(s, d).select(F.col("uuid").alias("src"), (F.col("uuid") * 7 % 400).alias("dst"), F.lit("near").alias("name")), graph.resolved(vectors(s, d), graph.resolve_entities(vectors(s, d), F.col("label"), "embedding", 0.35))),
+    "blast_radius": lambda s, d: graph.impact(view(s, d, "f_episodes").select(F.concat(F.lit("obs-"), F.col("n").cast("string")).alias("name")), view(s, d, "f_episodes"), mentions(s, d)),
     "verbose_backing": backing_detail,
     "graph_stats": lambda s, d: graph.totals(*graph_of(s, d), view(s, d, "f_episodes")),
     "node_types": lambda s, d: graph.node_types(graph_of(s, d)[0]),
@@ -74,8 +83,19 @@ QUERIES = {
 }
 
 
+def vectors(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("uuid"), "label", "embedding")
+
+
+def context_fill(s: SparkSession, d: str) -> DataFrame:
+    """A context of which the first pass fills two places: all other canonical episodes belong to other projects."""
+    e = view(s, d, "f_episodes").withColumn("scope", F.when(F.col("n").isin(10, 20), "global").otherwise("project:other"))
+    e = e.withColumn("name", F.when(F.col("n").isin(10, 20) | ~F.col("name").startswith("canonical"), F.col("name")).otherwise(F.concat(F.lit("note-"), F.col("n").cast("string"))))
+    return retrieval.context(e, "que", 5)
+
+
 def mentions(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 10 = 0").select(F.concat(F.lit("ep-"), F.col("o_orderkey").cast("string")).alias("src"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("dst"))
+    return s.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("ep-"), F.col("o_orderkey").cast("string")).alias("src"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("dst"))
 
 
 def source_name(s: SparkSession, d: str) -> str:
@@ -119,6 +139,19 @@ def _bm25(words: tuple[str, ...], k: int) -> str:
 
 
 _DEG = ", d as (select uuid, name, (select 0) as z from f_entities), t as (select unnest(case when src = dst then [src] else [src, dst] end) as uuid from f_facts), g as (select uuid, count(*) as degree from t group by 1), x as (select e.uuid, e.name, coalesce(degree, 0) as degree from f_entities e left join g using (uuid))"
+_DECLARED = "coalesce(nullif(regexp_extract(source_description, 'type=(\\S+)', 1), ''), '?')"
+_WEIGHT = "case type " + " ".join(f"when '{k}' then {v}" for k, v in config.TIER_WEIGHTS.items()) + " else 1.0 end"
+_OPS, _KNOW = "type in ('bugfix','change','feature','refactor')", "type in ('decision','security_note','security_alert')"
+#: The best n of w by tscore with one place for an operational one.
+_FLOOR = "r as (select *, row_number() over (order by tscore desc, uuid)::int as place from w), x as (select count(*) filter (place <= {n} and " + _OPS + ") as held, min(place) filter (place > {n} and " + _OPS + ") as spare, max(place) filter (place <= {n} and not " + _KNOW + ") as lowest from r), k as (select r.*, case when held = 0 and spare is not null and lowest is not null then (place <= {n} and place <> lowest) or place = spare else place <= {n} end as kept from r, x)"
+_LINE = "replace(trim(substring(e.content, 1, 4000)), chr(10), ' ')"
+_BADGES = f"case when e.name like 'capsule-%' then 'capsule' else coalesce(nullif(regexp_extract(source_description, 'type=(\\S+)', 1), ''), 'obs') end as type, coalesce(nullif(regexp_extract(source_description, 'project=(\\S+)', 1), ''), '—') as project, replace(replace(replace(substring({_LINE}, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || case when length({_LINE}) > 400 then '…' else '' end as snippet"
+_CONTEXT = _bm25(("que",), 9).removeprefix(_E).replace("from f_episodes where not archived)", "from f_episodes where not archived and name not in (select name from c))").replace(", l as", """,
+ c as (select uuid, name, usage_count as uc, round(ln(1 + ((length(lower(content)) - length(replace(lower(content), 'que', ''))) // 3)), 6) as score from f_episodes where name like 'canonical%' and not archived),
+ c2 as (select *, row_number() over (order by score desc, uc, name, uuid)::int as place from c), l as""", 1) + f""",
+ i as (select b.uuid, b.name, {_DECLARED} as type, score from b join f_episodes e using (uuid)), w as (select *, round(score * {_WEIGHT}, 6) as tscore from i), {_FLOOR.format(n=3)}
+select uuid, name, score::double as score, place, 'canonical' as source from c2 union all select uuid, name, score, (2 + row_number() over (order by place))::int, 'fulltext' from k where kept"""
+_ROOTS = "with recursive v as (select vec_id as uuid, label, embedding::double[] as v from embeddings), l as (select x.uuid as a, y.uuid as b from v x join v y on x.label = y.label and x.uuid <> y.uuid where list_dot_product(x.v, y.v) >= 0.35 * sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), c as (select uuid, uuid as root from v union select l.b, c.root from c join l on l.a = c.uuid), roots as (select uuid, min(root) as root from c group by 1)"
 ORACLES = {
     "vector_topk": _F + f"select edge_id, {_COS}::double as similarity from f_search order by similarity desc, edge_id limit 20",
     "substring_search": _F + f"select distinct fact from f_search where contains(lower(fact), '{TEXT}') order by fact limit 60",
@@ -126,18 +159,26 @@ ORACLES = {
     "facet_search": _hybrid("where f1 and f2"),
     "retired_facts": _FE + ", p as (select distinct fact, unnest([ep1, ep2]) as uuid from f_search), k as (select fact, count(e.uuid) as known, count(*) filter (not archived) as live, count(*) filter (not archived and provenance like 'external%') as ne, count(*) filter (not archived and durability = 'time-bound') as ns, coalesce(bool_or(verified) filter (not archived), false) as verified, coalesce(max(usage_count) filter (not archived), 0) as usage from p left join f_episodes e using (uuid) group by fact) select live > 0 and ne = live as external, live > 0 and ns = live as stale, verified, count(*) as n, sum(usage)::bigint as usage from k where not (known > 0 and live = 0) group by 1, 2, 3",
     "fulltext_bm25": _bm25(("the", "of", "que"), 25) + " select uuid, score from b",
-    "episode_search": _bm25(("thing",), 15) + " select uuid, name, score from b union all (select uuid, name, 0.0::double from f_episodes where not archived and (contains(lower(content), 'thing') or contains(lower(name), 'thing')) and not exists (select 1 from b) order by uuid limit 15)",
-    "episode_search_fallback": _bm25(("capsule-1",), 15) + " select uuid, name, score from b union all (select uuid, name, 0.0::double from f_episodes where not archived and (contains(lower(content), 'capsule-1') or contains(lower(name), 'capsule-1')) and not exists (select 1 from b) order by uuid limit 15)",
+    "episode_search": _bm25(("the", "que"), 24) + f", i as (select b.uuid, b.name, {_DECLARED} as type, score, substring(e.content, 1, 600) as preview from b join f_episodes e using (uuid)), w as (select *, round(score * {_WEIGHT}, 6) as tscore from i), {_FLOOR.format(n=8)} select uuid, name, type, score, preview, place from k where kept",
+    "episode_search_fallback": _bm25(("capsule-1",), 15) + f", i as (select uuid, name, score from b union all (select uuid, name, 0.0::double from f_episodes where not archived and (contains(content, 'capsule-1') or contains(name, 'capsule-1')) and not exists (select 1 from b) order by uuid limit 15)) select i.uuid, i.name, {_DECLARED} as type, i.score, substring(e.content, 1, 600) as preview, row_number() over (order by i.score desc, i.uuid)::int as place from i join f_episodes e using (uuid)",
+    "browse_text": _bm25(("der",), 30) + f" select b.uuid, b.name, {_BADGES}, b.score from b join f_episodes e using (uuid)",
+    "browse_recent": _E + f", e as (select * from f_episodes where not archived and name not like 'canonical-%' order by n desc, uuid limit 25) select uuid, name, {_BADGES} from e",
+    "context_fill": _E.replace("f_episodes as", "f_all as", 1) + ", f_episodes as (select * replace (case when n in (10, 20) or name not like 'canonical%' then name else 'note-' || n end as name) from f_all)" + _CONTEXT,
+    "context_full": _E + ", c as (select uuid, name, usage_count as uc, round(ln(1 + ((length(lower(content)) - length(replace(lower(content), 'the', ''))) // 3)), 6) as score from f_episodes where name like 'canonical%' and not archived), r as (select *, row_number() over (order by score desc, uc, name, uuid) as rn from c), x as (select * from r where rn >= 3 order by uc, rn limit 1) select uuid, name, score::double as score, rn::int as place, 'canonical' as source from r where rn < 3 union all select uuid, name, score::double, 3, 'canonical' from x",
+    "fact_quality": with_views("f_fact_texts") + ", c as (select count(*) as total, count(*) filter (contains(fact, 'belongs to the') or contains(fact, 'references the') or contains(fact, 'documents that') or contains(fact, 'was extracted from')) as metadata_like from f_fact_texts) select *, round(100.0 * metadata_like / greatest(total, 1), 1)::double as percent from c",
+    "entity_components": _ROOTS + " select * from roots",
+    "merged_facts": _ROOTS + ", f as (select distinct a.root as src, b.root as dst, 'near' as name from embeddings e join roots a on a.uuid = e.vec_id join roots b on b.uuid = e.vec_id * 7 % 400) select * from f where src <> dst",
+    "blast_radius": _E + ", m as (select 'ep-' || o_orderkey as uuid, count(*) as n from orders group by 1), k as (select name, coalesce(sum(m.n), 0)::bigint as mentions from f_episodes left join m using (uuid) group by 1) select 'obs-' || e.n as name, k.name is not null as exists, coalesce(mentions, 0) as mentions from f_episodes e left join k on k.name = 'obs-' || e.n",
     "verbose_backing": _FE + f", p as (select distinct fact, unnest([ep1, ep2]) as uuid from f_search where contains(lower(fact), '{TEXT}')) select fact, count(*) as n, string_agg(uuid || '/' || name || '/' || durability, ';' order by uuid || '/' || name || '/' || durability) as backing from p join f_episodes using (uuid) where not archived group by 1",
     "graph_stats": with_views("f_entities", "f_facts", "f_episodes") + ", c as (select (select count(*) from f_entities) as entities, (select count(*) from f_facts) as facts, (select count(*) from f_episodes) as episodes) select *, round(facts / greatest(entities, 1), 6) as facts_per_entity, round(facts / greatest(episodes, 1), 6) as facts_per_episode, round(entities / greatest(episodes, 1), 6) as entities_per_episode from c",
     "node_types": _G + "select label, count(*) as n from f_entities group by 1",
-    "edge_types": _G + "select name, count(*) as n, lower(name) in ('references','depends_on','occurred_in','belongs_to','relates_to') as canonical from f_facts group by 1",
+    "edge_types": _G + ", t as (select name, count(*) as n, lower(name) in ('references','depends_on','occurred_in','belongs_to','relates_to') as canonical from f_facts group by 1) select *, (select round(100.0 * coalesce(sum(n) filter (canonical), 0) / greatest(sum(n), 1), 6)::double from t) as aligned_percent from t",
     "edge_case_variants": _G + "select lower(name) as lowered, count(distinct name) as spellings, count(*) as n, array_to_string(list_sort(list(distinct name)), ',') as names from f_facts group by 1 having count(distinct name) > 1",
     "edge_names_normalised": _G + ", v as (select lower(name) as l from f_facts group by 1 having count(distinct name) > 1) select case when l is not null then l else name end as name, count(*) as n from f_facts left join v on v.l = lower(name) group by 1",
     "degree_buckets": _G + _DEG + "select case when degree = 0 then '0' when degree = 1 then '1' when degree <= 3 then '2-3' when degree <= 7 then '4-7' when degree <= 15 then '8-15' when degree <= 31 then '16-31' else '32+' end as bucket, count(*) as n from x group by 1",
-    "orphans": _G + ", t as (select unnest(case when src = dst then [src] else [src, dst] end) as uuid from f_facts union all select 'C' || o_custkey from orders where o_orderkey % 10 = 0), g as (select uuid, count(*) as degree from t group by 1), x as (select coalesce(degree, 0) as degree from f_entities left join g using (uuid)) select count(*) as entities, count(*) filter (degree = 0) as orphans, count(*) filter (degree = 1) as singletons from x",
+    "orphans": _G + ", t as (select unnest(case when src = dst then [src] else [src, dst] end) as uuid from f_facts union all select 'C' || o_custkey from orders), g as (select uuid, count(*) as degree from t group by 1), x as (select coalesce(degree, 0) as degree from f_entities left join g using (uuid)) select count(*) as entities, count(*) filter (degree = 0) as orphans, count(*) filter (degree = 1) as singletons from x",
     "hubs": _G + _DEG + "select uuid, name, degree from x order by degree desc, name, uuid limit 15",
-    "neighbors": _G + ", n as (select uuid, name from f_entities where contains(name, 'Supplier#000000001') order by name = 'Supplier#000000001' desc, length(name), name, uuid limit 1) (select n.name as node, e.name as neighbour, f.name as edge, 'out' as direction, e.uuid from f_facts f join n on f.src = n.uuid join f_entities e on e.uuid = f.dst order by e.name, f.name, e.uuid limit 20) union all (select n.name, e.name, f.name, 'in', e.uuid from f_facts f join n on f.dst = n.uuid join f_entities e on e.uuid = f.src order by e.name, f.name, e.uuid limit 20)",
+    "neighbors": _G + ", n as (select uuid, name from f_entities where name = (select name from f_entities where contains(name, 'Supplier#000000001') order by name = 'Supplier#000000001' desc, length(name), name, uuid limit 1)) (select n.name as node, e.name as neighbour, f.name as edge, 'out' as direction, e.uuid from f_facts f join n on f.src = n.uuid join f_entities e on e.uuid = f.dst order by e.name, f.name, e.uuid limit 20) union all (select n.name, e.name, f.name, 'in', e.uuid from f_facts f join n on f.dst = n.uuid join f_entities e on e.uuid = f.src order by e.name, f.name, e.uuid limit 20)",
     "paths": _G.replace("with ", "with recursive ", 1) + ", g as (select distinct src, dst from f_facts where src <> dst), w as (select uuid as at_node, [uuid] as path, 0 as hops from f_entities where contains(name, 'Customer#00000001') union all select g.dst, list_append(path, g.dst), hops + 1 from w join g on g.src = w.at_node where hops < 4 and not list_contains(path, g.dst)) select hops, array_to_string(path, '>') as names from w where hops > 0 and at_node in (select uuid from f_entities where contains(name, 'ASIA')) order by hops, names limit 10",
     "chains": _G.replace("with ", "with recursive ", 1) + ", g as (select distinct src, dst from f_facts where src <> dst and name in ('relates_to', 'occurred_in')), w as (select dst as at_node, [src, dst] as path, 1 as hops from g union all select g.dst, list_append(path, g.dst), hops + 1 from w join g on g.src = w.at_node where hops < 6 and not list_contains(path, g.dst)) select path[1] as first, at_node as last, min(hops) as hops from w where hops >= 4 group by 1, 2 order by first, last limit 40",
     "legal_pairs": _G + "select s.label as src_label, t.label as dst_label, lower(f.name) as edge, count(*) as n from f_facts f join f_entities s on s.uuid = f.src join f_entities t on t.uuid = f.dst where (s.label, t.label, lower(f.name)) not in (('Person','Concept','belongs_to'), ('Project','Concept','belongs_to'), ('Concept','Concept','occurred_in'), ('Tool','Project','depends_on'), ('Person','Tool','references')) group by 1, 2, 3",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph import config
 from loomgraph.functions.columns import blank, declared, escaped, snippet
 from loomgraph.operators import evaluate
+from loomgraph.plans import state_queries
 from loomgraph.sources import readers
 from loomgraph.sources.fixtures import view, with_views
 
@@ -80,7 +81,7 @@ ORACLES = {
     "request_validation": _E + "select uuid, case when n % 8 = 0 then null when n % 8 = 1 then timestamp '2024-01-05 02:00:00' else timestamp '2024-01-05 10:00:00' end as \"at\", case when n % 9 = 0 then 'name' when n % 8 = 0 then 'reference_time' when n % 11 = 0 then 'provenance' when n % 13 = 0 then 'durability' end as refused from f_episodes",
     "kind_answers": _O + "select id, case id % 4 when 0 then '决策' when 3 then '手册' else 'unclassified' end as kind, case id % 4 when 0 then 0.82 when 3 then 1.0 else 0.0 end::double as confidence from f_observations",
     "provenance_parse": _E + "select string_split(source_description, ' ')[1] as source, coalesce(nullif(regexp_extract(source_description, 'type=(\\S+)', 1), ''), '?') as type, count(*) as n from f_episodes group by 1, 2",
-    "document_frequency": "with t as (select unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: length(x) >= 6))) as term from documents) select term, count(*) as df from t group by 1 order by df desc, term limit 50",
+    "document_frequency": "with t as (select unnest(" + state_queries._WORDS.replace("{T}", "text") + ") as term from documents) select term, count(*) as df from t where length(term) >= 4 group by 1 order by df desc, term limit 50",
     "html_previews": _E + f"select uuid, replace(replace(replace(case when length({_FLAT}) > 80 then substring({_FLAT}, 1, 80) || '…' else {_FLAT} end, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as preview from f_episodes",
     "observation_text": _O + "select id, concat_ws(chr(10), title, nullif(narrative, ''), case when relevance_count > 12 then 'relevance: ' || relevance_count end) as body from f_observations",
     "recent_decisions": "select event_type, count(*) as n from events where ts >= timestamp '2024-01-23' group by 1",

@@ -2,38 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.sources.fixtures import view
+from loomgraph.config import GateConfig
+from loomgraph.plans.gate_queries import _DECIDED
+from loomgraph.sources.fixtures import view, with_views
 from loomgraph.streaming import jobs
+from loomgraph.tables import scratch
 
-
-def scratch(s: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names, or a temporary one in tests."""
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+#: One quota for all platforms, as in the checking SQL.
+QUOTA = GateConfig(quotas={}, default_quota=3)
 
 
 def stream_gate(s: SparkSession, d: str) -> DataFrame:
-    """Observations through the gate as a stream, decided with quotas in micro-batches."""
-    base = scratch(s)
+    """Observations through the gate as a stream, decided with quotas in micro-batches; a batch has a folder by its number."""
+    base = scratch(s, "stream")
     view(s, d, "f_observations").write.parquet(f"{base}/in")
     out = f"{base}/decisions"
     stream = s.readStream.schema(s.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
 
+    columns = ("id", "platform", "project", "type", "layer", "score", "would_accept")
+
     def accept(rows: DataFrame, number: int) -> None:
-        rows.select("id", "layer", "score", "would_accept").write.mode("append").parquet(out)
+        rows.select(*columns).write.mode("overwrite").parquet(f"{out}/batch-{number}")
+
+    def decided(number: int) -> DataFrame | None:
+        earlier = [f"{out}/batch-{i}" for i in range(number)]
+        return s.read.parquet(*earlier) if earlier else None
 
-    jobs.run_gate(stream, view(s, d, "f_sessions"), accept, f"{base}/state", lambda: None).awaitTermination()
-    return s.read.parquet(out)
+    jobs.run_gate(stream, view(s, d, "f_sessions"), accept, f"{base}/state", decided, QUOTA).awaitTermination()
+    return s.read.parquet(f"{out}/batch-*").select("id", "layer", "score", "would_accept")
 
 
 def stream_alerts(s: SparkSession, d: str) -> DataFrame:
-    base = scratch(s)
+    base = scratch(s, "stream")
     view(s, d, "f_snapshots").select("host", "received_at", "pos", "overall").write.parquet(f"{base}/in")
     stream = s.readStream.schema(s.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
     return jobs.drained(jobs.alerts(stream, 2), "append", "alerts", base)
@@ -47,6 +50,8 @@ QUERIES = {
     "session_windows": lambda s, d: jobs.sessions(s.read.parquet(f"{d}/events.parquet"), "6 hours").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest")),
 }
 ORACLES = {
+    "stream_gate": _DECIDED + "select id, layer, score, would_accept from v",
+    "stream_alerts": with_views("f_snapshots") + ", b as (select host, pos, received_at, overall = 'red' as bad, sum((overall <> 'red')::int) over (partition by host order by received_at, pos rows between unbounded preceding and current row) as island from f_snapshots), r as (select *, sum(bad::int) over (partition by host, island order by received_at, pos rows between unbounded preceding and current row) as run from b), l as (select *, lag(run, 1, 0) over (partition by host order by received_at, pos) as before from r) select host, pos, case when bad then 'fire' else 'clear' end as event from l where (bad and run = 2) or (not bad and before >= 2)",
     "tumbling_counts": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "sliding_counts": "select strftime(day, '%Y-%m-%d') as day, event_type, count(*) as n from (select event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - interval 1 day]) as day from events) group by 1, 2",
     "session_windows": "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end as fresh from events), i as (select user_id, sum(fresh) over (partition by user_id order by ts rows between unbounded preceding and current row) as k from g), n as (select user_id, k, count(*) as n from i group by 1, 2) select user_id, count(*) as sessions, max(n) as longest from n group by 1",

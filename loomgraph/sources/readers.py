@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,29 +76,72 @@ def injections(log: DataFrame, prefix: str) -> DataFrame:
     return log.where("kind = 'ok'").withColumn("names", F.filter("names", lambda n: n.startswith(prefix))).where(F.size("names") > 0)
 
 
-@F.pandas_udf(T.StringType())
-def plain_text(content: pd.Series) -> pd.Series:
-    """Bytes as text, unpacked if they start with the gzip mark, whatever the file's name."""
+@F.pandas_udf(T.BinaryType())
+def unpacked(content: pd.Series) -> pd.Series:
+    """Bytes, unpacked if they start with the gzip mark, whatever the file's name; null for broken ones."""
 
-    def one(raw: bytes | None) -> str | None:
+    def one(raw: bytes | None) -> bytes | None:
         if raw is None:
             return None
         raw = bytes(raw)
-        if raw[:2] == b"\x1f\x8b":
-            try:
-                raw = gzip.decompress(raw)
-            except (OSError, EOFError):
-                return None
-        return raw.decode("utf-8", "replace")
+        if raw[:2] != b"\x1f\x8b":
+            return raw
+        try:
+            return gzip.decompress(raw)
+        except (OSError, EOFError, zlib.error):
+            return None
 
     return content.map(one)
 
 
 def documents(spark: SparkSession, root: str, pattern: str = "*.{md,md.gz}", least_bytes: int = 1500) -> DataFrame:
-    """path, name, text, sha of all documents below a folder with at least so many unpacked bytes."""
+    """path, name, text, n_bytes, sha of all documents below a folder with at least so many unpacked bytes.
+
+    Size and hash are of the unpacked bytes; bad UTF-8 is replaced in the text alone. Broken archives are left out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    rows = files.select("path", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md(\.gz)?$", "").alias("name"), plain_text("content").alias("text"))
-    return rows.where(F.octet_length("text") >= least_bytes).withColumn("sha", F.sha2("text", 256))
+    rows = files.select("path", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md(\.gz)?$", "").alias("name"), unpacked("content").alias("raw"))
+    rows = rows.where(F.octet_length("raw") >= least_bytes)
+    return rows.select("path", "name", F.make_valid_utf8(F.col("raw").cast("string")).alias("text"), F.octet_length("raw").alias("n_bytes"), F.sha2("raw", 256).alias("sha"))
+
+
+def slug(path: Column) -> Column:
+    """A path as a name: without the document's extension, slashes as dashes."""
+    return F.replace(F.regexp_replace(path, r"\.md(\.gz)?$", ""), F.lit("/"), F.lit("-"))
+
+
+def json_fixture(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
+    """Rows of a JSON document: a list of objects, or the list under a key of one object. A missing key gives no rows."""
+    read = spark.read.option("multiLine", "true")
+    if key is None:
+        return read.schema(schema).json(path)
+    return read.schema(f"`{key}` array<struct<{schema}>>").json(path).select(F.inline(key))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def fenced_json_items(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The items of the first JSON list of an answer, whose code fence is taken off."""
+    for batch in texts:
+        yield batch.map(lambda t: first_json_list(re.sub(r"^```(?:json)?\s*|\s*```$", "", (t or "").strip())))
+
+
+OBSERVATION_ITEM = "type string, title string, facts string, narrative string, concepts string"
+
+
+def parsed_observations(answers: DataFrame, types: tuple[str, ...], most: int = 8) -> DataFrame:
+    """One row an observation out of answers (id, answer): id, place, type, title, facts, narrative, concepts.
+
+    Items without a title or facts are dropped, unknown types become ``discovery``; titles are cut to 60 characters,
+    facts to 6, narratives to 600 characters, concepts to 5, observations to ``most``. An answer without a list has none.
+    """
+    listed = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+    items = answers.select("id", F.posexplode(fenced_json_items("answer")).alias("at", "item")).withColumn("o", F.from_json("item", OBSERVATION_ITEM))
+    facts = F.filter(F.transform(listed(F.col("o.facts")), lambda x: F.trim(x)), lambda x: x != "")
+    title = F.trim(F.coalesce("o.title", F.lit("")))
+    rows = items.select("id", "at", F.when(F.trim("o.type").isin(*types), F.trim("o.type")).otherwise("discovery").alias("type"), title.alias("title"), facts.alias("facts"), F.substring(F.trim(F.coalesce("o.narrative", F.lit(""))), 1, 600).alias("narrative"), F.slice(F.transform(listed(F.col("o.concepts")), lambda x: F.trim(x)), 1, 5).alias("concepts"))
+    rows = rows.where((F.col("title") != "") & (F.size("facts") > 0))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("at"))).where(F.col("place") <= most)
+    return rows.select("id", "place", "type", F.substring("title", 1, 60).alias("title"), F.slice("facts", 1, 6).alias("facts"), "narrative", "concepts")
 
 
 def categorised(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

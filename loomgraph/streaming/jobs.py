@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,17 +26,19 @@ def gated(stream: DataFrame, sessions: DataFrame, delay: str = "7 days", cfg: Ga
     return gate.layers(gate.with_platform(once, sessions), cfg)
 
 
-def run_gate(stream: DataFrame, sessions: DataFrame, accept: Callable[[DataFrame, int], None], checkpoint: str, terminal: Callable[[], DataFrame | None], cfg: GateConfig = GateConfig()) -> StreamingQuery:
+def run_gate(stream: DataFrame, sessions: DataFrame, accept: Callable[[DataFrame, int], None], checkpoint: str, terminal: Callable[[int], DataFrame | None], cfg: GateConfig = GateConfig()) -> StreamingQuery:
     """The gate as micro-batches: ids already terminal are left out, the rest is decided with quotas and handed over.
 
-    The checkpoint holds the offsets; a batch that is run again after a failure finds its ids terminal.
+    ``terminal`` gives the decisions of the batches before a number (id, platform, project, type, layer), or None; what
+    they admitted counts against the quotas. ``accept`` must replace what it has of the same number, so that a batch
+    that is run again after a failure is written once.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        done = terminal()
+        done = terminal(number)
         rows = rows.dropDuplicates(["id"])
         fresh = rows if done is None else rows.join(done.select("id"), "id", "left_anti")
-        accept(gate.decide(gate.with_platform(fresh, sessions), cfg), number)
+        accept(gate.decide(gate.with_platform(fresh, sessions), cfg, before=done), number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -57,24 +60,21 @@ def sessions(stream: DataFrame, idle: str = "30 minutes", delay: str = "1 hour")
 def alerts(stream: DataFrame, threshold: int = 3) -> DataFrame:
     """Edge-triggered alerts of each host: ``fire`` at the threshold-th bad state in a run, ``clear`` at the next good one.
 
-    State is a count a host; within a micro-batch a host's rows are handled in the order of time and pos.
+    State is a count a host; a host's rows of a micro-batch are taken in the order of time and pos, their run lengths
+    from running maxima.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (run,) = state.get if state.exists else (0,)
+        (held,) = state.get if state.exists else (0,)
         rows = pd.concat(list(batches)).sort_values(["received_at", "pos"])
-        out = []
-        for pos, overall in zip(rows["pos"], rows["overall"], strict=True):
-            if overall == "red":
-                run += 1
-                if run == threshold:
-                    out.append((key[0], pos, "fire"))
-            else:
-                if run >= threshold:
-                    out.append((key[0], pos, "clear"))
-                run = 0
-        state.update((run,))
-        yield pd.DataFrame(out, columns=["host", "pos", "event"])
+        bad, at = (rows["overall"] == "red").to_numpy(), np.arange(len(rows))
+        # Bad rows up to each row since the last good one; the run that the state holds goes on to the first good one.
+        run = at - np.maximum.accumulate(np.where(bad, -1 - held, at))
+        before = np.append(held, run[:-1])
+        event = np.where(bad & (run == threshold), "fire", np.where(~bad & (before >= threshold), "clear", ""))
+        state.update((int(run[-1]),))
+        kept = event != ""
+        yield pd.DataFrame({"host": key[0], "pos": rows["pos"].to_numpy()[kept], "event": event[kept]})
 
     return stream.groupBy("host").applyInPandasWithState(step, "host string, pos bigint, event string", "run int", "append", GroupStateTimeout.NoTimeout)
 
