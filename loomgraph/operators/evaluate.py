@@ -183,6 +183,16 @@ def kpi(value: Column, good: tuple[float, float], warn: tuple[float, float]) ->
     return F.when(value.between(*good), "OK").when(value.between(*warn), "WARN").otherwise("BAD")
 
 
+def observation_rollup(observations: DataFrame) -> DataFrame:
+    """One row a session and project: start, observations, types, named files and the joined text by id. Nulls are left out of the lists."""
+    listed = F.array_sort(F.collect_list(F.struct("id", F.coalesce("narrative", F.lit("")).alias("text"))))
+    rows = observations.groupBy("memory_session_id", "project").agg(
+        F.min("created_at_epoch").alias("start"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"),
+        F.array_join(F.array_sort(F.collect_set("files_modified")), " ").alias("files"), listed.alias("texts"),
+    )
+    return rows.withColumn("text", F.array_join(F.transform("texts", lambda x: x["text"]), "\n")).drop("texts")
+
+
 def session_rollup(turns: DataFrame) -> DataFrame:
     """One row a conversation: turns, characters, joined text in the order of turns."""
     return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.char_length(F.coalesce("text", F.lit("")))).alias("chars"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n").alias("text"))

@@ -134,10 +134,19 @@ def as_of(facts: DataFrame, at: Column) -> DataFrame:
 
 
 def without_episode(facts: DataFrame, uuids: DataFrame) -> DataFrame:
-    """Facts after some episodes are removed: their uuids leave the backing, facts without backing go."""
+    """Facts (edge_id, backing) after some episodes are removed: their uuids leave the backing, facts that lose all of it go.
+
+    Facts that never had any backing stay with none.
+    """
     gone = uuids.select(F.col("uuid").alias("backing_uuid"))
     left = facts.select("edge_id", F.explode("backing").alias("backing_uuid")).join(gone, "backing_uuid", "left_anti")
-    return left.groupBy("edge_id").agg(F.array_join(F.array_sort(F.collect_set("backing_uuid")), ",").alias("backing"))
+    kept = left.groupBy("edge_id").agg(F.array_join(F.array_sort(F.collect_set("backing_uuid")), ",").alias("backing"))
+    return kept.unionByName(facts.where(F.size(F.coalesce("backing", F.array())) == 0).select("edge_id", F.lit("").alias("backing")))
+
+
+def without_mentions(mentions: DataFrame, uuids: DataFrame) -> DataFrame:
+    """Mentions (src, dst) without those of removed episodes; the entities stay."""
+    return mentions.join(uuids.select(F.col("uuid").alias("src")), "src", "left_anti")
 
 
 def resolved(entities: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -38,6 +38,20 @@ def queue_stats(keys: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def error_samples(keys: DataFrame, n: int = 5, size: int = 200) -> DataFrame:
+    """The newest errors with their messages cut. keys: source_obs_id, status, error_message, updated_at, created_at."""
+    at = F.coalesce("updated_at", "created_at")
+    return keys.where("status = 'error'").orderBy(F.desc(at), "source_obs_id").limit(n).select("source_obs_id", F.substring(blank("error_message"), 1, size).alias("message"))
+
+
+def parents(planned: DataFrame, existing: DataFrame) -> DataFrame:
+    """Per parent how many of its planned observations exist, as ``n/m``, and whether all do. planned: name, observations; existing: name."""
+    rows = planned.select("name", F.size(F.coalesce("observations", F.array())).alias("m"))
+    made = existing.select(F.regexp_extract("name", r"^(.*)--obs-\d+$", 1).alias("name")).where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).cast("int").alias("made"))
+    out = rows.join(made, "name", "left").withColumn("made", F.least(F.coalesce("made", F.lit(0)), "m"))
+    return out.select("name", F.concat_ws("/", F.col("made").cast("string"), F.col("m").cast("string")).alias("status"), (F.col("made") == F.col("m")).alias("complete"))
+
+
 def upsert(table: DataFrame, changes: DataFrame, on: Sequence[str], on_match: Sequence[str]) -> DataFrame:
     """``table`` after a merge: matched rows take the columns ``on_match`` where the change has a value, new keys are added.
 

@@ -68,9 +68,16 @@ def worst(overall: Column) -> Column:
 
 
 def snapshot_alerts(snapshots: DataFrame, now: Column, stale_minutes: int = 30) -> DataFrame:
-    """One alert a host: stale suppresses blocked, green and amber are silent."""
+    """host, alert and label: one stale alert of a host that is silent too long, else one for each of its blockers.
+
+    snapshots: host, received_at, blockers (array of label, detail). Without any snapshot there is one alert without a
+    host; lights other than those that block are silent.
+    """
     stale = F.col("received_at") < now - F.make_interval(mins=F.lit(stale_minutes))
-    return snapshots.withColumn("alert", F.when(stale, "stale").when(F.col("overall") == "red", "blocked")).where("alert is not null")
+    silent = snapshots.where(stale).select("host", F.lit("stale").alias("alert"), F.lit(None).cast("string").alias("label"))
+    blocked = snapshots.where(~stale).select("host", F.explode("blockers").alias("b")).select("host", F.lit("blocked").alias("alert"), F.concat_ws(": ", F.col("b.label"), F.col("b.detail")).alias("label"))
+    none = snapshots.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("host"), F.lit("no snapshot").alias("alert"), F.lit(None).cast("string").alias("label"))
+    return silent.unionByName(blocked).unionByName(none)
 
 
 def hook_health(events: DataFrame, now: Column, fresh_hours: int = 24, stale_hours: int = 72) -> DataFrame:

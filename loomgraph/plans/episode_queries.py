@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import config
-from loomgraph.functions.columns import blank, declared, days_between, snippet
+from loomgraph.functions.columns import blank, contains_any, declared, days_between, snippet
 from loomgraph.operators import classify, gate, ranking
 from loomgraph.sources.fixtures import view, with_views
 
@@ -96,7 +96,7 @@ QUERIES = {
     "used_knowledge": lambda s, d: top(s, d, "usage_count > 0 and not archived", [F.desc("usage_count"), "name", "uuid"], 40, "uuid", "usage_count"),
     "recent_knowledge": lambda s, d: episodes(s, d).where("not archived").orderBy(F.desc("n"), "uuid").limit(25).select("uuid", snippet(F.col("content"), 120).alias("snippet")),
     "retire_candidates": lambda s, d: episodes(s, d).withColumn("created_at", F.timestamp_seconds(F.lit(1704067200) + F.col("n") * 3600)).where("durability = 'time-bound' and not archived").where(~F.col("name").startswith("canonical-")).where(days_between(F.expr(NOW), F.col("created_at")) > 10).orderBy("created_at", "uuid").limit(40).select("uuid", "name", days_between(F.expr(NOW), F.col("created_at")).alias("age_days")),
-    "untagged": lambda s, d: episodes(s, d).where("provenance is null and not archived").orderBy(F.desc("n"), "uuid").limit(15).select("uuid", "name"),
+    "untagged": lambda s, d: episodes(s, d).where("visibility is null").where(~F.col("name").startswith("canonical-") & contains_any(F.col("source_description"), ("type=feature", "type=bugfix", "type=decision", "type=refactor"))).orderBy(F.desc("n"), "uuid").limit(15).select("uuid", "name"),
     "unclassified_count": lambda s, d: sourced(s, d).agg(F.count_if((F.col("old_kind").isNull() | (F.col("old_kind") == "unclassified")) & ~F.col("archived") & ~F.col("name").startswith("canonical-")).alias("n")),
     "tier_rerank": lambda s, d: ranking.tier_rerank(tier_items(s, d), 5).select("query_id", "name", "type", "score", "tscore", "place"),
     "delivery_replay": delivery_replay,
@@ -166,7 +166,7 @@ ORACLES = {
     "used_knowledge": _E + "select uuid, usage_count from f_episodes where usage_count > 0 and not archived order by usage_count desc, name, uuid limit 40",
     "recent_knowledge": _E + "select uuid, case when length(replace(trim(content), chr(10), ' ')) > 120 then substring(replace(trim(content), chr(10), ' '), 1, 120) || '…' else replace(trim(content), chr(10), ' ') end as snippet from f_episodes where not archived order by n desc, uuid limit 25",
     "retire_candidates": _E + ", c as (select *, floor((1706745600 - (1704067200 + n * 3600)) / 86400.0)::bigint as age_days from f_episodes) select uuid, name, age_days from c where durability = 'time-bound' and not archived and name not like 'canonical-%' and age_days > 10 order by n, uuid limit 40",
-    "untagged": _E + "select uuid, name from f_episodes where provenance is null and not archived order by n desc, uuid limit 15",
+    "untagged": _E + "select uuid, name from f_episodes where visibility is null and name not like 'canonical-%' and regexp_matches(source_description, 'type=(feature|bugfix|decision|refactor)') order by n desc, uuid limit 15",
     "unclassified_count": _S + "select count(*) filter ((old_kind is null or old_kind = 'unclassified') and not archived and name not like 'canonical-%') as n from f_sourced",
     "tier_rerank": _TIERS + "select query_id, name, type, score::double as score, tscore::double as tscore, place::int as place from k where kept",
     "delivery_replay": _TIERS + "select query_id, count(*) filter (plain <= 5 and type in ('decision','security_note','security_alert')) as plain_knowledge, count(*) filter (plain <= 5 and type in ('bugfix','change','feature','refactor')) as plain_operational, count(*) filter (kept and type in ('decision','security_note','security_alert')) as tiered_knowledge, count(*) filter (kept and type in ('bugfix','change','feature','refactor')) as tiered_operational from k group by 1",

@@ -57,7 +57,7 @@ def filter_replay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quality_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Counts by bucket, rejects under two configurations, thin rows, exclusive quartiles of the narrative's length."""
+    """Counts by bucket, rejects, thin rows, and the narrative's length with its quartiles (inclusive interpolation)."""
     rows = observed(spark, d)
     both = gate.decide(rows, NOISY, quota=0).select("id", "type", "narrative", "facts", "files_modified", "would_accept")
     sizes = F.char_length(F.coalesce("narrative", F.lit("")))
@@ -66,7 +66,9 @@ def quality_profile(spark: SparkSession, d: str) -> DataFrame:
         F.count_if(~F.col("would_accept")).alias("rejected"),
         F.count_if(gate.is_thin()).alias("thin"),
         F.sum(sizes).cast("bigint").alias("narrative_chars"),
+        F.percentile(sizes, 0.25).alias("p25_chars"),
         F.percentile(sizes, 0.5).alias("median_chars"),
+        F.percentile(sizes, 0.75).alias("p75_chars"),
     )
 
 
@@ -78,6 +80,7 @@ QUERIES = {
     "decision_summary": lambda s, d: gate.summary(decided(s, d)),
     "decision_verdict": lambda s, d: gate.readiness(decided(s, d)),
     "decision_crosstab": lambda s, d: decided(s, d).groupBy("type").pivot("layer", ["hard_gate", "override", "score", "pass", "quota"]).agg(F.count(F.lit(1))).na.fill(0),
+    "reject_counts": lambda s, d: decided(s, d).where("not would_accept").groupingSets([[F.col("layer")], [F.col("type")], [F.col("platform")], [F.col("project")]], "layer", "type", "platform", "project").agg(F.count(F.lit(1)).alias("n")),
     "score_histogram": lambda s, d: gate.histogram(decided(s, d)),
     "quality_profile": quality_profile,
     "thin_content": lambda s, d: observed(s, d).where(gate.is_thin()).select("id", "type", "project"),
@@ -112,8 +115,9 @@ ORACLES = {
     "decision_summary": _DECIDED + "select platform, layer, count(*) filter (would_accept) as accepted, count(*) filter (not would_accept) as rejected from v group by rollup (platform, layer)",
     "decision_verdict": _DECIDED + "select n, rejected, high_value_rejects, case when n >= 500 and 100 * rejected >= 20 * n and 100 * rejected <= 50 * n and high_value_rejects = 0 then 'READY' else 'NOT_READY' end as verdict from (select count(*) as n, count(*) filter (not would_accept) as rejected, count(*) filter (type in ('decision','security_note','security_alert') and layer = 'score') as high_value_rejects from v)",
     "decision_crosstab": _DECIDED + "select type, " + ", ".join(f"count(*) filter (layer = '{x}') as {x}" for x in ("hard_gate", "override", "score", "pass", "quota")) + " from v group by type",
+    "reject_counts": _DECIDED + "select layer, type, platform, project, count(*) as n from v where not would_accept group by grouping sets ((layer), (type), (platform), (project))",
     "score_histogram": _DECIDED + ", b as (select unnest(['0-19','20-39','40-59','60-79','80-99','100-149','150+']) as band) select b.band, count(v.id) as n from b left join v on b.band = " + _BAND + " group by 1",
-    "quality_profile": _gate_sql(NOISY, 0) + f"select {_BUCKET} as bucket, count(*) as n, count(*) filter (not would_accept) as rejected, count(*) filter (length(coalesce(narrative,'')) < 120 and nf + nm <= 1) as thin, sum(length(coalesce(narrative,'')))::bigint as narrative_chars, quantile_cont(length(coalesce(narrative,'')), 0.5)::double as median_chars from v group by 1",
+    "quality_profile": _gate_sql(NOISY, 0) + f"select {_BUCKET} as bucket, count(*) as n, count(*) filter (not would_accept) as rejected, count(*) filter (length(coalesce(narrative,'')) < 120 and nf + nm <= 1) as thin, sum(length(coalesce(narrative,'')))::bigint as narrative_chars, quantile_cont(length(coalesce(narrative,'')), 0.25)::double as p25_chars, quantile_cont(length(coalesce(narrative,'')), 0.5)::double as median_chars, quantile_cont(length(coalesce(narrative,'')), 0.75)::double as p75_chars from v group by 1",
     "thin_content": _OPEN + "select id, type, project from v where length(coalesce(narrative,'')) < 120 and nf + nm <= 1",
     "filter_replay": _gate_sql(replace(NOISY, noise_enabled=False), 0) + ", x as (" + _gate_sql(NOISY, 0) + "select id, would_accept as after, layer as layer_after from v) select v.id, v.type, v.would_accept as before, v.layer as layer_before, x.after, x.layer_after, case when x.after then 'newly_accepted' else 'newly_rejected' end as change from v join x using (id) where v.would_accept <> x.after",
     "borderline": _DECIDED + "select id, score from v where layer = 'score' and score >= 50 and score < 60 order by score desc, id limit 10",

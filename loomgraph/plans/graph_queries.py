@@ -79,6 +79,7 @@ QUERIES = {
     "legal_pairs": lambda s, d: graph.illegal(*graph_of(s, d)),
     "as_of": lambda s, d: graph.as_of(timed(s, d), F.expr("timestamp'1995-06-01 00:00:00'")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.sum("o_orderkey").alias("keys")),
     "remove_episode": lambda s, d: graph.without_episode(facts(s, d), view(s, d, "f_episodes").where("n % 3 = 0").select("uuid")),
+    "mentions_left": lambda s, d: graph.without_mentions(mentions(s, d), view(s, d, "f_episodes").where("n % 3 = 0").select("uuid")).groupBy("dst").agg(F.count(F.lit(1)).alias("n")),
     "entity_resolution": lambda s, d: graph.resolve_entities(s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("uuid"), "label", "embedding"), F.col("label"), "embedding", 0.3),
 }
 
@@ -184,5 +185,7 @@ ORACLES = {
     "legal_pairs": _G + "select s.label as src_label, t.label as dst_label, lower(f.name) as edge, count(*) as n from f_facts f join f_entities s on s.uuid = f.src join f_entities t on t.uuid = f.dst where (s.label, t.label, lower(f.name)) not in (('Person','Concept','belongs_to'), ('Project','Concept','belongs_to'), ('Concept','Concept','occurred_in'), ('Tool','Project','depends_on'), ('Person','Tool','references')) group by 1, 2, 3",
     "as_of": "select count(*) as n, min(o_orderkey) as first, sum(o_orderkey)::bigint as keys from orders where o_orderdate <= timestamp '1995-06-01' and (o_orderkey % 3 <> 0 or o_orderdate + interval 200 day > timestamp '1995-06-01') and (o_orderkey % 7 <> 0 or o_orderdate + interval 400 day > timestamp '1995-06-01')",
     "remove_episode": _F + ", p as (select distinct edge_id, unnest([ep1, ep2]) as uuid from f_search), g as (select 'ep-' || doc_id as uuid from documents where doc_id % 3 = 0) select edge_id, string_agg(uuid, ',' order by uuid) as backing from p where uuid not in (select uuid from g) group by 1",
+    "mentions_left": lambda s, d: graph.without_mentions(mentions(s, d), view(s, d, "f_episodes").where("n % 3 = 0").select("uuid")).groupBy("dst").agg(F.count(F.lit(1)).alias("n")),
+    "mentions_left": _E + " select 'C' || o_custkey as dst, count(*) as n from orders where 'ep-' || o_orderkey not in (select uuid from f_episodes where n % 3 = 0) group by 1",
     "entity_resolution": "with v as (select vec_id as uuid, label, embedding::double[] as v from embeddings) select x.uuid as a, y.uuid as b from v x join v y on x.label = y.label and x.uuid < y.uuid where list_dot_product(x.v, y.v) >= 0.3 * sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))",
 }

@@ -28,6 +28,13 @@ def snapshots(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "f_snapshots")
 
 
+def last_snapshots(s: SparkSession, d: str) -> DataFrame:
+    """The last snapshot of each host; red ones name two blockers."""
+    rows = windows.latest(snapshots(s, d).select("host", "received_at", "pos", "overall"), "host", ["received_at", "pos"])
+    blocker = lambda label, detail: F.struct(F.lit(label).alias("label"), F.lit(detail).alias("detail"))
+    return rows.withColumn("blockers", F.when(F.col("overall") == "red", F.array(blocker("disk", "full"), blocker("net", "down"))).otherwise(F.array().cast("array<struct<label:string,detail:string>>")))
+
+
 def claims(s: SparkSession, d: str) -> DataFrame:
     requests = s.read.parquet(f"{d}/lineitem.parquet").select(F.concat(F.lit("src-"), F.lit("1-URGENT")).alias("source_description"), F.col("l_orderkey").cast("string").alias("source_obs_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"))
     return state.claim(requests, view(s, d, "f_ingest_keys"), KEY)
@@ -162,7 +169,10 @@ QUERIES = {
     "hook_health": lambda s, d: windows.hook_health(hooks(s, d), F.expr(EVENT_NOW)),
     "carry_forward": lambda s, d: hooks(s, d).select("pos", "tool"),
     "latest_snapshot": lambda s, d: windows.latest(snapshots(s, d).select("host", "received_at", "pos", "overall"), "host", ["received_at", "pos"]),
-    "snapshot_alerts": lambda s, d: windows.snapshot_alerts(windows.latest(snapshots(s, d).select("host", "received_at", "pos", "overall"), "host", ["received_at", "pos"]), F.expr(EVENT_NOW)).select("host", "alert"),
+    "snapshot_alerts": lambda s, d: windows.snapshot_alerts(last_snapshots(s, d), F.expr(EVENT_NOW)),
+    "error_samples": lambda s, d: state.error_samples(keys(s, d).withColumn("error_message", F.concat(F.lit("failed "), F.repeat(F.col("source_obs_id"), 60)))),
+    "predigest_parents": lambda s, d: state.parents(view(s, d, "f_episodes").select("uuid", F.concat("uuid", F.lit("")).alias("name"), F.split("content", "\n").alias("observations")).drop("uuid"), view(s, d, "f_episodes").where("n % 3 = 0").select(F.concat("uuid", F.lit("--obs-01")).alias("name"))),
+    "observation_rollup": lambda s, d: evaluate.observation_rollup(view(s, d, "f_observations")).select("memory_session_id", "project", "start", "n", "types", "files", F.char_length("text").alias("chars")),
     "edge_alerts": lambda s, d: windows.transitions(snapshots(s, d), F.col("overall") == "red", "host", ["received_at", "pos"]).select("host", "pos", "event"),
     "debounce": lambda s, d: windows.debounced(snapshots(s, d), F.col("overall") != "green", "host", ["received_at", "pos"], 3).select("host", "pos"),
     "hold_last": lambda s, d: snapshots(s, d).select("host", "pos", windows.hold_last(snapshots(s, d), F.when(F.col("overall") != "grey", F.col("overall")), "host", ["received_at", "pos"], "green").alias("held")),
@@ -237,7 +247,10 @@ ORACLES = {
     "hook_health": _CARRY + f", h as (select tool, count(*) filter (kind = 'start') as starts, count(*) filter (kind = 'ok') as ok, count(*) filter (kind = 'no_match') as no_match, count(*) filter (kind = 'empty') as empty, count(*) filter (kind = 'error') as errors, max(ts) filter (kind = 'ok') as last_ok, (list(kw order by ts desc, pos desc) filter (kind = 'ok'))[1] as last_kw, (list(pos order by ts desc, pos desc) filter (kind = 'error'))[1] as last_error_pos from t group by tool) select * exclude (age), case when errors > 0 and ok = 0 then 'red' when ok = 0 then case when no_match > 0 then 'amber' else 'grey' end when age <= 86400 then 'green' when age <= 259200 then 'amber' else 'red' end as light, case when age < 3600 then (age // 60) || 'm' when age < 86400 then (age // 3600) || 'h' else (age // 86400) || 'd' end as last_ok_age from (select *, floor(epoch({_ENOW}))::bigint - floor(epoch(last_ok))::bigint as age from h)",
     "carry_forward": _CARRY + " select pos, tool from t",
     "latest_snapshot": _LASTROW + " select * from l",
-    "snapshot_alerts": _LASTROW + f" select host, case when received_at < {_ENOW} - interval 30 minute then 'stale' when overall = 'red' then 'blocked' end as alert from l where received_at < {_ENOW} - interval 30 minute or overall = 'red'",
+    "snapshot_alerts": _LASTROW + f" select host, 'stale' as alert, null as label from l where received_at < {_ENOW} - interval 30 minute union all select host, 'blocked', unnest(['disk: full', 'net: down']) from l where received_at >= {_ENOW} - interval 30 minute and overall = 'red'",
+    "error_samples": _KEYS + " select source_obs_id, substring('failed ' || repeat(source_obs_id, 60), 1, 200) as message from k where status = 'error' order by coalesce(updated_at, created_at) desc, source_obs_id limit 5",
+    "predigest_parents": _EP + ", p as (select uuid as name, len(string_split(content, chr(10))) as m, case when n % 3 = 0 then 1 else 0 end as made from f_episodes) select name, made || '/' || m as status, made = m as complete from p",
+    "observation_rollup": with_views("f_observations") + " select memory_session_id, project, min(created_at_epoch) as start, count(*) as n, array_to_string(list_sort(list(distinct type)), ',') as types, coalesce(array_to_string(list_sort(list(distinct files_modified) filter (files_modified is not null)), ' '), '') as files, (sum(length(coalesce(narrative, ''))) + count(*) - 1)::int as chars from f_observations group by 1, 2",
     "edge_alerts": _SN + ", b as (select host, pos, overall = 'red' as bad, coalesce(lag(overall = 'red') over (partition by host order by received_at, pos), false) as before from f_snapshots) select host, pos, case when bad then 'fire' else 'clear' end as event from b where bad <> before",
     "debounce": _SN + ", b as (select host, pos, received_at, overall <> 'green' as bad, sum((overall = 'green')::int) over (partition by host order by received_at, pos rows between unbounded preceding and current row) as island from f_snapshots), r as (select host, pos, row_number() over (partition by host, island order by received_at, pos) as k from b where bad) select host, pos from r where k = 3",
     "hold_last": _SN + " select host, pos, coalesce(last_value(case when overall <> 'grey' then overall end ignore nulls) over (partition by host order by received_at, pos rows between unbounded preceding and current row), 'green') as held from f_snapshots",
