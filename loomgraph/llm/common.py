@@ -1,18 +1,18 @@
-"""Helpers shared by the training-data operators: tables, shared scratch space, hashing."""
+"""Helpers shared by the training-data operators: tables, membership maps, hashing."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.tables import forget, materialise
+
 #: The characters that separate words, fixed by the operators' contract.
 SPACE = r"\x20\x09-\x0D"
 
@@ -21,37 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workspace(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session takes a temporary folder; a cluster is refused, since each machine would write
-    to its own disk.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it again: cuts the lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def held_out() -> Column:
     """True for the documents kept apart for evaluation: crc32 of doc_id as text, mod 5, is 0."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -199,28 +168,3 @@ def may_have(words: np.ndarray | None, values: np.ndarray) -> np.ndarray:
         return np.ones(len(values), bool)
     at = _places(values, 64 * len(words))
     return (words.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of links (a, b): root is the least node of its connected component.
-
-    Alternates large-star and small-star steps; a node's neighbours are never gathered, only their minimum. Each round
-    is written to the shared folder, and the rounds grow with the logarithm of the longest path.
-    """
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before or state[0] == 0:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = tuple(state)
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written first, so that a hub's edges meet its minimum in a join of two plain exchanges, which can be split.
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        after = materialise(small.where("u <> v").distinct(), "edges")
-        forget(edges)
-        forget(least)
-        edges = after

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Members, WordHasher, components, forget, grams, materialise, may_have, signed, table
+from loomgraph.llm.common import Members, WordHasher, forget, grams, materialise, may_have, signed, table
+from loomgraph.tables import components
 
 SHINGLE = 5
 #: Frequent shingles with a place of their own in the order (16 bytes each are broadcast). They only save work.

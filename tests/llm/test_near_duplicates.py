@@ -5,7 +5,8 @@ import re
 
 import pytest
 
-from loomgraph.llm import common, jaccard_join, sparse_suffix
+from loomgraph.llm import jaccard_join, sparse_suffix
+from loomgraph.tables import components
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -97,9 +98,9 @@ def test_join_with_null_and_large_ids_equals_brute_force(spark, seed):
 
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
-    got = {r.node: r.root for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
-    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def brute_spans(rows, least=sparse_suffix.LEAST):
