@@ -175,10 +175,16 @@ def fact_quality(facts: DataFrame) -> DataFrame:
     return c.withColumn("percent", F.round(100.0 * F.col("metadata_like") / F.greatest("total", F.lit(1)), 1))
 
 
-def resolve_entities(entities: DataFrame, block: Column, vector: str, least: float) -> DataFrame:
-    """(a, b) pairs of the same block whose vectors have at least a cosine; blocks bound what is compared."""
+def resolve_entities(entities: DataFrame, block: Column, vector: str, least: float, salts: int = 16) -> DataFrame:
+    """(a, b) pairs of the same block whose vectors have at least a cosine; blocks bound what is compared.
+
+    A block is dealt out over ``salts`` tasks: each gets a part of its rows as the one side and all of them as the
+    other. Null blocks and vectors match nothing.
+    """
     rows = entities.select("uuid", block.alias("block"), F.col(vector).alias("v"))
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     left, right = (rows.select("block", F.col("uuid").alias(k), F.col("v").alias(f"v{k}")) for k in "ab")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    return left.join(right, "block").where("a < b").where(dot >= least * norm(F.col("va")) * norm(F.col("vb"))).select("a", "b")
+    return left.join(right, ["block", "salt"]).where("a < b").where(dot >= least * norm(F.col("va")) * norm(F.col("vb"))).select("a", "b")

@@ -47,7 +47,7 @@ def document_frequency(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "scan_id_range": lambda s, d: readers.id_range(observations(s, d), 100, 400, 50).select("id", "type"),
-    "scan_ids": lambda s, d: observations(s, d).select("id").where("id > 900"),
+    "scan_ids": lambda s, d: observations(s, d).select("id"),
     "scan_by_ids": lambda s, d: readers.by_ids(observations(s, d), s.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id"))).select("id", "project"),
     "scan_newest": lambda s, d: readers.newest(observations(s, d), 30).select("id"),
     "scan_watermark": lambda s, d: readers.watermark(observations(s, d)),
@@ -69,7 +69,7 @@ _TERMINAL = ", t as (select id from f_observations where id % 3 = 0 or id % 5 =
 _FLAT = "replace(trim(content), chr(10), ' ')"
 ORACLES = {
     "scan_id_range": _O + "select id, type from f_observations where id > 100 and id <= 400 order by id limit 50",
-    "scan_ids": _O + "select id from f_observations where id > 900",
+    "scan_ids": _O + "select id from f_observations",
     "scan_by_ids": _O + "select id, project from f_observations where id in (select doc_id from labels)",
     "scan_newest": _O + "select id from f_observations order by created_at_epoch desc, id desc limit 30",
     "scan_watermark": _O + "select coalesce(max(id), 0) as watermark from f_observations",

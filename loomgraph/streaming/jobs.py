@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,16 @@ def run_gate(stream: DataFrame, sessions: DataFrame, accept: Callable[[DataFrame
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def may_start(now: datetime, start: int, end: int, hottest: float | None = None, most: float = 60.0, offset_hours: int = 8) -> bool:
+    """Whether a cycle may start: inside the local work window, which may wrap midnight, and no disk too hot.
+
+    Equal bounds mean never; an unknown temperature doesn't hold a cycle back. ``now`` has a time zone.
+    """
+    hour = now.astimezone(timezone(timedelta(hours=offset_hours))).hour
+    inside = start != end and (start <= hour < end if start < end else hour >= start or hour < end)
+    return inside and (hottest is None or hottest < most)
+
+
 def tumbling_counts(stream: DataFrame, size: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Events of each type in fixed windows of event time."""
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")

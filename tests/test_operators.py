@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -374,3 +375,8 @@ def test_upsert_dedupe_and_usage_of_empty_tables(spark):
     assert tuple(ranking.usage_bump(e, none).first()) == ("u", "n", 0, 0, None)
     assert classify.keep_longest(e, F.lit("t")).count() == 0 and classify.keep_earliest(e, "name").count() == 1
     assert classify.first_bytes_dedupe(e.limit(0).withColumnRenamed("uuid", "path")).count() == 0
+
+
+@pytest.mark.parametrize(("hour", "start", "end", "hottest", "want"), [(15, 22, 5, None, True), (13, 22, 5, None, False), (20, 22, 5, None, True), (21, 22, 5, None, False), (15, 22, 5, 61.0, False), (15, 22, 5, 59.0, True), (1, 4, 4, None, False), (2, 8, 12, None, True)])
+def test_cycles_start_in_their_window(hour, start, end, hottest, want):
+    assert jobs.may_start(datetime(2024, 1, 1, hour, tzinfo=timezone.utc), start, end, hottest) is want
