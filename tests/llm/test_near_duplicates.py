@@ -150,3 +150,18 @@ def test_spans_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None)], "doc_id long, text string")
     assert sparse_suffix.repeated_spans(docs).count() == 0
     assert sparse_suffix.repeated_spans(docs.limit(0)).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark):
+    """Two very long near copies, and columns named like the operators' own."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(120_000)]
+    near = list(words)
+    near[60_000] = "changed"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "short text"), (2, " ".join(near))], "doc_id long, text string")
+    for c in ("node", "token", "key", "gram", "class", "window", "place", "fragment", "salt", "n", "doc"):
+        docs = docs.withColumn(c, docs.doc_id.cast("string"))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect())
+    assert got == [(1, 119_996, 1), (2, 119_996, 1), (2, 119_996, 1), (3, 1, 3)]
+    spans = sorted((r.doc_id, r.start_word, r.end_word, r.copy_of) for r in sparse_suffix.repeated_spans(docs).collect())
+    assert spans == [(i, a, b, None) for i in (1, 2) for a, b in ((0, 60_000), (60_001, 120_000))]

@@ -34,6 +34,13 @@ def test_measures(spark):
     assert quality_rules.apply_rules(docs.limit(0)).count() == 0
 
 
+def test_rules_on_repeated_rows_and_long_texts(spark):
+    long = "alpha beta gamma delta " * 60_000 + "\n" + "end " * 3
+    docs = spark.createDataFrame([(1, long), (1, long), (None, "a b"), (2, None)], "doc_id long, text string").withColumn("n_words", F.lit("clash"))
+    got = quality_rules.apply_rules(docs).collect()
+    assert len(got) == 4 and sorted((r.n_words, r.n_repeat_words) for r in got if r.doc_id == 1) == [(240_003, 240_000)] * 2
+
+
 SECRETS = [
     None, "", 'password = "abcdefgh1"', "passwd: short, token=AAAAAAAAAA", "secret: token: abcdefghijk", "API_KEY='x.y-z/0=+_' apikey:12345678", "AKIAABCDEFGHIJKL AKIA AKIAABCDEFGHIJ AKIAAKIAAKIAAKIA1", "é" * 5 + "0123456789abcdef" * 2 + "🙂" + "f" * 31, "Token = \"" + "a1" * 20 + "\"",
     "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "A" * 36, "toKen:=abcdefgh", "ſecret=abcdefghij", "token=" + "0123456789abcdef" * 2, "password=\npassword=longenough", "tokentoken=abcdefgh token=1234567 token=12345678",
