@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,15 +14,20 @@ from loomgraph.functions.columns import blank, contains_any, declared, lines, lo
 TOOL_RULES = (("doc", "docs"), ("obs", "observer"))
 
 
-def origin(name: str = "name", source: str = "source_description", capsule_prefix: str = config.CAPSULE_PREFIX, canonical_prefix: str = config.CANONICAL_PREFIX) -> Column:
-    """device, tool and project of an episode: ordered rules on its name and source."""
+def origin(name: str = "name", source: str = "source_description", capsule_prefix: str = config.CAPSULE_PREFIX, canonical_prefix: str = config.CANONICAL_PREFIX, workspaces: Mapping[str, str] | None = None) -> Column:
+    """device, tool and project of an episode: ordered rules on its name and source.
+
+    ``workspaces`` gives the tool that a workspace (a declared project, in lower case) belongs to; observations of other
+    workspaces have the observer as their tool. Nulls count as empty.
+    """
     n, sd = blank(name), blank(source)
     low = F.lower(sd)
     capsule, canonical = n.startswith(capsule_prefix), n.startswith(canonical_prefix) | low.startswith(canonical_prefix)
     device = F.when(capsule, "remote").otherwise("local")
     tool = F.when(capsule, "capsule").when(canonical | low.startswith("case-pack"), "hub")
     for prefix, value in TOOL_RULES:
-        tool = tool.when(low.startswith(prefix), value)
+        own = looked_up(F.lower(declared(source, "project")), dict(workspaces), F.lit(value)) if workspaces and prefix == "obs" else F.lit(value)
+        tool = tool.when(low.startswith(prefix), own)
     tool = tool.otherwise("unknown")
     project = F.coalesce(declared(source, "project"), F.when(tool == "capsule", "capsule").when(tool == "hub", "hub").otherwise("unknown"))
     return F.struct(device.alias("origin_device"), tool.alias("origin_tool"), project.alias("origin_project"))

@@ -11,6 +11,8 @@ from loomgraph.operators import classify, gate, ranking
 from loomgraph.sources.fixtures import view, with_views
 
 KEYWORD, GRID = "the", ["the", "de", "en"]
+#: Workspaces of the fixture's tools.
+WORKSPACES = {"src1": "editor", "src2": "terminal"}
 NOW = "timestamp'2024-02-01 00:00:00'"
 
 
@@ -74,7 +76,7 @@ _CANON = "name like 'canonical-%'"
 QUERIES = {
     "canonical_context": lambda s, d: ranking.canonical_context(episodes(s, d).withColumn("scope", F.when(F.col("n") % 40 == 0, F.concat(F.lit("project:"), F.col("scope"))).otherwise("global")), KEYWORD, 3).select("uuid", "name", "hits", "relscore", "place", "reason"),
     "canonical_grid": lambda s, d: ranking.canonical_grid(episodes(s, d).withColumn("scope", F.concat(F.lit("project:"), F.col("scope"))), GRID).select("keyword", "uuid", "hits", "relscore", "place", "injected"),
-    "origin": lambda s, d: episodes(s, d).select("uuid", classify.origin().alias("o")).select("uuid", "o.*"),
+    "origin": lambda s, d: episodes(s, d).select("uuid", classify.origin(workspaces=WORKSPACES).alias("o")).select("uuid", "o.*"),
     "durability": lambda s, d: sourced(s, d).select("uuid", classify.durability().alias("durability")),
     "kind": kinds,
     "provenance": lambda s, d: sourced(s, d).select("uuid", classify.provenance().alias("provenance"), classify.provenance(lenient=True).alias("lenient"), classify.has_source().alias("has_source")),
@@ -144,7 +146,7 @@ def _grid(keyword: str, scope: str) -> str:
 ORACLES = {
     "canonical_context": _E + f", c as ({_grid(KEYWORD, 'case when n % 40 = 0 then ' + chr(39) + 'project:' + chr(39) + ' || scope else ' + chr(39) + 'global' + chr(39) + ' end')}), r as (select *, row_number() over (order by relscore desc, uc, name, uuid) as rn, count(*) over () as cnt from c), x as (select * from r where rn >= 3 order by uc, rn limit 1) select uuid, name, hits, relscore, rn::int as place, 'relevance' as reason from r where rn < 3 union all select uuid, name, hits, relscore, 3::int, case when cnt > 3 then 'explore' else 'relevance' end from x",
     "canonical_grid": _E + ", c as (" + " union all ".join(_grid(k, "'project:' || scope") for k in GRID) + "), r as (select *, row_number() over (partition by keyword order by relscore desc, uc, name, uuid)::int as place from c) select keyword, uuid, hits, relscore, place, place <= 3 as injected from r",
-    "origin": _E + f", t as (select *, case when name like 'capsule-%' then 'capsule' when name like 'canonical-%' or lower(source_description) like 'canonical-%' or lower(source_description) like 'case-pack%' then 'hub' when lower(source_description) like 'doc%' then 'docs' when lower(source_description) like 'obs%' then 'observer' else 'unknown' end as origin_tool from f_episodes) select uuid, case when name like 'capsule-%' then 'remote' else 'local' end as origin_device, origin_tool, coalesce(nullif(regexp_extract(source_description, 'project=(\\S+)', 1), ''), case origin_tool when 'capsule' then 'capsule' when 'hub' then 'hub' else 'unknown' end) as origin_project from t",
+    "origin": _E + f", t as (select *, case when name like 'capsule-%' then 'capsule' when name like 'canonical-%' or lower(source_description) like 'canonical-%' or lower(source_description) like 'case-pack%' then 'hub' when lower(source_description) like 'doc%' then 'docs' when lower(source_description) like 'obs%' then case lower(nullif(regexp_extract(source_description, 'project=(\\S+)', 1), '')) when 'src1' then 'editor' when 'src2' then 'terminal' else 'observer' end else 'unknown' end as origin_tool from f_episodes) select uuid, case when name like 'capsule-%' then 'remote' else 'local' end as origin_device, origin_tool, coalesce(nullif(regexp_extract(source_description, 'project=(\\S+)', 1), ''), case origin_tool when 'capsule' then 'capsule' when 'hub' then 'hub' else 'unknown' end) as origin_project from t",
     "durability": _S + f"select uuid, case when regexp_matches(name, '{config.TIME_BOUND}') then 'time-bound' else 'evergreen' end as durability from f_sourced",
     "kind": _S + f", d as (select uuid, old_kind, override, {_KIND} as k, ({_CONF})::double as c from f_sourced) select uuid, case when override is not null then override when c >= 0.7 then k else 'unclassified' end as kind, case when override is not null then 1.0 when c >= 0.7 then c else 0.0 end::double as kind_confidence, case when k = 'unclassified' and old_kind is not null and old_kind <> 'unclassified' then old_kind else k end as backfilled from d",
     "provenance": _S + f"select uuid, {_PROV.format(lenient='')} as provenance, {_PROV.format(lenient='or n % 6 = 2')} as lenient, n % 6 in (0, 1, 3) as has_source from f_sourced",
