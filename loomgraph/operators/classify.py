@@ -116,6 +116,31 @@ def duplicate_clusters(episodes: DataFrame, title: Column, active_only: bool = F
     return rows.groupBy(project.alias("project"), title.alias("title")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def source_values(episodes: DataFrame) -> DataFrame:
+    """Per source (the first word of the description): episodes, those with a type and a project, shares of high- and low-value types.
+
+    Of several declarations the last counts; nulls count as no source.
+    """
+    last = lambda key: F.element_at(F.regexp_extract_all(blank("source_description"), F.lit(rf"{key}=(\S+)"), F.lit(1)), -1)
+    has = lambda key: F.size(F.regexp_extract_all(blank("source_description"), F.lit(rf"{key}=(\S+)"), F.lit(1))) > 0
+    rows = episodes.select(F.split(blank("source_description"), " ")[0].alias("source"), F.when(has("type"), last("type")).alias("type"), F.when(has("project"), last("project")).alias("project"))
+    share = lambda kinds: F.round(100.0 * F.count_if(F.col("type").isin(*kinds)) / F.count(F.lit(1)), 2)
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("type").alias("typed"), F.count("project").alias("with_project"), share(config.KNOWLEDGE_TYPES).alias("high_percent"), share(config.OPERATIONAL_TYPES).alias("low_percent"))
+
+
+def health(episodes: DataFrame, noise: Column, title: Column) -> DataFrame:
+    """One row of health metrics: totals, use of live episodes and of canonical ones, noise, clusters of live duplicates."""
+    live, used = ~F.coalesce("archived", F.lit(False)), F.coalesce("usage_count", F.lit(0)) > 0
+    canonical = F.col("name").startswith(config.CANONICAL_PREFIX)
+    share = lambda part, whole: F.round(100.0 * F.count_if(part) / F.greatest(F.count_if(whole), F.lit(1)), 2)
+    counts = episodes.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(live).alias("active"), F.count_if(~live).alias("archived"), share(live & used, live).alias("injected_percent"),
+        share(canonical & live & ~used, canonical & live).alias("dormant_percent"), F.count_if(noise & live).alias("noise_active"), F.count_if(noise & ~live).alias("noise_archived"),
+    )
+    clusters = duplicate_clusters(episodes, title, active_only=True).agg(F.count(F.lit(1)).alias("duplicate_clusters"))
+    return counts.crossJoin(F.broadcast(clusters))  # one row each
+
+
 def keep_longest(episodes: DataFrame, title: Column) -> DataFrame:
     """All but the longest episode of each (project, title) group, with the one that is kept; ties keep the first by uuid.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import config
 from loomgraph.functions.columns import blank, contains_any, declared, days_between, snippet
-from loomgraph.operators import classify, gate, ranking
+from loomgraph.operators import classify, gate, graph, ranking
 from loomgraph.sources.fixtures import view, with_views
 
 KEYWORD, GRID = "the", ["the", "de", "en"]
@@ -104,11 +104,19 @@ QUERIES = {
     "delivery_replay": delivery_replay,
     "delivery_mix": lambda s, d: ranking.delivery_mix(deliveries(s, d), gate.type_bucket(F.col("type"))),
     "usage_bump": lambda s, d: ranking.usage_bump(episodes(s, d), s.read.parquet(f"{d}/events.parquet").where("event_type = 'view'").select(F.concat(F.lit("capsule-"), (F.col("event_id") % 700).cast("string")).alias("name"), "ts")),
-    "health_metrics": lambda s, d: episodes(s, d).agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("archived")).alias("active"), F.count_if(F.col("name").startswith("canonical-") & (F.col("usage_count") == 0)).alias("dormant_canonical"), F.count_if((F.col("usage_count") > 0) & ~F.col("archived")).alias("injected")),
+    "health_metrics": lambda s, d: health_metrics(s, d),
+    "source_values": lambda s, d: classify.source_values(episodes(s, d)),
     "tag_update": lambda s, d: tag_update(s, d),
 }
 
 
+def health_metrics(s: SparkSession, d: str) -> DataFrame:
+    noise = (declared("source_description", "type") == "bugfix") & F.lower(blank("content")).contains("the")
+    degrees = graph.degrees(view(s, d, "f_entities"), view(s, d, "f_facts"))
+    orphans = degrees.agg(F.round(100.0 * F.count_if(F.col("degree") == 0) / F.greatest(F.count(F.lit(1)), F.lit(1)), 2).alias("orphan_percent"))
+    return classify.health(episodes(s, d), F.coalesce(noise, F.lit(False)), classify.first_line()).crossJoin(F.broadcast(orphans))  # one row each
+
+
 def tag_update(s: SparkSession, d: str) -> DataFrame:
     """Tags by name: whitelisted kinds override with full confidence, others are refused; unmatched rows stay."""
     tags = sourced(s, d).where("n % 50 = 6").select("uuid", F.when(F.col("n") % 100 == 6, "决策").otherwise("no such kind").alias("tag"))
@@ -119,6 +127,7 @@ def tag_update(s: SparkSession, d: str) -> DataFrame:
 
 _E, _S = with_views("f_episodes"), with_views("f_sourced")
 _TYPE, _PROJECT = "nullif(regexp_extract(source_description, 'type=(\\S+)', 1), '')", "coalesce(nullif(regexp_extract(source_description, 'project=(\\S+)', 1), ''), 'unknown')"
+_NOISE = f"{_TYPE} is not null and {_TYPE} = 'bugfix' and contains(lower(content), 'the')"
 _COUNT = "((length(lower(content)) - length(replace(lower(content), {0}, ''))) // length({0}))::bigint"
 _KIND = "case when name like 'canonical-%' then '手册' else case lower(" + _TYPE + ") " + " ".join(f"when '{k}' then '{v[0]}'" for k, v in config.TYPE_KIND.items()) + " else 'unclassified' end end"
 _CONF = "case when name like 'canonical-%' then 0.9 else case lower(" + _TYPE + ") " + " ".join(f"when '{k}' then {v[1]}" for k, v in config.TYPE_KIND.items()) + " else 0.0 end end"
@@ -174,6 +183,7 @@ ORACLES = {
     "delivery_replay": _TIERS + "select query_id, count(*) filter (plain <= 5 and type in ('decision','security_note','security_alert')) as plain_knowledge, count(*) filter (plain <= 5 and type in ('bugfix','change','feature','refactor')) as plain_operational, count(*) filter (kept and type in ('decision','security_note','security_alert')) as tiered_knowledge, count(*) filter (kept and type in ('bugfix','change','feature','refactor')) as tiered_operational from k group by 1",
     "delivery_mix": _E + f", p as (select n % 150 as id, coalesce({_TYPE}, '?') as type from f_episodes), h as (select case when id % 2 = 0 then 'context' else 'search' end as endpoint, count(distinct id) as hits, count(distinct id) filter (id % 3 = 0) as tiered from p group by 1) select endpoint, hits, tiered, {_BUCKET.format('type')} as bucket, count(*) as picks from p join h on h.endpoint = case when id % 2 = 0 then 'context' else 'search' end group by all",
     "usage_bump": _E + ", v as (select 'capsule-' || (event_id % 700) as name, count(*) as more, max(ts) as last_used_at from events where event_type = 'view' group by 1) select uuid, name, (usage_count + coalesce(more, 0))::bigint as usage_count, (retrieval_count + coalesce(more, 0))::bigint as retrieval_count, last_used_at from f_episodes left join v using (name)",
-    "health_metrics": _E + "select count(*) as total, count(*) filter (not archived) as active, count(*) filter (name like 'canonical-%' and usage_count = 0) as dormant_canonical, count(*) filter (usage_count > 0 and not archived) as injected from f_episodes",
+    "health_metrics": with_views("f_episodes", "f_entities", "f_facts") + f", c as (select count(*) as total, count(*) filter (not archived) as active, count(*) filter (archived) as archived, round(100.0 * count(*) filter (usage_count > 0 and not archived) / greatest(count(*) filter (not archived), 1), 2)::double as injected_percent, round(100.0 * count(*) filter (name like 'canonical-%' and not archived and usage_count = 0) / greatest(count(*) filter (name like 'canonical-%' and not archived), 1), 2)::double as dormant_percent, count(*) filter ({_NOISE} and not archived) as noise_active, count(*) filter ({_NOISE} and archived) as noise_archived from f_episodes), k as (select count(*) as duplicate_clusters from (select 1 from f_episodes where not archived group by {_PROJECT}, {_FIRST} having count(*) > 1)), t as (select distinct unnest([src, dst]) as uuid from f_facts), o as (select round(100.0 * count(*) filter (t.uuid is null) / greatest(count(*), 1), 2)::double as orphan_percent from f_entities e left join t using (uuid)) select * from c, k, o",
+    "source_values": _E + ", t as (select string_split(source_description, ' ')[1] as source, nullif(regexp_extract(source_description, 'type=(\\S+)', 1), '') as type, nullif(regexp_extract(source_description, 'project=(\\S+)', 1), '') as project from f_episodes) select source, count(*) as n, count(type) as typed, count(project) as with_project, round(100.0 * count(*) filter (type in ('decision','security_note','security_alert')) / count(*), 2)::double as high_percent, round(100.0 * count(*) filter (type in ('bugfix','change','feature','refactor')) / count(*), 2)::double as low_percent from t group by 1",
     "tag_update": _S + "select uuid, case when n % 100 = 6 then '决策' else old_kind end as kind, case when n % 100 = 6 then 1.0 end::double as kind_confidence, n % 100 = 56 as refused from f_sourced",
 }
