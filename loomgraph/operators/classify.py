@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import config
-from loomgraph.functions.columns import blank, contains_any, declared, lines, looked_up
+from loomgraph.functions.columns import blank, contains_any, declared, json_list, lines, looked_up
 
 #: Path or name prefixes that tell the producing tool, in order of precedence.
 TOOL_RULES = (("doc", "docs"), ("obs", "observer"))
@@ -128,6 +128,21 @@ def source_values(episodes: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("type").alias("typed"), F.count("project").alias("with_project"), share(config.KNOWLEDGE_TYPES).alias("high_percent"), share(config.OPERATIONAL_TYPES).alias("low_percent"))
 
 
+def observation_body(most_files: int = 20) -> Column:
+    """An observation as the text of its episode: type and title, narrative, facts, concepts, files; empty parts are left out."""
+    facts, concepts, files = json_list("facts"), json_list("concepts"), json_list("files_modified")
+    none = F.array().cast("array<string>")
+    given = lambda when, *parts: F.when(when, F.concat(*parts)).otherwise(none)
+    lines_ = F.concat(
+        F.array(F.concat(F.lit("["), F.upper(F.coalesce(F.nullif("type", F.lit("")), F.lit("obs"))), F.lit("] "), F.coalesce(F.nullif("title", F.lit("")), F.lit("(untitled)"))), F.lit("")),
+        given(blank("narrative") != "", F.array(F.lit("Narrative:"), F.col("narrative"), F.lit(""))),
+        given(F.size(facts) > 0, F.array(F.lit("Key facts:")), F.transform(facts, lambda x: F.concat(F.lit("- "), x)), F.array(F.lit(""))),
+        given(F.size(concepts) > 0, F.array(F.concat(F.lit("Concepts: "), F.array_join(concepts, ", ")))),
+        given(F.size(files) > 0, F.array(F.concat(F.lit("Files modified: "), F.array_join(F.slice(files, 1, most_files), ", ")))),
+    )
+    return F.array_join(lines_, "\n")
+
+
 def health(episodes: DataFrame, noise: Column, title: Column) -> DataFrame:
     """One row of health metrics: totals, use of live episodes and of canonical ones, noise, clusters of live duplicates."""
     live, used = ~F.coalesce("archived", F.lit(False)), F.coalesce("usage_count", F.lit(0)) > 0

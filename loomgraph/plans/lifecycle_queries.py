@@ -203,6 +203,9 @@ QUERIES = {
     "feedback_digest": lambda s, d: lifecycle.digest(feedback(s, d), F.expr(NOW)),
     "inbox_feedback": lambda s, d: lifecycle.inbox_feedback(feedback(s, d), view(s, d, "f_episodes"), F.expr(NOW)),
     "unanswered_stories": lambda s, d: lifecycle.unanswered(view(s, d, "f_episodes"), view(s, d, "f_articles"), "n").select("uuid", "name", F.substring("content", 1, 160).alias("snippet")),
+    "inbox_quarantine": lambda s, d: view(s, d, "f_ingest_keys").where("status = 'error'").orderBy(F.desc("created_at"), "source_obs_id").limit(20).select("source_obs_id", "created_at"),
+    "recent_packs": lambda s, d: view(s, d, "f_episodes").where("visibility = 'internal-note'").orderBy(F.desc("n"), "uuid").limit(50).select("uuid", F.substring("content", 1, 160).alias("snippet")),
+    "recent_articles": lambda s, d: view(s, d, "f_articles").where("linked_casepack <> ''").groupBy("linked_casepack").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("linked_casepack")).limit(50),
     "predigest_backfill": backfilled,
     "observation_parse": parsed,
     "observations_in_graph": lambda s, d: view(s, d, "f_observations").join(lifecycle.ids_of_names(view(s, d, "f_episodes"), "obs-"), "id", "left_semi").select("id", "type"),
@@ -255,6 +258,9 @@ ORACLES = {
     "feedback_digest": _F + f" (select 'handled' as section, id, episode_name, verdict from f_feedback where status in ('auto_handled', 'handled') and handled_at >= {_NOW} - interval 24 hour order by handled_at desc, id limit 20) union all (select 'pending', id, episode_name, verdict from f_feedback where status = 'pending' order by {_AT}, id limit 10) union all (select 'diagnostic', id, episode_name, verdict from f_feedback where status = 'diagnostic' and {_AT} >= {_NOW} - interval 24 hour order by report_count desc, id limit 5)",
     "inbox_feedback": _F + ", e as (" + _E + f" select name, min_by(substring(content, 1, 4000), uuid) as detail from f_episodes group by 1), i as ((select 'pending' as section, id, episode_name as name, verdict from f_feedback where status = 'pending' order by {_AT} desc, id limit 30) union all (select 'auto', id, episode_name, verdict from f_feedback where status = 'auto_handled' and handled_at >= {_NOW} - interval 7 day order by handled_at desc, id limit 12) union all (select 'diagnostic', id, episode_name, verdict from f_feedback where status = 'diagnostic' and {_AT} >= {_NOW} - interval 7 day order by {_AT} desc, id limit 15)) select i.*, detail from i left join e using (name)",
     "unanswered_stories": with_views("f_episodes", "f_articles") + ", p as (select * from f_episodes where visibility = 'public-story' order by n desc, uuid limit 50) select uuid, name, substring(content, 1, 160) as snippet from p where name not in (select linked_casepack from f_articles where coalesce(linked_casepack, '') <> '')",
+    "inbox_quarantine": _K + " select source_obs_id, created_at from f_ingest_keys where status = 'error' order by created_at desc, source_obs_id limit 20",
+    "recent_packs": _E + " select uuid, substring(content, 1, 160) as snippet from f_episodes where visibility = 'internal-note' order by n desc, uuid limit 50",
+    "recent_articles": with_views("f_articles") + " select linked_casepack, count(*) as n from f_articles where linked_casepack <> '' group by 1 order by 1 desc limit 50",
     "predigest_backfill": _SOURCED + ", " + _ROUTE + ", r as (select name, max(case when n % 4 = 0 then -1 when n % 4 = 1 then 2 else 1 end) as made, max(case when n % 4 = 3 then 0 else 2 end) as planned from f_sourced group by 1), t as (select * from c where name like 'capsule-%' and not archived and n % 8 <> 0 order by n desc, uuid limit 60), z as (select t.*, case when route = 'catalog' then 'catalog' when route is null then 'short' when made = -1 then 'failed' when planned = 0 then 'empty' when made = planned then 'complete' else 'partial' end as state from t join r using (name)) select uuid, route, state, case when state in ('catalog', 'short', 'empty', 'complete') then true end as predigested, case when state = 'empty' then true end as predigest_empty, case when state = 'catalog' and (old_kind is null or old_kind = 'unclassified') then 'registry' else old_kind end as kind from z",
     "observation_parse": _O + ", a as (select id, type, trim(substring(narrative, 1, 2000)) as body, project from f_observations where id % 5 <> 0), x as (select id, 1 as place, case when type = 'note' then 'discovery' else type end as type, 'title ' || id as title, 'fact ' || id || '/two' as facts, body, project from a union all select id, 2, 'change', trim(substring(repeat('long ', 20), 1, 60)) || '', '1/2/3/4/5/6', body, project from a where id % 2 = 0) select id, place, type, case when place = 2 then substring(trim(repeat('long ', 20)), 1, 60) else title end as title, facts, least(length(body), 600)::int as narrative_chars, project || '/b/c/d/e' as concepts from x",
     "observations_in_graph": _O + ", e as (" + _E + " select distinct regexp_extract(name, '^obs-(\\d+)', 1) as i from f_episodes) select id, type from f_observations where id::varchar in (select i from e where i <> '')",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import config
 from loomgraph.functions.columns import blank, declared, escaped, snippet
-from loomgraph.operators import evaluate
+from loomgraph.operators import classify, evaluate
 from loomgraph.plans import state_queries
 from loomgraph.sources import readers
 from loomgraph.sources.fixtures import view, with_views
@@ -61,7 +61,7 @@ QUERIES = {
     "provenance_parse": lambda s, d: view(s, d, "f_episodes").groupBy(F.element_at(F.split("source_description", " "), 1).alias("source"), F.coalesce(declared("source_description", "type"), F.lit("?")).alias("type")).agg(F.count(F.lit(1)).alias("n")),
     "document_frequency": document_frequency,
     "html_previews": lambda s, d: view(s, d, "f_episodes").select("uuid", escaped(snippet(F.col("content"), 80)).alias("preview")),
-    "observation_text": lambda s, d: observations(s, d).select("id", F.concat_ws("\n", F.col("title"), F.nullif("narrative", F.lit("")), F.when(F.col("relevance_count") > 12, F.concat(F.lit("relevance: "), F.col("relevance_count").cast("string")))).alias("body")),
+    "observation_text": lambda s, d: observations(s, d).select("id", classify.observation_body().alias("body")),
     "recent_decisions": lambda s, d: readers.windowed(s.read.parquet(f"{d}/events.parquet"), "7d", F.expr("timestamp'2024-01-30 00:00:00'")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")),
 }
 _O, _E = with_views("f_observations"), with_views("f_episodes")
@@ -83,6 +83,6 @@ ORACLES = {
     "provenance_parse": _E + "select string_split(source_description, ' ')[1] as source, coalesce(nullif(regexp_extract(source_description, 'type=(\\S+)', 1), ''), '?') as type, count(*) as n from f_episodes group by 1, 2",
     "document_frequency": "with t as (select unnest(" + state_queries._WORDS.replace("{T}", "text") + ") as term from documents) select term, count(*) as df from t where length(term) >= 4 group by 1 order by df desc, term limit 50",
     "html_previews": _E + f"select uuid, replace(replace(replace(case when length({_FLAT}) > 80 then substring({_FLAT}, 1, 80) || '…' else {_FLAT} end, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as preview from f_episodes",
-    "observation_text": _O + "select id, concat_ws(chr(10), title, nullif(narrative, ''), case when relevance_count > 12 then 'relevance: ' || relevance_count end) as body from f_observations",
+    "observation_text": _O + "select id, '[' || upper(type) || '] ' || coalesce(nullif(title, ''), '(untitled)') || chr(10) || case when coalesce(narrative, '') <> '' then chr(10) || 'Narrative:' || chr(10) || narrative || chr(10) else '' end || case id % 4 when 1 then chr(10) || 'Key facts:' || chr(10) || '- a' || chr(10) when 2 then chr(10) || 'Key facts:' || chr(10) || '- a' || chr(10) || '- b' || chr(10) else '' end || case id % 3 when 1 then chr(10) || 'Concepts: c1' when 2 then chr(10) || 'Concepts: c1, c2' else '' end || case id % 3 when 1 then chr(10) || 'Files modified: f1.py' when 2 then chr(10) || 'Files modified: f1.py, f2.md' else '' end as body from f_observations",
     "recent_decisions": "select event_type, count(*) as n from events where ts >= timestamp '2024-01-23' group by 1",
 }
