@@ -34,25 +34,26 @@ from loomgraph.llm.common import KEPT, give_back, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes of words after which a Python worker starts a new generation; it remembers this one and the one before.
-REMEMBERED_BYTES = 12 << 20
+REMEMBERED_BYTES = 56 << 20
 #: What a remembered word takes besides its own characters, ids and bytes.
-WORD_OVERHEAD = 170
+WORD_OVERHEAD = 270
 #: Rows that the steps of one recursive query keep, at most.
-STEP_ROWS = 1_500_000
+STEP_ROWS = 3_000_000
 #: Texts are encoded in groups of about so many characters, so that memory doesn't follow the batch size.
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 4_000_000
 #: A longer pattern match (in bytes) is contracted by a heap.
-LONG_WORD = 512
+LONG_WORD = 1024
 
 CONTRACT = """
-with recursive step(i, w, p, t) as (
- select 0, w, p, t from start
+with recursive step(i, w, p, t, next) as (
+ select 0, w, p, t, lead(t) over (partition by w order by p) from start
  union all
- select s.i + 1, s.w, case when s.p > b.p then s.p - 1 else s.p end, case when s.p = b.p then b.m else s.t end
- from step s join (
-  select a.w, (min(g.m::bigint * 1048576 + a.p) % 1048576)::int as p, (min(g.m::bigint * 1048576 + a.p) // 1048576)::int as m
-  from step a join step n on n.w = a.w and n.p = a.p + 1 join merges g on g.l = a.t and g.r = n.t group by a.w) b on b.w = s.w
- where s.p <> b.p + 1),
+ select i, w, p, t, lead(t) over (partition by w order by p) from (
+  select s.i + 1 as i, s.w, case when s.p > b.p then s.p - 1 else s.p end as p, case when s.p = b.p then b.m else s.t end as t
+  from step s join (
+   select a.w, (min(g.m::bigint << 20 | a.p) & 1048575)::int as p, (min(g.m::bigint << 20 | a.p) >> 20)::int as m
+   from step a join merges g on g.l = a.t and g.r = a.next group by a.w) b on b.w = s.w
+  where s.p <> b.p + 1)),
 ended as (select w, max(i) as i from step group by w)
 select w, p, t from step semi join ended using (w, i)
 """
@@ -96,13 +97,13 @@ def _heap_contract(word: bytes, rank: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes and decodes texts with one vocabulary; keeps two generations of words as ids, a zero byte and decoded bytes."""
+    """Encodes and decodes texts with one vocabulary; keeps two generations of words as (ids, decoded bytes)."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.rank = ranks(path)
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
         self.held = 0
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB"})
         rank = self.rank
@@ -152,11 +153,12 @@ class Encoder:
     def _spell(self, words: list[tuple[bytes, str]]) -> None:
         """Remember the ids and the decoded bytes of the words in ``contracted``."""
         for w, ids, raw in self.db.execute(SPELL).fetchall():
-            self.known[words[w][1]] = found = ids.encode() + b"\0" + raw
-            self.held += len(found) + len(words[w][1]) + WORD_OVERHEAD
+            word = words[w][1]
+            self.known[word] = (ids.encode(), raw)
+            self.held += len(ids) + len(raw) + len(word) + WORD_OVERHEAD
 
-    def spell(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
-        """(number of ids, ids joined by commas, decoded bytes) of every text."""
+    def spell(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
+        """(number of ids, decimal ids joined by commas, decoded bytes) of every text."""
         if self.held > REMEMBERED_BYTES:
             self.known, self.older, self.held = {}, self.known, 0
         found = [self.find(t) for t in texts]
@@ -164,15 +166,15 @@ class Encoder:
         for w in set().union(*found):
             if w not in known:
                 if w in older:
-                    known[w] = older[w]
-                    self.held += len(older[w]) + len(w) + WORD_OVERHEAD
+                    known[w] = ids, raw = older[w]
+                    self.held += len(ids) + len(raw) + len(w) + WORD_OVERHEAD
                 else:
                     new.append(w)
         self.learn(new)
         for words in found:
-            parts = [known[w].partition(b"\0") for w in words]
-            ids = b",".join([p[0] for p in parts]).decode()
-            yield ids.count(",") + 1 if ids else 0, ids, b"".join([p[2] for p in parts])
+            parts = [known[w] for w in words]
+            ids = b",".join([p[0] for p in parts])
+            yield ids.count(b",") + 1 if ids else 0, ids, b"".join([p[1] for p in parts])
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = KEPT.setdefault("byte_bpe", {})
@@ -209,7 +211,7 @@ def encode(documents: DataFrame, digest: bool = False, path: str = VOCABULARY) -
         from loomgraph.llm import byte_bpe  # the worker's own module, whose encoder outlives the task
 
         own = byte_bpe.encoder(path)
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             at = 0
             for group in byte_bpe.groups(texts):
@@ -218,7 +220,7 @@ def encode(documents: DataFrame, digest: bool = False, path: str = VOCABULARY) -
                 counts, ids, raws = [], [], []
                 for n, joined, raw in own.spell(group):
                     counts.append(n)
-                    ids.append(hashlib.sha256(joined.encode()).hexdigest() if digest else [int(x) for x in joined.split(",")] if joined else [])
+                    ids.append(hashlib.sha256(joined).hexdigest() if digest else [int(x) for x in joined.split(b",")] if joined else [])
                     raws.append(hashlib.sha256(raw).hexdigest() if digest else raw.decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays(
                     [keys, pa.array(counts, pa.int64()), pa.array(ids, pa.string() if digest else pa.list_(pa.int32())), pa.array(raws, pa.string())],
