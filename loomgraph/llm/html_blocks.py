@@ -159,33 +159,39 @@ def blocks(html: str | None) -> list[Block]:
     return parser.blocks
 
 
+def _word(word: str) -> int:
+    return NAME_BUCKETS + PATH_BUCKETS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_BUCKETS
+
+
 @lru_cache(maxsize=65_536)
 def _bucket(kind: str, name: str) -> int:
     h = zlib.crc32(f"{kind}:{name}".encode("utf-8", "surrogatepass"))
     if kind == "name":
         return h % NAME_BUCKETS
-    return NAME_BUCKETS + (PATH_BUCKETS + h % WORD_BUCKETS if kind == "word" else h % PATH_BUCKETS)
+    return NAME_BUCKETS + h % PATH_BUCKETS
 
 
 #: A block's features: numbers with weights.
 Bag = list[tuple[int, float]]
 
 
-def features(page: list[Block]) -> list[Bag]:
-    """The features of each block."""
+def features(page: list[Block], taught: bytes | None = None) -> list[Bag]:
+    """The features of each block; with ``taught`` (a flag for each number) without words that training never saw, which say nothing."""
     out = []
     shape = NAME_BUCKETS + PATH_BUCKETS + WORD_BUCKETS
     for b in page:
         f = [(_bucket("name", x), 1.0) for x in b.path]
         if b.path:
             f += [(_bucket("leaf", b.own[-1]), 1.0), (_bucket("near", "/".join(b.own[-2:])), 1.0), (NAME_BUCKETS + b.whole % PATH_BUCKETS, 1.0)]
-        words = set(WORD.findall(b.text.lower()))
-        f += [(_bucket("word", w), min(1.0, WORDS_WEIGH / len(words))) for w in words]
+        words = dict.fromkeys(WORD.findall(b.text.lower()))
+        if words:
+            weight, numbers = min(1.0, WORDS_WEIGH / len(words)), [_word(w) for w in words]
+            f += [(x, weight) for x in numbers if taught is None or taught[x]]
         size, share = len(b.text), b.linked / len(b.text)
         f.append((shape + min(11, int(np.log2(size + 1))), 1.0))
         f.append((shape + 12 + min(4, int(5 * share)), 1.0))
         f.append((shape + 20 + (b.text[-1] in ".!?…:;"), 1.0))
-        out.append(sorted(f))
+        out.append(f)
     return out
 
 
@@ -211,6 +217,12 @@ class Labeller:
         self.w["o"] = (r.standard_normal(2 * h) / np.sqrt(2 * h)).astype(np.float64)
         self.w["ob"] = np.zeros(1, np.float64)
 
+    def taught(self) -> bytes:
+        """A flag for each feature number: whether training saw it (shapes always count, so that no bag is empty)."""
+        flags = self.place < len(self.w["ef"]) - 1
+        flags[-SHAPE_BUCKETS:] = True
+        return flags.astype(np.uint8).tobytes()
+
     def _layout(self, pages: list[list[Bag]]):
         lengths = np.array([len(p) for p in pages])
         bags = [f for p in pages for f in p]
@@ -445,7 +457,7 @@ def trained() -> Labeller:
 
 def main_texts(pages: list[str | None], labeller: Labeller) -> list[str]:
     """The main text of each page."""
-    parsed = [blocks(p) for p in pages]
+    parsed, taught = [blocks(p) for p in pages], labeller.taught()
     some = sorted((i for i, p in enumerate(parsed) if p), key=lambda i: len(parsed[i]))
     out = [""] * len(pages)
     at = 0
@@ -455,7 +467,7 @@ def main_texts(pages: list[str | None], labeller: Labeller) -> list[str]:
         while end < len(some) and end - at < 256 and len(parsed[some[end]]) * (end - at + 1) < 8192:
             end += 1
         own = some[at:end]
-        for i, chance in zip(own, labeller.chance([features(parsed[i]) for i in own]), strict=True):
+        for i, chance in zip(own, labeller.chance([features(parsed[i], taught) for i in own]), strict=True):
             out[i] = "\n\n".join(b.text for b, c in zip(parsed[i], chance, strict=True) if c >= 0.5)
         at = end
     return out
