@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from loomgraph.functions.columns import short_age
 
 
-def carry_forward(events: DataFrame, value: str, by: list[str], order: list[str], first: str) -> Column:
-    """The last value so far of a key, ``first`` before any. The key keeps one log's lines together."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(first))
-
-
 def carried(events: DataFrame, value: str, pos: str, first: str, name: str, size: int = 1 << 16) -> DataFrame:
     """``events`` with the last value so far of the whole log as column ``name``, ``first`` before any.
 

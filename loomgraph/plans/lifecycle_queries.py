@@ -9,6 +9,7 @@ from loomgraph import config
 from loomgraph.config import GateConfig
 from loomgraph.functions.columns import excerpt, path_keywords
 from loomgraph.operators import classify, gate, lifecycle, ranking
+from loomgraph.plans.episode_queries import deliveries
 from loomgraph.plans.gate_queries import _DECIDED, _OPEN, _gate_sql, observed
 from loomgraph.sources import readers
 from loomgraph.sources.fixtures import view, with_views
@@ -41,6 +42,13 @@ def hook_scan(s: SparkSession, d: str) -> DataFrame:
     return readers.hook_log(s, path)
 
 
+def delivery_scan(s: SparkSession, d: str) -> DataFrame:
+    """A delivery log on disk, read back: deliveries and picks by endpoint and tiering."""
+    path = scratch(s, "log")
+    deliveries(s, d).withColumn("ts", F.lit("2024-01-01T00:00:00Z")).write.json(path)
+    return readers.delivery_log(s, path).groupBy("endpoint", "tiering").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("picked")).alias("picks"))
+
+
 def injections(s: SparkSession, d: str) -> DataFrame:
     return readers.injections(hook_scan(s, d), "canonical-").groupBy("kw").agg(F.count(F.lit(1)).alias("n"), F.min(F.element_at("names", 1)).alias("first"), F.max(F.size("names")).alias("most_names"))
 
@@ -185,6 +193,7 @@ QUERIES = {
     "jsonl_scan": jsonl_scan,
     "hook_log_scan": lambda s, d: hook_scan(s, d).select("ts", "kind", "fmt", "kw", "picked", F.array_join("names", ",").alias("names"), "elapsed"),
     "injection_scan": injections,
+    "delivery_log_scan": delivery_scan,
     "json_fixture": json_sets,
     "state_versions": state_versions,
     "backup_rotation": backup_rotation,
@@ -231,6 +240,7 @@ ORACLES = {
     "jsonl_scan": _O + " select id as obs_id, type as obs_type, 'score' as layer, (relevance_count / 2)::double as score from f_observations",
     "hook_log_scan": with_views("f_hook_events") + " select date_trunc('second', ts) as ts, kind, case kind when 'start' then fmt when 'ok' then 'claude' end as fmt, case when kind in ('ok', 'no_match') then kw end as kw, case when kind = 'ok' then 2 end as picked, case when kind = 'ok' then 'canonical-' || pos || ',obs-1' else '' end as names, case when kind = 'ok' then 0.25 end::double as elapsed from f_hook_events",
     "injection_scan": with_views("f_hook_events") + " select kw, count(*) as n, min('canonical-' || pos) as first, 1 as most_names from f_hook_events where kind = 'ok' group by 1",
+    "delivery_log_scan": _E + ", p as (select n % 150 as id, count(*) as k from f_episodes group by 1) select case when id % 2 = 0 then 'context' else 'search' end as endpoint, id % 3 = 0 as tiering, count(*) as n, sum(k)::bigint as picks from p group by 1, 2",
     "json_fixture": with_views("f_golden") + " select id, mode, gold_kw from f_golden",
     "state_versions": _O + " select id, case when id % 3 = 0 then 'ok' else 'pending' end as status from f_observations",
     "backup_rotation": f"select event_type, count(*) as n, min(event_id) as first from events where ts >= {_NOW} - interval 7 day group by 1",

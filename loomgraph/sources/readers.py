@@ -174,13 +174,6 @@ def first_json_list(raw: str | None) -> list[str]:
     return []
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def json_items(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The items of the first JSON list within prose, as JSON texts."""
-    for batch in texts:
-        yield batch.map(first_json_list)
-
-
 def append_json(rows: DataFrame, path: str, by: str | None = None) -> None:
     """Append rows to a JSON log, by date folders if a column is given."""
     writer = rows.write.mode("append")
