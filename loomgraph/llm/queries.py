@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import byte_bpe, html_blocks, jaccard_join, language_mixture, quality_kernel, quality_rules, secret_ledger, soft_mixing, sparse_suffix, transport_stream
+from loomgraph.llm import bin_slack, byte_bpe, filter_trie, html_blocks, jaccard_join, language_mixture, quality_kernel, quality_rules, repair_trie, secret_ledger, soft_mixing, sparse_suffix, transport_stream
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": jaccard_join.query,
         "op9_secret_scans": secret_ledger.query,
         "op10_mixing_sources": soft_mixing.query,
+        "op11_filter_interactions": filter_trie.query,
+        "op12_packing": bin_slack.query,
+        "op13_conversation_repair": repair_trie.query,
     }
 
 
@@ -30,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_suffix_array_dedup": sparse_suffix.ORACLE,
         "op8_ngram_jaccard_join": jaccard_join.ORACLE,
         "op9_secret_scans": secret_ledger.ORACLE,
+        "op11_filter_interactions": filter_trie.ORACLE,
     }
