@@ -7,9 +7,11 @@ share. A bidirectional LSTM in numpy reads the page's whole sequence of blocks a
 so that every decision sees the whole document. The main blocks are joined in page order by an empty line.
 
 The network is trained in the driver on made-up pages of many layouts (TRAINING_PAGES of them, from a fixed seed, in
-double precision); no row of a table takes part. Null, empty and tagless inputs have defined results: no text, or the
-whole text as one block. Repeated rows each give a row; extra columns are ignored. Broken nesting and cut-off tags are
-tolerated: what can't stand in a head ends it, and an unclosed silent element ends with its parent.
+double precision); no row of a table takes part. Null and empty inputs give no text; in a page without block-level
+elements there is nothing to tell apart, so its whole text is the article. Repeated rows each give a row; extra columns
+are ignored. Broken nesting and cut-off tags are tolerated: what can't stand in a head ends it, and an unclosed silent
+element ends with its parent. Pages of more than WINDOW blocks are read window by window with the state carried on, so
+that what the network holds doesn't follow a page's length.
 """
 
 from __future__ import annotations
@@ -42,7 +44,9 @@ INPUTS = NAME_BUCKETS + PATH_BUCKETS + WORD_BUCKETS + SHAPE_BUCKETS
 HIDDEN, WORDS_WEIGH = 16, 4
 #: A word is a run of letters.
 WORD = re.compile(r"[^\W\d_]+")
-TRAINING_PAGES, EPOCHS, BATCH, SEED = 1200, 10, 24, 11
+TRAINING_PAGES, EPOCHS, BATCH, SEED = 1600, 10, 24, 11
+#: Blocks of a long page that the network reads at a time.
+WINDOW = 4096
 #: A feature takes part in training if so many made-up pages have it; input weights decay by DECAY of themselves a step.
 FEW, DECAY = 20, 3e-4
 
@@ -253,6 +257,25 @@ class Labeller:
                 tape.append((i, f, o, g, before, squashed))
         return states, tape
 
+    def chance_of_long(self, page: list[Block], taught: bytes | None = None, window: int = WINDOW) -> np.ndarray:
+        """The same as ``chance`` for one page, with features and inputs of a window at a time; states are carried on."""
+        n, h, z = len(page), HIDDEN, np.repeat(self.w["ob"], len(page))
+        for d, weights in (("f", self.w["o"][:h]), ("b", self.w["o"][h:])):
+            state = cell = np.zeros(h)
+            u = self.w[f"u{d}"]
+            for at in range(0, n, window):
+                places = np.arange(at, min(n, at + window))
+                places = places if d == "f" else n - 1 - places
+                _, flat, scale, _, starts, *_ = self._layout([features([page[i] for i in places], taught)])
+                states = np.empty((len(places), h))
+                for k, x in enumerate(self._inputs(d, flat, scale, starts)):
+                    q = x + state @ u
+                    gates = _sigmoid(q[: 3 * h])
+                    cell = gates[h : 2 * h] * cell + gates[:h] * np.tanh(q[3 * h :])
+                    state = states[k] = gates[2 * h :] * np.tanh(cell)
+                z[places] += states @ weights
+        return _sigmoid(z)
+
     def _inputs(self, d: str, flat: np.ndarray, scale: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.add.reduceat(self.w[f"e{d}"][flat] * scale, starts, axis=0) + self.w[f"c{d}"]
 
@@ -331,7 +354,7 @@ SIDE_NAMES = {
     "header": "header masthead topbar siteheader branding logo site top hero tagline".split(),
     "footer": "footer sitefooter bottom copyright legal colophon imprint credits".split(),
     "aside": "sidebar aside widget related recommended popular trending rail secondary teaser more links tags".split(),
-    "ad": "ad ads advert advertisement banner sponsored promo promotion sponsor adsense dfp commercial".split(),
+    "ad": "ad ads advert adverts advertisement banner sponsored promo promotion sponsor adsense dfp commercial".split(),
     "notice": "cookie consent notice alert gdpr popup modal overlay message warning newsletter subscribe paywall announcement privacy disclaimer".split(),
     "form": "form search login signup register subscribe contact newsletter field input".split(),
     "comment": "comments comment discussion replies reply responses disqus respond commentlist reader feedback thread".split(),
@@ -345,6 +368,7 @@ def made_up_page(r: random.Random) -> tuple[str, list[str]]:
     """(html, main blocks) of a page with a random layout."""
     syllables = ["".join(r.choice("bcdfghlmnprstvwz") + r.choice("aeiouéäö") for _ in range(r.randint(1, 2))) for _ in range(60)]
     main: list[str] = []
+    bare = r.random() < 0.08  # a page without classes and ids
     terse = r.choice([0.1, 0.1, 0.1, 0.3, 0.9])
 
     def word() -> str:
@@ -355,7 +379,7 @@ def made_up_page(r: random.Random) -> tuple[str, list[str]]:
         return (" ".join(words).capitalize() if r.random() < 0.8 else " ".join(words).upper()) + r.choice([".", ".", "!", "", "?"])
 
     def named(names: list[str], chance: float) -> str:
-        if r.random() > chance:
+        if bare or r.random() > chance:
             return ""
         name = r.choice(names)
         if r.random() < 0.3:
@@ -379,6 +403,8 @@ def made_up_page(r: random.Random) -> tuple[str, list[str]]:
     def side(kind: str) -> str:
         tag = r.choice(SIDE_TAGS[kind])
         plain = tag in ("nav", "header", "footer", "aside", "form")
+        if bare and not plain:  # without names, only elements that say what they are can be told apart
+            tag = next((t for t in SIDE_TAGS[kind] if t in ("nav", "header", "footer", "aside", "form")), "aside")
         attr = named(SIDE_NAMES[kind], 0.4 if plain else 1.0)
         text = lambda a, b: " ".join([r.choice(SIDE_WORDS)] * (r.random() < 0.3) + [sentence(a, b)])
         if kind in ("nav", "share") or kind in ("header", "footer", "aside") and r.random() < 0.5:
@@ -393,6 +419,8 @@ def made_up_page(r: random.Random) -> tuple[str, list[str]]:
             inner = ("" if item == "li" else r.choice(["", f"<h3>{text(1, 3)}</h3>"])) + inner
         else:
             inner = r.choice(["{}", "<p>{}</p>", "<h3>{}</h3><p>{}</p>", "<span>{}</span>", "<p>{}</p><p>{}</p>", "<div>{}</div>"])
+            if kind == "header" and r.random() < 0.3:  # the name of the site
+                inner = r.choice(["<h1>{}</h1>", "<h2>{}</h2>", "<h3>{}</h3>", "<h1><a href=/>{}</a></h1>"]).replace("{}", sentence(1, 3))
             while "{}" in inner:
                 inner = inner.replace("{}", text(2, 30), 1)
         return f"<{tag}{attr}>{inner}</{tag}>"
@@ -400,31 +428,50 @@ def made_up_page(r: random.Random) -> tuple[str, list[str]]:
     def article() -> str:
         tag = r.choice(["article", "article", "main", "div", "div", "section", "td"])
         attr = named(MAIN_NAMES, {"article": 0.3, "main": 0.3}.get(tag, 0.9))
-        parts = []
+        parts, outside = [], ""
         if r.random() < 0.8:
-            head = f"<h1>{keep(sentence(3, 10))}</h1>"
-            parts.append(f"<header>{head}</header>" if tag == "article" and r.random() < 0.1 else head)
+            level = r.choice(["h1", "h1", "h1", "h2"])
+            head = f"<{level}{named([f'{a}{b}' for a in ('', 'entry-', 'post-', 'article-', 'page-') for b in ('title', 'headline', 'heading')], 0.25)}>{keep(sentence(3, 10))}</{level}>"
+            if r.random() < 0.2 and tag != "td":  # the title stands before the box of the text
+                outside = r.choice(["{}", "{}", f"<header class={r.choice(['entry', 'post', 'article'])}-header>{{}}</header>", "<div>{}</div>"]).replace("{}", head) + (side(r.choice(["share", "ad"])) if r.random() < 0.3 else "")
+            else:
+                parts.append(f"<header>{head}</header>" if tag == "article" and r.random() < 0.1 else head)
         for _ in range(r.choice([1, 2, 3, 4, 5, 6, 9, 14, 30])):
             kind = r.random()
-            if kind < 0.75:
+            if kind < 0.68:
                 parts.append(f"<p>{inline(keep(paragraph()))}" + r.choice(["</p>", "</p>", "<br>", ""]))
-            elif kind < 0.85:
-                parts.append(f"<h2>{keep(sentence(2, 7))}</h2>")
-            elif kind < 0.92:
+            elif kind < 0.78:
+                level = r.choice(["h2", "h2", "h3", "h4", "h5", "h6"])
+                parts.append(f"<{level}>{keep(sentence(2, 7))}</{level}>")
+            elif kind < 0.84:
+                parts.append(f"<pre>{keep(chr(10).join(sentence(1, 9) for _ in range(r.randint(1, 6))))}</pre>")
+            elif kind < 0.87:
+                parts.append("<dl>" + "".join(f"<dt>{keep(sentence(1, 4))}</dt><dd>{keep(sentence(2, 12))}</dd>" for _ in range(r.randint(1, 4))) + "</dl>")
+            elif kind < 0.89:
+                parts.append(f"<figure><img src=x.png alt=x><figcaption>{keep(sentence(2, 12))}</figcaption></figure>")
+            elif kind < 0.94:
                 tag2 = r.choice(["ul", "ol"])
                 parts.append(f"<{tag2}>" + "".join(f"<li>{inline(keep(sentence(2, 12)))}</li>" for _ in range(r.randint(2, 5))) + f"</{tag2}>")
-            elif kind < 0.97:
+            elif kind < 0.975:
                 parts.append(f"<blockquote>{keep(paragraph())}</blockquote>")
             else:
                 parts.append(f"<table><tr><td>{keep(sentence(1, 5))}</td><td>{keep(sentence(1, 5))}</td></tr></table>")
-            if r.random() < 0.08:
+            if r.random() < 0.13:
                 parts.append(side(r.choice(["ad", "aside", "share", "notice", "form"])))
         if r.random() < 0.15:
             parts.append(side(r.choice(["share", "aside", "comment", "form"])))
+        if r.random() < 0.1:  # links to share the text, right below its title
+            parts.insert(min(1, len(parts)), side("share"))
         inner = "".join(parts)
         if tag == "td":
-            return f"<table><tr><td{attr}>{inner}</td></tr></table>"
-        return inner if r.random() < 0.08 else f"<{tag}{attr}>{inner}</{tag}>"
+            cells = [f"<td{attr}>{inner}</td>"]
+            for place in (0, 1):  # columns beside the text
+                if r.random() < 0.4:
+                    kind = r.choice(["nav", "ad", "aside", "form"])
+                    extra = r.choice([side(kind), "Sponsored: " + sentence(4, 12), "Advertisement " + sentence(2, 8)]) if kind == "ad" else side(kind)
+                    cells.insert(place * len(cells), f"<td{named(SIDE_NAMES[kind], 0.4)}>{extra}</td>")
+            return f"<table><tr>{''.join(cells)}</tr></table>"
+        return outside + (inner if r.random() < 0.08 else f"<{tag}{attr}>{inner}</{tag}>")
 
     before = [side(k) for k, c in (("notice", 0.25), ("header", 0.45), ("nav", 0.8), ("form", 0.15), ("ad", 0.4), ("aside", 0.15)) if r.random() < c]
     after = [side(k) for k, c in (("share", 0.2), ("comment", 0.45), ("aside", 0.45), ("ad", 0.2), ("form", 0.2), ("nav", 0.15), ("notice", 0.15), ("footer", 0.85)) if r.random() < c]
@@ -458,8 +505,13 @@ def trained() -> Labeller:
 def main_texts(pages: list[str | None], labeller: Labeller) -> list[str]:
     """The main text of each page."""
     parsed, taught = [blocks(p) for p in pages], labeller.taught()
-    some = sorted((i for i, p in enumerate(parsed) if p), key=lambda i: len(parsed[i]))
     out = [""] * len(pages)
+    for i, p in enumerate(parsed):
+        if p and not any(b.path for b in p):  # no block-level element: nothing to tell apart
+            out[i], parsed[i] = "\n\n".join(b.text for b in p), []
+        elif len(p) > WINDOW:
+            out[i], parsed[i] = "\n\n".join(b.text for b, c in zip(p, labeller.chance_of_long(p, taught), strict=True) if c >= 0.5), []
+    some = sorted((i for i, p in enumerate(parsed) if p), key=lambda i: len(parsed[i]))
     at = 0
     while at < len(some):
         # pages of like length together; a group's padded grid stays below some thousands of blocks

@@ -1,6 +1,7 @@
 """The trained operators: held-out accuracy, defined results for odd rows, and their parts against plain forms."""
 
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -338,3 +339,33 @@ def test_articles_of_the_table(spark):
         hit += r.text == want
         total += 1
     assert hit / total > 0.93
+
+
+def test_articles_of_pages_written_by_hand():
+    from tests.llm.article_pages import PAGES, article
+
+    assert html_blocks.main_texts([p for p, _ in PAGES], html_blocks.trained()) == [article(a) for _, a in PAGES]
+
+
+def test_long_pages_are_read_in_windows(monkeypatch):
+    r, model = random.Random(8), html_blocks.Labeller(4)
+    for k in model.w:
+        model.w[k] = np.random.default_rng(1).standard_normal(model.w[k].shape) * 0.3
+    page = html_blocks.blocks("".join(html_blocks.made_up_page(r)[0].split("<body>")[1] for _ in range(12)))
+    assert len(page) > 100
+    whole = model.chance([html_blocks.features(page, model.taught())])[0]
+    for window in (7, 64, 10_000):
+        assert np.allclose(model.chance_of_long(page, model.taught(), window), whole, atol=1e-9)
+    html = "<article>" + "<p>One more line of the story.</p>" * 300 + "</article><footer>Imprint</footer>"
+    short = html_blocks.main_texts([html], model)
+    monkeypatch.setattr(html_blocks, "WINDOW", 50)
+    assert html_blocks.main_texts([html], model) == short
+
+
+def test_letters_of_all_planes_have_trigrams():
+    far = "".join(chr(c) for c in range(0x10000, 0x110000, 7) if chr(c).isalpha() and c >= 0x32000)
+    assert len(far) > 50
+    doc, _, count = language_mixture.trigrams([f" {far} "])
+    assert len(doc) and count.sum() >= len(far) - 2
+    upper, lower = (language_mixture.trigrams([f" {x} "]) for x in ("\U00010400\U00010401\U00010402", "\U00010428\U00010429\U0001042a"))
+    assert all(np.array_equal(a, b) for a, b in zip(upper, lower, strict=True))
