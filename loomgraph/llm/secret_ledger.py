@@ -52,26 +52,58 @@ RULE_VERSION = "1"
 _SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 
+#: Elements that running values are formed over at a time, so that their cost grows with the list and not with its square.
+STRIDE = 256
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(values: Column) -> Column:
+    """A list in consecutive pieces of STRIDE elements; no piece of an empty list."""
+    starts = lambda v: F.filter(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(STRIDE)), lambda i: i < F.size(v))
+    return _let(values, lambda v: F.transform(starts(v), lambda i: F.slice(v, i + 1, STRIDE)))
+
+
+def _before(values: Column, start: Column, combine) -> Column:
+    """For each of some bigints what those before it combine to, from ``start``; then what all do."""
+    none = F.array().cast("array<bigint>")
+    folded = F.aggregate(values, F.struct(start.alias("now"), none.alias("out")), lambda acc, x: F.struct(combine(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")))
+    return _let(folded, lambda x: F.concat(x["out"], F.array(x["now"])))
+
+
+def _running(values: Column, combine) -> Column:
+    """``_before`` from 0 for long lists: over the pieces first, then inside of each; ``combine`` is associative, with 0 neutral."""
+    zero = F.lit(0).cast("bigint")
+
+    def inner(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, combine))
+        starts = _before(totals, zero, combine)
+        within = lambda s: F.flatten(F.transform(blocks, lambda b, i: F.slice(_before(b, F.get(s, i), combine), 1, F.size(b))))
+        return _let(starts, lambda s: F.concat(within(s), F.slice(s, -1, 1)))
+
+    return _let(_blocks(values), inner)
+
+
 def _spans(text: Column, rank: int, rule: SecretRule) -> Column:
     """Spans of one rule: pieces between matches and the matches themselves give the offsets in code points."""
     pattern = F.lit(rule.pattern)
+    lengths = lambda parts: F.transform(parts, lambda x: F.char_length(x).cast("bigint"))
     step = F.arrays_zip(
-        F.transform(F.split(text, rule.pattern, -1), lambda x: F.char_length(x)).alias("gap"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.char_length(x)).alias("size"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.char_length(x)).alias("core"),
-    )
-    found = F.aggregate(
-        F.filter(step, lambda x: x["size"].isNotNull()),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).cast("bigint").alias("at"),
-            F.when(
-                x["core"] >= rule.least,
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).cast("bigint").alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (acc["at"] + x["gap"] + x["size"]).cast("bigint").alias("end")))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
+        lengths(F.split(text, rule.pattern, -1)).alias("gap"),
+        lengths(F.regexp_extract_all(text, pattern, F.lit(0))).alias("size"),
+        lengths(F.regexp_extract_all(text, pattern, F.lit(rule.group))).alias("core"),
     )
+
+    def placed(step: Column) -> Column:
+        at = _running(F.transform(step, lambda x: x["gap"] + x["size"]), lambda a, b: a + b)
+        every = lambda at: F.transform(step, lambda x, i: F.struct((F.get(at, i) + x["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (F.get(at, i) + x["gap"] + x["size"]).alias("end"), x["core"].alias("core")))
+        kept = F.filter(_let(at, every), lambda x: x["core"] >= rule.least)
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"))).cast(_SPAN)
+
+    found = _let(F.filter(step, lambda x: x["size"].isNotNull()), placed)
     return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(_SPAN))
 
 
@@ -122,15 +154,28 @@ def summarise(found: DataFrame) -> DataFrame:
 
 
 def redact(documents: DataFrame, spans: str = "spans") -> DataFrame:
-    """``documents`` with each span of the text replaced by its kind in brackets; overlapping spans become one mark."""
+    """``documents`` with each span of the text replaced by its kind in brackets; overlapping spans become one mark.
+
+    A span that begins before the end of an earlier one only makes its mark longer. Texts are cut into stretches of
+    STRIDE marks and these into pieces, so that no piece is looked for from the start of a long text.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = F.aggregate(
-        F.col(spans),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))),
-    )
-    return documents.withColumn("text", F.when(F.size(spans) > 0, cut).otherwise(F.col("text")))
+    part = lambda t, a, b: F.substring(t, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def cut(reach: Column) -> Column:
+        """reach: the furthest end before each span, then of all."""
+        marks = F.filter(F.transform(F.col(spans), lambda s, i: F.struct(F.get(reach, i).alias("after"), s["start"].alias("start"), s["kind"].alias("kind"))), lambda m: m["start"] >= m["after"])
+
+        def stretch(block: Column) -> Column:
+            first, last = F.get(block, F.lit(0))["after"], F.element_at(block, -1)["start"]
+            pieces = lambda t: F.transform(block, lambda m: F.concat(part(t, m["after"] - first, m["start"] - first), F.lit("["), m["kind"], F.lit("]")))
+            return F.array_join(_let(part(text, first, last), pieces), "")
+
+        end = F.element_at(reach, -1)
+        return F.concat(F.array_join(F.transform(_blocks(marks), stretch), ""), part(text, end, F.char_length(text).cast("bigint")))
+
+    reach = _running(F.transform(F.col(spans), lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    return documents.withColumn("text", F.when(F.size(spans) > 0, _let(reach, cut)).otherwise(F.col("text")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

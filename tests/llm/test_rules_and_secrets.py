@@ -103,3 +103,32 @@ def test_redaction_merges_overlaps(spark):
     docs = spark.createDataFrame([(1, "é token=" + "0123456789abcdef" * 2 + " end"), (2, "clean"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secret_ledger.redact(secret_ledger.report(docs, secret_ledger.update_ledger(docs))).collect()}
     assert got == {1: "é [assign] end", 2: "clean", 3: None}
+
+
+def marked(text, spans):
+    """The text with its spans replaced, one by one."""
+    out, at = "", 0
+    for start, kind, end in spans:
+        if start >= at:
+            out += text[at:start] + f"[{kind}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_texts_of_very_many_secrets(spark):
+    many = "é ".join(f"password=abcd{i:06d} token=x " + ("0123456789abcdef" * 2 if i % 3 == 0 else "AKIA" + "B" * 14 if i % 3 == 1 else "secret=" + "ab12" * 9) for i in range(3000))
+    texts = [many, "x" * 300 + many[:40_000], "no secrets " * 50_000, "token=" + "a1" * 30, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ledger = secret_ledger.update_ledger(docs)
+    found = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secret_ledger.report(docs, ledger).collect()}
+    assert [(s, k, e) for s, k, e in found[0] if k in KINDS] == [(s, k, e) for s, _, k, e in base(many)] and len(found[0]) > 6000
+    cut = {r.doc_id: r.text for r in secret_ledger.redact(secret_ledger.report(docs, ledger)).collect()}
+    for i, text in enumerate(texts):
+        assert cut[i] == (text if not found[i] else marked(text, found[i]))
+
+
+def test_running_values(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        row = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(max(n, 1))), lambda x: x.cast("bigint")).alias("v")).select(F.slice("v", 1, n).alias("v"))
+        got = row.select(secret_ledger._running(F.col("v"), lambda a, b: a + b)).first()[0]
+        assert got == [i * (i + 1) // 2 for i in range(n + 1)]
