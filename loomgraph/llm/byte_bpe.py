@@ -105,7 +105,7 @@ class Encoder:
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
         self.held = 0
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "temp_directory": ""})
         rank = self.rank
         merges = {k: array("i") for k in "lrm"}
         for word, i in rank.items():

@@ -34,19 +34,16 @@ UNDETERMINED = "und"
 #: Code points handled at a time, so that memory doesn't follow the batch size.
 GROUP = 500_000
 
-#: Code point -> lower-case letter, or 0 for all that isn't a letter. Beyond the basic plane a letter is itself.
+#: Code point -> lower-case letter, or 0 for all that isn't a letter.
 _FOLD = np.zeros(0x110000, np.uint32)
 
 
 def _fold() -> np.ndarray:
     if not _FOLD[97]:
-        for c in range(0x10000):
+        for c in range(0x110000):
             if chr(c).isalpha():
                 low = chr(c).lower()
                 _FOLD[c] = ord(low) if len(low) == 1 else c
-        for c in range(0x10000, 0x32000):
-            if chr(c).isalpha():
-                _FOLD[c] = c
     return _FOLD
 
 
