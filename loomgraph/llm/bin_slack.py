@@ -18,6 +18,7 @@ ids are packed like others; other columns are ignored; an empty table gives no p
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,16 +36,18 @@ CAPACITY = 2048
 END = 1
 #: Tokens that a task's pool holds before windows are taken from it, down to half of them.
 POOL = 1 << 19
-#: Words that a worker remembers, in each of two generations.
-REMEMBERED = 400_000
+#: Words that a worker remembers, in each of two generations; half as many pieces of words.
+REMEMBERED = 700_000
 #: Characters handled together.
 GROUP_CHARS = 1 << 20
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Letters that normalisation leaves alone but for their case, which Python folds as the tokenizer does: Latin-1.
-_PLAIN = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
-#: The tokenizer's own pattern of pieces. Fixed value.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-_WORDS = regex.compile(r"[^\x20\x09-\x0D]+").findall
+_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
+#: The tokenizer's own pattern of pieces, its classes written out for these letters in lower case. Fixed value.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+").findall
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
+#: Separators for Python's split that are no white space for the tokenizer.
+_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class Encoder(dict):
@@ -83,44 +85,46 @@ class Encoder(dict):
 
     def learn(self, words: list[str]) -> None:
         """Remember the ids of new words."""
-        plain, rest = [], []
+        plain, cut, known = [], [], self.known
         for w in words:
-            (plain if _PLAIN(w) else rest).append(w)
-        cut = [_PIECES(w.lower()) for w in plain]
+            if not _PLAIN(w):
+                self[w] = array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
+                continue
+            low = w.lower()
+            plain.append(w)
+            cut.append([low] if low.isalpha() else [low[:-1], low[-1]] if low[-1] in ".,;:!?" and low[:-1].isalpha() else _PIECES(low))
         new = [p for p in set().union(*cut) if self._piece(p) is None]
-        for at in range(0, len(new), 500):
-            some = new[at : at + 500]
-            ids = np.array(self.pieces.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            ids = np.array(self.pieces.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
                 raise ValueError("the tokenizer did not end every piece")
             raw, last = ids.tobytes(), 0
             for p, stop in zip(some, (4 * stops).tolist(), strict=True):
-                self.known[p] = raw[last:stop]
+                known[p] = raw[last:stop]
                 last = stop
-        known = self.known
         for w, pieces in zip(plain, cut, strict=True):
-            self[w] = b"".join([known[p] for p in pieces])
-        for w in rest:
-            self[w] = array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
+            self[w] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of every text."""
+        """The ids of every text; each word is looked up once, and the missing ones of all texts are learned together."""
         if len(self) > REMEMBERED:
             self.older = dict(self)
             self.clear()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED // 2:
             self.known, self.known_older = {}, self.known
-        found, new = [_WORDS(t) for t in texts], set()
-        for words in found:
-            new.update([w for w in words if w not in self])
-        older = self.older
-        back = [w for w in new if w in older]
-        self.update((w, older[w]) for w in back)
+        split = [_WORDS(t) if any(c in t for c in _CONTROLS) else t.split() for t in texts]
+        found = [list(map(self.get, words)) for words in split]
+        missing = [[k for k, ids in enumerate(x) if ids is None] if None in x else () for x in found]
+        new = {words[k] for words, at in zip(split, missing, strict=True) for k in at}
+        back = [w for w in new if w in self.older]
+        self.update((w, self.older[w]) for w in back)
         self.learn(list(new.difference(back)))
-        get = self.__getitem__
-        for words in found:
-            yield b"".join(map(get, words))
+        for words, ids, at in zip(split, found, missing, strict=True):
+            for k in at:
+                ids[k] = self[words[k]]
+            yield b"".join(ids)
 
 
 _ENCODERS: dict[str, Encoder] = KEPT.setdefault("bin_slack", {})
