@@ -39,8 +39,8 @@ def measure(documents: DataFrame) -> DataFrame:
     """doc_id, part, the measures of the whole text and ``first``, the least doc_id of an equal text (null without copies).
 
     Texts are read once and not shuffled: copies are found by the SHA-256 of the text. A hash that many rows share is
-    combined before the shuffle for its least doc_id; the join back is one of two plain exchanges, which adaptive
-    execution splits.
+    combined before the shuffle for its least doc_id. Those hashes are written, so that the join back is one of two plain
+    exchanges, which adaptive execution splits.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
@@ -55,7 +55,7 @@ def measure(documents: DataFrame) -> DataFrame:
         F.unhex(F.sha2(text, 256)).alias("key"),
     )
     measured = materialise(rows.select("doc_id", "part", "counted.*", "n_capitals", "n_points", "marked", "key"), "measured")
-    copied = measured.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
+    copied = materialise(measured.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"), "copied")
     return measured.join(copied, "key", "left").drop("key")
 
 
