@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loomgraph import config
 from loomgraph.functions.columns import contains_any, occurrences
+from loomgraph.operators import patterns
+from loomgraph.tables import materialise
 
 
 def recall_at_k(golden: DataFrame, gold: DataFrame, recalled: DataFrame) -> DataFrame:
@@ -22,9 +24,9 @@ def recall_at_k(golden: DataFrame, gold: DataFrame, recalled: DataFrame) -> Data
 
 def gold(episodes: DataFrame, queries: Sequence[tuple[int, str]], cap: int = 60) -> DataFrame:
     """(id, uuid): up to ``cap`` episodes by uuid whose content holds each of a stated set of texts in any case; one pass over the contents."""
-    wanted = F.array(*(F.struct(F.lit(i).cast("bigint").alias("id"), F.lit(t.lower()).alias("text")) for i, t in queries))
-    low = F.lower(F.coalesce("content", F.lit("")))
-    hits = episodes.select("uuid", F.explode(F.filter(wanted, lambda w: low.contains(w["text"]))).alias("q")).select("q.id", "uuid")
+    asked = episodes.sparkSession.createDataFrame([(i, t.lower()) for i, t in queries], "id bigint, pattern string")
+    low = episodes.select("uuid", F.lower(F.coalesce("content", F.lit(""))).alias("low"))
+    hits = patterns.occurring(low, ["uuid"], "low", asked).join(F.broadcast(asked), "pattern").select("id", "uuid")
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("uuid"))).where(F.col("place") <= cap).drop("place")
 
 
@@ -72,23 +74,26 @@ def terms(text: Column, generic: Sequence[str] = ()) -> Column:
 
 
 def capsule_terms(capsules: DataFrame, generic: Sequence[str] = ()) -> DataFrame:
-    """(capsule, terms, own): the terms of each capsule and those that no other one has. capsules: capsule (unique), content."""
-    rows = capsules.select("capsule", F.explode_outer(terms(F.col("content"), generic)).alias("term"))
-    alone = rows.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    marked = rows.join(alone, "term", "left")
-    return marked.groupBy("capsule").agg(F.collect_list("term").alias("terms"), F.collect_list(F.when(F.col("df") == 1, F.col("term"))).alias("own"))
+    """(capsule, term, own): the terms of each capsule, and whether no other one has the term. capsules: capsule (unique), content."""
+    rows = capsules.select("capsule", F.explode(terms(F.col("content"), generic)).alias("term"))
+    # Written first, so that a frequent term's rows meet its count in a join of two plain exchanges.
+    counts = materialise(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+    return rows.join(counts, "term").select("capsule", "term", (F.col("df") == 1).alias("own"))
 
 
 def attributed(pairs: DataFrame, capsules: DataFrame, sessions: DataFrame, least_shared: int = 2, generic: Sequence[str] = ()) -> DataFrame:
     """The distinct (capsule, session) pairs whose session text holds one of the capsule's own terms or enough of all.
 
-    Texts are compared in lower case. Pairs of unknown capsules or sessions are not attributed.
+    Texts are compared in lower case; a session has one text. Each session of a pair is read once, by an automaton over
+    all terms of the pairs' capsules; the terms it holds then meet those of its pairs. Pairs of unknown capsules or
+    sessions are not attributed.
     """
-    known = capsule_terms(capsules, generic)
     rows = pairs.where("capsule is not null and session is not null").select("capsule", "session").distinct()
-    rows = rows.join(known, "capsule").join(sessions.select("session", F.lower("text").alias("low")), "session")
-    held = lambda c: F.size(F.filter(c, lambda t: F.col("low").contains(t)))
-    return rows.where((held("own") >= 1) | (held("terms") >= least_shared)).select("capsule", "session")
+    known = materialise(capsule_terms(capsules, generic).join(rows.select("capsule").distinct(), "capsule", "left_semi"), "capsule_terms")
+    low = sessions.join(rows.select("session").distinct(), "session", "left_semi").select("session", F.lower("text").alias("low"))
+    held = patterns.occurring(low, ["session"], "low", known.select(F.col("term").alias("pattern"))).select("session", F.col("pattern").alias("term"))
+    shared = rows.join(known, "capsule").join(held, ["session", "term"]).groupBy("capsule", "session")
+    return shared.agg(F.count_if("own").alias("own"), F.count(F.lit(1)).alias("n")).where((F.col("own") >= 1) | (F.col("n") >= least_shared)).select("capsule", "session")
 
 
 def engagement(capsules: DataFrame, matches: DataFrame, sessions: DataFrame, least_shared: int = 2) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from loomgraph import config
 from loomgraph.functions.columns import blank, clamped, days_between, declared, escaped
-from loomgraph.operators import ranking
+from loomgraph.operators import patterns, ranking
+from loomgraph.operators.fulltext import FullText, tokens
 from loomgraph.tables import materialise
 
 
@@ -51,8 +52,7 @@ def batch_vector_top(facts: DataFrame, queries: Sequence[tuple[int, Sequence[flo
             with np.errstate(invalid="ignore", divide="ignore"):
                 sim = np.round((x @ q.T) / (norm[:, None] * length), 6)
             edge = rows.column("edge_id").to_numpy(zero_copy_only=False)
-            picked = [(j, i) for j in range(len(ids)) for i in np.lexsort((edge, np.where(np.isnan(sim[:, j]), np.inf, -sim[:, j])))[:k]]
-            j, i = np.array(picked).T
+            i, j = top_of_block(sim, edge, k)
             value = sim[i, j]
             part = pa.table({"id": ids[j], "edge_id": edge[i], "fact": rows.column("fact").take(pa.array(i)), "similarity": pa.array(value, mask=np.isnan(value))})
             best = part if best is None else pa.concat_tables([best, part])
@@ -66,6 +66,20 @@ def batch_vector_top(facts: DataFrame, queries: Sequence[tuple[int, Sequence[flo
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def top_of_block(sim: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest values of each column; ties take the lesser key, missing values come last."""
+    value = np.where(np.isnan(sim), -np.inf, sim)
+    if len(sim) > k:
+        i, j = np.nonzero(value >= np.partition(value, len(sim) - k, axis=0)[len(sim) - k])
+    else:
+        i, j = (x.ravel() for x in np.indices(sim.shape))
+    order = np.lexsort((keys[i], -value[i, j], j))
+    i, j = i[order], j[order]
+    start = np.flatnonzero(np.diff(j, prepend=-1))
+    kept = np.arange(len(j)) - np.repeat(start, np.diff(np.append(start, len(j)))) < k
+    return i[kept], j[kept]
+
+
 def _best(rows: pa.Table, k: int) -> pa.Table:
     """The first k rows of each id by similarity."""
     rows = rows.sort_by([("id", "ascending"), ("similarity", "descending"), ("edge_id", "ascending")])
@@ -77,10 +91,9 @@ def _best(rows: pa.Table, k: int) -> pa.Table:
 
 def batch_substring_top(facts: DataFrame, queries: Sequence[tuple[int, str]], k: int) -> DataFrame:
     """(id, fact): up to k facts by their order that contain each of a stated set of texts in any case; one pass over the facts."""
-    wanted = F.array(*(F.struct(F.lit(i).cast("bigint").alias("id"), F.lit(t.lower()).alias("text")) for i, t in queries))
-    low = F.lower("fact")
-    hits = facts.select("fact").distinct().withColumn("q", F.explode(F.filter(wanted, lambda w: low.contains(w["text"])))).select("q.id", "fact")
-    return hits.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("fact"))).where(F.col("place") <= k).drop("place")
+    asked = facts.sparkSession.createDataFrame([(i, t.lower()) for i, t in queries], "id bigint, pattern string")
+    hits = patterns.occurring(facts.select("fact").distinct().withColumn("low", F.lower("fact")), ["fact"], "low", asked).join(F.broadcast(asked), "pattern")
+    return hits.select("id", "fact").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("fact"))).where(F.col("place") <= k).drop("place")
 
 
 def semantic_leg(facts: DataFrame, query: Sequence[float], pool: int) -> DataFrame:
@@ -145,10 +158,6 @@ def hybrid(facts: DataFrame, episodes: DataFrame, query: Sequence[float], text:
     return rows.withColumn("score", search_score(now)).orderBy(F.desc("score"), "fact").limit(k)
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
-
-
 def bm25(episodes: DataFrame, words: Sequence[str], k: int) -> DataFrame:
     """Live episodes by BM25 over the query's words: only rows with one of them are scored, sizes come from one aggregate.
 
@@ -175,9 +184,17 @@ def _equals(word: str):
     return lambda t: t == word
 
 
-def matching(episodes: DataFrame, text: str, k: int) -> DataFrame:
-    """uuid, name and score by full text; where it finds nothing, a substring (of this case) of name or content with score 0."""
-    found = bm25(episodes, [w for w in text.lower().split() if w], k)
+def matching(episodes: DataFrame, text: str, k: int, index: FullText | None = None) -> DataFrame:
+    """uuid, name and score by full text; where it finds nothing, a substring (of this case) of name or content with score 0.
+
+    With an index of these episodes only its postings of the words are read; else all texts are split.
+    """
+    words = [w for w in text.lower().split() if w]
+    if index is None:
+        found = bm25(episodes, words, k)
+    else:
+        found = materialise(index.bm25(words, k), "found")
+        found = episodes.select("uuid", "name").join(F.broadcast(found), "uuid").select("uuid", "name", "score")  # k rows
     plain = episodes.where(~F.coalesce("archived", F.lit(False)) & (blank("content").contains(text) | blank("name").contains(text))).select("uuid", "name", F.lit(0.0).alias("score")).orderBy("uuid").limit(k)
     none = found.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
     return found.unionByName(plain.join(F.broadcast(none), how="cross").drop("n"))
@@ -187,19 +204,19 @@ def _typed(episodes: DataFrame) -> Column:
     return F.coalesce(declared("source_description", "type"), F.lit("?")).alias("type")
 
 
-def episode_search(episodes: DataFrame, text: str, k: int = 5, tiered: bool = False) -> DataFrame:
+def episode_search(episodes: DataFrame, text: str, k: int = 5, tiered: bool = False, index: FullText | None = None) -> DataFrame:
     """The k (1 to 15) best episodes for a text with a preview of 600 characters; a larger pool is re-ranked by type if ``tiered``."""
     k = clamped(k, 1, 15, 5)
-    found = matching(episodes, text, min(3 * k, 45) if tiered else k)
+    found = matching(episodes, text, min(3 * k, 45) if tiered else k, index)
     rows = episodes.select("uuid", _typed(episodes), F.substring(blank("content"), 1, 600).alias("preview")).join(F.broadcast(found), "uuid")
     ranked = ranking.tier_rerank(rows.withColumn("query_id", F.lit(0)).withColumn("label", F.col("name")).withColumn("name", F.col("uuid")), k, enabled=tiered)
     return ranked.select("uuid", F.col("label").alias("name"), "type", "score", "preview", "place")
 
 
-def browse(episodes: DataFrame, text: str | None, k: int = 30, recent: int = 25, created: str = "created_at") -> DataFrame:
+def browse(episodes: DataFrame, text: str | None, k: int = 30, recent: int = 25, created: str = "created_at", index: FullText | None = None) -> DataFrame:
     """What a reader browses: matches of a text, or without one the newest live episodes that aren't canonical; with badges and snippet."""
     if text:
-        found = matching(episodes, text, k).select("uuid", "score")
+        found = matching(episodes, text, k, index).select("uuid", "score")
         rows = episodes.join(F.broadcast(found), "uuid")
     else:
         rows = episodes.where(~F.coalesce("archived", F.lit(False)) & ~F.col("name").startswith(config.CANONICAL_PREFIX)).orderBy(F.desc(created), "uuid").limit(recent).withColumn("score", F.lit(None).cast("double"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph import config
 from loomgraph.functions.columns import declared
 from loomgraph.operators import classify, graph, retrieval
+from loomgraph.plans.index_queries import episode_index
 from loomgraph.sources.fixtures import view, with_views
 
 NOW = "timestamp'2024-02-10 00:00:00'"
@@ -53,10 +54,10 @@ QUERIES = {
     "hybrid_search": hybrid,
     "facet_search": lambda s, d: hybrid(s, d, {"durabilities": "evergreen", "kinds": "项目事实"}),
     "retired_facts": lambda s, d: retrieval.backed(facts(s, d).select("fact").distinct(), facts(s, d), episodes(s, d)).groupBy("external", "stale", "verified").agg(F.count(F.lit(1)).alias("n"), F.sum("usage").cast("bigint").alias("usage")),
-    "fulltext_bm25": lambda s, d: retrieval.bm25(view(s, d, "f_episodes"), ["the", "of", "que"], 25).select("uuid", "score"),
-    "episode_search": lambda s, d: retrieval.episode_search(view(s, d, "f_episodes"), "the que", 8, tiered=True),
-    "episode_search_fallback": lambda s, d: retrieval.episode_search(view(s, d, "f_episodes"), "capsule-1", 15),
-    "browse_text": lambda s, d: retrieval.browse(view(s, d, "f_episodes"), "der"),
+    "fulltext_bm25": lambda s, d: episode_index(s, d).bm25(["the", "of", "que"], 25),
+    "episode_search": lambda s, d: retrieval.episode_search(view(s, d, "f_episodes"), "the que", 8, tiered=True, index=episode_index(s, d)),
+    "episode_search_fallback": lambda s, d: retrieval.episode_search(view(s, d, "f_episodes"), "capsule-1", 15, index=episode_index(s, d)),
+    "browse_text": lambda s, d: retrieval.browse(view(s, d, "f_episodes"), "der", index=episode_index(s, d)),
     "browse_recent": lambda s, d: retrieval.browse(view(s, d, "f_episodes"), None, created="n").drop("score"),
     "context_fill": lambda s, d: context_fill(s, d),
     "context_full": lambda s, d: retrieval.context(view(s, d, "f_episodes").withColumn("scope", F.lit("global")), "the", 3),

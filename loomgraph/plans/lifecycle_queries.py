@@ -161,7 +161,7 @@ def backfilled(s: SparkSession, d: str) -> DataFrame:
 
 def answers(s: SparkSession, d: str) -> DataFrame:
     """Answers of a model: prose, a fence, and a JSON list of three observations of which some are unfit."""
-    o = view(s, d, "f_observations").select("id", "type", F.substring("narrative", 1, 2000).alias("body"), F.col("project"))
+    o = view(s, d, "f_observations").select("id", "type", F.col("narrative").alias("body"), F.col("project"))
     item = lambda t, title, facts: F.struct(t.alias("type"), title.alias("title"), facts.alias("facts"), F.col("body").alias("narrative"), F.array("project", F.lit("b"), F.lit("c"), F.lit("d"), F.lit("e"), F.lit("f")).alias("concepts"))
     fact = F.concat(F.lit("fact "), F.col("id").cast("string"))
     none = F.array().cast("array<string>")
@@ -272,7 +272,7 @@ ORACLES = {
     "recent_packs": _E + " select uuid, substring(content, 1, 160) as snippet from f_episodes where visibility = 'internal-note' order by n desc, uuid limit 50",
     "recent_articles": with_views("f_articles") + " select linked_casepack, count(*) as n from f_articles where linked_casepack <> '' group by 1 order by 1 desc limit 50",
     "predigest_backfill": _SOURCED + ", " + _ROUTE + ", r as (select name, max(case when n % 4 = 0 then -1 when n % 4 = 1 then 2 else 1 end) as made, max(case when n % 4 = 3 then 0 else 2 end) as planned from f_sourced group by 1), t as (select * from c where name like 'capsule-%' and not archived and n % 8 <> 0 order by n desc, uuid limit 60), z as (select t.*, case when route = 'catalog' then 'catalog' when route is null then 'short' when made = -1 then 'failed' when planned = 0 then 'empty' when made = planned then 'complete' else 'partial' end as state from t join r using (name)) select uuid, route, state, case when state in ('catalog', 'short', 'empty', 'complete') then true end as predigested, case when state = 'empty' then true end as predigest_empty, case when state = 'catalog' and (old_kind is null or old_kind = 'unclassified') then 'registry' else old_kind end as kind from z",
-    "observation_parse": _O + ", a as (select id, type, trim(substring(narrative, 1, 2000)) as body, project from f_observations where id % 5 <> 0), x as (select id, 1 as place, case when type = 'note' then 'discovery' else type end as type, 'title ' || id as title, 'fact ' || id || '/two' as facts, body, project from a union all select id, 2, 'change', trim(substring(repeat('long ', 20), 1, 60)) || '', '1/2/3/4/5/6', body, project from a where id % 2 = 0) select id, place, type, case when place = 2 then substring(trim(repeat('long ', 20)), 1, 60) else title end as title, facts, least(length(body), 600)::int as narrative_chars, project || '/b/c/d/e' as concepts from x",
+    "observation_parse": _O + ", a as (select id, type, trim(narrative) as body, project from f_observations where id % 5 <> 0), x as (select id, 1 as place, case when type = 'note' then 'discovery' else type end as type, 'title ' || id as title, 'fact ' || id || '/two' as facts, body, project from a union all select id, 2, 'change', trim(substring(repeat('long ', 20), 1, 60)) || '', '1/2/3/4/5/6', body, project from a where id % 2 = 0) select id, place, type, case when place = 2 then substring(trim(repeat('long ', 20)), 1, 60) else title end as title, facts, least(length(body), 600)::int as narrative_chars, project || '/b/c/d/e' as concepts from x",
     "observations_in_graph": _O + ", e as (" + _E + " select distinct regexp_extract(name, '^obs-(\\d+)', 1) as i from f_episodes) select id, type from f_observations where id::varchar in (select i from e where i <> '')",
     "observations_with_session": with_views("f_observations", "f_sessions") + " select platform_source, count(*) as n, max(created_at_epoch) as newest from f_observations join f_sessions using (memory_session_id) group by 1",
     "injection_text": _E + f", c as (select uuid, name, content, usage_count as uc, round(ln(1 + ((length(lower(content)) - length(replace(lower(content), 'the', ''))) // 3)), 6) as score from f_episodes where name like 'canonical%' and not archived), r as (select *, row_number() over (order by score desc, uc, name, uuid) as rn from c), x as (select * replace (3 as rn) from r where rn >= 3 order by uc, rn limit 1), p as (select * from r where rn < 3 union all select * from x), t as (select string_agg('### ' || name || chr(10) || {_EXCERPT}, chr(10) || chr(10) order by rn) as text from p) select case when length(text) > 1500 then rtrim(substring(text, 1, 1450)) || chr(10) || chr(10) || '[…]' else text end as text from t",

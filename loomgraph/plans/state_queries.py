@@ -93,7 +93,7 @@ def keyword_recall(s: SparkSession, d: str) -> DataFrame:
     b = s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("edge_id")).join(facts, "edge_id")
     asked = [(r.edge_id, r.embedding, r.fact) for r in b.orderBy("edge_id").collect()]  # a short list of questions
     questions = s.createDataFrame([(i, f.split(" ")[:2], 2) for i, _, f in asked], "id long, keywords array<string>, threshold int")
-    found = retrieval.batch_vector_top(facts.where("edge_id % 2 = 1"), [(i, v) for i, v, _ in asked], K)
+    found = retrieval.batch_vector_top(facts, [(i, v) for i, v, _ in asked], K)
     results = found.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("fact")), "\n").alias("text"))  # K facts a question
     return evaluate.keyword_gate(evaluate.keyword_recall(questions, results), 0.7)
 
@@ -263,7 +263,7 @@ ORACLES = {
     "work_window": "with h as (select (hour(ts) + 8) % 24 as h from events) select h >= 22 or h < 5 as night, h >= 1 and h < 8 as morning, count(*) as n from h group by 1, 2",
     "recall_at_k": with_views("f_golden", "f_search", "f_episodes") + _RECALL,
     "keyword_recall": with_views("f_search") + f""", q as (select item_id as id, string_split(fact, ' ')[1:2] as keywords, embedding as qe from benchmark join f_search on edge_id = item_id),
- n as (select id, fact, row_number() over (partition by id order by {_SIM} desc, edge_id) as place from q cross join (select * from f_search where edge_id % 2 = 1)),
+ n as (select id, fact, row_number() over (partition by id order by {_SIM} desc, edge_id) as place from q cross join f_search),
  t as (select id, lower(string_agg(fact, chr(10))) as text from n where place <= 10 group by 1),
  r as (select q.id, len(list_filter(keywords, lambda k: contains(coalesce(text, ''), lower(k)))) as matched from q left join t using (id)),
  o as (select id, matched, 2 as threshold, matched >= 2 as ok, null::double as recall from r)

@@ -36,7 +36,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -44,7 +45,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def forget(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def replace_state(state: DataFrame, root: str) -> None:
@@ -63,7 +64,7 @@ def replace_state(state: DataFrame, root: str) -> None:
     fs.delete(fs_path(f"{root}/pointer"), True)
     fs.rename(fs_path(f"{root}/next"), fs_path(f"{root}/pointer"))
     if old:
-        _delete(spark, f"{root}/{old}")
+        delete(spark, f"{root}/{old}")
 
 
 def _current(spark: SparkSession, root: str) -> str | None:
