@@ -143,6 +143,43 @@ def decide(observations: DataFrame, cfg: GateConfig = GateConfig(), quota: int |
     return out.withColumn("would_accept", would).withColumn("accept", F.lit(True) if cfg.shadow else F.col("would_accept"))
 
 
+#: What is kept of a quota between batches: rows so far and the day of the last one, by lane.
+LANES = "platform string, project string, type string, lane int, rows bigint, last int"
+_COUNTED = ("platform", "project", "type")
+
+
+def scheduled(rows: DataFrame, lanes: DataFrame | None = None, cfg: GateConfig = GateConfig(), quota: int | None = None) -> DataFrame:
+    """Rows with the day on which their quota lets them in: ``due`` is ``day`` or, while a day is full, a later one.
+
+    rows: id, platform, project, type, day (date). A quota of q a day is q lanes of one row a day each: the rows of a
+    key go through its lanes in turn, by day and id, and a row's day is the later of its own and the day after the one
+    before it in its lane. So what a key has deferred needs no list: a lane's number of rows and last day (``lanes``,
+    see LANES) say it all, and lanes of one hot key are worked in parallel. Null keys are the empty string; a quota of 0
+    is none. Adds lane and step.
+    """
+    slim = rows.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in _COUNTED})
+    limit = F.lit(quota) if quota is not None else looked_up(F.col("platform"), cfg.quotas, F.lit(cfg.default_quota))
+    slim = slim.withColumns({"_limit": limit.cast("bigint"), "_day": F.datediff("day", F.lit("1970-01-01").cast("date"))})
+    lanes = rows.sparkSession.createDataFrame([], LANES) if lanes is None else lanes
+    before = lanes.groupBy(*_COUNTED).agg(F.sum("rows").alias("_n"))
+    number = F.coalesce("_n", F.lit(0)) + F.row_number().over(Window.partitionBy(*_COUNTED).orderBy("day", "id")) - 1
+    free = F.col("_limit") <= 0
+    placed = slim.join(before, list(_COUNTED), "left").withColumn("_i", number)
+    placed = placed.withColumns({"lane": F.when(~free, F.col("_i") % F.col("_limit")).cast("int"), "step": F.when(~free, F.floor(F.col("_i") / F.col("_limit")))}).drop("_n")
+    held = lanes.select(*_COUNTED, "lane", F.col("rows").alias("_rows"), F.col("last").alias("_last"))
+    own = F.max(F.col("_day") - F.col("step")).over(Window.partitionBy(*_COUNTED, "lane").orderBy("_i"))
+    due = F.when(F.col("lane").isNull(), F.col("_day")).otherwise(F.greatest(own, F.col("_last") + 1 - F.col("_rows")) + F.col("step"))
+    out = placed.join(held, [*_COUNTED, "lane"], "left").withColumn("_due", due.cast("int"))
+    return out.withColumn("due", F.date_add(F.lit("1970-01-01").cast("date"), F.col("_due"))).drop("_i", "_limit", "_day", "_rows", "_last", "_due")
+
+
+def lanes_after(decided: DataFrame, lanes: DataFrame | None = None) -> DataFrame:
+    """The lanes after the rows of ``scheduled``."""
+    taken = decided.where("lane is not null").select(*_COUNTED, "lane", F.lit(1).cast("bigint").alias("rows"), F.datediff("due", F.lit("1970-01-01").cast("date")).alias("last"))
+    every = taken if lanes is None else taken.unionByName(lanes)
+    return every.groupBy(*_COUNTED, "lane").agg(F.sum("rows").alias("rows"), F.max("last").alias("last"))
+
+
 def type_bucket(t: Column) -> Column:
     """knowledge, operational, discovery, ``?`` without a type, or other."""
     return F.when(t.isNull() | (t == "?"), "?").when(t.isin(*KNOWLEDGE_TYPES), "knowledge").when(t.isin(*OPERATIONAL_TYPES), "operational").when(t.isin(*DISCOVERY_TYPES), "discovery").otherwise("other")

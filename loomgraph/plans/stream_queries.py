@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.config import GateConfig
-from loomgraph.plans.gate_queries import _DECIDED
+from loomgraph.plans.gate_queries import _DECIDED, _OPEN
 from loomgraph.sources.fixtures import view, with_views
 from loomgraph.streaming import jobs
 from loomgraph.tables import scratch
@@ -35,6 +35,21 @@ def stream_gate(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{out}/batch-*").select("id", "layer", "score", "would_accept")
 
 
+def stream_quotas(s: SparkSession, d: str) -> DataFrame:
+    """Daily quotas over a stream of three days, a file each: what a day's quota defers comes in on a later day.
+
+    Projects are taken together by the first four letters of their names, so that some are busy; one row a day is let in.
+    """
+    base = scratch(s, "stream")
+    rows = view(s, d, "f_observations").withColumns({"project": F.substring("project", 1, 4), "created_at_epoch": F.lit(1704067200000) + F.col("id") % 3 * 86_400_000})
+    for day in range(3):
+        rows.where(F.col("id") % 3 == day).coalesce(1).write.parquet(f"{base}/in/day-{day}")
+    stream = jobs.source(s, f"{base}/in", s.read.parquet(f"{base}/in/day-0").schema, 1)
+    jobs.run_quotas(stream, view(s, d, "f_sessions"), lambda decided, number: decided.write.mode("overwrite").parquet(f"{base}/out/batch-{number}"), base, quota=1).awaitTermination()
+    out = s.read.option("recursiveFileLookup", "true").parquet(f"{base}/out")
+    return out.select("id", "layer", F.date_format("day", "yyyy-MM-dd").alias("day"), F.datediff("due", "day").alias("waits"))
+
+
 def stream_alerts(s: SparkSession, d: str) -> DataFrame:
     base = scratch(s, "stream")
     view(s, d, "f_snapshots").select("host", "received_at", "pos", "overall").write.parquet(f"{base}/in")
@@ -44,6 +59,7 @@ def stream_alerts(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "stream_gate": stream_gate,
+    "stream_quotas": stream_quotas,
     "stream_alerts": stream_alerts,
     "tumbling_counts": lambda s, d: jobs.tumbling_counts(s.read.parquet(f"{d}/events.parquet")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total")),
     "sliding_counts": lambda s, d: jobs.sliding_counts(s.read.parquet(f"{d}/events.parquet"), "2 days", "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n"),
@@ -51,6 +67,13 @@ QUERIES = {
 }
 ORACLES = {
     "stream_gate": _DECIDED + "select id, layer, score, would_accept from v",
+    # One row a day: the i-th row of a key can't come before the day of any earlier one plus the rows between.
+    "stream_quotas": _OPEN.replace("source as project", "substring(source, 1, 4) as project").replace("1704067200000 + doc_id * 3600000 as created_at_epoch", "1704067200000 + (doc_id % 3) * 86400000 as created_at_epoch")
+    + """, z as (select id, platform, coalesce(project, '') as p, type, layer0, (id % 3)::int as day from q),
+ w as (select *, row_number() over (partition by platform, p, type order by day, id) - 1 as i from z where layer0 like '%?'),
+ u as (select id, layer0, day, (max(day - i) over (partition by platform, p, type order by i) + i - day)::int as waits from w
+  union all select id, layer0, day, case when layer0 in ('pass', 'override') then 0 end from z where layer0 not like '%?')
+select id, replace(layer0, '?', '') as layer, strftime(date '2024-01-01' + day, '%Y-%m-%d') as day, waits from u""",
     "stream_alerts": with_views("f_snapshots") + ", b as (select host, pos, received_at, overall = 'red' as bad, sum((overall <> 'red')::int) over (partition by host order by received_at, pos rows between unbounded preceding and current row) as island from f_snapshots), r as (select *, sum(bad::int) over (partition by host, island order by received_at, pos rows between unbounded preceding and current row) as run from b), l as (select *, lag(run, 1, 0) over (partition by host order by received_at, pos) as before from r) select host, pos, case when bad then 'fire' else 'clear' end as event from l where (bad and run = 2) or (not bad and before >= 2)",
     "tumbling_counts": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "sliding_counts": "select strftime(day, '%Y-%m-%d') as day, event_type, count(*) as n from (select event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - interval 1 day]) as day from events) group by 1, 2",

@@ -30,6 +30,8 @@ def gated(stream: DataFrame, sessions: DataFrame, delay: str = "7 days", cfg: Ga
 def run_gate(stream: DataFrame, sessions: DataFrame, accept: Callable[[DataFrame, int], None], checkpoint: str, terminal: Callable[[int], DataFrame | None], cfg: GateConfig = GateConfig()) -> StreamingQuery:
     """The gate as micro-batches: ids already terminal are left out, the rest is decided with quotas and handed over.
 
+    A row that a quota rejected isn't terminal: it is decided again when it comes again (``run_quotas`` gives such rows a day).
+
     ``terminal`` gives the decisions of the batches before a number (id, platform, project, type, layer), or None; what
     they admitted counts against the quotas. ``accept`` must replace what it has of the same number, so that a batch
     that is run again after a failure is written once.
@@ -38,12 +40,39 @@ def run_gate(stream: DataFrame, sessions: DataFrame, accept: Callable[[DataFrame
     def batch(rows: DataFrame, number: int) -> None:
         done = terminal(number)
         rows = rows.dropDuplicates(["id"])
-        fresh = rows if done is None else rows.join(done.select("id"), "id", "left_anti")
+        fresh = rows if done is None else rows.join(done.where("layer <> 'quota'").select("id"), "id", "left_anti")
         accept(gate.decide(gate.with_platform(fresh, sessions), cfg, before=done), number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_quotas(stream: DataFrame, sessions: DataFrame, accept: Callable[[DataFrame, int], None], root: str, delay: str = "7 days", cfg: GateConfig = GateConfig(), quota: int | None = None, offset_hours: int = 8) -> StreamingQuery:
+    """The gate with daily quotas as a stream: each observation once by id, with its layer, score, local day and day of admission.
+
+    A row above its day's quota is deferred to a named day (``due`` after ``day``), not rejected. A batch reads its own
+    rows and the lanes that the batch before has left (LANES, a folder a batch below ``root``), never earlier rows; ids
+    are remembered by the stream's state for ``delay``. ``accept`` must replace what it has of a batch's number, as a
+    batch may run again after a failure: it then finds the same lanes and gives the same days.
+    """
+    spark = stream.sparkSession
+    once = stream.withColumn("at", F.timestamp_millis("created_at_epoch")).withWatermark("at", delay).dropDuplicatesWithinWatermark(["id"])
+
+    def batch(rows: DataFrame, number: int) -> None:
+        before = spark.read.schema(gate.LANES).parquet(f"{root}/lanes/batch-{number - 1}") if number else None
+        local = F.to_date(F.timestamp_millis(F.col("created_at_epoch") + offset_hours * 3_600_000))
+        layered = gate.layers(gate.with_platform(rows, sessions), cfg).select("id", "platform", "project", "type", "layer", "score", local.alias("day"))
+        asking = gate.scheduled(layered.where(F.col("layer").endswith("?")), before, cfg, quota).withColumn("layer", F.rtrim(F.translate("layer", "?", "")))
+        rest = layered.where(~F.col("layer").endswith("?"))
+        decided = asking.unionByName(rest.withColumns({"due": F.when(F.col("layer").isin("pass", "override"), F.col("day")), "lane": F.lit(None).cast("int"), "step": F.lit(None).cast("bigint")}))
+        path = f"{root}/decided/batch-{number}"
+        decided.write.mode("overwrite").parquet(path)  # the lanes and the caller read what was decided, once
+        written = spark.read.schema(decided.schema).parquet(path)
+        gate.lanes_after(written, before).write.mode("overwrite").parquet(f"{root}/lanes/batch-{number}")
+        accept(written.drop("lane", "step"), number)
+
+    return once.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+
+
 def may_start(now: datetime, start: int, end: int, hottest: float | None = None, most: float = 60.0, offset_hours: int = 8) -> bool:
     """Whether a cycle may start: inside the local work window, which may wrap midnight, and no disk too hot.
 
