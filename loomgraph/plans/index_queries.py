@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import patterns
+from loomgraph.operators import merging, patterns
 from loomgraph.operators.fulltext import FullText
 from loomgraph.operators.vectors import VectorIndex
 from loomgraph.sources.fixtures import view, with_views
-from loomgraph.tables import scratch
+from loomgraph.tables import materialise, scratch
 
 #: The index of each session and folder of tables: it is written once and read by all searches.
 _WRITTEN: dict[tuple[str, str], FullText] = {}
@@ -58,9 +58,30 @@ def pattern_hits(s: SparkSession, d: str) -> DataFrame:
     return patterns.occurring(texts, ["doc_id"], "low", asked).groupBy("pattern").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first"))
 
 
-QUERIES = {"fulltext_update": fulltext_update, "vector_index": vector_index, "pattern_hits": pattern_hits}
+EPISODE = "uuid string, name string, archived boolean, usage_count bigint, retrieval_count bigint"
+
+
+def merge_updates(s: SparkSession, d: str) -> DataFrame:
+    """Episodes through usage bumps, archiving, deletes and new rows as deltas, read merged, then after compaction."""
+    e = view(s, d, "f_episodes").select("uuid", "name", "archived", "usage_count", "retrieval_count", "n")
+    t = merging.MergeTable(s, scratch(s, "episodes"), "uuid", EPISODE)
+    t.upsert(e)
+    merging.changed(t, e.where("n % 100 = 3"), {"usage_count": F.col("usage_count") + 5})
+    merging.changed(t, e.where("n % 60 = 3"), {"usage_count": F.col("usage_count") + 1, "archived": F.lit(True)})
+    t.delete(e.where("n % 150 = 4"))
+    t.upsert(e.where("n % 300 = 4").withColumn("name", F.lit("again")))
+    merged = materialise(t.read().withColumn("state", F.lit("deltas")), "merged")  # compaction deletes what it is read from
+    t.compact()
+    return merged.unionByName(t.read().withColumn("state", F.lit("compacted")))
+
+
+QUERIES = {"merge_updates": merge_updates, "fulltext_update": fulltext_update, "vector_index": vector_index, "pattern_hits": pattern_hits}
 
 ORACLES = {
+    "merge_updates": with_views("f_episodes") + """,
+ r as (select uuid, case when n % 300 = 4 then 'again' else name end as name, case when n % 60 = 3 then true else archived end as archived,
+ usage_count + case when n % 100 = 3 then 5 else 0 end + case when n % 60 = 3 then 1 else 0 end as usage_count, retrieval_count from f_episodes where n % 150 <> 4 or n % 300 = 4)
+select r.*, state from r, (values ('deltas'), ('compacted')) as s(state)""",
     "fulltext_update": with_views("f_episodes") + """,
  e as (select uuid, case when n % 100 = 3 then coalesce(content, '') || ' the freshly added que que' else content end as content, archived or (n % 50 = 4 and n % 100 <> 54) as archived from f_episodes),
  t as (select uuid, list_filter(string_split_regex(lower(coalesce(content, '')), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') as t from e where not archived),
