@@ -75,10 +75,10 @@ def terms(text: Column, generic: Sequence[str] = ()) -> Column:
 
 def capsule_terms(capsules: DataFrame, generic: Sequence[str] = ()) -> DataFrame:
     """(capsule, term, own): the terms of each capsule, and whether no other one has the term. capsules: capsule (unique), content."""
-    rows = capsules.select("capsule", F.explode(terms(F.col("content"), generic)).alias("term"))
-    # Written first, so that a frequent term's rows meet its count in a join of two plain exchanges.
-    counts = materialise(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
-    return rows.join(counts, "term").select("capsule", "term", (F.col("df") == 1).alias("own"))
+    # Written, so that texts are searched once and a frequent term's rows meet its count in a join of two plain exchanges.
+    rows = materialise(capsules.select("capsule", F.explode(terms(F.col("content"), generic)).alias("term")), "terms")
+    alone = materialise(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df = 1").select("term", F.lit(True).alias("own")), "own_terms")
+    return rows.join(alone, "term", "left").select("capsule", "term", F.coalesce("own", F.lit(False)).alias("own"))
 
 
 def attributed(pairs: DataFrame, capsules: DataFrame, sessions: DataFrame, least_shared: int = 2, generic: Sequence[str] = ()) -> DataFrame:
