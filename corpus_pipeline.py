@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import byte_bpe, jaccard_join, language_mixture, secret_ledger, soft_mixing
-from loomgraph.llm.common import held_out, materialise, table
+from loomgraph.llm.common import give_back, held_out, materialise, table
 
 #: Documents of which less is ordinary text of their languages, or that have no letters, are rejected.
 LEAST_LANGUAGE_SCORE = 0.25
@@ -21,6 +21,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of no determinable language. The model learns from the documents of known language outside the held-out fold."""
+    give_back()  # what the driver has freed of the stage before
     model = language_mixture.train(table(spark, sf_dir, "documents").where(~held_out()))
     kept = docs.select(*COLUMNS)
     scored = language_mixture.predict(kept, model, carry=COLUMNS)
@@ -29,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near duplicates, one of least doc_id (null ones last); rows without words all stay."""
+    give_back()  # what the driver has freed of the stage before
     kept, where = docs.select(*COLUMNS).withColumn("key", jaccard_join.text_key()), ["doc_id", "key"]
     first = materialise(jaccard_join.representatives(docs).select("doc_id", "key", "first", "n_rows"), "representatives")
 
@@ -45,6 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts by its kind in brackets; all documents stay."""
+    give_back()  # what the driver has freed of the stage before
     ledger = materialise(secret_ledger.update_ledger(docs), "ledger")
     clean = secret_ledger.redact(secret_ledger.report(docs.select(*COLUMNS), ledger))
     return clean.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
@@ -52,12 +55,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its mixing rate says, so that the rows have the target weights; rate 0 leaves it out."""
+    give_back()  # what the driver has freed of the stage before
     mixed = soft_mixing.mix(docs, table(spark, sf_dir, "labels"), carry=COLUMNS)
     return mixed.where("copies >= 1").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def tokenisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
+    give_back()  # what the driver has freed of the stage before
     return byte_bpe.encode(docs, digest=True)
 
 
