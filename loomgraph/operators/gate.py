@@ -124,21 +124,30 @@ def decide(observations: DataFrame, cfg: GateConfig = GateConfig(), quota: int |
 
     ``quota`` replaces the configured quotas. Only rows that reach the quota layer count; 0 is no limit. ``before`` are
     decisions already made: what they admitted in that layer counts first. A rejection by quota isn't final.
+    Rows of one id and key count once and share their verdict.
     """
+    limit = F.lit(quota) if quota is not None else looked_up(F.col("platform"), cfg.quotas, F.lit(cfg.default_quota))
+    most = quota if quota is not None else max((cfg.default_quota, *cfg.quotas.values()))
+    keys = {"_k0": F.col("platform"), "_k1": F.coalesce(F.nullif("project", F.lit("")), F.lit("(unknown)")), "_k2": F.col("type"), "_k3": day if day is not None else F.lit(0)}
     rows = layers(observations, cfg)
-    counted = ["platform", "project", "type"]
-    if before is None:
-        rows = rows.withColumn("used_before", F.lit(0))
+    asking = rows.where(F.col("layer").endswith("?"))
+    settled = F.rtrim(F.translate("layer", "?", ""))
+    if most > 0:
+        # Ranked without their texts, and cut at the largest quota before the shuffle: a hot key sends that many rows a task.
+        ids = asking.select("id", limit.cast("bigint").alias("_limit"), F.coalesce("project", F.lit("")).alias("_project"), *(c.alias(k) for k, c in keys.items())).where("_limit > 0").distinct()
+        first = ids.withColumn("_used", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("_used") <= most)
+        if before is not None:
+            took = F.col("layer").isin("pass", "override") & ~F.col("type").isin(*cfg.skip_quota)
+            held = before.where(took).groupBy(F.col("platform").alias("_k0"), F.coalesce("project", F.lit("")).alias("_project"), F.col("type").alias("_k2")).agg(F.count(F.lit(1)).alias("_held"))
+            first = first.join(held, ["_k0", "_project", "_k2"], "left").withColumn("_used", F.col("_used") + F.coalesce("_held", F.lit(0)))
+        let_in = first.where("_used <= _limit").select(F.col("id").alias("_id"), *(F.col(k).alias(f"{k}_") for k in keys), F.lit(True).alias("_in"))
+        same = F.col("id").eqNullSafe(F.col("_id"))
+        for k, c in keys.items():
+            same = same & c.eqNullSafe(F.col(f"{k}_"))
+        waiting = asking.join(let_in, same, "left").withColumn("layer", F.when((limit > 0) & F.col("_in").isNull(), "quota").otherwise(settled)).select(*rows.columns)
     else:
-        took = F.col("layer").isin("pass", "override") & ~F.col("type").isin(*cfg.skip_quota)
-        held = before.where(took).groupBy(*(F.coalesce(c, F.lit("")).alias(f"_{c}") for c in counted)).agg(F.count(F.lit(1)).alias("used_before"))
-        rows = rows.withColumns({f"_{c}": F.coalesce(c, F.lit("")) for c in counted}).join(held, [f"_{c}" for c in counted], "left").withColumn("used_before", F.coalesce("used_before", F.lit(0))).drop(*(f"_{c}" for c in counted))
-    limit = F.lit(quota) if quota is not None else looked_up(F.col("platform"), cfg.quotas, F.lit(cfg.default_quota))
-    keys = ["platform", F.coalesce(F.nullif("project", F.lit("")), F.lit("(unknown)")), "type", day if day is not None else F.lit(0)]
-    asking = F.col("layer").endswith("?")
-    used = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
-    waiting = rows.where(asking).withColumn("used", used).withColumn("layer", F.when((limit > 0) & (F.col("used") + F.col("used_before") > limit), "quota").otherwise(F.rtrim(F.translate("layer", "?", "")))).drop("used")
-    out = waiting.unionByName(rows.where(~asking)).drop("used_before")
+        waiting = asking.withColumn("layer", settled)
+    out = waiting.unionByName(rows.where(~F.col("layer").endswith("?")))
     would = F.when(F.col("layer").isin("override", "pass"), True).when(F.col("layer") == "ops_noise", F.col("score") >= F.col("threshold")).otherwise(False)
     return out.withColumn("would_accept", would).withColumn("accept", F.lit(True) if cfg.shadow else F.col("would_accept"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import config
 from loomgraph.functions.columns import blank, declared, looked_up, occurrences
+from loomgraph.operators.windows import prefixed, segmented
 
 
 def scored_canonical(episodes: DataFrame, keyword: str, scopes: Mapping[str, str] | None = None) -> DataFrame:
@@ -45,13 +46,18 @@ def canonical_context(episodes: DataFrame, keyword: str, top: int = 3, scopes: M
 
 
 def canonical_grid(episodes: DataFrame, keywords: list[str], scopes: Mapping[str, str] | None = None) -> DataFrame:
-    """Relevance ranks of all eligible canonical episodes for some fixed keywords; the first three are injected."""
+    """Relevance ranks of all eligible canonical episodes for some fixed keywords; the first three are injected.
+
+    Ranks are running counts by segments, so that a keyword's rows are ranked in many tasks.
+    """
     out = None
     for k in keywords:
         rows = scored_canonical(episodes, k, scopes).withColumn("keyword", F.lit(k))
         out = rows if out is None else out.unionByName(rows)
-    order = Window.partitionBy("keyword").orderBy(F.desc("relscore"), "uc", "name", "uuid")
-    return out.withColumn("place", F.row_number().over(order)).withColumn("injected", F.col("place") <= 3)
+    order = ["_down", "uc", "name", "uuid"]
+    cut = segmented(out.withColumn("_down", -F.col("relscore")), ["keyword"], order)
+    ranked = prefixed(cut, ["keyword"], order, counts={"place": F.lit(True)}).drop("_down", "_segment")
+    return ranked.withColumn("injected", F.col("place") <= 3)
 
 
 def tier_rerank(items: DataFrame, n: int, weights: Mapping[str, float] = config.TIER_WEIGHTS, enabled: bool = True, by: str = "query_id") -> DataFrame:

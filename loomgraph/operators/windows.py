@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import short_age
+from loomgraph.tables import materialise
 
 
 def carried(events: DataFrame, value: str, pos: str, first: str, name: str, size: int = 1 << 16) -> DataFrame:
@@ -22,25 +25,75 @@ def carried(events: DataFrame, value: str, pos: str, first: str, name: str, size
     return rows.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(w), "start", F.lit(first))).drop("bucket", "start")
 
 
-def transitions(states: DataFrame, bad: Column, by: str, order: list[str]) -> DataFrame:
-    """Rows where a key turns bad (fire) or well again (clear); the state before the first is well."""
-    w = Window.partitionBy(by).orderBy(*order)
-    rows = states.withColumn("bad", bad).withColumn("before", F.lag("bad", 1, False).over(w))
-    return rows.where("bad <> before").withColumn("event", F.when(F.col("bad"), "fire").otherwise("clear")).drop("bad", "before")
+def segmented(rows: DataFrame, by: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """``rows`` cut into ranges of (by, order), numbered in that order by the column ``_segment``; written once.
+
+    A key with many rows lies in many segments, so no task gets a whole key. ``parts`` is the number of ranges
+    (the session's shuffle partitions otherwise). The numbers are stored with the rows, so that what reads them
+    twice, or again after a lost executor, finds the same cuts. ``order`` is ascending and unique within a key.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(rows.repartitionByRange(parts, *by, *order).withColumn("_segment", F.spark_partition_id()), "segments")
+
+
+def prefixed(cut: DataFrame, by: list[str], order: list[str], counts: Mapping[str, Column] | None = None, lasts: Mapping[str, Column] | None = None, upto: int = 0) -> DataFrame:
+    """Rows of ``segmented`` with running values of their key: how often a condition held, and the last value that isn't null.
+
+    Each segment is summed up by one aggregate (its counts and last values), the summaries before it are put together,
+    and each segment is then worked on its own from there. ``upto`` is 0 for values up to the row, -1 for those before it.
+    Null keys are one key. A key's first segment needs nothing from others, and at most one key of a segment began in an
+    earlier one: so what is handed on has at most one row a segment, and is broadcast.
+    """
+    counts, lasts, keys = dict(counts or {}), dict(lasts or {}), [*by, "_segment"]
+    ends = cut.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *(F.count_if(c).alias(n) for n, c in counts.items()),
+        *(F.max_by(c, F.when(c.isNotNull(), F.struct(*order))).alias(n) for n, c in lasts.items()),
+    )
+    earlier = Window.partitionBy(*by).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(
+        *(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)),
+        F.sum("_rows").over(earlier).alias("_earlier"),
+        *(F.sum(n).over(earlier).alias(f"_carry_{n}") for n in counts),
+        *(F.last(n, ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in lasts),
+    ).where("_earlier is not null")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    running = {n: F.coalesce(f"_carry_{n}", F.lit(0)) + F.count_if(c).over(w) for n, c in counts.items()}
+    running |= {n: F.coalesce(F.last(c, ignorenulls=True).over(w), f"_carry_{n}") for n, c in lasts.items()}
+    out = cut.join(F.broadcast(carry), same, "left").withColumns(running)
+    return out.drop("_earlier", *(f"_key{i}" for i in range(len(keys))), *(f"_carry_{n}" for n in running))
+
+
+def transitions(states: DataFrame, bad: Column, by: str, order: list[str], parts: int | None = None) -> DataFrame:
+    """Rows where a key turns bad (fire) or well again (clear); the state before the first is well, as is a null state.
+
+    Works by segments (``segmented``), so that a key with all rows is no single task.
+    """
+    cut = segmented(states.withColumn("_bad", F.coalesce(bad, F.lit(False))), [by], order, parts)
+    rows = prefixed(cut, [by], order, lasts={"_before": F.col("_bad")}, upto=-1)
+    turned = rows.where(F.col("_bad") != F.coalesce("_before", F.lit(False)))
+    return turned.withColumn("event", F.when(F.col("_bad"), "fire").otherwise("clear")).drop("_bad", "_before", "_segment")
 
 
-def debounced(states: DataFrame, bad: Column, by: str, order: list[str], threshold: int = 3) -> DataFrame:
-    """Alerts at the ``threshold``-th bad row in a run, by gaps and islands; a run alerts once."""
-    w = Window.partitionBy(by).orderBy(*order)
-    rows = states.withColumn("bad", bad).withColumn("island", F.sum((~F.col("bad")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.where("bad").withColumn("length", F.row_number().over(Window.partitionBy(by, "island").orderBy(*order)))
-    return runs.where(F.col("length") == threshold).drop("bad", "island")
+def debounced(states: DataFrame, bad: Column, by: str, order: list[str], threshold: int = 3, parts: int | None = None) -> DataFrame:
+    """Alerts at the ``threshold``-th bad row in a run; a run alerts once. A null state is well.
+
+    A row's place in its run is the number of bad rows so far less that at the last good row; both are running values
+    by segments.
+    """
+    cut = segmented(states.withColumn("_bad", F.coalesce(bad, F.lit(False))), [by], order, parts)
+    counted = prefixed(cut, [by], order, counts={"_n": F.col("_bad")})
+    rows = prefixed(counted, [by], order, lasts={"_well": F.when(~F.col("_bad"), F.col("_n"))})
+    return rows.where(F.col("_bad") & (F.col("_n") - F.coalesce("_well", F.lit(0)) == threshold)).withColumn("length", F.lit(threshold)).drop("_bad", "_n", "_well", "_segment")
 
 
-def hold_last(metrics: DataFrame, verdict: Column, by: str, order: list[str], first: str) -> Column:
-    """The verdict of a row, or the last known one where its metric is missing."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.coalesce(F.last(verdict, ignorenulls=True).over(w), F.lit(first))
+def hold_last(metrics: DataFrame, verdict: Column, by: str, order: list[str], first: str, name: str = "held", parts: int | None = None) -> DataFrame:
+    """Rows with the verdict of each as column ``name``, or the last known one where its metric is missing; by segments."""
+    cut = segmented(metrics, [by], order, parts)
+    return prefixed(cut, [by], order, lasts={name: verdict}).withColumn(name, F.coalesce(name, F.lit(first))).drop("_segment")
 
 
 def latest(rows: DataFrame, by: str, at: list[str]) -> DataFrame:

@@ -175,7 +175,7 @@ QUERIES = {
     "observation_rollup": lambda s, d: evaluate.observation_rollup(view(s, d, "f_observations")).select("memory_session_id", "project", "start", "n", "types", "files", F.char_length("text").alias("chars")),
     "edge_alerts": lambda s, d: windows.transitions(snapshots(s, d), F.col("overall") == "red", "host", ["received_at", "pos"]).select("host", "pos", "event"),
     "debounce": lambda s, d: windows.debounced(snapshots(s, d), F.col("overall") != "green", "host", ["received_at", "pos"], 3).select("host", "pos"),
-    "hold_last": lambda s, d: snapshots(s, d).select("host", "pos", windows.hold_last(snapshots(s, d), F.when(F.col("overall") != "grey", F.col("overall")), "host", ["received_at", "pos"], "green").alias("held")),
+    "hold_last": lambda s, d: windows.hold_last(snapshots(s, d), F.when(F.col("overall") != "grey", F.col("overall")), "host", ["received_at", "pos"], "green").select("host", "pos", "held"),
     "status_rollup": lambda s, d: snapshots(s, d).groupBy("host", F.to_date("received_at").cast("string").alias("day")).agg(windows.worst(F.col("overall")).alias("overall")),
     "state_propagation": lambda s, d: windows.propagated(windows.latest(snapshots(s, d).select("host", "received_at", "pos", "overall"), "host", ["received_at", "pos"]).select(F.col("host").alias("id"), F.col("overall").alias("light")), snapshots(s, d).select(F.col("host").alias("src"), F.concat(F.lit("host"), (F.col("user_id") % 7).cast("string")).alias("dst")).distinct()),
     "contiguous_cursor": lambda s, d: windows.contiguous_cursor(view(s, d, "f_ingest_keys").select(F.col("n").alias("id"), "status"), (F.col("status") != "pending") | (F.col("id") < 100)),

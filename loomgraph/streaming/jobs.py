@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomgraph.config import GateConfig
@@ -119,6 +120,84 @@ def alerts(stream: DataFrame, threshold: int = 3) -> DataFrame:
     return stream.groupBy("host").applyInPandasWithState(step, "host string, pos bigint, event string", "run int", "append", GroupStateTimeout.NoTimeout)
 
 
+#: What a watch's state gives: the host, when (milliseconds), the snapshot's position (none for silence) and what happened.
+_WATCHED = "host string, at_ms bigint, pos bigint, event string"
+
+
+class _Watch(StatefulProcessor):
+    """State of a host: its run of bad snapshots, its last known light, the time of its last snapshot, whether it is stale."""
+
+    def __init__(self, threshold: int, silent_ms: int, first: str):
+        self.threshold, self.silent_ms, self.first = threshold, silent_ms, first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "run int, light string, at_ms bigint, stale boolean")
+
+    def _due(self, at_ms: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at_ms + self.silent_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        run, light, last, stale = tuple(self.held.get()) if self.held.exists() else (0, self.first, None, False)
+        new = pd.concat(list(rows)).sort_values(["at_ms", "pos"])
+        ms = new["at_ms"].to_numpy()
+        late = ms < last if last is not None else np.zeros(len(ms), bool)
+        out = [(ms[late], new["pos"].to_numpy()[late], np.full(late.sum(), "late"))]
+        ms, new = ms[~late], new[~late]
+        if len(ms):
+            pos = new["pos"].to_numpy()
+            lights = new["overall"].where(new["overall"] != "grey").ffill().fillna(light).to_numpy()
+            bad, at = lights == "red", np.arange(len(ms))
+            runs = at - np.maximum.accumulate(np.where(bad, -1 - run, at))
+            event = np.where(bad & (runs == self.threshold), "fire", np.where(~bad & (np.append(run, runs[:-1]) >= self.threshold), "clear", ""))
+            before = np.append(ms[0] if last is None else last, ms[:-1])
+            back = ms - before > self.silent_ms
+            gone = back & ~((at == 0) & stale)  # the timer has told of the first silence already
+            out += [(before[gone] + self.silent_ms, None, np.full(gone.sum(), "stale")), (ms[back], pos[back], np.full(back.sum(), "back")), (ms[event != ""], pos[event != ""], event[event != ""])]
+            self.held.update((int(runs[-1]), str(lights[-1]), int(ms[-1]), False))
+            self._due(int(ms[-1]))
+        for times, places, names in out:
+            if len(times):
+                yield pd.DataFrame({"host": key[0], "at_ms": times, "pos": pd.array([None] * len(times) if places is None else places, dtype="Int64"), "event": names})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        run, light, last, _ = self.held.get()
+        self.held.update((run, light, last, True))
+        yield pd.DataFrame({"host": key[0], "at_ms": [expiredTimerInfo.getExpiryTimeInMs()], "pos": pd.array([None], dtype="Int64"), "event": ["stale"]})
+
+    def close(self) -> None:
+        pass
+
+
+def watched(stream: DataFrame, threshold: int = 3, silent_minutes: int = 30, delay: str = "10 minutes", first: str = "green") -> DataFrame:
+    """Alerts on each host's snapshots and on their absence (host, at, pos, event), edge-triggered.
+
+    ``fire`` at the ``threshold``-th red snapshot in a run and ``clear`` at the next that isn't red, where a grey or null
+    light holds the last known one; ``stale`` when a host has been silent for longer than ``silent_minutes``, by an
+    event-time timer, so that it needs no further row of that host; ``back`` at the host's next snapshot. A snapshot
+    older than one its host's state has seen is given back as ``late`` and changes nothing; beyond ``delay`` Spark drops it.
+    stream: host, received_at, pos, overall. Needs the state store of ``timers``.
+    """
+    slim = stream.select("host", F.col("received_at").cast("timestamp").alias("received_at"), "pos", "overall")
+    slim = slim.withWatermark("received_at", delay).withColumn("at_ms", F.unix_millis("received_at"))
+    out = slim.groupBy("host").transformWithStateInPandas(_Watch(threshold, silent_minutes * 60_000, first), _WATCHED, "append", "eventTime")
+    return out.select("host", F.timestamp_millis("at_ms").alias("at"), "pos", "event")
+
+
+@contextmanager
+def timers(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside use the state store that keeps timers."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def drained(stream: DataFrame, mode: str, name: str, checkpoint: str) -> DataFrame:
     """Everything available through the stream into a parquet table next to the checkpoint, as a batch DataFrame."""
     spark = stream.sparkSession
