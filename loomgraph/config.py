@@ -34,7 +34,7 @@ class GateConfig:
     shadow: bool = False
 
 
-#: Delivery weights by type; others weigh 1.
+#: Delivery weights by type, others weigh 1, and the three groups of types. Fixed values.
 TIER_WEIGHTS = {"decision": 1.6, "security_note": 1.6, "security_alert": 1.6, "discovery": 1.0, "feature": 0.7, "refactor": 0.7, "bugfix": 0.6, "change": 0.6}
 KNOWLEDGE_TYPES = ("decision", "security_note", "security_alert")
 OPERATIONAL_TYPES = ("bugfix", "change", "feature", "refactor")
@@ -45,10 +45,32 @@ FRESH_DAYS, FRESH_BONUS, OLD_DAYS, OLD_PENALTY = 30, 0.05, 365, 0.03
 SCOPE_BONUS, SCOPE_PENALTY = 0.5, -0.3
 #: BM25 constants of our own full-text definition.
 K1, B = 1.2, 0.75
-#: Legal (source kind, target kind) pairs of the fixture graph by edge name; any pair of Entity is legal.
-LEGAL_PAIRS = (("Person", "Concept", "belongs_to"), ("Project", "Concept", "belongs_to"), ("Concept", "Concept", "occurred_in"), ("Tool", "Project", "depends_on"), ("Person", "Tool", "references"))
 #: Names of edges. Fixed values.
 CANONICAL_EDGES = ("caused_by", "fixed_by", "verified_by", "references", "modified", "depends_on", "supersedes", "derived_from", "occurred_in", "belongs_to", "extracted_from", "relates_to", "documented_in", "diagnosed_by", "implemented_as")
+#: Legal edge names by (source kind, target kind); between two untyped entities every canonical edge is legal. Fixed values.
+LEGAL_EDGES = {
+    ("Issue", "Concept"): ("caused_by",),
+    ("Issue", "Issue"): ("caused_by",),
+    ("Issue", "Fix"): ("fixed_by",),
+    ("Issue", "Capsule"): ("diagnosed_by",),
+    ("Fix", "Observation"): ("verified_by",),
+    ("Fix", "Capsule"): ("verified_by",),
+    ("Fix", "Fix"): ("supersedes",),
+    ("Capsule", "Fix"): ("implemented_as",),
+    ("Capsule", "Session"): ("extracted_from",),
+    ("Capsule", "Capsule"): ("relates_to",),
+    ("Concept", "KnowledgeDoc"): ("documented_in",),
+    ("Concept", "Observation"): ("derived_from",),
+    ("Lesson", "Issue"): ("derived_from",),
+    ("Tool", "Tool"): ("depends_on",),
+    ("Tool", "Config"): ("depends_on",),
+    ("Observation", "File"): ("references", "modified"),
+    ("Observation", "Concept"): ("references",),
+    ("Observation", "Session"): ("occurred_in",),
+    ("Session", "Project"): ("belongs_to",),
+    ("File", "Project"): ("belongs_to",),
+    ("Entity", "Entity"): CANONICAL_EDGES,
+}
 #: Kinds by declared type, with confidence. Fixed values; kinds are stored verbatim.
 TYPE_KIND = {"decision": ("决策", 0.85), "bugfix": ("事故", 0.82), "security_note": ("事故", 0.72), "feature": ("项目事实", 0.8), "refactor": ("项目事实", 0.8), "change": ("项目事实", 0.78), "discovery": ("项目事实", 0.7)}
 CANONICAL_KIND = ("手册", 0.9)
@@ -73,4 +95,5 @@ RESEARCH_MARKERS = ("调研", "research", "对比", "评估", "方案", "文档"
 METADATA_PHRASES = ("documents that", "was extracted from", "belongs to the", "references the")
 #: Path parts that name no project. Fixed word list.
 SYSTEM_DIRS = ("tmp", "var", "etc", "usr", "lib", "bin", "opt", "root", "home", "Users", "mac", "private", "sbin", "dev", "boot", "sys", "proc", "Applications", "Library", "System", "Volumes", "Network", "Desktop", "Documents", "Downloads", "Pictures", "Movies", "Music")
+#: Scenarios. Fixed values.
 SCENARIOS = ("coding", "ops", "writing", "research", "planning", "unknown")

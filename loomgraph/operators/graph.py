@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,12 +118,17 @@ def chains(facts: DataFrame, least: int, most: int, k: int) -> DataFrame:
     return found.groupBy("first", "last").agg(F.min("hops").alias("hops")).orderBy("first", "last").limit(k)
 
 
-def illegal(entities: DataFrame, facts: DataFrame, legal: Sequence[tuple[str, str, str]] = config.LEGAL_PAIRS) -> DataFrame:
-    """Facts whose (source label, target label, name) isn't a legal combination, counted."""
-    labels = entities.select("uuid", "label")
+def illegal(entities: DataFrame, facts: DataFrame, legal: Mapping[tuple[str, str], Sequence[str]] = config.LEGAL_EDGES) -> DataFrame:
+    """Facts whose (source label, target label, name) isn't a legal combination, counted.
+
+    An entity without a label is an ``Entity``, the kind of those that nothing has narrowed yet. Names are compared in
+    lower case. A fact whose ends aren't both known isn't judged.
+    """
+    labels = entities.select("uuid", F.coalesce(F.nullif("label", F.lit("")), F.lit("Entity")).alias("label"))
     rows = facts.join(labels.select(F.col("uuid").alias("src"), F.col("label").alias("src_label")), "src").join(labels.select(F.col("uuid").alias("dst"), F.col("label").alias("dst_label")), "dst")
-    rules = facts.sparkSession.createDataFrame(list(legal), "src_label string, dst_label string, edge string")
-    return rows.withColumn("edge", F.lower("name")).join(F.broadcast(rules), ["src_label", "dst_label", "edge"], "left_anti").groupBy("src_label", "dst_label", "edge").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("src_label", "dst_label", F.lower("name").alias("edge")).agg(F.count(F.lit(1)).alias("n"))
+    rules = facts.sparkSession.createDataFrame([(a, b, e) for (a, b), names in legal.items() for e in names], "src_label string, dst_label string, edge string")
+    return counts.join(F.broadcast(rules), ["src_label", "dst_label", "edge"], "left_anti")  # a stated table of rules
 
 
 def as_of(facts: DataFrame, at: Column) -> DataFrame:

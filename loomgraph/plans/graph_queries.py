@@ -48,6 +48,17 @@ def timed(s: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", F.col("o_orderdate").alias("valid_at"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate") + F.expr("interval 200 days")).alias("invalid_at"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderdate") + F.expr("interval 400 days")).alias("expired_at"))
 
 
+#: Legal edges of the fixture graph's four kinds.
+FIXTURE_EDGES = {("Person", "Concept"): ("belongs_to",), ("Project", "Concept"): ("belongs_to",), ("Concept", "Concept"): ("occurred_in",), ("Tool", "Project"): ("depends_on",), ("Person", "Tool"): ("references",)}
+#: Kinds that stand for the fixture's, so that legal and illegal combinations of the full table come up; a tenth is untyped.
+KINDS = {"Person": "Observation", "Tool": "File", "Project": "Project", "Concept": "Session"}
+
+
+def typed_entities(s: SparkSession, d: str) -> DataFrame:
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair)), F.col("label"))
+    return view(s, d, "f_entities").withColumn("label", F.when(~F.col("uuid").endswith("7"), kind))
+
+
 QUERIES = {
     "vector_topk": lambda s, d: retrieval.vector_top(facts(s, d), VECTOR, 20).select("edge_id", "similarity"),
     "substring_search": lambda s, d: retrieval.substring_leg(facts(s, d), TEXT.upper(), 60).select("fact"),
@@ -77,7 +88,8 @@ QUERIES = {
     "neighbors": lambda s, d: graph.neighbours(*graph_of(s, d), "Supplier#000000001", 20),
     "paths": lambda s, d: graph.paths(*graph_of(s, d), source_name(s, d), region_name(s, d), 4, 10),
     "chains": lambda s, d: graph.chains(graph_of(s, d)[1].where("name in ('relates_to', 'occurred_in')"), 4, 6, 40),
-    "legal_pairs": lambda s, d: graph.illegal(*graph_of(s, d)),
+    "legal_pairs": lambda s, d: graph.illegal(*graph_of(s, d), FIXTURE_EDGES),
+    "legal_edges": lambda s, d: graph.illegal(typed_entities(s, d), view(s, d, "f_facts")),
     "as_of": lambda s, d: graph.as_of(timed(s, d), F.expr("timestamp'1995-06-01 00:00:00'")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.sum("o_orderkey").alias("keys")),
     "remove_episode": lambda s, d: graph.without_episode(facts(s, d), view(s, d, "f_episodes").where("n % 3 = 0").select("uuid")),
     "mentions_left": lambda s, d: graph.without_mentions(mentions(s, d), view(s, d, "f_episodes").where("n % 3 = 0").select("uuid")).groupBy("dst").agg(F.count(F.lit(1)).alias("n")),
@@ -154,6 +166,9 @@ _CONTEXT = _bm25(("que",), 9).removeprefix(_E).replace("from f_episodes where no
  i as (select b.uuid, b.name, {_DECLARED} as type, score from b join f_episodes e using (uuid)), w as (select *, round(score * {_WEIGHT}, 6) as tscore from i), {_FLOOR.format(n=3)}
 select uuid, name, score::double as score, place, 'canonical' as source from c2 union all select uuid, name, score, (2 + row_number() over (order by place))::int, 'fulltext' from k where kept"""
 _ROOTS = "with recursive v as (select vec_id as uuid, label, embedding::double[] as v from embeddings), l as (select x.uuid as a, y.uuid as b from v x join v y on x.label = y.label and x.uuid <> y.uuid where list_dot_product(x.v, y.v) >= 0.35 * sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), c as (select uuid, uuid as root from v union select l.b, c.root from c join l on l.a = c.uuid), roots as (select uuid, min(root) as root from c group by 1)"
+_TYPED = ", k as (select uuid, case when uuid like '%7' then 'Entity' else case label " + " ".join(f"when '{a}' then '{b}'" for a, b in KINDS.items()) + " end end as label from f_entities)"
+_RULES = ", ".join(f"('{a}', '{b}', '{e}')" for (a, b), names in config.LEGAL_EDGES.items() for e in names)
+
 ORACLES = {
     "vector_topk": _F + f"select edge_id, {_COS}::double as similarity from f_search order by similarity desc, edge_id limit 20",
     "substring_search": _F + f"select distinct fact from f_search where contains(lower(fact), '{TEXT}') order by fact limit 60",
@@ -184,6 +199,8 @@ ORACLES = {
     "paths": _G.replace("with ", "with recursive ", 1) + ", g as (select distinct src, dst from f_facts where src <> dst), w as (select uuid as at_node, [uuid] as path, 0 as hops from f_entities where contains(name, 'Customer#00000001') union all select g.dst, list_append(path, g.dst), hops + 1 from w join g on g.src = w.at_node where hops < 4 and not list_contains(path, g.dst)) select hops, array_to_string(path, '>') as names from w where hops > 0 and at_node in (select uuid from f_entities where contains(name, 'ASIA')) order by hops, names limit 10",
     "chains": _G.replace("with ", "with recursive ", 1) + ", g as (select distinct src, dst from f_facts where src <> dst and name in ('relates_to', 'occurred_in')), w as (select dst as at_node, [src, dst] as path, 1 as hops from g union all select g.dst, list_append(path, g.dst), hops + 1 from w join g on g.src = w.at_node where hops < 6 and not list_contains(path, g.dst)) select path[1] as first, at_node as last, min(hops) as hops from w where hops >= 4 group by 1, 2 order by first, last limit 40",
     "legal_pairs": _G + "select s.label as src_label, t.label as dst_label, lower(f.name) as edge, count(*) as n from f_facts f join f_entities s on s.uuid = f.src join f_entities t on t.uuid = f.dst where (s.label, t.label, lower(f.name)) not in (('Person','Concept','belongs_to'), ('Project','Concept','belongs_to'), ('Concept','Concept','occurred_in'), ('Tool','Project','depends_on'), ('Person','Tool','references')) group by 1, 2, 3",
+    "legal_edges": _G + f"""{_TYPED} select s.label as src_label, t.label as dst_label, lower(f.name) as edge, count(*) as n from f_facts f join k s on s.uuid = f.src join k t on t.uuid = f.dst
+ where not exists (from (values {_RULES}) as r(a, b, e) where r.a = s.label and r.b = t.label and r.e = lower(f.name)) group by 1, 2, 3""",
     "as_of": "select count(*) as n, min(o_orderkey) as first, sum(o_orderkey)::bigint as keys from orders where o_orderdate <= timestamp '1995-06-01' and (o_orderkey % 3 <> 0 or o_orderdate + interval 200 day > timestamp '1995-06-01') and (o_orderkey % 7 <> 0 or o_orderdate + interval 400 day > timestamp '1995-06-01')",
     "remove_episode": _F + ", p as (select distinct edge_id, unnest([ep1, ep2]) as uuid from f_search), g as (select 'ep-' || doc_id as uuid from documents where doc_id % 3 = 0) select edge_id, string_agg(uuid, ',' order by uuid) as backing from p where uuid not in (select uuid from g) group by 1",
     "mentions_left": lambda s, d: graph.without_mentions(mentions(s, d), view(s, d, "f_episodes").where("n % 3 = 0").select("uuid")).groupBy("dst").agg(F.count(F.lit(1)).alias("n")),

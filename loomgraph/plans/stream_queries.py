@@ -83,15 +83,15 @@ QUERIES = {
     "session_windows": lambda s, d: jobs.sessions(s.read.parquet(f"{d}/events.parquet"), "6 hours").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest")),
 }
 ORACLES = {
-    "stream_watch": with_views("f_snapshots") + f""", h as (select host, pos, received_at as at, coalesce(last_value(case when overall <> 'grey' then overall end ignore nulls) over w, 'green') = 'red' as bad, lag(received_at) over w as before from f_snapshots window w as (partition by host order by received_at, pos)),
- b as (select *, sum((not bad)::int) over (partition by host order by at, pos) as island from h),
- r as (select *, sum(bad::int) over (partition by host, island order by at, pos) as run from b),
- l as (select *, lag(run, 1, 0) over (partition by host order by at, pos) as earlier from r),
- e as (select host, at, pos, case when bad then 'fire' else 'clear' end as event from l where (bad and run = 2) or (not bad and earlier >= 2)
-  union all select host, at, pos, 'back' from h where at - before > interval {SILENT} hour
-  union all select host, before + interval {SILENT} hour, null, 'stale' from h where at - before > interval {SILENT} hour
+    "stream_watch": with_views("f_snapshots") + f""", h as (select host, pos, received_at as t, coalesce(last_value(case when overall <> 'grey' then overall end ignore nulls) over w, 'green') = 'red' as bad, lag(received_at) over w as before from f_snapshots window w as (partition by host order by received_at, pos)),
+ b as (select *, sum((not bad)::int) over (partition by host order by t, pos) as island from h),
+ r as (select *, sum(bad::int) over (partition by host, island order by t, pos) as run from b),
+ l as (select *, lag(run, 1, 0) over (partition by host order by t, pos) as earlier from r),
+ e as (select host, t, pos, case when bad then 'fire' else 'clear' end as event from l where (bad and run = 2) or (not bad and earlier >= 2)
+  union all select host, t, pos, 'back' from h where t - before > interval {SILENT} hour
+  union all select host, before + interval {SILENT} hour, null, 'stale' from h where t - before > interval {SILENT} hour
   union all select host, max(received_at) + interval {SILENT} hour, null, 'stale' from f_snapshots group by host having max(received_at) + interval {SILENT} hour < (select max(received_at) from f_snapshots) - interval {DELAY} hour)
-select host, strftime(at, '%Y-%m-%d %H:%M:%S') as at, pos, event from e""",
+select host, strftime(t, '%Y-%m-%d %H:%M:%S') as "at", pos, event from e""",
     "stream_gate": _DECIDED + "select id, layer, score, would_accept from v",
     # One row a day: the i-th row of a key can't come before the day of any earlier one plus the rows between.
     "stream_quotas": _OPEN.replace("source as project", "substring(source, 1, 4) as project").replace("1704067200000 + doc_id * 3600000 as created_at_epoch", "1704067200000 + (doc_id % 3) * 86400000 as created_at_epoch")
