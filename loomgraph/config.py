@@ -36,6 +36,8 @@ class GateConfig:
 
 #: Delivery weights by type, others weigh 1, and the three groups of types. Fixed values.
 TIER_WEIGHTS = {"decision": 1.6, "security_note": 1.6, "security_alert": 1.6, "discovery": 1.0, "feature": 0.7, "refactor": 0.7, "bugfix": 0.6, "change": 0.6}
+#: Weight of an item about the system's own running. Fixed value.
+NOISE_WEIGHT = 0.2
 KNOWLEDGE_TYPES = ("decision", "security_note", "security_alert")
 OPERATIONAL_TYPES = ("bugfix", "change", "feature", "refactor")
 DISCOVERY_TYPES = ("discovery",)

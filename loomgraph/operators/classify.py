@@ -128,21 +128,38 @@ def source_values(episodes: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("type").alias("typed"), F.count("project").alias("with_project"), share(config.KNOWLEDGE_TYPES).alias("high_percent"), share(config.OPERATIONAL_TYPES).alias("low_percent"))
 
 
-def observation_body(most_files: int = 20) -> Column:
-    """An observation as the text of its episode: type and title, narrative, facts, concepts, files; empty parts are left out."""
+def observation_body(most_files: int = 20, full: bool = False) -> Column:
+    """An observation as the text of its episode: type and title, narrative, facts, concepts, files; empty parts are left out.
+
+    ``full`` adds the subtitle, the files read and the project (``?`` without one), of columns of these names. The
+    headings are fixed values.
+    """
     facts, concepts, files = json_list("facts"), json_list("concepts"), json_list("files_modified")
     none = F.array().cast("array<string>")
     given = lambda when, *parts: F.when(when, F.concat(*parts)).otherwise(none)
     lines_ = F.concat(
-        F.array(F.concat(F.lit("["), F.upper(F.coalesce(F.nullif("type", F.lit("")), F.lit("obs"))), F.lit("] "), F.coalesce(F.nullif("title", F.lit("")), F.lit("(untitled)"))), F.lit("")),
+        F.array(F.concat(F.lit("["), F.upper(F.coalesce(F.nullif("type", F.lit("")), F.lit("obs"))), F.lit("] "), F.coalesce(F.nullif("title", F.lit("")), F.lit("(untitled)")))),
+        given(blank("subtitle") != "", F.array("subtitle")) if full else none,
+        F.array(F.lit("")),
         given(blank("narrative") != "", F.array(F.lit("Narrative:"), F.col("narrative"), F.lit(""))),
         given(F.size(facts) > 0, F.array(F.lit("Key facts:")), F.transform(facts, lambda x: F.concat(F.lit("- "), x)), F.array(F.lit(""))),
         given(F.size(concepts) > 0, F.array(F.concat(F.lit("Concepts: "), F.array_join(concepts, ", ")))),
         given(F.size(files) > 0, F.array(F.concat(F.lit("Files modified: "), F.array_join(F.slice(files, 1, most_files), ", ")))),
+        *((given(F.size(json_list("files_read")) > 0, F.array(F.concat(F.lit("Files read: "), F.array_join(F.slice(json_list("files_read"), 1, most_files), ", ")))), F.array(F.concat(F.lit("Project: "), F.coalesce("project", F.lit("?"))))) if full else ()),
     )
     return F.array_join(lines_, "\n")
 
 
+def payload(origin: str) -> Column:
+    """An observation with its platform as an ingest request: name, source description, key and the full body.
+
+    The key is the origin's name with the id.
+    """
+    number = F.col("id").cast("string")
+    said = F.concat(F.lit(f"{origin} id="), number, F.lit(" project="), F.coalesce("project", F.lit("?")), F.lit(" type="), F.coalesce("type", F.lit("?")), F.lit(" platform="), F.coalesce(F.nullif("platform", F.lit("")), F.lit("_default")))
+    return F.struct(F.concat(F.lit(f"{origin}-"), number).alias("name"), said.alias("source_description"), F.concat(F.lit(f"{origin}-id-"), number).alias("source_obs_id"), observation_body(full=True).alias("episode_body"))
+
+
 def health(episodes: DataFrame, noise: Column, title: Column) -> DataFrame:
     """One row of health metrics: totals, use of live episodes and of canonical ones, noise, clusters of live duplicates."""
     live, used = ~F.coalesce("archived", F.lit(False)), F.coalesce("usage_count", F.lit(0)) > 0

@@ -46,6 +46,13 @@ def confusion(gold: DataFrame, got: DataFrame) -> DataFrame:
     return gold.join(got, "uuid").groupBy("gold", "got").agg(F.count(F.lit(1)).alias("n"))
 
 
+def accuracy(counts: DataFrame) -> DataFrame:
+    """All rows of a confusion table, those on its diagonal and their share (0 without rows). A null kind is never right."""
+    hit = F.coalesce(F.col("gold") == F.col("got"), F.lit(False))
+    c = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("correct"))
+    return c.withColumn("accuracy", F.round(F.col("correct") / F.greatest("n", F.lit(1)), 6))
+
+
 def nearest_session(injections: DataFrame, sessions: DataFrame, before: int = 180, after: int = 3600) -> DataFrame:
     """Each injection's nearest session of the same project by start, within bounds in seconds; ties take the earlier.
 

@@ -60,16 +60,19 @@ def canonical_grid(episodes: DataFrame, keywords: list[str], scopes: Mapping[str
     return ranked.withColumn("injected", F.col("place") <= 3)
 
 
-def tier_rerank(items: DataFrame, n: int, weights: Mapping[str, float] = config.TIER_WEIGHTS, enabled: bool = True, by: str = "query_id") -> DataFrame:
+def tier_rerank(items: DataFrame, n: int, weights: Mapping[str, float] = config.TIER_WEIGHTS, enabled: bool = True, by: str = "query_id", noise: Column | None = None, noise_weight: float = config.NOISE_WEIGHT) -> DataFrame:
     """The top n items of each query by score times type weight, with one place kept for operational knowledge.
 
-    items: query_id, name, score, type. If none of the top n is operational, the best operational one below them takes
+    items: query_id, name, score, type. Items that ``noise`` marks take ``noise_weight`` instead of their type's. If none of the top n is operational, the best operational one below them takes
     the place of the lowest of the top n that isn't knowledge; without such a one nothing changes.
     """
     if not enabled:
         order = Window.partitionBy(by).orderBy(F.desc("score"), "name")
         return items.withColumn("tscore", F.col("score")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
-    weighed = items.withColumn("tscore", F.round(F.col("score") * looked_up(F.col("type"), dict(weights), F.lit(1.0)), 6))
+    weight = looked_up(F.col("type"), dict(weights), F.lit(1.0))
+    if noise is not None:
+        weight = F.when(noise, F.lit(noise_weight)).otherwise(weight)
+    weighed = items.withColumn("tscore", F.round(F.col("score") * weight, 6))
     operational, knowledge = F.col("type").isin(*config.OPERATIONAL_TYPES), F.col("type").isin(*config.KNOWLEDGE_TYPES)
     every = Window.partitionBy(by)
     ranked = weighed.withColumn("place", F.row_number().over(every.orderBy(F.desc("tscore"), "name")))
@@ -86,6 +89,26 @@ def tier_rerank(items: DataFrame, n: int, weights: Mapping[str, float] = config.
     return facts.where(kept).drop("held", "spare", "lowest")
 
 
+def delivery_invariants(items: DataFrame, n: int, weights: Mapping[str, float] = config.TIER_WEIGHTS) -> DataFrame:
+    """What tiers do to the top n of all queries: how many queries there are, in how many knowledge rose, in how many it
+    didn't fall, and how many break the rule of one operational place.
+
+    items: query_id, name, score, type, noise. The rule is broken where a query has operational items, its picks aren't
+    all knowledge, and none of them is operational.
+    """
+    operational, knowledge = F.col("type").isin(*config.OPERATIONAL_TYPES), F.col("type").isin(*config.KNOWLEDGE_TYPES)
+    plain = tier_rerank(items, n, enabled=False).groupBy("query_id").agg(F.count_if(knowledge).alias("before"))
+    tiered = tier_rerank(items, n, weights, noise=F.col("noise")).groupBy("query_id").agg(F.count_if(knowledge).alias("after"), F.count(F.lit(1)).alias("picked"), F.count_if(operational).alias("operational"))
+    asked = items.groupBy("query_id").agg(F.count_if(operational).alias("candidates"))
+    rows = plain.join(tiered, "query_id").join(asked, "query_id")
+    return rows.agg(
+        F.count(F.lit(1)).alias("queries"),
+        F.count_if(F.col("after") > F.col("before")).alias("knowledge_rose"),
+        F.count_if(F.col("after") >= F.col("before")).alias("knowledge_preserved"),
+        F.count_if((F.col("candidates") > 0) & (F.col("after") < F.col("picked")) & (F.col("operational") < 1)).alias("floor_violations"),
+    )
+
+
 def usage_stats(episodes: DataFrame) -> DataFrame:
     canonical = F.col("name").startswith(config.CANONICAL_PREFIX)
     used = F.coalesce("usage_count", F.lit(0))

@@ -55,6 +55,11 @@ VIEWS = {
  case when event_id % 6 >= 4 then 'diagnostic' when event_id % 5 = 0 then 'auto_handled' when event_id % 5 = 1 then 'handled' else 'pending' end as status, event_id % 7 + 1 as report_count, concat('q', cast(event_id % 50 as varchar(20))) as query,
  case when event_id % 6 < 4 and event_id % 5 = 0 then 'auto_retire' when event_id % 6 < 4 and event_id % 5 = 1 then case when event_id % 2 = 0 then 'retire' else 'verified' end end as handled_action,
  ts as created_at, case when event_id % 3 = 0 then ts end as updated_at, case when event_id % 6 < 4 and event_id % 5 < 2 then ts end as handled_at from {events}""",
+    # Reports that come in after that feedback: some name no episode, no known verdict or no query.
+    "f_reports": """select event_id as report_id, concat('capsule-', cast((user_id * 7 + event_id) % 90 as varchar(20))) as episode_name,
+ case event_id % 7 when 0 then 'stale' when 1 then 'conflict' when 2 then 'supplement' when 3 then 'inaccurate' when 4 then 'irrelevant' when 5 then 'missed' else 'nonsense' end as verdict,
+ case when event_id % 4 = 0 then '' else concat('q', cast(event_id % 50 as varchar(20))) end as query,
+ case when event_id % 3 = 0 then concat('capsule-', cast(event_id % 97 as varchar(20))) end as replacement, ts from {events}""",
     "f_articles": "select concat('canonical-', cast(doc_id * 10 as varchar(20))) as linked_casepack from {labels} union all select '' from {region} union all select cast(null as varchar(20)) from {region}",
     # A fact of the search tests: text, backing episodes and an embedding.
     "f_search": """select v.vec_id as edge_id, concat(d.source, ' ', d.lang, ' ', cast(v.label as varchar(20)), ' ', cast(v.vec_id % 400 as varchar(20))) as fact,
