@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import config
 from loomgraph.functions.columns import declared
-from loomgraph.operators import classify, graph, retrieval
+from loomgraph.operators import classify, graph, resolution, retrieval
 from loomgraph.plans.index_queries import episode_index
 from loomgraph.sources.fixtures import view, with_views
 
@@ -59,6 +59,17 @@ def typed_entities(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "f_entities").withColumn("label", F.when(~F.col("uuid").endswith("7"), kind))
 
 
+#: Least cosine of entities that count as one.
+NEAR_ENOUGH = 0.92
+
+
+def respelt(s: SparkSession, d: str) -> DataFrame:
+    """Every embedding as four entities of its label: itself, an equal copy, and two with some of their numbers changed."""
+    v = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "embedding")
+    changed = F.transform("embedding", lambda x, i: x.cast("double") * F.when((F.col("k") > 1) & (i % 8 == F.col("k")), 0.5).otherwise(1.0))
+    return v.select((F.col("vec_id") * 4 + F.col("k")).alias("uuid"), "label", changed.alias("embedding"))
+
+
 QUERIES = {
     "vector_topk": lambda s, d: retrieval.vector_top(facts(s, d), VECTOR, 20).select("edge_id", "similarity"),
     "substring_search": lambda s, d: retrieval.substring_leg(facts(s, d), TEXT.upper(), 60).select("fact"),
@@ -89,6 +100,7 @@ QUERIES = {
     "paths": lambda s, d: graph.paths(*graph_of(s, d), source_name(s, d), region_name(s, d), 4, 10),
     "chains": lambda s, d: graph.chains(graph_of(s, d)[1].where("name in ('relates_to', 'occurred_in')"), 4, 6, 40),
     "legal_pairs": lambda s, d: graph.illegal(*graph_of(s, d), FIXTURE_EDGES),
+    "entity_hashing": lambda s, d: graph.resolved(respelt(s, d), resolution.hashed_links(respelt(s, d), F.col("label"), "embedding", NEAR_ENOUGH)),
     "legal_edges": lambda s, d: graph.illegal(typed_entities(s, d), view(s, d, "f_facts")),
     "as_of": lambda s, d: graph.as_of(timed(s, d), F.expr("timestamp'1995-06-01 00:00:00'")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.sum("o_orderkey").alias("keys")),
     "remove_episode": lambda s, d: graph.without_episode(facts(s, d), view(s, d, "f_episodes").where("n % 3 = 0").select("uuid")),
@@ -199,6 +211,12 @@ ORACLES = {
     "paths": _G.replace("with ", "with recursive ", 1) + ", g as (select distinct src, dst from f_facts where src <> dst), w as (select uuid as at_node, [uuid] as path, 0 as hops from f_entities where contains(name, 'Customer#00000001') union all select g.dst, list_append(path, g.dst), hops + 1 from w join g on g.src = w.at_node where hops < 4 and not list_contains(path, g.dst)) select hops, array_to_string(path, '>') as names from w where hops > 0 and at_node in (select uuid from f_entities where contains(name, 'ASIA')) order by hops, names limit 10",
     "chains": _G.replace("with ", "with recursive ", 1) + ", g as (select distinct src, dst from f_facts where src <> dst and name in ('relates_to', 'occurred_in')), w as (select dst as at_node, [src, dst] as path, 1 as hops from g union all select g.dst, list_append(path, g.dst), hops + 1 from w join g on g.src = w.at_node where hops < 6 and not list_contains(path, g.dst)) select path[1] as first, at_node as last, min(hops) as hops from w where hops >= 4 group by 1, 2 order by first, last limit 40",
     "legal_pairs": _G + "select s.label as src_label, t.label as dst_label, lower(f.name) as edge, count(*) as n from f_facts f join f_entities s on s.uuid = f.src join f_entities t on t.uuid = f.dst where (s.label, t.label, lower(f.name)) not in (('Person','Concept','belongs_to'), ('Project','Concept','belongs_to'), ('Concept','Concept','occurred_in'), ('Tool','Project','depends_on'), ('Person','Tool','references')) group by 1, 2, 3",
+    # Entities of one embedding are near each other; pairs of others are looked for among all of the label.
+    "entity_hashing": f"""with recursive e as (select vec_id * 4 + k as uuid, label, list_transform(embedding::double[], lambda x, i: x * case when k > 1 and (i - 1) % 8 = k then 0.5 else 1.0 end) as v from embeddings, (select unnest([0, 1, 2, 3]) as k)),
+ n as (select uuid, label, v, sqrt(list_dot_product(v, v)) as l from e),
+ p as (select x.uuid as a, y.uuid as b from n x join n y on x.label = y.label and x.uuid <> y.uuid where list_dot_product(x.v, y.v) >= {NEAR_ENOUGH} * x.l * y.l),
+ r(uuid, root) as (select uuid, uuid from e union select p.b, r.root from r join p on p.a = r.uuid)
+select uuid, min(root) as root from r group by 1""",
     "legal_edges": _G + f"""{_TYPED} select s.label as src_label, t.label as dst_label, lower(f.name) as edge, count(*) as n from f_facts f join k s on s.uuid = f.src join k t on t.uuid = f.dst
  where not exists (from (values {_RULES}) as r(a, b, e) where r.a = s.label and r.b = t.label and r.e = lower(f.name)) group by 1, 2, 3""",
     "as_of": "select count(*) as n, min(o_orderkey) as first, sum(o_orderkey)::bigint as keys from orders where o_orderdate <= timestamp '1995-06-01' and (o_orderkey % 3 <> 0 or o_orderdate + interval 200 day > timestamp '1995-06-01') and (o_orderkey % 7 <> 0 or o_orderdate + interval 400 day > timestamp '1995-06-01')",
