@@ -65,20 +65,26 @@ def lookup(entities: DataFrame, text: str) -> DataFrame:
     return rows.orderBy(F.desc(F.col("name") == text), F.length("name"), "name", "uuid").limit(1)
 
 
-def neighbours(entities: DataFrame, facts: DataFrame, text: str, limit: int = 20) -> DataFrame:
+def neighbours(entities: DataFrame, facts: DataFrame, text: str, limit: int = 20, rows_without: bool = False) -> DataFrame:
     """Direct neighbours out and in of the entity that a text names, each side limited (1 to 100, 20 otherwise).
 
-    Entities of the same name count as one. A text that names nothing gives no rows.
+    Entities of the same name count as one. Facts with a text (column ``fact``) give it too. A text that names nothing
+    gives no rows, or with ``rows_without`` one row of nulls, so that it differs from an entity without neighbours.
     """
+    said = ["fact"] if "fact" in facts.columns else []
     limit = clamped(limit, 1, 100, 20)
     named = lookup(entities, text).select(F.col("name").alias("node"))
     start = entities.join(named, entities["name"] == named["node"]).select(F.col("uuid").alias("start"), "node")
 
     def side(here: str, there: str, direction: str) -> DataFrame:
-        rows = facts.join(start, F.col(here) == F.col("start")).select("node", F.col(there).alias("uuid"), F.col("name").alias("edge"))
-        return rows.join(entities.select("uuid", F.col("name").alias("neighbour")), "uuid").select("node", "neighbour", "edge", F.lit(direction).alias("direction"), "uuid").orderBy("neighbour", "edge", "uuid").limit(limit)
+        rows = facts.join(start, F.col(here) == F.col("start")).select("node", F.col(there).alias("uuid"), F.col("name").alias("edge"), *said)
+        return rows.join(entities.select("uuid", F.col("name").alias("neighbour")), "uuid").select("node", "neighbour", "edge", F.lit(direction).alias("direction"), "uuid", *said).orderBy("neighbour", "edge", "uuid").limit(limit)
 
-    return side("src", "dst", "out").unionByName(side("dst", "src", "in"))
+    found = side("src", "dst", "out").unionByName(side("dst", "src", "in"))
+    if not rows_without:
+        return found
+    nothing = named.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+    return found.unionByName(nothing.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema)))
 
 
 def paths(entities: DataFrame, facts: DataFrame, source: str, target: str, hops: int = 4, most: int = 3) -> DataFrame:
@@ -167,6 +173,17 @@ def merged(facts: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.where("src <> dst").distinct()
 
 
+def knowledge_stats(facts: DataFrame, episodes: DataFrame, registry: DataFrame, keys: DataFrame) -> DataFrame:
+    """``fact_quality`` with what stands beside it: predigested children, registered documents, keys by status.
+
+    A child is an episode named ``<parent>--obs-<number>``. Each part is one aggregate of one row.
+    """
+    is_ = lambda s: F.count_if(F.col("status") == s)
+    children = episodes.agg(F.count_if(F.coalesce(F.col("name").rlike(r"--obs-\d+$"), F.lit(False))).alias("children"))
+    counted = keys.agg(is_("ok").alias("keys_ok"), is_("pending").alias("keys_pending"), is_("error").alias("keys_error"))
+    return fact_quality(facts).crossJoin(children).crossJoin(registry.agg(F.count(F.lit(1)).alias("registered"))).crossJoin(counted)
+
+
 def impact(names: DataFrame, episodes: DataFrame, mentions: DataFrame) -> DataFrame:
     """Per name: whether an episode has it and how many mentions its episodes have. names: name; mentions: src (episode), dst."""
     counts = mentions.groupBy(F.col("src").alias("uuid")).agg(F.count(F.lit(1)).alias("n"))

@@ -123,6 +123,15 @@ def inbox_feedback(feedback: DataFrame, episodes: DataFrame, now: Column) -> Dat
     return waiting.unionByName(auto).unionByName(asked).join(said, "name", "left")
 
 
+def waiting_with_episodes(feedback: DataFrame, episodes: DataFrame, n: int = 30, size: int = 4000) -> DataFrame:
+    """Feedback that waits with every episode of its name, newest first: a name of several episodes gives a row each,
+    one of none a row without detail. The first n rows of that list; null names match none."""
+    at = F.coalesce("updated_at", "created_at")
+    said = episodes.select(F.col("name").alias("episode_name"), "uuid", F.substring(blank("content"), 1, size).alias("detail"))
+    rows = feedback.where("status = 'pending'").select("id", "episode_name", "verdict", at.alias("at")).join(said, "episode_name", "left")
+    return rows.orderBy(F.desc("at"), "id", "uuid").limit(n).select("id", F.col("episode_name").alias("name"), "verdict", "uuid", "detail")
+
+
 def unanswered(episodes: DataFrame, articles: DataFrame, order: str, n: int = 50) -> DataFrame:
     """Of the newest n published stories those that no article's feedback is linked to. Empty and null links match none."""
     newest = episodes.where("visibility = 'public-story'").orderBy(F.desc(order), "uuid").limit(n)

@@ -164,3 +164,8 @@ def propagated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def probe_light(age_s: Column, lag: Column) -> Column:
     """The light of a sync probe: red by a large lag or an old one, amber by a small lag, grey without any sign of life."""
     return F.when(age_s.isNull(), "grey").when((lag >= 50) | ((age_s > 7200) & (lag > 0)), "red").when(lag > 5, "amber").otherwise("green")
+
+
+def tool_light(age_s: Column, fresh_hours: int = 4) -> Column:
+    """The light of a tool by the age of its last sign of life: green while it is fresh, amber after, grey without any."""
+    return F.when(age_s.isNull(), "grey").when(age_s < 3600 * fresh_hours, "green").otherwise("amber")

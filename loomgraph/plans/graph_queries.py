@@ -100,6 +100,8 @@ QUERIES = {
     "paths": lambda s, d: graph.paths(*graph_of(s, d), source_name(s, d), region_name(s, d), 4, 10),
     "chains": lambda s, d: graph.chains(graph_of(s, d)[1].where("name in ('relates_to', 'occurred_in')"), 4, 6, 40),
     "legal_pairs": lambda s, d: graph.illegal(*graph_of(s, d), FIXTURE_EDGES),
+    "neighbor_facts": lambda s, d: graph.neighbours(view(s, d, "f_entities"), view(s, d, "f_fact_texts"), "Supplier#000000001", 20, rows_without=True),
+    "neighbor_none": lambda s, d: graph.neighbours(view(s, d, "f_entities"), view(s, d, "f_fact_texts"), "no such name", 20, rows_without=True),
     "entity_hashing": lambda s, d: graph.resolved(respelt(s, d), resolution.hashed_links(respelt(s, d), F.col("label"), "embedding", NEAR_ENOUGH)),
     "legal_edges": lambda s, d: graph.illegal(typed_entities(s, d), view(s, d, "f_facts")),
     "as_of": lambda s, d: graph.as_of(timed(s, d), F.expr("timestamp'1995-06-01 00:00:00'")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.sum("o_orderkey").alias("keys")),
@@ -181,6 +183,12 @@ _ROOTS = "with recursive v as (select vec_id as uuid, label, embedding::double[]
 _TYPED = ", k as (select uuid, case when uuid like '%7' then 'Entity' else case label " + " ".join(f"when '{a}' then '{b}'" for a, b in KINDS.items()) + " end end as label from f_entities)"
 _RULES = ", ".join(f"('{a}', '{b}', '{e}')" for (a, b), names in config.LEGAL_EDGES.items() for e in names)
 
+_NEAR = with_views("f_entities", "f_fact_texts").replace("{", "{{").replace("}", "}}") + """,
+ m as (select name from f_entities where contains(name, '{0}') order by name = '{0}' desc, length(name), name, uuid limit 1), n as (select uuid, name from f_entities where name in (select name from m)),
+ r as ((select n.name as node, e.name as neighbour, f.name as edge, 'out' as direction, e.uuid, f.fact from f_fact_texts f join n on f.src = n.uuid join f_entities e on e.uuid = f.dst order by e.name, f.name, e.uuid limit 20)
+  union all (select n.name, e.name, f.name, 'in', e.uuid, f.fact from f_fact_texts f join n on f.dst = n.uuid join f_entities e on e.uuid = f.src order by e.name, f.name, e.uuid limit 20))
+select * from r union all select null, null, null, null, null, null where not exists (from m)"""
+
 ORACLES = {
     "vector_topk": _F + f"select edge_id, {_COS}::double as similarity from f_search order by similarity desc, edge_id limit 20",
     "substring_search": _F + f"select distinct fact from f_search where contains(lower(fact), '{TEXT}') order by fact limit 60",
@@ -211,6 +219,8 @@ ORACLES = {
     "paths": _G.replace("with ", "with recursive ", 1) + ", g as (select distinct src, dst from f_facts where src <> dst), w as (select uuid as at_node, [uuid] as path, 0 as hops from f_entities where contains(name, 'Customer#00000001') union all select g.dst, list_append(path, g.dst), hops + 1 from w join g on g.src = w.at_node where hops < 4 and not list_contains(path, g.dst)) select hops, array_to_string(path, '>') as names from w where hops > 0 and at_node in (select uuid from f_entities where contains(name, 'ASIA')) order by hops, names limit 10",
     "chains": _G.replace("with ", "with recursive ", 1) + ", g as (select distinct src, dst from f_facts where src <> dst and name in ('relates_to', 'occurred_in')), w as (select dst as at_node, [src, dst] as path, 1 as hops from g union all select g.dst, list_append(path, g.dst), hops + 1 from w join g on g.src = w.at_node where hops < 6 and not list_contains(path, g.dst)) select path[1] as first, at_node as last, min(hops) as hops from w where hops >= 4 group by 1, 2 order by first, last limit 40",
     "legal_pairs": _G + "select s.label as src_label, t.label as dst_label, lower(f.name) as edge, count(*) as n from f_facts f join f_entities s on s.uuid = f.src join f_entities t on t.uuid = f.dst where (s.label, t.label, lower(f.name)) not in (('Person','Concept','belongs_to'), ('Project','Concept','belongs_to'), ('Concept','Concept','occurred_in'), ('Tool','Project','depends_on'), ('Person','Tool','references')) group by 1, 2, 3",
+    "neighbor_facts": _NEAR.format("Supplier#000000001"),
+    "neighbor_none": _NEAR.format("no such name"),
     # Entities of one embedding are near each other; pairs of others are looked for among all of the label.
     "entity_hashing": f"""with recursive e as (select vec_id * 4 + k as uuid, label, list_transform(embedding::double[], lambda x, i: x * case when k > 1 and (i - 1) % 8 = k then 0.5 else 1.0 end) as v from embeddings, (select unnest([0, 1, 2, 3]) as k)),
  n as (select uuid, label, v, sqrt(list_dot_product(v, v)) as l from e),
@@ -221,7 +231,6 @@ select uuid, min(root) as root from r group by 1""",
  where not exists (from (values {_RULES}) as r(a, b, e) where r.a = s.label and r.b = t.label and r.e = lower(f.name)) group by 1, 2, 3""",
     "as_of": "select count(*) as n, min(o_orderkey) as first, sum(o_orderkey)::bigint as keys from orders where o_orderdate <= timestamp '1995-06-01' and (o_orderkey % 3 <> 0 or o_orderdate + interval 200 day > timestamp '1995-06-01') and (o_orderkey % 7 <> 0 or o_orderdate + interval 400 day > timestamp '1995-06-01')",
     "remove_episode": _F + ", p as (select distinct edge_id, unnest([ep1, ep2]) as uuid from f_search), g as (select 'ep-' || doc_id as uuid from documents where doc_id % 3 = 0) select edge_id, string_agg(uuid, ',' order by uuid) as backing from p where uuid not in (select uuid from g) group by 1",
-    "mentions_left": lambda s, d: graph.without_mentions(mentions(s, d), view(s, d, "f_episodes").where("n % 3 = 0").select("uuid")).groupBy("dst").agg(F.count(F.lit(1)).alias("n")),
     "mentions_left": _E + " select 'C' || o_custkey as dst, count(*) as n from orders where 'ep-' || o_orderkey not in (select uuid from f_episodes where n % 3 = 0) group by 1",
     "entity_resolution": "with v as (select vec_id as uuid, label, embedding::double[] as v from embeddings) select x.uuid as a, y.uuid as b from v x join v y on x.label = y.label and x.uuid < y.uuid where list_dot_product(x.v, y.v) >= 0.3 * sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))",
 }

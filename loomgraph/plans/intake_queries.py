@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph import config
 from loomgraph.config import GateConfig
 from loomgraph.functions.columns import declared
-from loomgraph.operators import classify, evaluate, gate, intake, ranking, state
+from loomgraph.operators import classify, evaluate, gate, graph, intake, lifecycle, ranking, state, windows
 from loomgraph.plans import episode_queries as ep
 from loomgraph.plans.gate_queries import observed
 from loomgraph.sources.fixtures import view, with_views
@@ -53,7 +53,22 @@ def kind_accuracy(s: SparkSession, d: str) -> DataFrame:
     return evaluate.accuracy(evaluate.confusion(gold, sourced.select("uuid", classify.kind()["kind"].alias("got"))))
 
 
+def tool_lights(s: SparkSession, d: str) -> DataFrame:
+    """Every source of the hook log by its last success at the time of the log's last event."""
+    e = view(s, d, "f_hook_events")
+    last = e.groupBy("kw").agg(F.max(F.when(F.col("kind") == "ok", F.col("ts"))).alias("ok")).crossJoin(e.agg(F.max("ts").alias("now")))  # one row
+    return last.select("kw", windows.tool_light(F.unix_timestamp(F.col("now").cast("timestamp")) - F.unix_timestamp(F.col("ok").cast("timestamp"))).alias("light"))
+
+
+def knowledge_stats(s: SparkSession, d: str) -> DataFrame:
+    episodes = view(s, d, "f_episodes").withColumn("name", F.when(F.col("n") % 3 == 0, F.concat("name", F.lit("--obs-"), F.col("n").cast("string"))).otherwise(F.col("name")))
+    return graph.knowledge_stats(view(s, d, "f_fact_texts"), episodes, s.read.parquet(f"{d}/documents.parquet"), view(s, d, "f_ingest_keys"))
+
+
 QUERIES = {
+    "feedback_episodes": lambda s, d: lifecycle.waiting_with_episodes(view(s, d, "f_feedback"), view(s, d, "f_episodes")),
+    "tool_lights": tool_lights,
+    "knowledge_stats": knowledge_stats,
     "feedback_fold": feedback_fold,
     "feedback_refusals": lambda s, d: intake.checked(view(s, d, "f_reports"), view(s, d, "f_episodes")).groupBy("verdict", "refusal").agg(F.count(F.lit(1)).alias("n")),
     "delivery_invariants": replayed,
@@ -71,6 +86,11 @@ _HAS = "n % 6 in (0, 1, 3)"
 _TEXT = "lower(' ' || content || ' ')"
 _NOISY = f"(type = 'bugfix' and (contains({_TEXT}, 'the') or contains({_TEXT}, 'la')) and contains({_TEXT}, 'th')::int + contains({_TEXT}, 'en')::int + contains({_TEXT}, 'er')::int >= 2)"
 ORACLES = {
+    "feedback_episodes": with_views("f_feedback", "f_episodes") + " select f.id, f.episode_name as name, f.verdict, e.uuid, substring(e.content, 1, 4000) as detail from f_feedback f left join f_episodes e on e.name = f.episode_name where f.status = 'pending' order by coalesce(f.updated_at, f.created_at) desc, f.id, e.uuid limit 30",
+    "tool_lights": with_views("f_hook_events") + ", l as (select kw, max(ts) filter (kind = 'ok') as ok from f_hook_events group by 1) select kw, case when ok is null then 'grey' when floor(epoch((select max(ts) from f_hook_events))) - floor(epoch(ok)) < 14400 then 'green' else 'amber' end as light from l",
+    "knowledge_stats": with_views("f_fact_texts", "f_ingest_keys") + """, q as (select count(*) as total, count(*) filter (contains(fact, ' belongs to the ') or contains(fact, ' references the ')) as metadata_like from f_fact_texts)
+select total, metadata_like, round(100.0 * metadata_like / greatest(total, 1), 1)::double as percent, (select count(*) filter (doc_id % 3 = 0) from documents) as children, (select count(*) from documents) as registered,
+ (select count(*) from f_ingest_keys where status = 'ok') as keys_ok, (select count(*) from f_ingest_keys where status = 'pending') as keys_pending, (select count(*) from f_ingest_keys where status = 'error') as keys_error from q""",
     # The first report after a closing begins a row; one that isn't a replacement closes if an odd number came since.
     "feedback_fold": _CHECKED + """,
  lv as (select distinct name from f_episodes where not coalesce(archived, false)),

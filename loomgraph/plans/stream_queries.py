@@ -73,7 +73,20 @@ def stream_watch(s: SparkSession, d: str) -> DataFrame:
     return out.select("host", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "pos", "event")
 
 
+def stream_sessions(s: SparkSession, d: str) -> DataFrame:
+    """Sessions of all users from a stream of four files in the order of time, some events sent twice; those that idle time has closed."""
+    base = scratch(s, "stream")
+    e = s.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    for k in range(4):
+        part = e.where(F.floor((F.dayofmonth("ts") - 1) / 8) == k)
+        part.unionByName(part.where("event_id % 5 = 0")).coalesce(1).write.parquet(f"{base}/in/part-{k}")
+    once = jobs.source(s, f"{base}/in", e.schema, 1).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
+    closed = jobs.drained(jobs.sessions(once, "6 hours", None), "append", "sessions", base)
+    return closed.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")
+
+
 QUERIES = {
+    "stream_sessions": stream_sessions,
     "stream_watch": stream_watch,
     "stream_gate": stream_gate,
     "stream_quotas": stream_quotas,
@@ -83,6 +96,7 @@ QUERIES = {
     "session_windows": lambda s, d: jobs.sessions(s.read.parquet(f"{d}/events.parquet"), "6 hours").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest")),
 }
 ORACLES = {
+    "stream_sessions": "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hour then 0 else 1 end as fresh from events), i as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows between unbounded preceding and current row) as k from g), w as (select user_id, min(ts) as first, max(ts) + interval 6 hour as last, count(*) as n from i group by user_id, k) select user_id, strftime(first, '%Y-%m-%d %H:%M:%S') as start, strftime(last, '%Y-%m-%d %H:%M:%S') as \"end\", n from w where last < (select max(ts) from events) - interval 1 hour",
     "stream_watch": with_views("f_snapshots") + f""", h as (select host, pos, received_at as t, coalesce(last_value(case when overall <> 'grey' then overall end ignore nulls) over w, 'green') = 'red' as bad, lag(received_at) over w as before from f_snapshots window w as (partition by host order by received_at, pos)),
  b as (select *, sum((not bad)::int) over (partition by host order by t, pos) as island from h),
  r as (select *, sum(bad::int) over (partition by host, island order by t, pos) as run from b),

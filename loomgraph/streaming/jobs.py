@@ -93,9 +93,10 @@ def sliding_counts(stream: DataFrame, size: str = "1 hour", step: str = "30 minu
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", size, step), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def sessions(stream: DataFrame, idle: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Sessions of each user, closed by a time without events."""
-    return stream.withWatermark("ts", delay).groupBy(F.session_window("ts", idle), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+def sessions(stream: DataFrame, idle: str = "30 minutes", delay: str | None = "1 hour") -> DataFrame:
+    """Sessions of each user, closed by a time without events. Without a delay the stream has its watermark already."""
+    marked = stream if delay is None else stream.withWatermark("ts", delay)
+    return marked.groupBy(F.session_window("ts", idle), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def alerts(stream: DataFrame, threshold: int = 3) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import classify, evaluate, intake, ranking
+from loomgraph.operators import classify, evaluate, graph, intake, lifecycle, ranking, windows
 
 STORED = "id long, episode_name string, verdict string, query string, status string, report_count long, replacement string, handled_action string"
 REPORTS = "report_id long, episode_name string, verdict string, query string, replacement string"
@@ -91,3 +91,25 @@ def test_payload_of_nulls(spark):
     p = row.select(classify.payload("obs").alias("p")).first().p
     assert p.source_description == "obs id=1 project=? type=? platform=_default"
     assert p.episode_body == "[OBS] (untitled)\ns\n\nFiles read: r\nProject: ?"
+
+
+def test_neighbours_with_facts_and_without_a_match(spark):
+    e = spark.createDataFrame([("1", "ann"), ("2", "bob"), ("3", "ann")], "uuid string, name string")
+    f = spark.createDataFrame([("1", "2", "knows", "ann knows bob"), ("2", "3", "likes", None)], "src string, dst string, name string, fact string")
+    rows = lambda text: sorted(tuple(r) for r in graph.neighbours(e, f, text, rows_without=True).collect())
+    assert rows("an") == [("ann", "bob", "knows", "out", "2", "ann knows bob"), ("ann", "bob", "likes", "in", "2", None)]
+    assert rows("nobody") == [(None,) * 6]
+    lone = e.where("name = 'bob'")
+    assert graph.neighbours(lone, f.limit(0), "bob", rows_without=True).count() == 0
+
+
+def test_waiting_feedback_of_names_with_several_episodes(spark):
+    fb = spark.sql("select * from values (1, 'a', 'stale', 'pending', timestamp'2024-01-01', null), (2, 'b', 'stale', 'pending', timestamp'2024-01-02', null), (3, null, 'stale', 'pending', timestamp'2024-01-03', null), (4, 'a', 'stale', 'handled', timestamp'2024-01-04', null) as t(id, episode_name, verdict, status, created_at, updated_at)")
+    ep = spark.createDataFrame([("u1", "a", "x" * 5000), ("u2", "a", None), ("u3", None, "n")], "uuid string, name string, content string")
+    got = [(r.id, r.name, r.uuid, None if r.detail is None else len(r.detail)) for r in lifecycle.waiting_with_episodes(fb, ep).collect()]
+    assert got == [(3, None, None, None), (2, "b", None, None), (1, "a", "u1", 4000), (1, "a", "u2", 0)]
+
+
+def test_tool_light(spark):
+    df = spark.createDataFrame([(None,), (0,), (14399,), (14400,)], "age int")
+    assert [r[0] for r in df.select(windows.tool_light(F.col("age"))).collect()] == ["grey", "green", "green", "amber"]
