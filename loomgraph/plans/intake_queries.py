@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from loomgraph import config
 from loomgraph.config import GateConfig
 from loomgraph.functions.columns import declared
-from loomgraph.operators import classify, evaluate, gate, graph, intake, lifecycle, ranking, state, windows
+from loomgraph.operators import classify, evaluate, gate, graph, hooks, intake, lifecycle, ranking, state, windows
 from loomgraph.plans import episode_queries as ep
 from loomgraph.plans.gate_queries import observed
 from loomgraph.sources.fixtures import view, with_views
+from loomgraph.tables import scratch
 
 NOW = "timestamp '2024-03-01 00:00:00'"
 #: Noise of the replay: bug fixes with these syllables stand for those about the system's own running.
@@ -65,7 +66,21 @@ def knowledge_stats(s: SparkSession, d: str) -> DataFrame:
     return graph.knowledge_stats(view(s, d, "f_fact_texts"), episodes, s.read.parquet(f"{d}/documents.parquet"), view(s, d, "f_ingest_keys"))
 
 
+def by_words(prompts: list[str]) -> list[str]:
+    """A hook without a model: a tag by words of the text, or an answer that is none."""
+    return ["public-story" if " the " in p else "professional-guide" if " de " in p else "unsure" for p in prompts]
+
+
+def suggested_tags(s: SparkSession, d: str) -> DataFrame:
+    """Tags of all untagged episodes by a hook that is asked in two runs: the second asks for what the first hasn't seen."""
+    waiting = view(s, d, "f_episodes").where("visibility is null").select("uuid", "archived", hooks.tag_prompt(F.col("content")).alias("prompt"))
+    ledger = hooks.AnswerLedger(s, scratch(s, "answers"), by_words)
+    ledger.ask(waiting.where("not archived"))
+    return ledger.ask(waiting).select("uuid", "status", hooks.suggested_tag(F.col("answer")).alias("tag"))
+
+
 QUERIES = {
+    "suggested_tags": suggested_tags,
     "feedback_episodes": lambda s, d: lifecycle.waiting_with_episodes(view(s, d, "f_feedback"), view(s, d, "f_episodes")),
     "tool_lights": tool_lights,
     "knowledge_stats": knowledge_stats,
@@ -86,6 +101,8 @@ _HAS = "n % 6 in (0, 1, 3)"
 _TEXT = "lower(' ' || content || ' ')"
 _NOISY = f"(type = 'bugfix' and (contains({_TEXT}, 'the') or contains({_TEXT}, 'la')) and contains({_TEXT}, 'th')::int + contains({_TEXT}, 'en')::int + contains({_TEXT}, 'er')::int >= 2)"
 ORACLES = {
+    "suggested_tags": with_views("f_episodes") + """, p as (select uuid, substring(replace(trim(substring(coalesce(content, ''), 1, 300), chr(32) || chr(9) || chr(13) || chr(10)), chr(10), ' '), 1, 200) as prompt from f_episodes where visibility is null)
+select uuid, case when prompt = '' then 'empty' else 'ok' end as status, case when prompt = '' then null when contains(prompt, ' the ') then 'public-story' when contains(prompt, ' de ') then 'professional-guide' else 'internal-note' end as tag from p""",
     "feedback_episodes": with_views("f_feedback", "f_episodes") + " select f.id, f.episode_name as name, f.verdict, e.uuid, substring(e.content, 1, 4000) as detail from f_feedback f left join f_episodes e on e.name = f.episode_name where f.status = 'pending' order by coalesce(f.updated_at, f.created_at) desc, f.id, e.uuid limit 30",
     "tool_lights": with_views("f_hook_events") + ", l as (select kw, max(ts) filter (kind = 'ok') as ok from f_hook_events group by 1) select kw, case when ok is null then 'grey' when floor(epoch((select max(ts) from f_hook_events))) - floor(epoch(ok)) < 14400 then 'green' else 'amber' end as light from l",
     "knowledge_stats": with_views("f_fact_texts", "f_ingest_keys") + """, q as (select count(*) as total, count(*) filter (contains(fact, ' belongs to the ') or contains(fact, ' references the ')) as metadata_like from f_fact_texts)
