@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.config import GateConfig
 from loomgraph.plans.gate_queries import _DECIDED, _OPEN
+from loomgraph.plans.state_queries import ORACLES as _STATE_SQL
 from loomgraph.sources.fixtures import view, with_views
 from loomgraph.streaming import jobs
 from loomgraph.tables import scratch
@@ -85,7 +86,24 @@ def stream_sessions(s: SparkSession, d: str) -> DataFrame:
     return closed.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")
 
 
+def stream_nearest(s: SparkSession, d: str) -> DataFrame:
+    """The nearest session of each injection from two streams in the order of time; a last row far ahead lets all come out."""
+    base = scratch(s, "stream")
+
+    def fed(name: str, at: str, key: str) -> DataFrame:
+        rows = view(s, d, name).withColumn(at, F.col(at).cast("timestamp"))
+        for k in range(4):
+            rows.where(F.floor((F.dayofmonth(at) - 1) / 8) == k).coalesce(1).write.parquet(f"{base}/{name}/part-{k}")
+        end = rows.agg((F.max(at) + F.expr("interval 30 days")).alias(at)).select(F.lit(-1).cast(rows.schema[key].dataType).alias(key), F.lit("end").alias("project"), at)
+        end.select(*rows.columns).coalesce(1).write.parquet(f"{base}/{name}/part-9")
+        return jobs.source(s, f"{base}/{name}", rows.schema, 1)
+
+    found = jobs.nearest_sessions(fed("f_injections", "ts", "id"), fed("f_work_sessions", "start_ts", "session_id"))
+    return jobs.drained(found, "append", "nearest", base)
+
+
 QUERIES = {
+    "stream_nearest": stream_nearest,
     "stream_sessions": stream_sessions,
     "stream_watch": stream_watch,
     "stream_gate": stream_gate,
@@ -96,6 +114,7 @@ QUERIES = {
     "session_windows": lambda s, d: jobs.sessions(s.read.parquet(f"{d}/events.parquet"), "6 hours").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest")),
 }
 ORACLES = {
+    "stream_nearest": _STATE_SQL["nearest_session"],
     "stream_sessions": "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hour then 0 else 1 end as fresh from events), i as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows between unbounded preceding and current row) as k from g), w as (select user_id, min(ts) as first, max(ts) + interval 6 hour as last, count(*) as n from i group by user_id, k) select user_id, strftime(first, '%Y-%m-%d %H:%M:%S') as start, strftime(last, '%Y-%m-%d %H:%M:%S') as \"end\", n from w where last < (select max(ts) from events) - interval 1 hour",
     "stream_watch": with_views("f_snapshots") + f""", h as (select host, pos, received_at as t, coalesce(last_value(case when overall <> 'grey' then overall end ignore nulls) over w, 'green') = 'red' as bad, lag(received_at) over w as before from f_snapshots window w as (partition by host order by received_at, pos)),
  b as (select *, sum((not bad)::int) over (partition by host order by t, pos) as island from h),

@@ -99,6 +99,23 @@ def sessions(stream: DataFrame, idle: str = "30 minutes", delay: str | None = "1
     return marked.groupBy(F.session_window("ts", idle), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def nearest_sessions(injections: DataFrame, sessions: DataFrame, before: int = 180, after: int = 3600, delay: str = "10 minutes") -> DataFrame:
+    """Each injection's nearest session of its project (id, session_id, gap), from two streams; ``evaluate.nearest_session`` as a stream.
+
+    injections: id, project, ts; sessions: session_id, project, start_ts. Both are joined in an interval of event time,
+    so that state is dropped once no partner can come; an injection is given out when the watermark shows that its
+    nearest is known. Ties take the earlier start, then the lesser id. An injection that is sent again within ``delay``
+    counts once; null projects match none; rows later than ``delay`` are left out by Spark.
+    """
+    left = injections.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
+    right = sessions.withColumnRenamed("project", "_project").withWatermark("start_ts", delay)
+    near = F.expr(f"project = _project and start_ts >= ts - interval {before} seconds and start_ts <= ts + interval {after} seconds")
+    gap = F.unix_timestamp("start_ts") - F.unix_timestamp("ts")
+    pairs = left.join(right, near).select("id", "ts", "session_id", "start_ts", gap.alias("gap")).where(F.col("gap").between(-before, after))
+    best = pairs.groupBy("id", "ts").agg(F.min_by(F.struct("session_id", "gap"), F.struct(F.abs("gap"), "start_ts", "session_id")).alias("best"))
+    return best.select("id", "best.*")
+
+
 def alerts(stream: DataFrame, threshold: int = 3) -> DataFrame:
     """Edge-triggered alerts of each host: ``fire`` at the threshold-th bad state in a run, ``clear`` at the next good one.
 

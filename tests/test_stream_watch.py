@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph
+from loomgraph.operators import evaluate, graph
 from loomgraph.streaming import jobs
 
 SCHEMA = "host string, received_at timestamp, pos long, overall string"
@@ -50,3 +50,24 @@ def test_legal_edges_of_untyped_and_unknown_ends(spark):
     f = spark.createDataFrame([("i", "f", "FIXED_BY"), ("f", "i", "fixed_by"), ("x", "y", "modified"), ("x", "y", "likes"), ("x", "i", "modified"), ("i", "gone", "fixed_by"), ("i", "f", None)], "src string, dst string, name string")
     got = {tuple(r) for r in graph.illegal(e, f).select("src_label", "dst_label", "edge", "n").collect()}
     assert got == {("Fix", "Issue", "fixed_by", 1), ("Entity", "Entity", "likes", 1), ("Entity", "Issue", "modified", 1), ("Issue", "Fix", None, 1)}
+
+
+def test_nearest_sessions_of_two_streams_equal_the_batch(spark, tmp_path):
+    """Ties, bounds, repeated injections and null projects, over several micro-batches."""
+    at = lambda c: F.timestamp_seconds(F.lit(1704067200) + F.col(c))
+    asked = [(1, "p", 1000), (2, "p", 5000), (3, "q", 5000), (4, None, 5000), (5, "p", 9000)]
+    began = [(1, "p", 820), (2, "p", 1180), (3, "p", 4819), (4, "p", 8600), (5, "q", 8601), (6, None, 5000), (7, "p", 9100), (8, "p", 9100)]
+    injections = spark.createDataFrame(asked, "id long, project string, t long").select("id", "project", at("t").alias("ts"))
+    sessions = spark.createDataFrame(began, "session_id long, project string, t long").select("session_id", "project", at("t").alias("start_ts"))
+    far = F.timestamp_seconds(F.lit(1704067200 + 900_000))
+    parts = [("ts < timestamp'2024-01-01 01:00:00'", "start_ts < timestamp'2024-01-01 01:00:00'"), ("ts >= timestamp'2024-01-01 01:00:00'", "start_ts >= timestamp'2024-01-01 01:00:00'")]
+    for k, (x, y) in enumerate(parts):
+        rows = injections.where(x)
+        rows.unionByName(rows.limit(1)).coalesce(1).write.parquet(f"{tmp_path}/i/{k}")
+        sessions.where(y).coalesce(1).write.parquet(f"{tmp_path}/s/{k}")
+    spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit("end").alias("project"), far.alias("ts")).write.parquet(f"{tmp_path}/i/9")
+    spark.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.lit("end").alias("project"), far.alias("start_ts")).write.parquet(f"{tmp_path}/s/9")
+    found = jobs.nearest_sessions(jobs.source(spark, f"{tmp_path}/i", injections.schema, 1), jobs.source(spark, f"{tmp_path}/s", sessions.schema, 1))
+    got = sorted(tuple(r) for r in jobs.drained(found, "append", "n", str(tmp_path)).collect())
+    want = sorted(tuple(r) for r in evaluate.nearest_session(injections, sessions).collect())
+    assert got == want == [(1, 1, -180), (2, 4, 3600), (5, 7, 100)]
