@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import config
 from loomgraph.functions.columns import declared
-from loomgraph.operators import classify, graph, resolution, retrieval
+from loomgraph.operators import classify, graph, resolution, retrieval, walks
 from loomgraph.plans.index_queries import episode_index
 from loomgraph.sources.fixtures import view, with_views
 
@@ -59,6 +59,8 @@ def typed_entities(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "f_entities").withColumn("label", F.when(~F.col("uuid").endswith("7"), kind))
 
 
+#: Of the drawn chains.
+SEED = 7
 #: Least cosine of entities that count as one.
 NEAR_ENOUGH = 0.92
 
@@ -97,8 +99,10 @@ QUERIES = {
     "orphans": lambda s, d: graph.degrees(graph_of(s, d)[0], graph_of(s, d)[1], mentions(s, d)).agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("degree") == 0).alias("orphans"), F.count_if(F.col("degree") == 1).alias("singletons")),
     "hubs": lambda s, d: graph.degrees(*graph_of(s, d)).orderBy(F.desc("degree"), "name", "uuid").limit(15),
     "neighbors": lambda s, d: graph.neighbours(*graph_of(s, d), "Supplier#000000001", 20),
-    "paths": lambda s, d: graph.paths(*graph_of(s, d), source_name(s, d), region_name(s, d), 4, 10),
-    "chains": lambda s, d: graph.chains(graph_of(s, d)[1].where("name in ('relates_to', 'occurred_in')"), 4, 6, 40),
+    "paths": lambda s, d: walks.paths(*graph_of(s, d), source_name(s, d), region_name(s, d), 4, 10),
+    "paths_long": lambda s, d: walks.paths(*graph_of(s, d), source_name(s, d), region_name(s, d), 6, 3000),
+    "chains": lambda s, d: walks.chains(graph_of(s, d)[1], 4, 6, 40),
+    "chains_drawn": lambda s, d: walks.drawn_chains(graph_of(s, d)[1], 4, 6, 20, SEED),
     "legal_pairs": lambda s, d: graph.illegal(*graph_of(s, d), FIXTURE_EDGES),
     "neighbor_facts": lambda s, d: graph.neighbours(view(s, d, "f_entities"), view(s, d, "f_fact_texts"), "Supplier#000000001", 20, rows_without=True),
     "neighbor_none": lambda s, d: graph.neighbours(view(s, d, "f_entities"), view(s, d, "f_fact_texts"), "no such name", 20, rows_without=True),
@@ -155,6 +159,28 @@ def _hybrid(where: str) -> str:
 select fact, sem::double as sem, exact, external, stale, verified, usage, score::double as score from z {where} order by score desc, fact limit 15"""
 
 
+def _paths(hops: int, most: int) -> str:
+    return _G.replace("with ", "with recursive ", 1) + f", g as (select distinct src, dst from f_facts where src <> dst), w as (select uuid as at_node, [uuid] as path, 0 as hops from f_entities where contains(name, 'Customer#00000001') union all select g.dst, list_append(path, g.dst), hops + 1 from w join g on g.src = w.at_node where hops < {hops} and not list_contains(path, g.dst)) select hops, array_to_string(path, '>') as names from w where hops > 0 and at_node in (select uuid from f_entities where contains(name, 'ASIA')) order by hops, names limit {most}"
+
+
+def _race(weight: str, *of: str) -> str:
+    key = " || '|' || ".join((f"'{SEED}'", *of))
+    return f"-ln((('0x' || substr(md5({key}), 1, 13))::bigint + 0.5) / 4503599627370496.0::double) / ({weight})::double"
+
+
+def _drawn(least: int, most: int, k: int) -> str:
+    """The same draws in plain SQL: walk counts hop by hop, then one edge a step by the same races."""
+    out = _G + ", g as materialized (select distinct src, dst from f_facts where src <> dst), c1 as materialized (select src as uuid, 1 as hops, count(*)::hugeint as walks from g group by 1)"
+    for j in range(2, most + 1):
+        out += f", c{j} as materialized (select g.src as uuid, {j} as hops, sum(walks)::hugeint as walks from g join c{j - 1} on uuid = dst group by 1)"
+    out += ", c as materialized (" + " union all ".join(f"select * from c{j}" for j in range(1, most + 1)) + " union all select distinct dst, 0, 1::hugeint from g)"
+    out += f", d0 as materialized (select uuid as first, hops, {_race('walks', 'uuid', 'hops')} as race, [uuid] as path from c where hops >= {least} order by race, uuid, hops limit {8 * k})"
+    for i in range(1, most + 1):
+        r = _race("c.walks", "first", "d.hops", f"'{i}'", "g.dst")
+        out += f", d{i} as materialized (select first, hops, any_value(race) as race, list_append(any_value(path), arg_min(dst, (r, dst))) as path from (select first, d.hops, race, path, g.dst, {r} as r from d{i - 1} d join g on g.src = d.path[-1] join c on c.uuid = g.dst and c.hops = d.hops - {i} where d.hops >= {i} and not list_contains(path, g.dst)) group by 1, 2 union all select * from d{i - 1} where hops < {i})"
+    return out + f", z as (select first, path[-1] as last, hops, array_to_string(path, '>') as names, race, row_number() over (partition by first, path[-1] order by race, hops) as n from d{most}) select first, last, hops, names from z where n = 1 order by race, first, last limit {k}"
+
+
 _BM = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) as tf{i}" for i, w in enumerate(("the", "of", "que")))
 _LIVE = ", l as (select uuid, name, list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') as t from f_episodes where not archived)"
 
@@ -216,8 +242,10 @@ ORACLES = {
     "orphans": _G + ", t as (select unnest(case when src = dst then [src] else [src, dst] end) as uuid from f_facts union all select 'C' || o_custkey from orders), g as (select uuid, count(*) as degree from t group by 1), x as (select coalesce(degree, 0) as degree from f_entities left join g using (uuid)) select count(*) as entities, count(*) filter (degree = 0) as orphans, count(*) filter (degree = 1) as singletons from x",
     "hubs": _G + _DEG + "select uuid, name, degree from x order by degree desc, name, uuid limit 15",
     "neighbors": _G + ", n as (select uuid, name from f_entities where name = (select name from f_entities where contains(name, 'Supplier#000000001') order by name = 'Supplier#000000001' desc, length(name), name, uuid limit 1)) (select n.name as node, e.name as neighbour, f.name as edge, 'out' as direction, e.uuid from f_facts f join n on f.src = n.uuid join f_entities e on e.uuid = f.dst order by e.name, f.name, e.uuid limit 20) union all (select n.name, e.name, f.name, 'in', e.uuid from f_facts f join n on f.dst = n.uuid join f_entities e on e.uuid = f.src order by e.name, f.name, e.uuid limit 20)",
-    "paths": _G.replace("with ", "with recursive ", 1) + ", g as (select distinct src, dst from f_facts where src <> dst), w as (select uuid as at_node, [uuid] as path, 0 as hops from f_entities where contains(name, 'Customer#00000001') union all select g.dst, list_append(path, g.dst), hops + 1 from w join g on g.src = w.at_node where hops < 4 and not list_contains(path, g.dst)) select hops, array_to_string(path, '>') as names from w where hops > 0 and at_node in (select uuid from f_entities where contains(name, 'ASIA')) order by hops, names limit 10",
-    "chains": _G.replace("with ", "with recursive ", 1) + ", g as (select distinct src, dst from f_facts where src <> dst and name in ('relates_to', 'occurred_in')), w as (select dst as at_node, [src, dst] as path, 1 as hops from g union all select g.dst, list_append(path, g.dst), hops + 1 from w join g on g.src = w.at_node where hops < 6 and not list_contains(path, g.dst)) select path[1] as first, at_node as last, min(hops) as hops from w where hops >= 4 group by 1, 2 order by first, last limit 40",
+    "paths": _paths(4, 10),
+    "paths_long": _paths(6, 3000),
+    "chains_drawn": _drawn(4, 6, 20),
+    "chains": _G.replace("with ", "with recursive ", 1) + ", g as (select distinct src, dst from f_facts where src <> dst), w as (select dst as at_node, [src, dst] as path, 1 as hops from g union all select g.dst, list_append(path, g.dst), hops + 1 from w join g on g.src = w.at_node where hops < 6 and not list_contains(path, g.dst)) select path[1] as first, at_node as last, min(hops) as hops from w where hops >= 4 group by 1, 2 order by first, last limit 40",
     "legal_pairs": _G + "select s.label as src_label, t.label as dst_label, lower(f.name) as edge, count(*) as n from f_facts f join f_entities s on s.uuid = f.src join f_entities t on t.uuid = f.dst where (s.label, t.label, lower(f.name)) not in (('Person','Concept','belongs_to'), ('Project','Concept','belongs_to'), ('Concept','Concept','occurred_in'), ('Tool','Project','depends_on'), ('Person','Tool','references')) group by 1, 2, 3",
     "neighbor_facts": _NEAR.format("Supplier#000000001"),
     "neighbor_none": _NEAR.format("no such name"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph import config, schemas
 from loomgraph.config import GateConfig
 from loomgraph.functions.columns import clamped, cpu_seconds, escaped, excerpt, humanised, in_hours, json_list, occurrences, path_keywords, short_age, snippet
-from loomgraph.operators import classify, evaluate, gate, graph, lifecycle, ranking, retrieval, state, windows
+from loomgraph.operators import classify, evaluate, gate, graph, lifecycle, ranking, retrieval, state, walks, windows
 from loomgraph.sources import readers
 from loomgraph.streaming import jobs
 from loomgraph.tables import components, current_state, replace_state
@@ -123,8 +123,8 @@ def test_search_retires_facts_by_known_backing(spark):
 def test_paths_are_simple_and_shortest_first(spark):
     n = spark.createDataFrame([(x, x, "Concept") for x in "abcde"], "uuid string, name string, label string")
     f = spark.createDataFrame([("a", "b", "r"), ("b", "c", "r"), ("c", "a", "r"), ("c", "d", "r"), ("a", "d", "r"), ("d", "d", "r")], "src string, dst string, name string")
-    assert [(r.hops, r.names) for r in graph.paths(n, f, "a", "d", 4, 5).collect()] == [(1, "a>d"), (3, "a>b>c>d")]
-    assert graph.paths(n, f, "a", "e", 4, 5).count() == 0
+    assert [(r.hops, r.names) for r in walks.paths(n, f, "a", "d", 4, 5).collect()] == [(1, "a>d"), (3, "a>b>c>d")]
+    assert walks.paths(n, f, "a", "e", 4, 5).count() == 0
     assert {r.uuid: r.degree for r in graph.degrees(n, f).collect()} == {"a": 3, "b": 2, "c": 3, "d": 3, "e": 0}
 
 
