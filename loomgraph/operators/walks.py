@@ -20,8 +20,8 @@ def plain_edges(facts: DataFrame) -> DataFrame:
 
 
 def hops_from(edges: DataFrame, starts: DataFrame, here: str, there: str, most: int) -> DataFrame:
-    """(uuid, hops) of all nodes within ``most`` edges of a start, with the least number; each level is written."""
-    known = level = materialise(starts.select("uuid", F.lit(0).alias("hops")), "level")
+    """(uuid, hops) of all nodes within ``most`` edges of a start, with the least number; each level but the first is written."""
+    known = level = starts.select("uuid", F.lit(0).alias("hops"))
     for hop in range(1, most + 1):
         ends = edges.join(level.select(F.col("uuid").alias(here)), here, "left_semi").select(F.col(there).alias("uuid")).distinct()
         level = materialise(ends.join(known, "uuid", "left_anti").select("uuid", F.lit(hop).alias("hops")), "level")
@@ -36,30 +36,29 @@ def _extended(edges: DataFrame, prefixes: DataFrame) -> DataFrame:
     return rows.select(F.concat("path", F.array("dst")).alias("path"), F.concat_ws(">", "names", "dst").alias("names"), "far")
 
 
-def _first_of_length(edges: DataFrame, starts: DataFrame, length: int, most: int, beam: int) -> tuple[list[DataFrame], int]:
-    """Tables of the first ``most`` simple paths of ``length`` edges by names, and how many they hold.
+def _first_of_length(edges: DataFrame, starts: DataFrame, length: int, most: int, beam: int) -> list[str]:
+    """The names of the first ``most`` simple paths of ``length`` edges.
 
     Partial paths are extended first one first, at most ``beam`` at a time. With the separator behind it no partial path
     is the beginning of another of its length, so all ends of one come before all ends of the next: what waits is only
     looked at when those before it have come to too few ends. A node stays on the way only while a target is near enough.
+    A beam is a top-k result of bounded size that the next step broadcasts; it goes through the driver as that.
     """
-    found, n_found = [], 0
+    found: list[str] = []
     waiting: list[tuple[DataFrame | None, int, str | None]] = [(None, 0, None)]  # prefixes, edges of their extensions, the last one taken
-    while waiting and n_found < most:
+    while waiting and len(found) < most:
         prefixes, done, after = waiting.pop()
-        last, take = done == length, most - n_found if done == length else beam
+        last, take = done == length, min(most - len(found), beam) if done == length else beam
         rows = (starts if prefixes is None else _extended(edges, prefixes)).where(F.col("far") <= length - done)
         rows = rows.withColumn("place", F.col("names") if last else F.concat("names", F.lit(">")))
-        chunk = materialise((rows if after is None else rows.where(F.col("place") > after)).orderBy("place").limit(take), "partial")
-        n, at = chunk.agg(F.count(F.lit(1)), F.max("place")).first()
-        if n == take:
-            waiting.append((prefixes, done, at))
-        if n and last:
-            found.append(chunk)
-            n_found += n
-        elif n:
-            waiting.append((chunk, done + 1, None))
-    return found, n_found
+        chunk = (rows if after is None else rows.where(F.col("place") > after)).orderBy("place").limit(take).toArrow()
+        if chunk.num_rows == take:
+            waiting.append((prefixes, done, chunk["place"][-1].as_py()))
+        if last:
+            found += chunk["names"].to_pylist()
+        elif chunk.num_rows:
+            waiting.append((edges.sparkSession.createDataFrame(chunk.select(["path", "names"])), done + 1, None))
+    return found
 
 
 def paths(entities: DataFrame, facts: DataFrame, source: str, target: str, hops: int = 4, most: int = 3, beam: int = BEAM) -> DataFrame:
@@ -72,20 +71,17 @@ def paths(entities: DataFrame, facts: DataFrame, source: str, target: str, hops:
     hops = clamped(hops, 1, 6, 4)
     edges = plain_edges(facts)
     named = lambda text: entities.where(F.col("name").contains(text) & F.col("uuid").isNotNull()).select("uuid").distinct()
-    near = hops_from(edges, named(source), "src", "dst", hops - 1).select(F.col("uuid").alias("src"), F.col("hops").alias("near"))
-    far = hops_from(edges, named(target), "dst", "src", hops - 1).select(F.col("uuid").alias("dst"), F.col("hops").alias("far"))
+    sources, targets = materialise(named(source), "sources"), materialise(named(target), "targets")
+    near = hops_from(edges, sources, "src", "dst", hops - 1).select(F.col("uuid").alias("src"), F.col("hops").alias("near"))
+    far = hops_from(edges, targets, "dst", "src", hops - 1).select(F.col("uuid").alias("dst"), F.col("hops").alias("far"))
     between = materialise(edges.join(near, "src").join(far, "dst").where(F.col("near") + F.col("far") < hops).select("src", "dst", "far"), "between")
     first = between.groupBy("src").agg((F.min("far") + 1).alias("far")).withColumnRenamed("src", "uuid")
-    starts = materialise(named(source).join(first, "uuid").select(F.array("uuid").alias("path"), F.col("uuid").alias("names"), "far"), "starts")
-    found = starts.where("false").select(F.lit(0).alias("hops"), "names")
+    starts = materialise(sources.join(first, "uuid").select(F.array("uuid").alias("path"), F.col("uuid").alias("names"), "far"), "starts")
+    found: list[tuple[int, str]] = []
     for length in range(1, hops + 1):
-        tables, n = _first_of_length(between, starts, length, most, beam)
-        for t in tables:
-            found = found.unionByName(t.select(F.lit(length).alias("hops"), "names"))
-        most -= n
-        if most <= 0:
-            break
-    return found.orderBy("hops", "names")
+        if len(found) < most:
+            found += [(length, names) for names in _first_of_length(between, starts, length, most - len(found), beam)]
+    return facts.sparkSession.createDataFrame(found, "hops int, names string").orderBy("hops", "names")
 
 
 def _ends(edges: DataFrame, starts: DataFrame, least: int, most: int) -> DataFrame:
