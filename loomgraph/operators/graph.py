@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from loomgraph import config
 from loomgraph.functions.columns import clamped, contains_any
-from loomgraph.tables import components
+from loomgraph.operators import pairs
+from loomgraph.tables import components, materialise
 
 
 def totals(entities: DataFrame, facts: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -123,9 +124,9 @@ def without_mentions(mentions: DataFrame, uuids: DataFrame) -> DataFrame:
     return mentions.join(uuids.select(F.col("uuid").alias("src")), "src", "left_anti")
 
 
-def resolved(entities: DataFrame, pairs: DataFrame) -> DataFrame:
+def resolved(entities: DataFrame, links: DataFrame) -> DataFrame:
     """(uuid, root) of every entity: the least uuid of those that similar pairs (a, b) connect, itself without any."""
-    roots = components(pairs)
+    roots = components(links)
     return entities.select("uuid").join(roots.withColumnRenamed("node", "uuid"), "uuid", "left").select("uuid", F.coalesce("root", "uuid").alias("root"))
 
 
@@ -160,16 +161,24 @@ def fact_quality(facts: DataFrame) -> DataFrame:
     return c.withColumn("percent", F.round(100.0 * F.col("metadata_like") / F.greatest("total", F.lit(1)), 1))
 
 
-def resolve_entities(entities: DataFrame, block: Column, vector: str, least: float, salts: int = 16) -> DataFrame:
-    """(a, b) pairs of the same block whose vectors have at least a cosine; blocks bound what is compared.
+def resolve_entities(entities: DataFrame, block: Column, vector: str, least: float) -> DataFrame:
+    """(a, b) pairs of the same block whose vectors have at least a cosine: exact, all pairs of a block are compared.
 
-    A block is dealt out over ``salts`` tasks: each gets a part of its rows as the one side and all of them as the
-    other. Null blocks and vectors match nothing.
+    A block is cut into parts, and each two parts are compared by a product of matrices (``pairs.similar``). Null blocks
+    and vectors match nothing.
     """
-    rows = entities.select("uuid", block.alias("block"), F.col(vector).alias("v"))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    left, right = (rows.select("block", F.col("uuid").alias(k), F.col("v").alias(f"v{k}")) for k in "ab")
-    left = left.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    return left.join(right, ["block", "salt"]).where("a < b").where(dot >= least * norm(F.col("va")) * norm(F.col("vb"))).select("a", "b")
+    return pairs.similar(entities.select("uuid", block.alias("block"), *pairs.packed(vector)), ["block"], least)
+
+
+def connecting(entities: DataFrame, block: Column, vector: str, least: float) -> DataFrame:
+    """Pairs (a, b) of ``resolve_entities`` that connect the same components as all of them.
+
+    Equal vectors of a block are one class, compared once, and hang on its least member; of the pairs of two parts those
+    stay that connect them without a cycle.
+    """
+    rows = entities.select("uuid", block.alias("block"), *pairs.packed(vector)).dropna()
+    if least > 1 - 1e-9:  # rounding may keep a vector from being similar to itself
+        return pairs.similar(rows, ["block"], least, forest=True)
+    classes = materialise(rows.groupBy("block", "dim", "v").agg(F.min("uuid").alias("uuid"), F.count(F.lit(1)).alias("n")), "classes")
+    copies = rows.join(classes.where("n > 1").withColumnRenamed("uuid", "a"), ["block", "dim", "v"]).select("a", F.col("uuid").alias("b")).where("a <> b")
+    return pairs.similar(classes, ["block"], least, forest=True).unionByName(copies).distinct()

@@ -86,8 +86,8 @@ QUERIES = {
     "context_fill": lambda s, d: context_fill(s, d),
     "context_full": lambda s, d: retrieval.context(view(s, d, "f_episodes").withColumn("scope", F.lit("global")), "the", 3),
     "fact_quality": lambda s, d: graph.fact_quality(view(s, d, "f_fact_texts")),
-    "entity_components": lambda s, d: graph.resolved(vectors(s, d), graph.resolve_entities(vectors(s, d), F.col("label"), "embedding", 0.35)),
-    "merged_facts": lambda s, d: graph.merged(vectors(s, d).select(F.col("uuid").alias("src"), (F.col("uuid") * 7 % 400).alias("dst"), F.lit("near").alias("name")), graph.resolved(vectors(s, d), graph.resolve_entities(vectors(s, d), F.col("label"), "embedding", 0.35))),
+    "entity_components": lambda s, d: graph.resolved(vectors(s, d), graph.connecting(vectors(s, d), F.col("label"), "embedding", 0.35)),
+    "merged_facts": lambda s, d: graph.merged(vectors(s, d).select(F.col("uuid").alias("src"), (F.col("uuid") * 7 % 400).alias("dst"), F.lit("near").alias("name")), graph.resolved(vectors(s, d), graph.connecting(vectors(s, d), F.col("label"), "embedding", 0.35))),
     "blast_radius": lambda s, d: graph.impact(view(s, d, "f_episodes").select(F.concat(F.lit("obs-"), F.col("n").cast("string")).alias("name")), view(s, d, "f_episodes"), mentions(s, d)),
     "verbose_backing": backing_detail,
     "graph_stats": lambda s, d: graph.totals(*graph_of(s, d), view(s, d, "f_episodes")),
