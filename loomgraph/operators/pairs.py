@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most rows of a block's part (about), most products of a matrix at once, and rows that a task compares (about).
-PART, PRODUCTS, TASK_ROWS = 2048, 2_000_000, 8192
+#: Rows of a block's part at most (about), products of a matrix at once, rows of a batch of cells (about), tasks at most.
+PART, PRODUCTS, TASK_ROWS, MOST_TASKS = 2048, 2_000_000, 8192, 2000
 
 
 def _bytes(vectors: pd.Series) -> pd.Series:
@@ -27,10 +27,10 @@ def packed(vector: str) -> list[Column]:
     return [F.when(whole, F.size(vector)).alias("dim"), F.when(whole, F.pandas_udf(_bytes, "binary")(F.col(vector).cast("array<double>"))).alias("v")]
 
 
-def unpacked(values: pa.ChunkedArray, dim: int) -> np.ndarray:
+def unpacked(values: list[bytes], dim: int) -> np.ndarray:
     """The matrix of packed vectors of one length."""
     out = np.empty((len(values), dim))
-    for i, v in enumerate(values.to_pylist()):
+    for i, v in enumerate(values):
         out[i] = np.frombuffer(v, "<f4" if len(v) == 4 * dim else "<f8")
     return out
 
@@ -56,16 +56,14 @@ def spanning(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarra
         label[:] = parent[label]
 
 
-def _similar(table: pa.Table, least: float, forest: bool) -> pa.Table:
-    """Pairs of one cell: of its left rows with its right ones or, on the diagonal, of all its rows."""
-    table = table.sort_by("uuid") if forest else table
-    dim, right = table["dim"][0].as_py(), table["right"].to_numpy(zero_copy_only=False).astype(bool)
-    v, ids = unpacked(table["v"], dim), table["uuid"].combine_chunks()
+def _similar(v: np.ndarray, ids: pa.Array, right: np.ndarray, whole: bool, least: float, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one cell's rows: of its left ones with its right ones or, if it is ``whole``, of all."""
+    dim = v.shape[1]
     with np.errstate(all="ignore"):
         squares = np.zeros(len(v))
         for k in range(dim):  # in the order of the vector, as SQL adds
             squares += v[:, k] * v[:, k]
-        norm, whole = np.sqrt(squares), not right.any() and table["i"][0] == table["j"][0]
+        norm = np.sqrt(squares)
         left, right = (np.arange(len(v)), np.arange(len(v))) if whole else (np.flatnonzero(~right), np.flatnonzero(right))
         label, found, step = np.arange(len(v)), ([], []), max(1, PRODUCTS // max(len(right), 1))
         for at in range(0, len(left), step):
@@ -88,6 +86,20 @@ def _similar(table: pa.Table, least: float, forest: bool) -> pa.Table:
                 x, y = spanning(label, x, y)
             found[0].append(x)
             found[1].append(y)
+    return tuple(np.concatenate([np.empty(0, int), *f]) for f in found)
+
+
+def _batch(table: pa.Table, cell: list[str], least: float, forest: bool) -> pa.Table:
+    """Pairs of some cells, one after the other."""
+    table = table.sort_by("uuid") if forest else table  # so that equal pairs of several bands are kept
+    values, ids, keys = table["v"].to_pylist(), table["uuid"].combine_chunks(), table.select(cell).to_pandas()
+    dims, right, whole = keys["dim"].to_numpy(), table["right"].to_numpy().astype(bool), (keys["i"] == keys["j"]).to_numpy()
+    found = [], []
+    for at in keys.groupby(cell, sort=False, dropna=False).indices.values():
+        if len(at) > 1:
+            v = unpacked([values[k] for k in at], int(dims[at[0]]))
+            for side, place in zip(found, _similar(v, ids.take(pa.array(at)), right[at], whole[at[0]], least, forest), strict=True):
+                side.append(at[place])
     x, y = (np.concatenate([np.empty(0, int), *f]) for f in found)
     return pa.table({"x": ids.take(pa.array(x)), "y": ids.take(pa.array(y))})
 
@@ -109,6 +121,8 @@ def similar(rows: DataFrame, by: list[str], least: float, forest: bool = False)
     dealt = rows.join(large, keys, "left").withColumns({"part": F.pmod(F.xxhash64("uuid", "v"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0), parts - 1))})
     cell = [*keys, "i", "j"]
     dealt = dealt.select("uuid", *keys, "v", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("right"))
-    tasks = int(max(1, min(2000, compared or 0, cells or 0, max((compared or 0) // TASK_ROWS, 64))))
-    found = dealt.repartition(tasks, *cell).groupBy(*cell).applyInArrow(lambda t: _similar(t, least, forest), f"x {kind}, y {kind}")
+    batches = int(max(1, min(compared or 0, cells or 0, max((compared or 0) // TASK_ROWS, 64))))
+    # Small cells share a call.
+    dealt = dealt.withColumn("batch", F.pmod(F.xxhash64(*cell), F.lit(batches))).repartition(min(batches, MOST_TASKS), "batch")
+    found = dealt.groupBy("batch").applyInArrow(lambda t: _batch(t, cell, least, forest), f"x {kind}, y {kind}")
     return found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

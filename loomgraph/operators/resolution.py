@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.tables import components, materialise
+from loomgraph.operators import pairs
+from loomgraph.tables import materialise
 
 #: Bits of a signature: enough that a bucket of unrelated rows holds some BUCKET of them, within these bounds.
-LEAST_BITS, MOST_BITS, BUCKET = 8, 24, 64
+LEAST_BITS, MOST_BITS, BUCKET = 8, 24, 1024
 
 
 def plan(largest: int, least: float, recall: float) -> tuple[int, int]:
@@ -49,35 +50,18 @@ def hashed_links(entities: DataFrame, block: Column, vector: str, least: float,
 
     A pair at the bound is found with the chance ``recall``, a nearer one with a higher one; ``graph.resolve_entities``
     is the exact way, by all pairs of a block. Equal vectors of a block are one class, so copies are never compared.
-    Candidates share a band of their signatures. In a bucket, first all are compared with its least member; only those
-    that are then still apart from it are compared with the rest of the bucket, where they aren't connected yet. So a
-    bucket full of similar rows costs a comparison each, and the links give the same components as all candidate pairs.
-    Null blocks, null vectors and those without a direction match nothing; a repeated uuid is one entity of each vector.
+    Candidates share a band of their signatures. A bucket's members are compared with each other where their vectors lie
+    (``pairs.similar``: buckets in bounded cells), so that candidates are never rows; of the similar ones those stay that
+    connect the bucket without a cycle, which gives the same components as all candidate pairs. What is shuffled is each
+    vector once a band. Null blocks, null vectors and those without a direction match nothing; a repeated uuid is one
+    entity of each vector.
     """
     rows = entities.select("uuid", block.alias("block"), F.col(vector).cast("array<double>").alias("v")).where("block is not null and v is not null")
     classes = materialise(rows.groupBy("block", "v").agg(F.min("uuid").alias("a"), F.count(F.lit(1)).alias("n")), "classes")
     copies = rows.join(classes.where("n > 1"), ["block", "v"]).select("a", F.col("uuid").alias("b")).where("a <> b").distinct()
     largest = classes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0  # one number
     bits, bands = plan(largest, least, recall)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
-    # A uuid with several vectors has a class for each, so a class is known by a number of its own.
-    known = materialise(classes.select(F.xxhash64("block", "a", "v").alias("id"), "a", "block", "v", norm.alias("norm"), signatures(F.col("v"), bits, bands, seed).alias("signs")).where("signs is not null"), "signed")
-    bucket = ["block", "band", "sign"]
-    keys = known.select("id", "a", "block", F.posexplode("signs").alias("band", "sign"))
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        x, y = (known.select(F.col("id").alias(k), F.col("a").alias(f"a{k}"), F.col("v").alias(f"v{k}"), F.col("norm").alias(f"n{k}")) for k in ("x", "y"))
-        dot = F.aggregate(F.zip_with("vx", "vy", lambda p, q: p * q), F.lit(0.0), lambda acc, p: acc + p)
-        return pairs.distinct().join(x, "x").join(y, "y").where(F.size("vx") == F.size("vy")).where(dot >= least * F.col("nx") * F.col("ny")).select("x", "y", F.col("ax").alias("a"), F.col("ay").alias("b"))
-
-    centres = keys.groupBy(*bucket).agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    first = materialise(similar(keys.join(centres, bucket).where("id <> centre").select(F.col("centre").alias("x"), F.col("id").alias("y"))), "links")
-    roots = materialise(components(first.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
-    rooted = keys.select("id", *bucket).join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    middle = centres.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("middle")), "centre", "left").select(*bucket, F.coalesce("middle", "centre").alias("middle"))
-    placed = materialise(rooted.join(middle, bucket), "placed")
-    apart = placed.where("root <> middle").select(*bucket, F.col("id").alias("x"), F.col("root").alias("xroot"), F.lit(True).alias("_x"))
-    # Two that are apart meet twice; the one of the lesser id is taken.
-    pairs = apart.join(placed.withColumnRenamed("id", "y"), bucket).where("root <> xroot").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    found = first.unionByName(similar(pairs)).select("a", "b").where("a <> b")
-    return found.unionByName(copies).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = materialise(classes.select(F.col("a").alias("uuid"), "block", *pairs.packed("v"), signatures(F.col("v"), bits, bands, seed).alias("signs")).where("signs is not null"), "signed")
+    keys = known.select("uuid", "block", "dim", "v", F.posexplode("signs").alias("band", "sign"))
+    found = pairs.similar(keys, ["block", "band", "sign"], least, forest=True)
+    return found.unionByName(copies.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
