@@ -92,8 +92,10 @@ def stream_nearest(s: SparkSession, d: str) -> DataFrame:
 
     def fed(name: str, at: str, key: str) -> DataFrame:
         rows = view(s, d, name).withColumn(at, F.col(at).cast("timestamp"))
+        first, last = rows.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
+        part = F.least(F.floor((F.unix_micros(at) - F.lit(first)) * 4 / F.lit(max((last or 0) - (first or 0), 1))), F.lit(3))  # quarters of their time, whatever months it spans
         for k in range(4):
-            rows.where(F.floor((F.dayofmonth(at) - 1) / 8) == k).coalesce(1).write.parquet(f"{base}/{name}/part-{k}")
+            rows.where(part == k).coalesce(1).write.parquet(f"{base}/{name}/part-{k}")
         end = rows.agg((F.max(at) + F.expr("interval 30 days")).alias(at)).select(F.lit(-1).cast(rows.schema[key].dataType).alias(key), F.lit("end").alias("project"), at)
         end.select(*rows.columns).coalesce(1).write.parquet(f"{base}/{name}/part-9")
         return jobs.source(s, f"{base}/{name}", rows.schema, 1)

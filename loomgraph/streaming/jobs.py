@@ -109,7 +109,8 @@ def nearest_sessions(injections: DataFrame, sessions: DataFrame, before: int = 1
     """
     left = injections.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
     right = sessions.withColumnRenamed("project", "_project").withWatermark("start_ts", delay)
-    near = F.expr(f"project = _project and start_ts >= ts - interval {before} seconds and start_ts <= ts + interval {after} seconds")
+    # Gaps are of whole seconds: parts of a second may lie up to one second beyond the bounds.
+    near = F.expr(f"project = _project and start_ts >= ts - interval {before + 1} seconds and start_ts <= ts + interval {after + 1} seconds")
     gap = F.unix_timestamp("start_ts") - F.unix_timestamp("ts")
     pairs = left.join(right, near).select("id", "ts", "session_id", "start_ts", gap.alias("gap")).where(F.col("gap").between(-before, after))
     best = pairs.groupBy("id", "ts").agg(F.min_by(F.struct("session_id", "gap"), F.struct(F.abs("gap"), "start_ts", "session_id")).alias("best"))
