@@ -95,13 +95,17 @@ def path_keywords(path: Column, system: Iterable[str], least: int = 5) -> Column
     return F.filter(ends, lambda x: (F.char_length(x) >= least) & ~x.isin(*system))
 
 
+#: Space characters of any script, which SQL's trim takes; line ends and tabs are none.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
 def excerpt(text: Column, size: int = 400, share: float = 0.6, mark: str = "\n[…]") -> Column:
     """The first ``size`` characters of a trimmed text, back to the last line end if that lies after ``share`` of them, with a mark if cut."""
-    body = F.trim(F.coalesce(text, F.lit("")))
+    body = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     head = F.substring(body, 1, size)
     cut = F.lit(size) - F.locate("\n", F.reverse(head))  # characters before the last line end; size without one
     short = F.when((F.locate("\n", head) > 0) & (cut > size * share), F.substring(head, F.lit(1), cut)).otherwise(head)
-    return F.when(F.char_length(body) > size, F.concat(F.rtrim(short), F.lit(mark))).otherwise(head)
+    return F.when(F.char_length(body) > size, F.concat(F.rtrim(short, F.lit(SPACES)), F.lit(mark))).otherwise(head)
 
 
 def in_hours(ts: Column, start: int, end: int, zone: str = "+08:00") -> Column:

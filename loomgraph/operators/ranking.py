@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from loomgraph.functions.columns import blank, declared, looked_up, occurrences
 from loomgraph.operators.windows import prefixed, segmented
 
 
-def scored_canonical(episodes: DataFrame, keyword: str, scopes: Mapping[str, str] | None = None) -> DataFrame:
+def scored_canonical(episodes: DataFrame, keyword: str, scopes: Mapping[str, str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Live canonical episodes eligible for a keyword, with hits and relevance.
 
     Global scope, a mention, or the keyword's own project make one eligible; its own project adds, another's subtracts.
@@ -21,18 +21,19 @@ def scored_canonical(episodes: DataFrame, keyword: str, scopes: Mapping[str, str
     scope = F.coalesce(F.nullif("scope", F.lit("")), looked_up(F.col("name"), dict(scopes)) if scopes else F.lit(None).cast("string"), F.lit("global"))
     hits = occurrences(F.lower(blank("content")), keyword.lower())
     rows = episodes.where(F.col("name").startswith(config.CANONICAL_PREFIX.rstrip("-")) & ~F.coalesce("archived", F.lit(False)))
-    rows = rows.select("uuid", "name", F.coalesce("usage_count", F.lit(0)).alias("uc"), scope.alias("scope"), hits.alias("hits"))
+    rows = rows.select("uuid", "name", F.coalesce("usage_count", F.lit(0)).alias("uc"), scope.alias("scope"), hits.alias("hits"), *carry)
     rows = rows.where((F.col("scope") == "global") | (F.col("hits") > 0) | (F.col("scope") == own))
     bonus = F.when(F.col("scope") == own, config.SCOPE_BONUS).when(F.col("scope").startswith("project:"), config.SCOPE_PENALTY).otherwise(0.0)
     return rows.withColumn("relscore", F.round(F.log1p("hits") + bonus, 6))
 
 
-def canonical_context(episodes: DataFrame, keyword: str, top: int = 3, scopes: Mapping[str, str] | None = None) -> DataFrame:
+def canonical_context(episodes: DataFrame, keyword: str, top: int = 3, scopes: Mapping[str, str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """The best ``top`` canonical episodes; the last place goes to the least used of the rest (upper confidence bound).
 
-    The candidates are counted in one aggregate and ranked by top-k sorts; no window over all rows is needed.
+    The candidates are counted in one aggregate and ranked by top-k sorts; no window over all rows is needed. Rows of
+    one uuid are taken as they are ranked, each for itself. Columns to ``carry`` come along.
     """
-    rows = scored_canonical(episodes, keyword, scopes)
+    rows = scored_canonical(episodes, keyword, scopes, carry)
     total = rows.agg(F.count(F.lit(1)).alias("candidates"), F.sum("uc").alias("used"))
     ranked = rows.orderBy(F.desc("relscore"), "uc", "name", "uuid")
     head = ranked.limit(top).select("*", F.row_number().over(Window.orderBy(F.desc("relscore"), "uc", "name", "uuid")).alias("place")).withColumn("reason", F.lit("relevance"))
@@ -40,7 +41,9 @@ def canonical_context(episodes: DataFrame, keyword: str, top: int = 3, scopes: M
         return head
     # Beyond the relevance places the bound falls with use alone: its maximum is the least used, first in rank order.
     fixed = head.where(F.col("place") < top)
-    rest = rows.join(F.broadcast(fixed.select("uuid")), "uuid", "left_anti").orderBy("uc", F.desc("relscore"), "name", "uuid").limit(1)
+    unused = ["uc", F.desc("relscore"), "name", "uuid"]
+    # Of the ``top`` least used ones at least one isn't fixed.
+    rest = rows.orderBy(*unused).limit(top).exceptAll(fixed.select(*rows.columns)).orderBy(*unused).limit(1)
     explored = rest.crossJoin(F.broadcast(total)).withColumns({"place": F.lit(top), "reason": F.when(F.col("candidates") > top, "explore").otherwise("relevance")}).drop("candidates", "used")
     return fixed.unionByName(explored)
 
