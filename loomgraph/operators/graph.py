@@ -13,6 +13,10 @@ from loomgraph.operators import pairs
 from loomgraph.tables import components, materialise
 
 
+#: Entities of one name that are looked for by a filter.
+MOST_STARTS = 1000
+
+
 def totals(entities: DataFrame, facts: DataFrame, episodes: DataFrame) -> DataFrame:
     """Counts of nodes and edges with their ratios."""
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
@@ -75,10 +79,13 @@ def neighbours(entities: DataFrame, facts: DataFrame, text: str, limit: int = 20
     said = ["fact"] if "fact" in facts.columns else []
     limit = clamped(limit, 1, 100, 20)
     named = lookup(entities, text).select(F.col("name").alias("node"))
-    start = entities.join(named, entities["name"] == named["node"]).select(F.col("uuid").alias("start"), "node")
+    start = materialise(entities.join(named, entities["name"] == named["node"]).select(F.col("uuid").alias("start"), "node"), "start")
+    # A short list of uuids is a filter that Spark pushes below what the facts are made of; a long one stays a join.
+    wanted = [r.start for r in start.select("start").distinct().limit(MOST_STARTS + 1).collect()]
 
     def side(here: str, there: str, direction: str) -> DataFrame:
-        rows = facts.join(start, F.col(here) == F.col("start")).select("node", F.col(there).alias("uuid"), F.col("name").alias("edge"), *said)
+        rows = facts.where(F.col(here).isin(wanted)) if len(wanted) <= MOST_STARTS else facts
+        rows = rows.join(start, F.col(here) == F.col("start")).select("node", F.col(there).alias("uuid"), F.col("name").alias("edge"), *said)
         return rows.join(entities.select("uuid", F.col("name").alias("neighbour")), "uuid").select("node", "neighbour", "edge", F.lit(direction).alias("direction"), "uuid", *said).orderBy("neighbour", "edge", "uuid").limit(limit)
 
     found = side("src", "dst", "out").unionByName(side("dst", "src", "in"))
