@@ -1,6 +1,6 @@
 """Full text by an inverted index: postings in hash buckets, appended segments, tombstones, compaction.
 
-``postings/seq=S/bucket=B`` holds (term, uuid, tf, dl) of one segment, range-sorted by term, so that a search reads the
+``postings/seq=S/bucket=B`` holds (term, uuid, tf, dl) of one segment, sorted by term in each file, so that a search reads the
 buckets of its words alone and skips row groups by term. ``documents/seq=S`` has each document's length (null for a
 removed one) and ``dead/seq=S`` the documents of earlier segments that the segment replaces or removes. The manifest
 lists the segments that count, with what each adds to the number of documents and to their total length; it is replaced
@@ -19,8 +19,8 @@ from loomgraph import config
 from loomgraph.functions.columns import blank
 from loomgraph.tables import current_state, delete, materialise, replace_state
 
-#: Hash buckets of terms.
-BUCKETS = 64
+#: Hash buckets of terms, and shares of the documents that each is written in, so that a frequent word isn't one task's.
+BUCKETS, SHARES = 64, 4
 _MANIFEST = "seq string, place int, n bigint, total bigint"
 _POSTINGS = "term string, uuid string, tf bigint, dl int, seq string, bucket int"
 
@@ -49,6 +49,11 @@ class FullText:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/{kind}").parquet(*(f"{self.root}/{kind}/seq={s[0]}" for s in segments))
 
+    def _write(self, postings: DataFrame, seq: str) -> None:
+        """Postings by bucket and a share of the documents, sorted by term; ranges would count all words twice to find their bounds."""
+        share = F.pmod(F.xxhash64("uuid"), F.lit(SHARES))
+        postings.repartition("bucket", share).sortWithinPartitions("bucket", "term", "uuid").write.partitionBy("bucket").parquet(f"{self.root}/postings/seq={seq}")
+
     def _commit(self, segments: list[tuple]) -> None:
         replace_state(self.spark.createDataFrame(segments, _MANIFEST).coalesce(1), f"{self.root}/manifest")
 
@@ -58,13 +63,16 @@ class FullText:
         Episodes that are known already are replaced. Only the new rows' texts are read, and no earlier file is written.
         """
         live = ~F.coalesce(F.col("archived"), F.lit(False))
-        rows = episodes.select("uuid", F.when(live, tokens(blank("content"))).alias("t"))
+        texts = episodes.select("uuid", F.when(live, blank("content")).alias("text"))
+        split = lambda df: df.withColumn("t", tokens(F.col("text")))
         before, seq = self.segments(), uuid.uuid4().hex
-        # A document's tokens lie in one task, so that they are counted there; pairs of word and document are shuffled.
-        counted = rows.where("t is not null").select("uuid", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "uuid", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        # Documents are dealt out by uuid, so that their words are counted where they lie: texts are shuffled for it, not pairs.
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # a number, as small texts give many words and aren't put together
+        dealt = split(texts.where("text is not null").repartition(tasks, "uuid"))
+        counted = dealt.select("uuid", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("uuid", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
         postings = counted.select(bucket(F.col("term")).alias("bucket"), "term", "uuid", "tf", "dl")
-        postings.repartitionByRange("bucket", "term", "uuid").sortWithinPartitions("bucket", "term", "uuid").write.partitionBy("bucket").parquet(f"{self.root}/postings/seq={seq}")
-        rows.select("uuid", F.size("t").alias("dl")).withColumn("dl", F.when(F.col("dl") >= 0, F.col("dl"))).write.parquet(f"{self.root}/documents/seq={seq}")
+        self._write(postings, seq)
+        split(texts).select("uuid", F.size("t").alias("dl")).withColumn("dl", F.when(F.col("dl") >= 0, F.col("dl"))).write.parquet(f"{self.root}/documents/seq={seq}")
         place = before[-1][1] + 1 if before else 0
         added = self._documents([(seq, place)])
         n, total = added.agg(F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0))).first()
@@ -122,7 +130,7 @@ class FullText:
         """Write the postings and documents that count as one segment, then delete the earlier ones."""
         before, seq = self.segments(), uuid.uuid4().hex
         live = self._live(None, before).select("bucket", "term", "uuid", "tf", "dl")
-        live.repartitionByRange("bucket", "term", "uuid").sortWithinPartitions("bucket", "term", "uuid").write.partitionBy("bucket").parquet(f"{self.root}/postings/seq={seq}")
+        self._write(live, seq)
         last = self._documents(before).groupBy("uuid").agg(F.max_by(F.struct("dl"), "place").alias("d")).where("d.dl is not null").select("uuid", "d.dl")
         last.write.parquet(f"{self.root}/documents/seq={seq}")
         self.spark.createDataFrame([], "uuid string").write.parquet(f"{self.root}/dead/seq={seq}")
