@@ -37,16 +37,16 @@ def stream_gate(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_quotas(s: SparkSession, d: str) -> DataFrame:
-    """Daily quotas over a stream of three days, a file each: what a day's quota defers comes in on a later day.
+    """Daily quotas over a stream of three days, a batch each: what a day's quota defers comes in on a later day.
 
     Projects are taken together by the first four letters of their names, so that some are busy; one row a day is let in.
     """
     base = scratch(s, "stream")
     rows = view(s, d, "f_observations").withColumns({"project": F.substring("project", 1, 4), "created_at_epoch": F.lit(1704067200000) + F.col("id") % 3 * 86_400_000})
-    for day in range(3):
-        rows.where(F.col("id") % 3 == day).coalesce(1).write.parquet(f"{base}/in/day-{day}")
-    stream = jobs.source(s, f"{base}/in", s.read.parquet(f"{base}/in/day-0").schema, 1)
-    jobs.run_quotas(stream, view(s, d, "f_sessions"), lambda decided, number: decided.write.mode("overwrite").parquet(f"{base}/out/batch-{number}"), base, quota=1).awaitTermination()
+    for day in range(3):  # the stream is stopped between the days, so that a day is a batch of as many files as were written
+        rows.where(F.col("id") % 3 == day).write.parquet(f"{base}/in/day-{day}")
+        stream = jobs.source(s, f"{base}/in", s.read.parquet(f"{base}/in/day-0").schema, 1_000_000)
+        jobs.run_quotas(stream, view(s, d, "f_sessions"), lambda decided, number: decided.write.mode("overwrite").parquet(f"{base}/out/batch-{number}"), base, quota=1).awaitTermination()
     out = s.read.option("recursiveFileLookup", "true").parquet(f"{base}/out")
     return out.select("id", "layer", F.date_format("day", "yyyy-MM-dd").alias("day"), F.datediff("due", "day").alias("waits"))
 
