@@ -125,17 +125,43 @@ def race(weight: Column, *of: Column) -> Column:
     return -F.ln(u) / weight.cast("double")
 
 
+def _count(c: Column) -> Column:
+    return c.cast("decimal(38,0)")
+
+
 def walk_counts(edges: DataFrame, most: int) -> DataFrame:
-    """(uuid, hops, walks): how many walks of 1 to ``most`` edges begin at a node; nodes without any are left out."""
+    """(uuid, hops, walks): how many walks of 1 to ``most`` edges begin at a node; nodes without any are left out.
+
+    Layer i holds the edges whose first node is reached by i edges. From the innermost layer outwards, one pass over a
+    layer sums the counts of all hops at once, since the nodes behind its edges have theirs from the layer within. Layers
+    mostly shrink fast; where one doesn't (a core of cycles), its counts are made hop by hop.
+    """
+    layers, sizes = [edges], [edges.count()]
+    while len(layers) < most:
+        outer = layers[-1]
+        inner = materialise(outer.join(outer.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "inner")
+        size = inner.count()
+        if size == sizes[-1]:
+            break
+        layers.append(inner)
+        sizes.append(size)
+    core, hops = layers.pop(), most - len(layers)
     level, found = None, None
-    for hop in range(1, most + 1):
+    for hop in range(1, hops + 1):
         if level is None:
-            counted = edges.groupBy("src").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("walks"))
+            counted = core.groupBy("src").agg(_count(F.count(F.lit(1))).alias("walks"))
         else:
-            counted = edges.join(level.select(F.col("uuid").alias("dst"), "walks"), "dst").groupBy("src").agg(F.sum("walks").cast("decimal(38,0)").alias("walks"))
+            counted = core.join(level.select(F.col("uuid").alias("dst"), "walks"), "dst").groupBy("src").agg(_count(F.sum("walks")).alias("walks"))
         level = materialise(counted.select(F.col("src").alias("uuid"), F.lit(hop).alias("hops"), "walks"), "counts")
         found = level if found is None else found.unionByName(level)
-    return found
+    if not layers:
+        return found
+    wide = found.groupBy("uuid").agg(*(F.max(F.when(F.col("hops") == h, F.col("walks"))).alias(f"w{h}") for h in range(1, hops + 1)))
+    for layer in reversed(layers):
+        hops += 1
+        counted = layer.join(wide.withColumnRenamed("uuid", "dst"), "dst", "left").groupBy(F.col("src").alias("uuid"))
+        wide = materialise(counted.agg(_count(F.count(F.lit(1))).alias("w1"), *(_count(F.sum(f"w{h - 1}")).alias(f"w{h}") for h in range(2, hops + 1))), "counts")
+    return wide.select("uuid", F.posexplode(F.array(*(f"w{h}" for h in range(1, hops + 1)))).alias("hops", "walks")).where("walks is not null").withColumn("hops", F.col("hops") + 1)
 
 
 def drawn_chains(facts: DataFrame, least: int, most: int, k: int, seed: int, draws: int | None = None) -> DataFrame:
@@ -144,20 +170,19 @@ def drawn_chains(facts: DataFrame, least: int, most: int, k: int, seed: int, dra
     ``draws`` (8 k, if not given) starts and lengths are drawn without replacement, weighted by how many walks of that
     length begin there; then each draw takes one edge a step, weighted by the walks left beyond it. Nodes that are on the
     chain already are left out, and a draw that can't go on is dropped, so that fewer than k may come back. A step
-    holds one row a draw; weights stand on the edges, so it is a broadcast join and an aggregate with map-side combination.
+    writes the edges that its draws may take and looks up the counts of their ends; it leaves one row a draw.
     """
     draws = draws or 8 * k
     edges = plain_edges(facts)
     counts = walk_counts(edges, most)
-    beyond = counts.groupBy("uuid").agg(F.map_from_entries(F.collect_list(F.struct("hops", "walks"))).alias("beyond"))  # at most one entry a hop
-    weighted = materialise(edges.join(beyond.withColumnRenamed("uuid", "dst"), "dst", "left").select("src", "dst", "beyond"), "weighted")
+    beyond = counts.select(F.col("uuid").alias("dst"), F.col("hops").alias("left"), "walks")
     starts = counts.where(F.col("hops") >= least).withColumn("race", race(F.col("walks"), F.lit(str(seed)), F.col("uuid"), F.col("hops")))
     walk = materialise(starts.orderBy("race", "uuid", "hops").limit(draws).select(F.col("uuid").alias("first"), "hops", "race", F.array("uuid").alias("path")), "draws")
     for step in range(1, most + 1):
         going = walk.where(F.col("hops") >= step).withColumn("src", F.element_at("path", -1))
-        rows = weighted.join(F.broadcast(going), "src").where(~F.array_contains("path", F.col("dst")))
-        left = F.col("hops") - step
-        rows = rows.withColumn("walks", F.when(left == 0, F.lit(1).cast("decimal(38,0)")).otherwise(F.try_element_at("beyond", left))).where("walks is not null")
+        rows = edges.join(F.broadcast(going), "src").where(~F.array_contains("path", F.col("dst")))
+        rows = materialise(rows.withColumn("left", F.col("hops") - step), "steps")
+        rows = rows.where("left = 0").withColumn("walks", _count(F.lit(1))).unionByName(rows.join(beyond, ["dst", "left"]))
         next_ = F.struct(race(F.col("walks"), F.lit(str(seed)), F.col("first"), F.col("hops"), F.lit(step), F.col("dst")).alias("r"), "dst")
         # One row a draw: its path and race are the same in all of its rows.
         taken = rows.groupBy("first", "hops").agg(F.min(next_).alias("next"), F.any_value("race").alias("race"), F.any_value("path").alias("path"))
