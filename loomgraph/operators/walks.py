@@ -20,11 +20,16 @@ def plain_edges(facts: DataFrame) -> DataFrame:
 
 
 def hops_from(edges: DataFrame, starts: DataFrame, here: str, there: str, most: int) -> DataFrame:
-    """(uuid, hops) of all nodes within ``most`` edges of a start, with the least number; each level but the first is written."""
+    """(uuid, hops) of all nodes within ``most`` edges of a start, with the least number; each level but the first is written.
+
+    It ends with the first level that has no new node.
+    """
     known = level = starts.select("uuid", F.lit(0).alias("hops"))
     for hop in range(1, most + 1):
         ends = edges.join(level.select(F.col("uuid").alias(here)), here, "left_semi").select(F.col(there).alias("uuid")).distinct()
         level = materialise(ends.join(known, "uuid", "left_anti").select("uuid", F.lit(hop).alias("hops")), "level")
+        if level.isEmpty():
+            break
         known = known.unionByName(level)
     return known
 
@@ -99,24 +104,40 @@ def _ends(edges: DataFrame, starts: DataFrame, least: int, most: int) -> DataFra
 def chains(facts: DataFrame, least: int, most: int, k: int) -> DataFrame:
     """The first k end pairs (by first, last) of simple chains of ``least`` to ``most`` edges, with the least hops.
 
-    Only nodes from which ``least`` edges can be walked are starts, and they are taken k at a time in their order until
-    k pairs are found: a start mostly gives one at least, so walks grow with k starts and not with the graph. They do
-    grow with the degrees on the way; ``drawn_chains`` doesn't.
+    Nodes are taken in their order in lots of k, 8 k, 64 k, ...; the edges within ``most`` hops of a lot are written, and
+    all else is done on these: of the lot, only nodes from which ``least`` edges can be walked are starts, and they are
+    taken k at a time until k pairs are found. A start mostly gives one at least, so walks grow with k starts and not
+    with the graph, which is read once a hop. They do grow with the degrees on the way; ``drawn_chains`` doesn't.
     """
     edges = plain_edges(facts)
-    alive = edges.select("src").distinct()
-    for _ in range(least - 1):
-        alive = edges.join(alive.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src").distinct()
-    alive = materialise(alive, "alive")
-    found, n_found, after = None, 0, None
+    nodes = materialise(edges.select("src").distinct(), "nodes")
+    found, n_found, size, passed = None, 0, k, None
     while True:
-        starts = materialise((alive if after is None else alive.where(F.col("src") > after)).orderBy("src").limit(k), "starts")
-        n, after = starts.agg(F.count(F.lit(1)), F.max("src")).first()
-        ends = materialise(_ends(edges, starts, least, most), "ends")
-        found = ends if found is None else found.unionByName(ends)
-        n_found += ends.count()
-        if n < k or n_found >= k:
+        lot, n_lot, passed = _next(nodes, passed, size)
+        near = hops_from(edges, lot.withColumnRenamed("src", "uuid"), "src", "dst", most - 1)
+        reached = materialise(edges.join(near.select(F.col("uuid").alias("src")), "src", "left_semi"), "reached")
+        alive = reached.select("src").distinct()
+        for _ in range(least - 1):
+            alive = reached.join(alive.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src").distinct()
+        alive = materialise(lot.join(alive, "src", "left_semi"), "alive")
+        n, after = k, None
+        while n == k:
+            starts, n, after = _next(alive, after, k)
+            ends = materialise(_ends(reached, starts, least, most), "ends")
+            found = ends if found is None else found.unionByName(ends)
+            n_found += ends.count()
+            if n_found >= k:
+                break
+        if n_lot < size or n_found >= k:
             return found.orderBy("first", "last").limit(k)
+        size *= 8
+
+
+def _next(nodes: DataFrame, after: str | None, size: int) -> tuple[DataFrame, int, str | None]:
+    """The next nodes (src) in their order, their number and the last of them."""
+    lot = materialise((nodes if after is None else nodes.where(F.col("src") > after)).orderBy("src").limit(size), "starts")
+    n, last = lot.agg(F.count(F.lit(1)), F.max("src")).first()
+    return lot, n, last
 
 
 def race(weight: Column, *of: Column) -> Column:

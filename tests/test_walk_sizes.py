@@ -29,3 +29,10 @@ def test_drawn_chains_pass_over_outer_layers_once(spark, written):
     assert [n for name, n in written if name == "inner"] == [8, 2, 2]
     assert all(n < len(edges) for name, n in written if name not in ("edges", "counts"))
     assert sum(n == 48 for name, n in written if name == "counts") == 1
+
+
+def test_chains_look_for_starts_in_their_lot_alone(spark, written):
+    edges = [(f"c{i:02}", f"p{i:02}") for i in range(30)] + [(f"p{i:02}", "n0") for i in range(12, 30)] + [("n0", "n1")]
+    got = walks.chains(facts(spark, edges), 3, 3, 2).collect()
+    assert [(r["first"], r["last"], r.hops) for r in got] == [("c12", "n1", 3), ("c13", "n1", 3)]
+    assert [n for name, n in written if name == "alive"] == [0, 6]
