@@ -69,8 +69,9 @@ def _first_of_length(edges: DataFrame, starts: DataFrame, length: int, most: int
 def paths(entities: DataFrame, facts: DataFrame, source: str, target: str, hops: int = 4, most: int = 3, beam: int = BEAM) -> DataFrame:
     """The first ``most`` simple directed paths between entities whose names contain the texts, by (hops, names).
 
-    Nodes are labelled with their least hops from a source and to a target, and only edges of which both ends are near
-    enough are kept, written once. On these the paths of 1, 2, ... edges are looked for first one first, so that no step
+    Nodes are labelled with their least hops from a source, the edges from near nodes are written, and on these alone
+    nodes are labelled with their hops to a target: the way back doesn't visit all that leads to the targets. Only edges
+    of which both ends are near enough are kept. On these the paths of 1, 2, ... edges are looked for first one first, so that no step
     holds more than ``beam`` partial paths however many paths there are. Hops are from 1 to 6.
     """
     hops = clamped(hops, 1, 6, 4)
@@ -78,8 +79,9 @@ def paths(entities: DataFrame, facts: DataFrame, source: str, target: str, hops:
     named = lambda text: entities.where(F.col("name").contains(text) & F.col("uuid").isNotNull()).select("uuid").distinct()
     sources, targets = materialise(named(source), "sources"), materialise(named(target), "targets")
     near = hops_from(edges, sources, "src", "dst", hops - 1).select(F.col("uuid").alias("src"), F.col("hops").alias("near"))
-    far = hops_from(edges, targets, "dst", "src", hops - 1).select(F.col("uuid").alias("dst"), F.col("hops").alias("far"))
-    between = materialise(edges.join(near, "src").join(far, "dst").where(F.col("near") + F.col("far") < hops).select("src", "dst", "far"), "between")
+    reached = materialise(edges.join(near, "src"), "reached")
+    far = hops_from(reached, targets, "dst", "src", hops - 1).select(F.col("uuid").alias("dst"), F.col("hops").alias("far"))
+    between = materialise(reached.join(far, "dst").where(F.col("near") + F.col("far") < hops).select("src", "dst", "far"), "between")
     first = between.groupBy("src").agg((F.min("far") + 1).alias("far")).withColumnRenamed("src", "uuid")
     starts = materialise(sources.join(first, "uuid").select(F.array("uuid").alias("path"), F.col("uuid").alias("names"), "far"), "starts")
     found: list[tuple[int, str]] = []

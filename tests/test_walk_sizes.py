@@ -36,3 +36,11 @@ def test_chains_look_for_starts_in_their_lot_alone(spark, written):
     got = walks.chains(facts(spark, edges), 3, 3, 2).collect()
     assert [(r["first"], r["last"], r.hops) for r in got] == [("c12", "n1", 3), ("c13", "n1", 3)]
     assert [n for name, n in written if name == "alive"] == [0, 6]
+
+
+def test_paths_go_back_over_reached_edges_alone(spark, written):
+    edges = [("s", "v"), ("v", "t")] + [(f"x{i:02}", "v") for i in range(40)] + [(f"y{i:02}", "t") for i in range(40)]
+    names = spark.createDataFrame([("s", "from"), ("t", "to")], "uuid string, name string")
+    got = [(r.hops, r.names) for r in walks.paths(names, facts(spark, edges), "from", "to", 4, 5).collect()]
+    assert got == [(2, "s>v>t")]
+    assert max(n for name, n in written if name != "edges") <= 2
