@@ -17,6 +17,8 @@ from loomgraph.tables import materialise
 
 #: Characters of patterns in one broadcast.
 BLOCK_CHARS = 1 << 22
+#: Texts that a worker holds at a time, out of an Arrow batch.
+ROWS = 256
 #: The automaton of the last block that this worker has seen, by the block's number.
 _BUILT: dict[int, ahocorasick.Automaton] = {}
 
@@ -70,7 +72,7 @@ def _finder(shared: _Shared, always: bool, some: bool):
         from loomgraph.operators import patterns  # the worker's own module, whose automaton outlives the task
 
         find = patterns._automaton(shared).iter if some else None
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             at, hits = [], []
             for i, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if t is None:

@@ -17,6 +17,10 @@ from loomgraph.operators.fulltext import FullText, tokens
 from loomgraph.tables import materialise
 
 
+#: Similarities that a worker holds at a time, out of an Arrow batch.
+BLOCK_CELLS = 1 << 18
+
+
 def cosine(vector: Column, query: Sequence[float]) -> Column:
     """Cosine similarity to a fixed vector: one pass of built-in array functions, the query as a literal."""
     q = F.array(*(F.lit(float(x)) for x in query))
@@ -40,10 +44,11 @@ def batch_vector_top(facts: DataFrame, queries: Sequence[tuple[int, Sequence[flo
     ids = np.array([i for i, _ in queries], np.int64)
     q = np.array([v for _, v in queries], float)
     length = np.sqrt((q**2).sum(axis=1))
+    step = max(1, BLOCK_CELLS // max(1, len(ids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: pa.Table | None = None
-        for batch in batches:
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             rows = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column("embedding")), q.shape[1]), False))
             if not rows.num_rows:
                 continue
