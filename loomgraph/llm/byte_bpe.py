@@ -3,7 +3,8 @@
 A partition cuts its texts into the tokenizer's pattern matches and hands the distinct ones to DuckDB as rows (word,
 position, token). A recursive query joins neighbours with the merge table and contracts the leftmost pair of least rank
 of every word until no pair merges; an ordered aggregation gives the ids and another one decodes them from the
-vocabulary. Texts are then spelt out of the encoded and decoded words.
+vocabulary. Texts are then spelt out of the encoded and decoded words; decoded bytes are only kept where they differ from
+the word's own, so that a worker holds each word once.
 
 A recursive step contracts one pair of a word and keeps the word's rows, so that a word takes rows in the square of its
 length: words are put together into queries of STEP_ROWS such rows. A match of more than LONG_WORD bytes, which would
@@ -34,13 +35,13 @@ from loomgraph.llm.common import KEPT, give_back, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes of words after which a Python worker starts a new generation; it remembers this one and the one before.
-REMEMBERED_BYTES = 56 << 20
-#: What a remembered word takes besides its own characters, ids and bytes.
-WORD_OVERHEAD = 270
+REMEMBERED_BYTES = 40 << 20
+#: What a remembered word takes besides its own characters and ids.
+WORD_OVERHEAD = 225
 #: Rows that the steps of one recursive query keep, at most.
-STEP_ROWS = 3_000_000
+STEP_ROWS = 1_000_000
 #: Texts are encoded in groups of about so many characters, so that memory doesn't follow the batch size.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_000_000
 #: A longer pattern match (in bytes) is contracted by a heap.
 LONG_WORD = 1024
 
@@ -97,13 +98,14 @@ def _heap_contract(word: bytes, rank: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes and decodes texts with one vocabulary; keeps two generations of words as (ids, decoded bytes)."""
+    """Encodes and decodes texts with one vocabulary; keeps two generations of words as (ids, decoded bytes if they aren't the word's own)."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.rank = ranks(path)
         self.find = regex.compile(pattern).findall
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.odd = False  # whether any word was decoded to other bytes than its own
         self.held = 0
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "temp_directory": ""})
         rank = self.rank
@@ -151,11 +153,13 @@ class Encoder:
         self._spell(words)
 
     def _spell(self, words: list[tuple[bytes, str]]) -> None:
-        """Remember the ids and the decoded bytes of the words in ``contracted``."""
+        """Remember the ids of the words in ``contracted``, and what they are decoded to if it isn't the word."""
         for w, ids, raw in self.db.execute(SPELL).fetchall():
-            word = words[w][1]
-            self.known[word] = (ids.encode(), raw)
-            self.held += len(ids) + len(raw) + len(word) + WORD_OVERHEAD
+            own, word = words[w]
+            other = b"" if raw == own else raw
+            self.odd = self.odd or raw != own
+            self.known[word] = (ids.encode(), other)
+            self.held += len(ids) + len(other) + len(word) + WORD_OVERHEAD
 
     def spell(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
         """(number of ids, decimal ids joined by commas, decoded bytes) of every text."""
@@ -166,15 +170,19 @@ class Encoder:
         for w in set().union(*found):
             if w not in known:
                 if w in older:
-                    known[w] = ids, raw = older[w]
-                    self.held += len(ids) + len(raw) + len(w) + WORD_OVERHEAD
+                    known[w] = ids, other = older[w]
+                    self.held += len(ids) + len(other) + len(w) + WORD_OVERHEAD
                 else:
                     new.append(w)
         self.learn(new)
         for words in found:
-            parts = [known[w] for w in words]
-            ids = b",".join([p[0] for p in parts])
-            yield ids.count(b",") + 1 if ids else 0, ids, b"".join([p[1] for p in parts])
+            ids = b",".join([known[w][0] for w in words])
+            yield ids.count(b",") + 1 if ids else 0, ids, self._decoded(words)
+
+    def _decoded(self, words: list[str]) -> bytes:
+        if self.odd:
+            return b"".join([self.known[w][1] or w.encode("utf-8", "replace") for w in words])
+        return "".join(words).encode("utf-8", "replace")
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = KEPT.setdefault("byte_bpe", {})
