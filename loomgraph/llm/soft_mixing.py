@@ -41,6 +41,8 @@ RIDGE, FIT_STEPS = 1e-3, 250
 TOLERANCE = 1e-5
 #: A step scaled down so far, or one that shortens the distance by less than this share, doesn't help any more.
 LEAST_SCALE, LEAST_GAIN = 2.0**-20, 1e-4
+#: Scales of a step that are tried in one pass over the rows; the first that helps is taken.
+TRIED = 4
 
 
 def features(text: str | None, hasher: WordHasher) -> tuple[int, np.ndarray]:
@@ -197,26 +199,50 @@ def _rate(steps: list[np.ndarray]) -> Column:
     return rate
 
 
+def _sums(rows: DataFrame, steps: list[np.ndarray], tried: list[np.ndarray]) -> np.ndarray:
+    """A row for each step tried after ``steps``: all tokens, the domains' tokens, and the products of posteriors over documents whose rate isn't 0.
+
+    The steps go to the tasks as numbers, so that the plan is as small after a hundred of them as before the first.
+    """
+    k = len(DOMAINS)
+    width = 1 + k + k * k
+
+    def moved(rate: np.ndarray, p: np.ndarray, step: np.ndarray) -> np.ndarray:
+        return np.maximum(0.0, rate - sum(p[i] * step[i] for i in range(k)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(tried), width))
+        for batch in batches:
+            t, *p = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in names)
+            before = np.ones(len(t))
+            for step in steps:
+                before = moved(before, p, step)
+            p = np.stack(p)
+            for i, step in enumerate(tried):
+                rate = moved(before, p, step)
+                sums[i, 0] += t.sum()
+                sums[i, 1 : k + 1] += p @ (t * rate)
+                sums[i, k + 1 :] += ((p * (t * (rate > 0))) @ p.T).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in sums.ravel()], names=columns)
+
+    names, columns = ["n_tokens", *(f"p_{d}" for d in DOMAINS)], [f"s{i}" for i in range(len(tried) * width)]
+    found = rows.select(*names).mapInArrow(run, ", ".join(f"{c} double" for c in columns)).agg(*(F.sum(c) for c in columns)).first()
+    return np.array([v or 0.0 for v in found]).reshape(len(tried), width)
+
+
 def solve(rows: DataFrame, weights: Mapping[str, float] | None = None, targets: Mapping[str, float] | None = None) -> tuple[list[np.ndarray], bool]:
     """Steps whose rates make the expected tokens of the domains match ``targets`` (default: from ``weights``), and whether they do.
 
     Without any tokens there are no steps, and only targets of 0 are met.
     """
-    t = F.col("n_tokens").cast("double")
     k = len(DOMAINS)
-    p = [F.col(f"p_{d}") for d in DOMAINS]
-
-    def measured(steps: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
-        """All tokens, the shares the rates give each domain, and the metric over documents whose rate isn't 0."""
-        rate = _rate(steps)
-        free = (rate > 0).cast("double")
-        sums = rows.agg(F.sum(t), *(F.sum(t * x * rate) for x in p), *(F.sum(t * x * y * free) for x in p for y in p)).first()
-        total = sums[0] or 0.0
-        if total == 0:
-            return 0.0, np.zeros(k), np.eye(k)
-        return total, np.array(sums[1 : k + 1]) / total, np.array(sums[k + 1 :]).reshape(k, k) / total + 1e-9 * np.eye(k)
-
-    total, got, metric = measured([])
+
+    def measured(steps: list[np.ndarray], tried: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each step tried all tokens, the shares the rates give each domain, and the metric over documents whose rate isn't 0."""
+        sums = _sums(rows, steps, tried)
+        return [(s[0], s[1 : k + 1] / (s[0] or 1.0), s[k + 1 :].reshape(k, k) / (s[0] or 1.0) + 1e-9 * np.eye(k)) for s in sums]
+
+    total, got, metric = measured([], [np.zeros(k)])[0]
     if total == 0:
         return [], not any((targets or {}).values())
     if targets is not None:
@@ -228,11 +254,12 @@ def solve(rows: DataFrame, weights: Mapping[str, float] | None = None, targets:
     steps: list[np.ndarray] = []
     scale = 1.0
     while np.abs(got - goal).max() >= TOLERANCE and scale >= LEAST_SCALE:
-        step = scale * np.linalg.solve(metric, got - goal)
-        _, after, after_metric = measured([*steps, step])
-        if np.linalg.norm(after - goal) < (1 - LEAST_GAIN) * np.linalg.norm(got - goal):
-            steps, got, metric, scale = [*steps, step], after, after_metric, min(1.0, 2 * scale)
-        else:
+        whole = np.linalg.solve(metric, got - goal)
+        tried = [s * whole for i in range(TRIED) if (s := scale / 2**i) >= LEAST_SCALE]
+        for step, (_, after, after_metric) in zip(tried, measured(steps, tried), strict=True):
+            if np.linalg.norm(after - goal) < (1 - LEAST_GAIN) * np.linalg.norm(got - goal):
+                steps, got, metric, scale = [*steps, step], after, after_metric, min(1.0, 2 * scale)
+                break
             scale /= 2
     return steps, bool(np.abs(got - goal).max() < TOLERANCE)
 
